@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, mixing, packing, sharding
 
 QUERIES = {
+    "op6_pack": packing.op6_pack,
     "op8_mix": mixing.op8_mix,
     "op9_shard": sharding.op9_shard,
     "op10_chat": chat.op10_chat,
