@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, sharding
+from . import chat, mixing, neardup, packing, sharding
 
 QUERIES = {
+    "op7_minhash": neardup.op7_minhash,
     "op6_pack": packing.op6_pack,
     "op8_mix": mixing.op8_mix,
     "op9_shard": sharding.op9_shard,
