@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, packing, sharding
+from . import chat, embeddings, mixing, neardup, packing, sharding
 
 QUERIES = {
+    "op4_embeddings": embeddings.op4_embeddings,
     "op7_minhash": neardup.op7_minhash,
     "op6_pack": packing.op6_pack,
     "op8_mix": mixing.op8_mix,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_embeddings": embeddings.OP4_SQL,
     "op8_mix": mixing.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
 }
