@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, mixing, neardup, packing, repeats, sharding
+from . import chat, embeddings, mixing, neardup, packing, repeats, sharding, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_repeats": repeats.op5_repeats,
     "op4_embeddings": embeddings.op4_embeddings,
     "op7_minhash": neardup.op7_minhash,
