@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that ``saved`` has written and nothing has removed yet.
+SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees (``spark.checkpoint.dir``).
 
@@ -36,6 +40,7 @@ def saved(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagespring/{uuid.uuid4().hex}"
+    SCRATCH.append(path)
     writer = df.write.mode("overwrite")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -45,15 +50,18 @@ def saved(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a frame that ``saved`` returned."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/pagespring/"
-    jvm = spark.sparkContext._jvm
-    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    tail = root.split(":", 1)[-1].lstrip("/")
-    for folder in folders:
-        if tail in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    names = {name.rsplit("/", 1)[0].rsplit("/", 1)[-1] for name in df.inputFiles()}
+    clear(df.sparkSession, [p for p in SCRATCH if p.rsplit("/", 1)[-1] in names])
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of ``saved``, once nothing reads them any more."""
+    sc = spark.sparkContext
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        if p in SCRATCH:
+            SCRATCH.remove(p)
 
 
 def unit_hash(*parts: Column | str) -> Column:

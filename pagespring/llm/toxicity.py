@@ -251,9 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_most: int = TOXIC_MOST, clean_
     return fit_on(rows["text"].tolist(), rows["toxic"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, spans (array of start, end in code points, p) for every row."""
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, score and spans (array of start, end in code points, p)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    carried = docs.select(*carry)
 
     def run(batches):
         import pyarrow as pa
@@ -263,7 +264,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                texts = part.column(1).to_pylist()
+                texts = part.column(len(carry)).to_pylist()
                 p, sizes = model.marginals(texts)
                 spans, ends = [], np.cumsum(sizes)
                 for k, t in enumerate(texts):
@@ -279,9 +280,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                                     found.append({"start": m.start(), "end": m.end(), "p": float(own[n])})
                                 last = n
                     spans.append(found)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(p, sizes)), pa.array(spans, kind)], ["doc_id", "score", "spans"])
+                kept = [part.column(k) for k in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.scores(p, sizes)), pa.array(spans, kind)], [*carry, "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in carried.dtypes), "score double", "spans array<struct<start:int,end:int,p:double>>"])
+    return docs.select(*carry, F.col("text").alias("scored text")).mapInArrow(run, schema)
 
 
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
