@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, mixing, neardup, packing, repeats, sharding, toxicity
+from . import chat, embeddings, licenses, mixing, neardup, packing, repeats, sharding, toxicity
 
 QUERIES = {
+    "op3_licenses": licenses.op3_licenses,
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_repeats": repeats.op5_repeats,
     "op4_embeddings": embeddings.op4_embeddings,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_licenses": licenses.OP3_SQL,
     "op4_embeddings": embeddings.OP4_SQL,
     "op8_mix": mixing.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
