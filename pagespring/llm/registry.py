@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, licenses, mixing, neardup, packing, repeats, sharding, toxicity
+from . import chat, embeddings, licenses, mixing, neardup, packing, repeats, search, sharding, toxicity
 
 QUERIES = {
+    "op1_bm25": search.op1_bm25,
     "op3_licenses": licenses.op3_licenses,
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_repeats": repeats.op5_repeats,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_bm25": search.OP1_SQL,
     "op3_licenses": licenses.OP3_SQL,
     "op4_embeddings": embeddings.OP4_SQL,
     "op8_mix": mixing.OP8_SQL,

@@ -53,11 +53,12 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and the texts' limits among the words."""
+def word_hashes(raw: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and the texts' limits among the words; ``space`` marks
+    the bytes that part words."""
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     stops = inside.copy()
