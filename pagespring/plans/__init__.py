@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import arrays, imaging, transcription
+
+QUERIES = transcription.QUERIES | imaging.QUERIES | arrays.QUERIES
+SQL = transcription.SQL | imaging.SQL | arrays.SQL
