@@ -6,9 +6,10 @@ remaining capacity that holds them, found through a balanced tree.
 At scale only a bounded list is packed: a group of at least ``1/GRAIN`` of a bin
 is an item of its own (their sizes add up to the whole, so there are at most
 ``GRAIN * bins``), and the smaller groups are hashed into ``GRAIN * bins`` bundles,
-each an item.  Neither count depends on the number of rows.  A group larger than a
-bin cannot stay whole when bins are to be near equal: it is split by a hash of
-doc_id into pieces of about a quarter of a bin.
+each an item.  Neither count depends on the number of rows.  Groups stay whole: one
+above the equal share gets a bin to itself, and the other bins share the rest equally.
+Rows find their shard by a broadcast list of that bounded size and are numbered in
+slices of a shard, so a shard that one group swells is still numbered by many tasks.
 
 Defined results: a null text has no bytes (size 16) and crc 0 and all null texts
 are one group, apart from empty texts only by their hash; repeated rows are rows of
@@ -27,6 +28,7 @@ from .common import saved, table
 OVERHEAD = 16
 GRAIN = 512
 SLOT_BUCKETS = 256
+ROWS_A_SLICE = 1_000_000
 
 
 class BinTree:
@@ -124,6 +126,17 @@ def best_fit_decreasing(sizes: Iterable[tuple[int, object]], capacity: int, bins
         yield item, found[1]
 
 
+def fair_capacity(sizes: Iterable[int], bins: int) -> int:
+    """The equal share of the bins, once items above their share have a bin of their own."""
+    rest, left = sorted(sizes, reverse=True), bins
+    total = sum(rest)
+    for size in rest:
+        if left < 2 or size * left <= total:
+            break
+        total, left = total - size, left - 1
+    return max(1, -(-total // left))
+
+
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
     spark = docs.sparkSession
@@ -139,26 +152,22 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     total = counted.agg(F.sum(F.col("size") * F.col("count"))).first()[0] or 0
     capacity = max(1, -(-total // shards))
     grain = max(1, capacity // GRAIN)
-    pieces = F.when(F.col("bytes") > capacity, F.ceil(F.col("bytes") / F.lit(max(1, capacity // 4)))).otherwise(1).cast("long")
     # at most shards * GRAIN groups: their sizes add up to no more than the total
-    large = counted.withColumn("bytes", F.col("size") * F.col("count")).where(F.col("bytes") >= grain).select(*group, pieces.alias("pieces"))
-    large = saved(large)
+    large = saved(counted.where(F.col("size") * F.col("count") >= grain).select(*group, F.lit(True).alias("large")))
+    parts = max(SLOT_BUCKETS, rows.count() // ROWS_A_SLICE)
     keyed = rows.join(large, group, "left").select(
         "doc_id",
         *group,
-        F.when(
-            F.col("pieces").isNotNull(),
-            F.concat_ws("/", F.lit("g"), "h", "size", "text_crc32", F.pmod(F.xxhash64("doc_id"), "pieces")),
-        ).otherwise(F.concat_ws("/", F.lit("b"), F.pmod(F.xxhash64("h", F.lit(7)), F.lit(shards * GRAIN)))).alias("item"),
-        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SLOT_BUCKETS)).cast("int").alias("part"),
+        F.when(F.col("large"), F.concat_ws("/", F.lit("g"), *group)).otherwise(F.concat_ws("/", F.lit("b"), F.pmod(F.xxhash64("h", F.lit(7)), F.lit(shards * GRAIN)))).alias("item"),
+        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)).cast("int").alias("part"),
     )
     sizes = keyed.groupBy("item").agg(F.sum("size").alias("size")).collect()  # bounded: see above
-    placed = [(item, b) for item, b in best_fit_decreasing([(r["size"], r["item"]) for r in sizes], capacity, shards)]
+    placed = [(item, b) for item, b in best_fit_decreasing([(r["size"], r["item"]) for r in sizes], fair_capacity((r["size"] for r in sizes), shards), shards)]
     bins = spark.createDataFrame(placed, "item string, shard int")
-    placed_rows = keyed.join(F.broadcast(bins), "item")  # bounded by GRAIN and the split groups' pieces
+    placed_rows = keyed.join(F.broadcast(bins), "item")  # at most 2 * shards * GRAIN rows
     # slots: a number within (shard, part), after the parts before it
-    parts = placed_rows.groupBy("shard", "part").count()
-    before = parts.select(
+    counts = placed_rows.groupBy("shard", "part").count()
+    before = counts.select(
         "shard",
         "part",
         (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"),
