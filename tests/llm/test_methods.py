@@ -1,0 +1,392 @@
+"""The methods against brute force, round trips and held-out rows."""
+
+import itertools
+import math
+import random
+import re
+import zlib
+from array import array
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from pagespring.llm import chat, embeddings, graph, licenses, minhash, mixing, neardup, packing, registry, repeats, search, sharding, shingles, toxicity
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query_matches_sql(name, spark, data, same_as_sql):
+    same_as_sql(registry.QUERIES[name](spark, data), registry.SQL[name], data)
+
+
+def documents(spark, data):
+    return spark.read.parquet(f"{data}/documents.parquet")
+
+
+# sharding
+
+
+def test_best_fit_matches_a_plain_scan():
+    rng = random.Random(3)
+    for _ in range(20):
+        sizes = [(rng.randint(1, 60), k) for k in range(120)]
+        got = dict(sharding.best_fit_decreasing(sizes, 100))
+        bins: list[int] = []
+        for size, k in sorted(sizes, key=lambda x: (-x[0], x[1])):
+            fits = [(100 - used, b) for b, used in enumerate(bins) if used + size <= 100]
+            if not fits:
+                bins.append(0)
+                fits = [(100, len(bins) - 1)]
+            b = min(fits)[1]
+            bins[b] += size
+            assert got[k] == b
+        assert max(bins) <= 100
+
+
+def test_shards_are_near_equal_and_keep_copies(spark, data):
+    rows = registry.QUERIES["op9_shard"](spark, data).toPandas()
+    docs = documents(spark, data).toPandas().set_index("doc_id")
+    assert len(rows) == len(docs)
+    rows["text"] = rows["doc_id"].map(docs["text"])
+    assert (rows["size"] == rows["text"].map(lambda t: len(t.encode()) + 16)).all()
+    assert (rows["text_crc32"] == rows["text"].map(lambda t: zlib.crc32(t.encode()))).all()
+    totals = rows.groupby("shard")["size"].sum()
+    fair = rows["size"].sum() / 40
+    assert len(totals) == 40
+    assert (rows.groupby("text")["shard"].nunique() == 1).all()
+    assert totals.max() <= max(fair * 1.02, rows["size"].max())
+    share = sharding.fair_capacity(rows.groupby("text")["size"].sum(), 40)
+    assert totals.min() >= 0.95 * share
+
+
+def test_a_large_group_stays_whole_and_the_rest_is_equal(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    rows = sharding.shard(d, 8).toPandas()
+    totals = rows.groupby("shard")["size"].sum().sort_values()
+    assert rows[rows["doc_id"] % 3 == 0]["shard"].nunique() == 1
+    assert totals.iloc[6] - totals.iloc[0] <= 0.02 * totals.iloc[0]
+    assert (rows.groupby("shard")["slot"].max() + 1 == rows.groupby("shard").size()).all()
+
+
+# mixing
+
+
+def test_poisson_inverse(spark):
+    df = spark.range(20_000).select(((F.col("id") + 0.5) / 20_000).alias("u"))
+    for rate in (0.3, 2.0, 17.0):
+        got = np.array([r[0] for r in df.select(mixing.poisson_inverse(F.col("u"), F.lit(rate))).collect()])
+        for k in range(5):
+            assert abs((got == k).mean() - math.exp(-rate) * rate**k / math.factorial(k)) < 1e-3
+        assert abs(got.mean() - rate) < 0.01 * max(rate, 1)
+
+
+def test_sources_reach_their_weights(spark):
+    d = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("x" * 20).alias("text"), F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("source"))
+    w = spark.createDataFrame([("rare", 1.0), ("common", 1.0)], "source string, weight double")
+    n = {r["source"]: r["count"] for r in mixing.mix(d, w).groupBy("source").count().collect()}
+    assert abs(n["rare"] - 15_000) < 600 and abs(n["common"] - 15_000) < 600
+    assert mixing.mix(d, w).select("doc_id", "replica").subtract(mixing.mix(d.repartition(3), w).select("doc_id", "replica")).count() == 0
+
+
+# packing
+
+
+def test_ids_are_the_tokenizers_own(spark, data):
+    t = packing.WordTokenizer.get(packing.default_tokenizer())
+    texts = [r["text"] for r in documents(spark, data).collect()] + ["", "It's İstanbul ﬁ Σας <|endoftext|> x\x1cy ²½ª a\xa0b\t", "I'LL we've 'S ''s a's1b2 _x_ --.9", "漢字 é"]
+    for text, ids in zip(texts, t.encode(texts), strict=True):
+        assert list(array("I", ids)) == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(spark, data):
+    rows = packing.pack(documents(spark, data), packing.default_tokenizer(), with_ids=True).collect()
+    t = packing.WordTokenizer.get(packing.default_tokenizer())
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    for d in documents(spark, data).collect():
+        own = sorted(pieces[d["doc_id"]], key=lambda r: r["start"])
+        ids = [x for r in own for x in r["ids"]]
+        assert ids == [*t.tokenizer.encode(d["text"], add_special_tokens=False).ids, 2]
+        assert [r["start"] for r in own] == list(np.cumsum([0, *(r["length"] for r in own[:-1])]))
+        assert all(r["doc_tokens"] == len(ids) for r in own)
+    for own in sequences.values():
+        own.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == list(np.cumsum([0, *(r["length"] for r in own[:-1])]))
+        total = sum(r["length"] for r in own)
+        assert total <= 4096 and total & (total - 1) == 0  # full, or a power of two: no padding
+
+
+def test_sum_of_squares_choice():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        p = packing.SumOfSquares(16)
+        p.level[1:16] = rng.integers(0, 4, 15)
+        size = int(rng.integers(1, 16))
+        got = p.choose(size)
+
+        def after(h, level=p.level, size=size):
+            n = level.copy()
+            if h:
+                n[h] -= 1
+            if h + size < 16:
+                n[h + size] += 1
+            return int((n[1:16] ** 2).sum())
+
+        able = [0, *(h for h in range(1, 17 - size) if p.level[h])]
+        assert after(got) == min(map(after, able))
+
+
+# shingles and MinHash
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def test_shingle_sets_match_strings(spark, data):
+    texts = [r["text"] for r in documents(spark, data).collect()] + ["", " ", "a", "a b c", "É é", "x\x0bY z\x85w A b C d", None]
+    h, limits = shingles.shingle_sets(*shingles.flat(pa.array(texts)), 4)
+    seen: dict = {}
+    for k, t in enumerate(texts):
+        w = words_of(t or "")
+        want = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        own = h[limits[k] : limits[k + 1]]
+        assert len(own) == len(want) and (np.diff(own) > 0).all() if len(own) > 1 else len(own) == len(want)
+        seen.setdefault(frozenset(want), own.tobytes())
+        assert seen[frozenset(want)] == own.tobytes()
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**63, 1000, np.uint64)
+    a, b = np.sort(x[:900]), np.sort(x[100:])  # similarity 0.8
+    s = minhash.signatures(np.concatenate([a, b]), np.array([0, 900, 1800]), 512)
+    assert abs((s[0] == s[1]).mean() - 0.8) < 0.07
+    k = minhash.band_keys(s, 24, 4)
+    assert 0 < (k[0] == k[1]).sum() < 24
+
+
+def brute_components(texts, width, percent):
+    sets = {}
+    for i, t in texts:
+        w = words_of(t or "")
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        n = len(sets[a] & sets[b])
+        if n and 100 * n >= percent * len(sets[a] | sets[b]):
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates_match_brute_force(spark, data, monkeypatch, small):
+    if small:  # small blocks and groups take the other ways
+        monkeypatch.setattr(neardup, "BLOCK", 4)
+        monkeypatch.setattr(neardup, "GROUP", 6)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = [(r["doc_id"], r["text"]) for r in documents(spark, data).collect()]
+    for k in range(40):  # chains of near copies: each differs from its base in some words
+        own = list(base)
+        for at in rng.sample(range(60), rng.randint(0, 5)):
+            own[at] = f"x{rng.randint(0, 3)}"
+        texts.append((10_000 + k, " ".join(own)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_components(texts, 4, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.linked(df).collect()}
+    assert got == want
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2000 + k) for k in range(1, 90)]
+    root = {i: i for x in links for i in x}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: find(i) for x in links if x[0] != x[1] for i in x}
+
+
+# embeddings
+
+
+def test_cells_lose_no_link(spark, data, monkeypatch, same_as_sql):
+    monkeypatch.setattr(embeddings, "CELL", 20)
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    same_as_sql(registry.QUERIES["op4_embeddings"](spark, data), registry.SQL["op4_embeddings"], data)
+
+
+def test_spherical_kmeans_has_unit_centroids():
+    x = np.random.default_rng(0).normal(size=(300, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = embeddings.spherical_kmeans(np.concatenate([x[:5].repeat(40, 0), x]), 12)
+    assert np.allclose(np.linalg.norm(c, axis=1), 1)
+
+
+# repeats
+
+
+def brute_repeats(texts, least):
+    counts = Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - least + 1):
+            if counts[t[i : i + least]] > 1:
+                gone[i : i + least] = b"\1" * least
+        left = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        out.append((len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), left))
+    return out
+
+
+def test_transform_matches_brute_force():
+    rng = random.Random(1)
+    for least in (5, 12):
+        for _ in range(30):
+            parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(least, 60))) for _ in range(6)]
+            parts.append(b"".join(rng.sample(parts, 2)))
+            counts = Counter(p[i : i + least] for p in parts for i in range(len(p) - least + 1))
+            for p, mask in zip(parts, repeats.repeated_windows(parts, least), strict=True):
+                assert mask.tolist() == [counts[p[i : i + least]] > 1 for i in range(len(p) - least + 1)]
+
+
+@pytest.mark.parametrize("hot", [256, 2])
+def test_repeats_match_brute_force(spark, data, monkeypatch, hot):
+    import hashlib
+
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(9)
+    texts = [r["text"] for r in documents(spark, data).collect()]
+    passage = "".join(rng.choice("abcdefghij é ") for _ in range(330))
+    for k in range(30):
+        left, right = ("".join(rng.choice("klmnop ü") for _ in range(rng.randint(0, 300))) for _ in range(2))
+        texts.append(left + passage[rng.randint(0, 40) : 330 - rng.randint(0, 40)] + right)
+    texts += ["a" * 450, "ab" * 300, "short", passage[:199], texts[-1] + "!" * 250]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_repeats([t.encode() for t in texts], 200)
+    for r in repeats.remove_repeats(df, with_text=True).collect():
+        size, removed, spans, left = want[r["doc_id"]]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (size, removed, spans, hashlib.sha256(left).hexdigest())
+        if not removed:
+            assert r["kept_text"] == texts[r["doc_id"]]
+
+
+# toxicity
+
+
+def test_marginals_match_enumeration():
+    rng = np.random.default_rng(7)
+    sizes = [4, 1, 3]
+    u, trans, start = rng.normal(size=8), rng.normal(size=(2, 2)), 0.4
+    got, at = toxicity.chain_marginals(u, np.array(sizes), trans, start), 0
+    for n in sizes:
+        p, z = np.zeros(n), 0.0
+        for y in itertools.product((0, 1), repeat=n):
+            s = start * y[0] + sum(u[at + t] * y[t] for t in range(n)) + sum(trans[y[t - 1], y[t]] for t in range(1, n))
+            z += math.exp(s)
+            p += math.exp(s) * np.array(y)
+        assert np.allclose(got[at : at + n], p / z)
+        at += n
+
+
+def test_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = registry.QUERIES["op2_toxicity"](spark, folder).toPandas()
+    labels = spark.read.parquet(f"{folder}/labels.parquet").toPandas().set_index("doc_id")["toxic"]
+    rows["toxic"] = rows["doc_id"].map(labels)
+    assert (rows["held_out"] == rows["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
+    held = rows[rows["held_out"] & rows["toxic"].notna()]
+    assert (held["predicted"] == held["toxic"]).mean() > 0.9
+    assert held[held["toxic"] == 0]["predicted"].mean() < 0.05
+    text = dict(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
+    spans = [(r.doc_id, s) for r in rows[rows["score"] > 0.9].itertuples() for s in r.spans]
+    assert spans and all(re.fullmatch(r"\w.*\w", text[i][s["start"] : s["end"]], re.S) for i, s in spans)
+
+
+# search
+
+
+def test_pruning_changes_nothing(spark, data, monkeypatch):
+    monkeypatch.setattr(search, "RANGE", 2)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 500)
+    docs = documents(spark, data)
+    q = docs.where("doc_id % 40 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in search.top_k(docs.repartition(5), q).collect()}
+    texts = {r["doc_id"]: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"])) for r in docs.collect()}
+    df, mean = Counter(w for t in texts.values() for w in set(t)), sum(map(len, texts.values())) / len(texts)
+    tf = {i: Counter(t) for i, t in texts.items()}
+    for query in (r["query_id"] for r in q.collect()):
+        scores = {}
+        for i, t in texts.items():
+            s = sum(math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * tf[i][w] * 2.2 / (tf[i][w] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(texts[query]) if tf[i][w])
+            if s:
+                scores[i] = round(s, 9)
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:10]
+        assert [got[query, k + 1][0] for k in range(len(best))] == best
+        assert all(abs(got[query, k + 1][1] - scores[i]) < 2e-6 for k, i in enumerate(best))
+
+
+# licenses
+
+
+def test_partial_templates(spark):
+    gpl = licenses.TEMPLATES["bsd-3-clause"].split()
+    filler = " ".join(f"f{k}" for k in range(400))
+    cut = " ".join(w for k, w in enumerate(gpl) if k)  # one shingle short
+    rows = [(1, f"{filler} {cut} {filler}"), (2, f"{filler} {' '.join(gpl[:9])} {filler}")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["license"]) for r in got] == [(1, "bsd-3-clause")]
+    assert got[0]["containment"] == pytest.approx((len(gpl) - 5) / (len(gpl) - 4))
+
+
+def test_main_path_is_native(spark, data):
+    for name in ("op3_licenses", "op10_chat"):
+        plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# chat
+
+
+def test_chat_round_trip(spark, data):
+    turns = spark.read.parquet(f"{data}/conversations.parquet").unionByName(chat.probe_turns(spark))
+    rendered = chat.render(turns)
+    back = {r["conv_id"]: [tuple(t) for t in r["t"]] for r in rendered.select("conv_id", chat.read_turns(F.col("rendering")).alias("t")).collect()}
+    want = defaultdict(list)
+    for r in turns.orderBy("conv_id", "turn").collect():
+        want[r["conv_id"]].append((r["role"], r["text"]))
+    assert back == want
+    for r in chat.example_texts(rendered).collect():
+        reply = r["text"][r["loss_start"] : r["loss_end"]]
+        assert r["text"].endswith(reply + "</s>")
+        for entity, plain in (("&lt;", "<"), ("&#91;", "["), ("&amp;", "&")):
+            reply = reply.replace(entity, plain)
+        assert ("assistant", reply) in want[r["conv_id"]]
+
+
+def test_filter_loses_nothing(spark):
+    from pagespring.llm.common import likely
+
+    kept = {r[0] for r in likely(spark.range(20_000).withColumnRenamed("id", "doc_id"), "doc_id", spark.range(0, 20_000, 37)).collect()}
+    assert set(range(0, 20_000, 37)) <= kept and len(kept) < 4000
