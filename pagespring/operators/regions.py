@@ -8,12 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parsed_f32, to_pixels
+from ..functions.prompts import AFTER, BARE, BEFORE, CONTEXT_CHARS
 from ..functions.text import is_blank, unicode_trim
 
 # Fixed value: the marker's form; (?U) takes digits and white space of any script.
 MARKER = r"!\[image\]\(image_(\d+)\.png\)\s*(\d+),(\d+),(\d+),(\d+)"
 _UNICODE = "(?U)" + MARKER
-CONTEXT_CHARS = 300
 
 
 def labels(text: Column) -> Column:
@@ -56,9 +56,8 @@ def crop_rectangle(r: Column, img_w: Column, img_h: Column, wrap: bool = False)
 
 def caption_prompt(context: Column) -> Column:
     """Prompt of the captioner: with the page's first characters if there are any."""
-    bare = F.lit("\n\nQuestion: Describe the image in one sentence.\n\nAnswer:")
-    told = F.concat(F.lit('\n\nQuestion: Describe the image in one sentence. The page says: "'), F.left(context, F.lit(CONTEXT_CHARS)), F.lit('"\n\nAnswer:'))
-    return F.when(is_blank(context), bare).otherwise(told)
+    told = F.concat(F.lit(BEFORE), F.left(context, F.lit(CONTEXT_CHARS)), F.lit(AFTER))
+    return F.when(is_blank(context), F.lit(BARE)).otherwise(told)
 
 
 def splice(text: Column, found: Column, caption: Callable[[Column, Column], Column]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import U32, to_pixels
+from ..functions.prompts import AFTER, BARE, BEFORE, CONTEXT_CHARS
 from ..functions.text import base_name, extension, is_page_image
 from ..operators import pages as pg
 from ..operators import regions as rg
@@ -38,12 +39,10 @@ def _pixels(g: int, extent: str) -> str:
 
 _EACH = f"p AS ({fx.PAGES_SQL}), e AS (SELECT p.*, i - 1 AS region_idx, labels[i] AS l FROM (SELECT *, {_LABELS} AS labels FROM p) p, unnest(range(1, len(labels) + 1)) AS u(i))"
 _REGIONS = f"{_EACH}, r AS (SELECT doc_id, img_w, img_h, region_idx, l AS label, {_pixels(2, 'img_w')} AS x1, {_pixels(4, 'img_w')} AS x2, {_pixels(3, 'img_h')} AS y1, {_pixels(5, 'img_h')} AS y2 FROM e)"
-_BARE = "chr(10) || chr(10) || 'Question: Describe the image in one sentence.' || chr(10) || chr(10) || 'Answer:'"
 
 
 def _prompt_sql(c: str) -> str:
-    told = f"chr(10) || chr(10) || 'Question: Describe the image in one sentence. The page says: \"' || substr({c}, 1, 300) || '\"' || chr(10) || chr(10) || 'Answer:'"
-    return f"CASE WHEN regexp_full_match({c}, '\\s*') THEN {_BARE} ELSE {told} END"
+    return f"CASE WHEN regexp_full_match({c}, '\\s*') THEN '{BARE}' ELSE '{BEFORE}' || substr({c}, 1, {CONTEXT_CHARS}) || '{AFTER}' END"
 
 
 _FOLD = f"list_reduce(labels, lambda a, l: replace(a, l, '[figure ' || substr(md5({_prompt_sql('a')} || l), 1, 8) || ']'), text)"

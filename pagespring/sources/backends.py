@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prompts import prompt
 from ..operators.regions import regions
 
 
@@ -77,11 +78,6 @@ def caption(recognised: DataFrame, factory: Callable[[], Captioner]) -> DataFram
     """
     kept: dict = {}
 
-    def prompt(text: str) -> str:
-        if not text.strip():
-            return "\n\nQuestion: Describe the image in one sentence.\n\nAnswer:"
-        return f'\n\nQuestion: Describe the image in one sentence. The page says: "{text[:300]}"\n\nAnswer:'
-
     def run(batches):
         for batch in batches:
             rows = []
