@@ -50,12 +50,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return c
 
 
-def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, label and e (double components) of the rows that can link."""
+def with_validity(rows: DataFrame) -> DataFrame:
+    """vec_id, label, e (double components) and ok: can the row link?"""
     e = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    r = rows.where("vec_id is not null and label is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "label", e.alias("e"))
-    return r.where(finite & F.exists("e", lambda x: x != 0))
+    r = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", e.alias("e"))
+    ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("e", lambda x: x != 0)
+    return r.withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
 def fitted(distinct: DataFrame, dims: int) -> np.ndarray:
@@ -84,6 +85,8 @@ def placed(distinct: DataFrame, threshold: float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lengths = np.diff(batch.column(3).offsets.to_numpy())
             flat = batch.column(3).flatten().to_numpy()
             starts = np.concatenate([[0], np.cumsum(lengths)])
@@ -187,7 +190,8 @@ def block_links(rows: DataFrame, threshold: float) -> DataFrame:
 
 def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    good = valid_vectors(vectors)
+    rows = with_validity(vectors)
+    good = rows.where("ok")
     distinct = saved(good.groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
     found = saved(block_links(placed(distinct, threshold), threshold))
     comps = components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
@@ -195,8 +199,7 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     per = distinct.join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
     per = per.select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
     members = good.join(per, ["label", "e"]).select("vec_id", "n", "component")
-    rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    bad = rest.join(good.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
+    bad = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
     out = members.union(bad)
     return out.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
 

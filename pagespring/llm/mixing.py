@@ -11,8 +11,9 @@ of each source to the power ``alpha``.  ``budget_factor`` scales the output's by
 
 Defined results: a null source is a source of its own; a null or empty text weighs
 nothing but is replicated alike; a source without bytes has rate 0 and goes; repeated
-rows share a count; sources without a target weight go; an empty table gives no rows.
-Further columns are carried along (``replica`` and ``mix_key`` must be free names).
+rows share a count, and so do all rows whose doc_id is null; sources without a target
+weight go; an empty table gives no rows.  Further columns are carried along, but
+incoming columns named replica or mix_key are replaced.
 """
 
 from __future__ import annotations
@@ -61,10 +62,12 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, budget_factor: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs' columns plus replica (from 0) and mix_key, in global order of mix_key."""
-    rates = source_rates(docs, weights, alpha, budget_factor).select(F.col("source").alias("rate_source"), "rate")
+    docs = docs.drop("replica", "mix_key")
+    rates = source_rates(docs, weights, alpha, budget_factor).select(F.col("source").alias("mixed source"), F.col("rate").alias("mixed rate"))
     u = unit_hash(seed, F.col("doc_id").cast("string"))
-    counted = docs.join(rates, F.expr("source <=> rate_source")).withColumn("copies", poisson_inverse(u, F.col("rate")))
-    copies = counted.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("replica"))
+    counted = docs.join(rates, F.expr("source <=> `mixed source`")).withColumn("mixed copies", poisson_inverse(u, F.col("mixed rate")))
+    each = F.explode(F.sequence(F.lit(0), F.col("mixed copies") - 1)).alias("replica")
+    copies = counted.where("`mixed copies` > 0").select(*docs.columns, each)
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("doc_id").cast("string"), F.col("replica").cast("string")))
     return copies.withColumn("mix_key", key).orderBy("mix_key")
 
