@@ -20,6 +20,7 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TOXIC_MOST, CLEAN_MOST = 2500, 5000
+TOXIC_MOST, CLEAN_MOST = 2500, 6000
 BITS = 18
 AROUND = 8
 CACHE = 1_000_000
@@ -195,11 +196,10 @@ def fit_on(texts: list[str], toxic: np.ndarray) -> Model:
     empty = Model(np.append(np.zeros(1 << BITS), -20.0), np.zeros((2, 2)), -5.0, np.array([np.log(max(prior, 1e-3) / (1 - min(prior, 0.999))), 0.0, 0.0]))
     if not 0 < toxic.sum() < len(toxic):
         return empty
-    words = [[w.lower() for w in WORD.findall(t or "")] for t in texts]
     counts: list[dict] = [{}, {}]
-    for ws, y in zip(words, toxic, strict=True):
+    for t, y in zip(texts, toxic, strict=True):
         held = counts[y]
-        for x in beginnings(set(ws)):
+        for x in beginnings(set(WORD.findall((t or "").lower()))):
             held[x] = held.get(x, 0) + 1
     marks = telling(counts[1], counts[0], int(toxic.sum()), int(len(toxic) - toxic.sum()))
     counts.clear()
@@ -212,7 +212,8 @@ def fit_on(texts: list[str], toxic: np.ndarray) -> Model:
         return known[w]
 
     chains, labels = [], []
-    for ws, y in zip(words, toxic, strict=True):
+    for t, y in zip(texts, toxic, strict=True):
+        ws = WORD.findall((t or "").lower())
         if not ws:
             continue
         hits = [k for k, w in enumerate(ws) if marked(w)] if y else []
@@ -229,8 +230,11 @@ def fit_on(texts: list[str], toxic: np.ndarray) -> Model:
     features = [cache.setdefault(w, word_features(w)) if w not in cache else cache[w] for c in chains for w in c]
     weights, trans, start = train_chain(features, np.array(labels), np.array([len(c) for c in chains]))
     model = Model(weights, trans, start, empty.calibration)
-    p, sizes = model.marginals(texts)
-    model.calibration = logistic(model.document_features(p, sizes), toxic)
+    parts = []
+    for at in range(0, len(texts), 500):
+        p, sizes = model.marginals(texts[at : at + 500])
+        parts.append(model.document_features(p, sizes))
+    model.calibration = logistic(np.concatenate(parts), toxic)
     model._scores = {}
     return model
 
@@ -246,9 +250,20 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_most: int = TOXIC_MOST, clean_
         n = sizes.get(y, 0)
         share = F.when(F.col("toxic") == y, min(1 << 20, -(-most * (1 << 20) // max(n, 1)))).otherwise(share)
     chosen = known.where(spread < share)  # about toxic_most + clean_most ids: small enough to broadcast
-    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], na_position="first")
-    return fit_on(rows["text"].tolist(), rows["toxic"].to_numpy())
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+
+    def train(batches):
+        import pyarrow as pa
+
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column(1).to_pylist()
+            toxic += batch.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_on(texts, np.array(toxic)))], pa.binary())], ["model"])
+
+    # the bounded sample is learnt in one task; only the model comes to the driver
+    made = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(train, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit_on([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
