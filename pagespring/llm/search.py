@@ -5,15 +5,16 @@ lower-cased.  A query is a text, its terms are its distinct words.  Queries go i
 blocks of about BLOCK_TERMS terms, whose global statistics (documents, mean length,
 document frequency of each term, counted over all rows) are broadcast with them: their
 size is set by the block, not by the corpus.  Every task is a shard: it builds the
-inverted index of its rows for the block's terms, with postings cut at ranges of
-RANGE documents and the largest impact of each range kept.
+inverted index of its rows for the block's terms; for frequent terms the largest impact
+in each range of RANGE documents (laid out by length) is kept.
 
-For a query, the sums of the ranges' largest impacts bound every document's score.
-Pivoting on these bounds, ranges are scored from the highest down in growing steps; as
-soon as the bound falls below the k-th best score so far, all that is left is skipped.
+For a query, the postings of its rare terms and the largest impacts of its frequent ones
+in a document's range bound the document's score.  Pivoting on these bounds, documents
+are scored from the highest down in growing steps; all whose bound does not reach the
+k-th best score so far are skipped, frequent terms' impacts unread.
 The shards' top k are merged by score and doc_id.  Nothing is approximated: scores are
 rounded to nine places before they are compared, ties go to the smaller doc_id, and a
-range is only skipped if its bound is clearly lower.
+document is only skipped if its bound is clearly lower.  Terms are told apart by 54 bits.
 
 Defined results: a null or empty query gives no rows; null and empty texts match no
 query but count as documents of length 0; documents that share no term are not
@@ -31,26 +32,31 @@ from .common import saved, table
 from .shingles import flat, word_hashes
 
 K, K1, B = 10, 1.2, 0.75
-RANGE = 32
+RANGE = 4
+SLICE = 1024
 BLOCK_TERMS = 1_000_000
-SHARD_ROWS = 50_000
+SHARD_ROWS = 20_000
+FREQUENT = 0.02
+DENSE_MOST = 512
 _LAST = np.iinfo(np.int64).max
 _PARTS = np.ones(256, bool)
 _PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def term_counts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of the distinct terms of each text, and the texts' lengths."""
+    """(text, term, count) of the distinct terms of each text, and the texts' lengths.
+
+    Takes SLICE texts at most, so that text and term (54 bits of its hash) are one key.
+    """
     raw, ends = flat(column)
     words, at = word_hashes(raw, ends, _PARTS)
     n = np.diff(at)
-    text = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((words, text))
-    words, text = words[order], text[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (text[1:] != text[:-1])
+    key = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(54)) | (words >> np.uint64(10)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    return text[first], words[first], np.diff(np.append(first, len(words))), n
+    key = key[first]
+    return (key >> np.uint64(54)).astype(np.int64), key & np.uint64((1 << 54) - 1), np.diff(np.append(first, len(words))), n
 
 
 class Queries:
@@ -72,55 +78,60 @@ class Queries:
 
 
 class Shard:
-    """Inverted index of some documents for the terms of a block of queries."""
+    """Inverted index of some documents for the terms of a block of queries.
+
+    Impacts of frequent terms (in FREQUENT of the documents or more, DENSE_MOST terms at
+    most) are laid out by document, with the largest of each range of RANGE documents;
+    the others are postings.
+    """
 
     def __init__(self, ids: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray, length: np.ndarray, q: Queries, k1: float, b: float) -> None:
-        self.ids = ids
+        # by length, so that a range's documents are alike and its bounds tight
+        by_length = np.argsort(length, kind="stable")
+        self.ids, length = ids[by_length], length[by_length]
+        turn = np.empty(len(ids), np.int64)
+        turn[by_length] = np.arange(len(ids))
+        doc = turn[doc]
         order = np.lexsort((doc, place))
         place, self.doc, count = place[order], doc[order], count[order]
         norm = k1 * (1 - b + b * length[self.doc] / q.mean)
         self.impact = q.idf[place] * count * (k1 + 1) / (count + norm)
-        self.ranges = -(-len(ids) // RANGE)
-        part = self.doc // RANGE
-        new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | (part[1:] != part[:-1])
-        self.start = np.flatnonzero(new)
-        self.size = np.diff(np.append(self.start, len(place)))
-        self.part = part[self.start]
-        self.largest = np.maximum.reduceat(self.impact, self.start) if len(self.start) else np.zeros(0)
-        self.of = np.searchsorted(place[self.start], np.arange(len(q.vocabulary) + 1))
+        self.of = np.searchsorted(place, np.arange(len(q.vocabulary) + 1))
+        df = np.diff(self.of)
+        dense = np.flatnonzero(df >= max(1, FREQUENT * len(ids)))
+        dense = dense[np.argsort(-df[dense], kind="stable")[:DENSE_MOST]]
+        self.row = np.full(len(q.vocabulary), -1)
+        self.row[dense] = np.arange(len(dense))
+        at = self.row[place]
+        self.dense = np.zeros((len(dense), len(ids)))
+        self.dense[at[at >= 0], self.doc[at >= 0]] = self.impact[at >= 0]
+        cuts = np.arange(0, len(ids), RANGE)
+        self.largest = np.maximum.reduceat(self.dense, cuts, axis=1) if len(dense) and len(ids) else np.zeros((len(dense), len(cuts)))
+        self.part = np.arange(len(ids)) // RANGE
 
     def top(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(doc, score) of the best k, best first."""
-        lo, n = self.of[terms], self.of[terms + 1] - self.of[terms]
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        if not len(entry):
-            return np.zeros(0, np.int64), np.zeros(0)
-        part = self.part[entry]
-        bound = np.bincount(part, self.largest[entry], self.ranges)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        turn = np.full(self.ranges, len(order))
-        turn[order] = np.arange(len(order))
-        by_turn = np.argsort(turn[part], kind="stable")
-        entry = entry[by_turn]
-        upto = np.searchsorted(turn[part[by_turn]], np.arange(len(order) + 1))
-        docs, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order):
-            to = min(len(order), at + step)
-            if len(docs) == k:  # pivot: the first range whose bound is too low ends it
-                to = min(to, int(np.searchsorted(-bound[order], -(scores[-1] - 1e-7), "right")))
-                if to <= at:
-                    break
-            e = entry[upto[at] : upto[to]]
-            size = self.size[e]
-            post = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[e], size)
-            total = np.bincount(self.doc[post], self.impact[post], len(self.ids))
-            found = np.flatnonzero(total)
-            docs, scores = np.concatenate([docs, found]), np.concatenate([scores, np.round(total[found], 9)])
+        rows = self.row[terms]
+        rare, rows = terms[rows < 0], rows[rows >= 0]
+        lo, n = self.of[rare], self.of[rare + 1] - self.of[rare]
+        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        sure = np.bincount(self.doc[post], self.impact[post], len(self.ids))
+        bound = sure + self.largest[rows].sum(0)[self.part]
+        docs, scores, step = np.zeros(0, np.int64), np.zeros(0), 4 * k
+        left = np.flatnonzero(bound > 0)
+        while len(left):
+            if len(docs) == k:  # the pivot: only bounds that reach the k-th score go on
+                left = left[bound[left] >= scores[-1] - 1e-7]
+            if len(left) > step:
+                best = np.argpartition(-bound[left], step)
+                now, left = left[best[:step]], left[best[step:]]
+            else:
+                now, left = left, left[:0]
+            total = np.round(sure[now] + self.dense[rows[:, None], now[None, :]].sum(0), 9)
+            docs, scores = np.concatenate([docs, now[total > 0]]), np.concatenate([scores, total[total > 0]])
             best = np.lexsort((self.ids[docs], -scores))[:k]
             docs, scores = docs[best], scores[best]
-            at, step = to, step * 2
+            step *= 2
         return docs, scores
 
 
@@ -133,8 +144,8 @@ def frequencies(docs: DataFrame, held) -> DataFrame:
         q = held.value
         df, rows, words = np.zeros(len(q.vocabulary), np.int64), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                column = batch.column(0).slice(at, 1024)
+            for at in range(0, batch.num_rows, SLICE):
+                column = batch.column(0).slice(at, SLICE)
                 _, terms, _, n = term_counts(column)
                 place = q.places(terms)
                 df += np.bincount(place[place >= 0], minlength=len(df))
@@ -162,13 +173,13 @@ def shard_tops(docs: DataFrame, held, k: int, k1: float, b: float) -> DataFrame:
             out = []
             for n, query in enumerate(q.ids):
                 d, s = shard.top(q.terms[q.limits[n] : q.limits[n + 1]], k)
-                out.append((np.full(len(d), query), ids[d], s))
+                out.append((np.full(len(d), query), shard.ids[d], s))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["query_id", "doc_id", "score"])
 
         rows, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 doc, terms, count, length = term_counts(part.column(1))
                 place = q.places(terms)
                 known = place >= 0
@@ -191,9 +202,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            text, terms, _, n = term_counts(batch.column(1))
-            ends = np.searchsorted(text, np.arange(len(n) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(terms.view(np.int64)))], ["query_id", "terms"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                text, terms, _, n = term_counts(part.column(1))
+                ends = np.searchsorted(text, np.arange(len(n) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(terms.view(np.int64)))], ["query_id", "terms"])
 
     return queries.select(F.col("query_id").cast("long"), "text").mapInArrow(run, "query_id long, terms array<long>")
 
