@@ -71,3 +71,27 @@ def unit_hash(*parts: Column | str) -> Column:
     """
     digest = F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts]))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+#: Bits of the largest filter that ``likely`` broadcasts: 32 MB.
+FILTER_BITS_MOST = 1 << 28
+
+
+def likely(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key may be among ``ids`` (one column); none that is gets lost.
+
+    A bitmap of hashed ids, at most FILTER_BITS_MOST bits whatever the number of ids, is
+    broadcast; so a join on the exact ids that follows shuffles little else.
+    """
+    n = ids.count()
+    bits = min(FILTER_BITS_MOST, max(1 << 18, 1 << (16 * n).bit_length()))
+    name = ids.columns[0]
+
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit("filter"), F.col(c)), F.lit(bits)) + 1
+
+    marks = ids.groupBy(F.bitmap_bucket_number(place(name)).alias("filter bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(name))).alias("filter bits"))
+    bit = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col("filter bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    joined = rows.withColumn("filter at", F.bitmap_bucket_number(place(key))).join(F.broadcast(marks), F.expr("`filter at` = `filter bucket`"))
+    return joined.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)

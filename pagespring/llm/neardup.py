@@ -6,14 +6,15 @@
    are never compared.
 3. In every bucket each class is compared with the bucket's smallest (linear in the
    bucket, dealt out by chunks), and the links found are contracted to components.
-4. In buckets that still hold several components the members are laid in blocks of
-   BLOCK, sorted by component, and each pair of blocks that are not of one component
-   is compared as a whole.  Only links that join something new are written.
+4. Buckets that hang together form a group (above GROUP members they stay apart).  In
+   groups that still hold several components the members are laid in blocks by their
+   component, and each pair of blocks that are not of one component is compared as a
+   whole.  Only links that join something new are written.
 So every two classes that share a bucket end up in one component or compared, no task
 holds more than two blocks, and no list of pairs is made.
 
-With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability
-(1 - 0.8**4)**32 = 5e-8, and less above.
+With 24 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability
+(1 - 0.8**4)**24 = 3e-6, and less above; groups join buckets, which finds more.
 
 Defined results: a null, empty or wordless text has n_shingles 0, links with nothing
 and is kept; a row with a null doc_id links with nothing, has a null component and is
@@ -27,13 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import likely, saved, table
 from .graph import components
 from .minhash import band_keys, signatures
 from .shingles import flat, shingle_sets
 
-BANDS, ROWS = 32, 4
-BLOCK = 256
+BANDS, ROWS = 24, 4
+BLOCK = 1024
+GROUP = 8192
 SLICE = 8192
 
 
@@ -154,18 +156,19 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     rows = saved(signed(docs, width))
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.any_value("keys").alias("keys"))
     classes = saved(classes)
-    # the texts that stand for their classes; of rows that share a doc_id, any
     members = classes.select("id", F.explode("keys").alias("key"))
-    # buckets with the same members (a sum of two hashes and a count tell them) are one
-    buckets = members.groupBy("key").agg(
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
+    members = saved(members.join(buckets.select("key", "leader"), "key"))
+    # buckets with the same members (a count and the sums of two hashes tell them) are one
+    marks = members.groupBy("key", "leader").agg(
         F.count("*").alias("n"),
-        F.min("id").alias("leader"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s1"),
         F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s2"),
     )
-    buckets = buckets.where("n > 1").groupBy("n", "leader", "s1", "s2").agg(F.min("key").alias("key"))
-    members = saved(members.join(buckets.select("key", "n", "leader"), "key"))
-    texts = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = saved(members.join(marks.groupBy("n", "leader", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key"))
+    # any row of those that share a doc_id
+    needed = saved(members.select(F.col("id").alias("doc_id")).distinct())
+    texts = likely(docs, "doc_id", needed).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = saved(texts)
     # each member against its bucket's first
     pairs = members.where("id <> leader").select("leader", "id").distinct()
@@ -175,11 +178,10 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     lead = pairs.select("task", F.col("leader").alias("id")).distinct().select("task", "id", F.lit(0).alias("side"), F.col("id").alias("component"))
     links = saved(compared(first.union(lead), texts, width, percent))
     comps = components(links)
-    # what is left: buckets of several components, by blocks
-    m = members.join(comps, members.id == comps.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    m = saved(m)
-    open_buckets = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    tasks = block_tasks(m.join(open_buckets.select("key", "n"), "key"))
+    # what is left: groups of several components, by blocks
+    m = saved(groups(members, components(pairs.select(F.col("leader").alias("u"), F.col("id").alias("v"))), comps))
+    open_groups = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    tasks = block_tasks(m.join(open_groups.select("key", "n"), "key"))
     more = compared(tasks, texts, width, percent)
     comps = components(saved(links.union(more)))
     by_class = classes.join(comps, classes.id == comps.node, "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
@@ -188,6 +190,21 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def groups(members: DataFrame, loose: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, id, component): who is compared with whom, beyond a component's own.
+
+    Buckets that hang together are compared as one group, so that members of many
+    common buckets meet once.  Where such a group has more than GROUP members its
+    buckets stay apart.
+    """
+    near = members.select("id", "key", "leader").join(loose.select(F.col("node").alias("id"), F.col("component").alias("loose")), "id")
+    sizes = near.select("id", "loose").distinct().groupBy("loose").agg(F.count("*").alias("size"))
+    near = near.join(sizes, "loose")
+    key = F.when(F.col("size") > GROUP, F.concat_ws("/", F.lit("b"), "key")).otherwise(F.concat_ws("/", F.lit("g"), "loose"))
+    near = near.select(key.alias("key"), "id").distinct()
+    return near.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+
+
 def block_tasks(m: DataFrame) -> DataFrame:
     """(task, id, side, component) for rows (key, id, component, n): the pairs of blocks.
 
