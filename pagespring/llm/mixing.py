@@ -3,7 +3,9 @@
 Every document is repeated as often as a Poisson variable says whose mean is its
 source's target repetition rate: target weight x budget / bytes of the source.  The
 variable is the inverse of the Poisson distribution at a uniform value hashed from
-(seed, doc_id), so that a document's count never depends on partitions or retries.
+(seed, doc_id), so that a document's count never depends on partitions or retries.  A
+rate above RATE_LIMIT is a sum of independent Poisson variables of at most that mean, each
+with a seed of its own, which is the same distribution; no rate is cut.
 Copies are exploded and put into one global random order by a second hash.
 
 Target weights come as a small frame (source, weight) or, by default, from the bytes
@@ -43,6 +45,18 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return step["k"]
 
 
+def poisson_copies(seed: str, doc_id: Column, rate: Column) -> Column:
+    """A Poisson variable of any rate: pieces of mean RATE_LIMIT and one of what is left."""
+    pieces = F.greatest(F.lit(0), F.ceil(rate / RATE_LIMIT) - 1).cast("int")
+    rest = poisson_inverse(unit_hash(seed, doc_id), rate - pieces * RATE_LIMIT)
+
+    def piece(k: Column) -> Column:
+        return poisson_inverse(unit_hash(seed, F.lit("piece"), k.cast("string"), doc_id), F.lit(RATE_LIMIT))
+
+    more = F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), lambda a, k: a + piece(k))
+    return F.when(pieces > 0, rest + more).otherwise(rest)
+
+
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, budget_factor: float = 1.0) -> DataFrame:
     """A row per source: source, rate, and the distribution's steps (``cdf``)."""
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"))
@@ -57,15 +71,14 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float
         F.col("weight") / F.col("total_weight") * F.col("total_bytes") * F.lit(budget_factor) / F.col("bytes"),
     ).otherwise(0.0)
     # one row on the right: the totals
-    return sizes.join(F.broadcast(whole)).select("source", F.least(rate, F.lit(RATE_LIMIT)).alias("rate"))
+    return sizes.join(F.broadcast(whole)).select("source", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, budget_factor: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs' columns plus replica (from 0) and mix_key, in global order of mix_key."""
     docs = docs.drop("replica", "mix_key")
     rates = source_rates(docs, weights, alpha, budget_factor).select(F.col("source").alias("mixed source"), F.col("rate").alias("mixed rate"))
-    u = unit_hash(seed, F.col("doc_id").cast("string"))
-    counted = docs.join(rates, F.expr("source <=> `mixed source`")).withColumn("mixed copies", poisson_inverse(u, F.col("mixed rate")))
+    counted = docs.join(rates, F.expr("source <=> `mixed source`")).withColumn("mixed copies", poisson_copies(seed, F.col("doc_id").cast("string"), F.col("mixed rate")))
     each = F.explode(F.sequence(F.lit(0), F.col("mixed copies") - 1)).alias("replica")
     copies = counted.where("`mixed copies` > 0").select(*docs.columns, each)
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("doc_id").cast("string"), F.col("replica").cast("string")))

@@ -90,6 +90,21 @@ def test_sources_reach_their_weights(spark):
     assert mixing.mix(d, w).select("doc_id", "replica").subtract(mixing.mix(d.repartition(3), w).select("doc_id", "replica")).count() == 0
 
 
+def test_large_rates_are_not_cut(spark):
+    d = spark.range(2100).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, "small").otherwise("large").alias("source"))
+    d = d.withColumn("text", F.when(F.col("source") == "small", "x").otherwise("x" * 50))
+    w = spark.createDataFrame([("small", 1.0), ("large", 1.0)], "source string, weight double")
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(d, w).collect()}
+    assert rates["small"] == pytest.approx(500.5)
+    rows = mixing.mix(d, w).where("source = 'small'").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("replica").alias("lo"), F.max("replica").alias("hi"), F.countDistinct("mix_key").alias("keys")).collect()
+    n = np.array([r["n"] for r in rows])
+    assert len(n) == 100 and all(r["lo"] == 0 and r["hi"] == r["n"] - 1 == r["keys"] - 1 for r in rows)
+    assert abs(n.mean() - 500.5) < 4 * math.sqrt(500.5 / 100)
+    many = spark.range(5000).select(mixing.poisson_copies("s", F.col("id").cast("string"), F.lit(300.0)).alias("k"))
+    k = np.array([r[0] for r in many.collect()])
+    assert abs(k.mean() - 300) < 4 * math.sqrt(300 / 5000) and abs(k.var() / 300 - 1) < 0.1
+
+
 # packing
 
 
