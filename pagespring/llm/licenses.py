@@ -13,8 +13,13 @@ template its minimum there.  So signatures are computed just for the windows tha
 one of those shingles; this changes no collision.  Templates retrieved by a band are
 verified: the exact share of their shingles that the window contains.
 
-Defined results: null or empty texts and texts under five words match nothing (such a
-template, under five words, is refused); of several windows the best counts, of equal
+A statement under five words has no shingle and is no template (it is refused as one).
+Given as a notice its whole word sequence is its one shingle, looked for in the texts'
+windows of that many words.  NOTICES are not part of op3_licenses, whose SQL knows the
+templates only.
+
+Defined results: null or empty texts match nothing, and texts under five words match
+notices only; of several windows the best counts, of equal
 ones the first; repeated rows give repeated results counted once per doc_id; a null
 doc_id is reported as null; an empty table gives no rows; further columns are ignored.
 """
@@ -44,6 +49,9 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+# Fixed value: statements under five words, for ``scan``'s notices.
+NOTICES = {"all-rights-reserved": "All rights reserved."}
+
 
 def word_array(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
@@ -87,8 +95,37 @@ def template_frame(spark, templates: dict[str, str]) -> DataFrame:
     return t.select("license", "c", "t", minima(F.col("t")).alias("bands"))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
+def noticed(docs: DataFrame, notices: dict[str, str]) -> DataFrame:
+    """scan's columns for statements under five words; first_shingle is the first word's place."""
+    if len(notices) > TEMPLATES_MOST:
+        raise ValueError("too many notices")
+    spark = docs.sparkSession
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in sorted(notices.items())]))
+    listed = spark.range(1).select(rows.alias("r")).select("r.license", word_array(F.col("r.text")).alias("w")).collect()  # bounded by TEMPLATES_MOST
+    if any(not 0 < len(r["w"]) < SHINGLE for r in listed):
+        raise ValueError("a notice has no word or five and more")
+    d = _once(docs.select("doc_id", "text"), "w", word_array(F.col("text"))).drop("text")
+
+    def first(words: list[str]) -> Column:
+        def starts(w: Column, i: Column) -> Column:
+            hit = w == words[0]
+            for k, x in enumerate(words[1:], 1):
+                hit = hit & F.coalesce(F.get("w", i + k) == x, F.lit(False))
+            return F.when(hit, i)
+
+        return F.array_min(F.transform("w", starts))
+
+    places = [F.struct(F.lit(r["license"]).alias("license"), first(r["w"]).alias("at")) for r in listed]
+    d = d.select("doc_id", F.explode(F.array(*places)).alias("v")).select("doc_id", "v.*").where("at is not null")
+    return d.groupBy("doc_id", "license").agg(F.lit(1.0).alias("containment"), F.min("at").cast("long").alias("first_shingle"))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, containment, first_shingle (of the best window)."""
+    if notices:
+        if set(notices) & set(templates or TEMPLATES):
+            raise ValueError("a notice has a template's name")
+        return scan(docs, templates, contained).union(noticed(docs, notices))
     spark = docs.sparkSession
     known = template_frame(spark, templates or TEMPLATES)
     listed = known.collect()  # bounded by TEMPLATES_MOST

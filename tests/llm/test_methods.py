@@ -375,6 +375,21 @@ def test_partial_templates(spark):
     assert got[0]["containment"] == pytest.approx((len(gpl) - 5) / (len(gpl) - 4))
 
 
+def test_notices_under_five_words(spark, data):
+    rows = [(1, "x All RIGHTS, reserved."), (2, "all rights"), (2, "all all rights reserved"), (3, "all rights not reserved"), (4, None), (5, ""), (None, "All rights reserved.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(d, notices=licenses.NOTICES | {"one": "not"})
+    assert {tuple(r) for r in got.collect()} == {(1, "all-rights-reserved", 1.0, 1), (2, "all-rights-reserved", 1.0, 1), (None, "all-rights-reserved", 1.0, 0), (3, "one", 1.0, 2)}
+    for wrong in ({"none": "..."}, {"long": "one two three four five"}, {"mit": "short"}):
+        with pytest.raises(ValueError):
+            licenses.scan(d, notices=wrong)
+    docs = documents(spark, data)
+    want = {r["doc_id"] for r in docs.collect() if re.search(r"(?<![^\W_])all[\W_]+rights[\W_]+reserved(?![^\W_])", (r["text"] or "").lower())}
+    found = licenses.scan(docs, notices=licenses.NOTICES)
+    assert {r["doc_id"] for r in found.where("license = 'all-rights-reserved'").collect()} == want and want
+    assert found.where("license <> 'all-rights-reserved'").exceptAll(licenses.scan(docs)).isEmpty()
+
+
 def test_main_path_is_native(spark, data):
     for name in ("op3_licenses", "op10_chat"):
         plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().toString()
