@@ -43,14 +43,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates, and one row of it."""
-    groups = neardup.linked(docs, width=WORDS)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    one = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.union(left.where("doc_id is null"))
+    """Keeps one row of each group of near-duplicates, that of the smallest doc_id (null last).
+
+    Rows are told apart by doc_id and text, so different texts may share a doc_id; rows
+    equal in both are one where the doc_id is not null.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        rows = docs.withColumn("row", F.col("doc_id").cast("long"))
+    else:
+        one = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        rows = one.union(docs.where("doc_id is null")).orderBy(F.asc_nulls_last("doc_id"), *COLUMNS[1:])
+        # numbers in the rows' order, fixed by being written
+        rows = common.saved(rows.withColumn("row", F.monotonically_increasing_id()))
+    groups = neardup.linked(rows.select(F.col("row").alias("doc_id"), "text"), width=WORDS)
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 @_stage

@@ -38,6 +38,15 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(groups.values()))
 
 
+def test_only_near_copies_go_where_ids_are_shared(spark, data):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (3, ""), (3, ""), (None, texts[3]), (None, texts[3]), (None, texts[0]), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_near_copies(spark, docs, data).collect()
+    key = [(r["doc_id"] or 0, r["text"] or "") for r in got]
+    assert sorted(key) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, ""), (0, texts[3]), (0, ""), (0, "")])
+
+
 def test_repeats_are_gone(stages):
     _, before, after = stages[2]
     assert after.count() == before.count()
