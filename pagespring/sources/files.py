@@ -57,23 +57,30 @@ def rasterise(documents: DataFrame, to_images: Callable[[str, bytes], Iterable[b
 
 
 def gray_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, y, x, gray) of a folder's images; files that cannot be decoded are left out.
+    """(path, y, x, gray, error) of a folder's images.
 
+    A page image that cannot be decoded gives one row with its error and no pixel; other
+    files that are no images are left out.
     Gray is (2126 r + 7152 g + 722 b) / 10000 in whole numbers; data is stored as BGR.
     """
-    images = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    images = spark.read.format("image").load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    images = images.where((F.col("height") >= 0) | is_page_image(base_name(F.col("origin"))))
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
             for origin, h, w, n, data in batch.itertuples(index=False):
+                if h < 0:  # how the reader marks what it cannot decode
+                    failed = pd.DataFrame({"path": [origin], "y": [None], "x": [None], "gray": [None], "error": ["the image cannot be decoded"]})
+                    yield failed.astype({"y": "Int32", "x": "Int32", "gray": "Int32"})
+                    continue
                 p = np.frombuffer(data, np.uint8).reshape(h, w, n).astype(np.int64)
                 gray = p[:, :, 0] if n == 1 else (722 * p[:, :, 0] + 7152 * p[:, :, 1] + 2126 * p[:, :, 2]) // 10000
                 y, x = np.divmod(np.arange(h * w), w)
-                yield pd.DataFrame({"path": origin, "y": y.astype("int32"), "x": x.astype("int32"), "gray": gray.ravel().astype("int32")})
+                yield pd.DataFrame({"path": origin, "y": y.astype("int32"), "x": x.astype("int32"), "gray": gray.ravel().astype("int32"), "error": None})
 
-    return images.mapInPandas(run, "path string, y int, x int, gray int")
+    return images.mapInPandas(run, "path string, y int, x int, gray int, error string")
 
 
 def tensor_headers(spark: SparkSession, path: str) -> DataFrame:

@@ -31,6 +31,15 @@ def test_scan_and_pixels(spark, tmp_path):
     assert {(r["y"], r["x"]): r["gray"] for r in p.collect()} == {k: int(v) for k, v in np.ndenumerate(g)}
 
 
+def test_undecodable_images_give_a_row(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png(np.full((2, 3), 9)))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    (tmp_path / "c.txt").write_text("x")
+    rows = fl.gray_pixels(spark, str(tmp_path)).collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["y"], r["x"], r["gray"]) for r in rows if r["error"]] == [("bad.png", None, None, None)]
+    assert sorted((r["y"], r["x"], r["gray"]) for r in rows if not r["error"]) == [(y, x, 9) for y in range(2) for x in range(3)]
+
+
 def test_rasterise_keeps_failures_apart(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"two")
     (tmp_path / "b.pdf").write_bytes(b"bad")
