@@ -18,8 +18,8 @@ document is only skipped if its bound is clearly lower.  Terms are told apart by
 
 Defined results: a null or empty query gives no rows; null and empty texts match no
 query but count as documents of length 0; documents that share no term are not
-returned; repeated rows are ranked as rows of their own; a null doc_id is no query and
-sorts last; an empty table gives no rows; further columns are ignored.
+returned; repeated rows are ranked as documents of their own, but query rows that share
+a query_id are one query of all their terms; a null doc_id is no query and sorts last; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -215,7 +215,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: fl
     """query_id, rank (from 1), doc_id, score, for queries (query_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    q = saved(query_terms(queries.where("query_id is not null")))
+    q = query_terms(queries.where("query_id is not null"))
+    q = saved(q.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms")))
     terms = q.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-terms // BLOCK_TERMS))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))

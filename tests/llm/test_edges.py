@@ -94,6 +94,16 @@ def test_search(docs, nothing):
     assert search.top_k(docs, q.limit(0)).count() == 0
 
 
+def test_repeated_query_rows_are_one_query(spark):
+    d = spark.createDataFrame([(i, f"alpha beta w{i}") for i in range(30)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "alpha"), (2, "w7"), (2, "beta")], "query_id long, text string")
+    once = sorted(tuple(r) for r in search.top_k(d, q.union(spark.createDataFrame([(3, "beta w7")], q.schema))).collect())
+    got = sorted(tuple(r) for r in search.top_k(d, q.union(q.where("query_id = 1"))).collect())
+    assert got == [r for r in once if r[0] < 3]
+    assert [r[1:3] for r in got if r[0] == 1] == [(k + 1, k) for k in range(10)]
+    assert [r[1:] for r in got if r[0] == 2] == [r[1:] for r in once if r[0] == 3]
+
+
 def test_licenses(spark, docs, nothing):
     assert licenses.scan(docs).count() == 0
     more = docs.select("doc_id", "text").union(spark.sql("select null, 'x released UNDER the mit license. x'")).union(spark.sql("select 9, 'Released under the MIT License.'"))
