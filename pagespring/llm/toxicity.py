@@ -8,7 +8,7 @@ transitions) by its exact gradient.  Scoring runs forward-backward over every wh
 text; the marginals give the toxic spans, and their sum and maximum, calibrated by
 logistic regression on the training documents, give the document's score.
 
-The model is fitted on a bounded sample of the labelled rows (TOXIC_MOST and
+The model is fitted on all words of a bounded sample of the labelled rows (TOXIC_MOST and
 CLEAN_MOST documents, those of the least hashes); scores use the text alone.
 
 Defined results: a null or empty text gets the calibrated score of no toxic tokens;
@@ -23,6 +23,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,7 +33,6 @@ from .common import table
 
 TOXIC_MOST, CLEAN_MOST = 2500, 6000
 BITS = 18
-AROUND = 8
 CACHE = 1_000_000
 REJECT = 0.3
 WORD = re.compile(r"\w+")
@@ -99,11 +99,14 @@ def chain_marginals(u: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start:
     return odds / (1 + odds)
 
 
-def train_chain(features: list[list[int]], labels: np.ndarray, sizes: np.ndarray, rounds: int = 60, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, transitions and start score by the exact gradient (Adagrad steps)."""
+def train_chain(features: list[list[int]], words: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rounds: int = 60, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, transitions and start score by the exact gradient (Adagrad steps).
+
+    features: those of each distinct word; words: which of them each token is.
+    """
     w, trans, start = np.zeros(1 << BITS), np.array([[2.0, -2.0], [0.0, 0.0]]), -2.0
     flat = np.fromiter((f for fs in features for f in fs), np.int64)
-    token = np.repeat(np.arange(len(features)), [len(fs) for fs in features])
+    of = np.repeat(np.arange(len(features)), [len(fs) for fs in features])
     bias = -2.0
     gw, gt, gs, gb = np.full(len(w), 1e-3), np.full((2, 2), 1e-3), 1e-3, 1e-3
     n = len(sizes)
@@ -114,7 +117,7 @@ def train_chain(features: list[list[int]], labels: np.ndarray, sizes: np.ndarray
     pairs = np.zeros((2, 2))
     np.add.at(pairs, (labels[at - 1], labels[at]), 1)
     for _ in range(rounds):
-        u = np.bincount(token, w[flat], len(features)) + bias
+        u = np.bincount(of, w[flat], len(features))[words] + bias
         p = chain_marginals(u, sizes, trans, start)
         err = labels - p
         # expected transitions from the pairwise marginals
@@ -126,7 +129,7 @@ def train_chain(features: list[list[int]], labels: np.ndarray, sizes: np.ndarray
         base = q * c1 + (1 - q) * c0
         scale1, scale0 = p[at] / np.maximum(base, 1e-12), (1 - p[at]) / np.maximum(1 - base, 1e-12)
         expect = np.array([[((1 - q) * (1 - c0) * scale0).sum(), ((1 - q) * c0 * scale1).sum()], [(q * (1 - c1) * scale0).sum(), (q * c1 * scale1).sum()]])
-        dw = np.bincount(flat, err[token], len(w)) / n - l2 * w
+        dw = np.bincount(flat, np.bincount(words, err, len(features))[of], len(w)) / n - l2 * w
         gw += dw * dw
         w += 0.5 * dw / np.sqrt(gw)
         dt = (pairs - expect) / n
@@ -203,32 +206,16 @@ def fit_on(texts: list[str], toxic: np.ndarray) -> Model:
             held[x] = held.get(x, 0) + 1
     marks = telling(counts[1], counts[0], int(toxic.sum()), int(len(toxic) - toxic.sum()))
     counts.clear()
-    rng = np.random.default_rng(11)
-    known: dict[str, bool] = {}
-
-    def marked(w):
-        if w not in known:
-            known[w] = not marks.isdisjoint(beginnings((w,)))
-        return known[w]
-
-    chains, labels = [], []
-    for t, y in zip(texts, toxic, strict=True):
+    place: dict[str, int] = {}
+    words, sizes = array("i"), []
+    for t in texts:
         ws = WORD.findall((t or "").lower())
-        if not ws:
-            continue
-        hits = [k for k, w in enumerate(ws) if marked(w)] if y else []
-        at = [*hits[:6], int(rng.integers(len(ws)))]
-        if not y:
-            at += rng.integers(len(ws), size=2).tolist()
-            # clean documents teach most where they hold marked words
-            at += [k for k, w in enumerate(ws) if marked(w)][:3]
-        for k in at:
-            part = ws[max(0, k - AROUND) : k + AROUND + 1]
-            chains.append(part)
-            labels += [int(bool(y) and marked(w)) for w in part]
-    cache: dict[str, list[int]] = {}
-    features = [cache.setdefault(w, word_features(w)) if w not in cache else cache[w] for c in chains for w in c]
-    weights, trans, start = train_chain(features, np.array(labels), np.array([len(c) for c in chains]))
+        words.extend(place.setdefault(w, len(place)) for w in ws)
+        sizes.append(len(ws))
+    words, sizes = np.array(words, np.int32), np.array(sizes, np.int64)
+    marked = np.fromiter((not marks.isdisjoint(beginnings((w,))) for w in place), bool, len(place))
+    labels = (marked[words] & np.repeat(toxic > 0, sizes)).astype(np.int8)
+    weights, trans, start = train_chain([word_features(w) for w in place], words, labels, sizes[sizes > 0])
     model = Model(weights, trans, start, empty.calibration)
     parts = []
     for at in range(0, len(texts), 500):

@@ -362,6 +362,26 @@ def test_pruning_changes_nothing(spark, data, monkeypatch):
         assert all(abs(got[query, k + 1][1] - scores[i]) < 2e-6 for k, i in enumerate(best))
 
 
+# toxicity's training
+
+
+def test_every_word_of_the_sample_is_learnt_from(monkeypatch):
+    seen = {}
+    train = toxicity.train_chain
+
+    def spy(features, words, labels, sizes, **more):
+        seen.update(words=len(words), labels=int(labels.sum()), sizes=list(sizes))
+        return train(features, words, labels, sizes, **more)
+
+    monkeypatch.setattr(toxicity, "train_chain", spy)
+    clean = " ".join(f"plain{k % 50}" for k in range(300))
+    bad = clean + " vile" * 12 + " " + clean + " vile" * 8
+    model = toxicity.fit_on([bad, clean, None, ""] * 10, np.array([1, 0, 0, 0] * 10))
+    assert seen["sizes"] == [620, 300] * 10 and seen["words"] == 9200 and seen["labels"] == 200
+    p, _ = model.marginals([bad])
+    assert (p[np.array([w == "vile" for w in bad.split()])] > 0.5).all() and (p < 0.5).sum() == 600
+
+
 # licenses
 
 
