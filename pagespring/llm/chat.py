@@ -75,31 +75,17 @@ def render(turns: DataFrame) -> DataFrame:
     return g.select("conv_id", F.array_join(F.col("p.piece"), "").alias("rendering"), "examples")
 
 
-def examples(rendered: DataFrame) -> DataFrame:
-    """A row per assistant turn: its spans and the reply as formatted (``reply``)."""
-    r = rendered.withColumn("pieces", F.split("rendering", CLOSE, -1))
-    reply = F.transform(
-        "examples",
-        lambda e: F.struct(
-            *[e[k].alias(k) for k in ("turn", "context_chars", "loss_start", "loss_end", "n_chars")],
-            F.substring(
-                F.get("pieces", e["turn"].cast("int")),
-                (e["loss_start"] - e["context_chars"] + 1).cast("int"),
-                (e["loss_end"] - e["loss_start"]).cast("int"),
-            ).alias("reply"),
-        ),
-    )
-    kept = [c for c in rendered.columns if c not in ("rendering", "examples")]
-    return r.select(*kept, F.posexplode_outer(reply).alias("example", "e")).select(*kept, "example", "e.*")
-
-
-def example_texts(rendered: DataFrame) -> DataFrame:
+def example_texts(rendered: DataFrame, outer: bool = False) -> DataFrame:
     """The examples written out for training: conv_id, example, text, loss_start, loss_end.
 
-    The method's own cost: a conversation of n turns has prefixes of n * n / 4 turns in all.
+    Other columns of ``rendered`` are carried along; with ``outer`` a conversation without
+    examples gives a row of nulls.  The method's own cost: a conversation of n turns has
+    prefixes of n * n / 4 turns in all.
     """
-    return rendered.select("conv_id", "rendering", F.posexplode("examples").alias("example", "e")).select(
-        "conv_id",
+    kept = [c for c in rendered.columns if c not in ("rendering", "examples")]
+    each = F.posexplode_outer if outer else F.posexplode
+    return rendered.select(*kept, "rendering", each("examples").alias("example", "e")).select(
+        *kept,
         "example",
         F.substring("rendering", F.lit(1), F.col("e.n_chars").cast("int")).alias("text"),
         "e.loss_start",
@@ -129,10 +115,11 @@ def digest(turns: DataFrame) -> DataFrame:
         "rendering",
         "examples",
     )
-    e = examples(r).withColumn("loss", unescape(F.coalesce("reply", F.lit(""))))
+    reply = F.substring("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    e = example_texts(r, outer=True).withColumn("loss", unescape(F.coalesce(reply, F.lit(""))))
     g = e.groupBy("conv_id", "n_turns", "turns_sha256").agg(
         F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("parts"),
-        F.sum(F.coalesce("n_chars", F.lit(0))).cast("long").alias("formatted_chars"),
+        F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("formatted_chars"),
     )
     g = g.withColumn("loss", F.array_join(F.col("parts.loss"), ""))
     return g.select(

@@ -435,6 +435,18 @@ def test_chat_round_trip(spark, data):
         assert ("assistant", reply) in want[r["conv_id"]]
 
 
+def test_digest_reads_the_written_examples(spark, monkeypatch):
+    turns = spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "assistant", "c<s>"), (1, 2, "assistant", "d"), (2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    written = chat.example_texts(chat.render(turns)).collect()
+    got = {r["conv_id"]: r for r in chat.digest(turns).collect()}
+    assert got[1]["formatted_chars"] == sum(len(r["text"]) for r in written) and got[2]["formatted_chars"] == 0
+    assert got[1]["loss_chars"] == len("c<s>d")
+    plain = chat.example_texts
+    monkeypatch.setattr(chat, "example_texts", lambda *a, **b: plain(*a, **b).withColumn("text", F.concat("text", F.lit("!"))))
+    longer = {r["conv_id"]: r for r in chat.digest(turns).collect()}
+    assert longer[1]["formatted_chars"] == got[1]["formatted_chars"] + len(written)
+
+
 def test_filter_loses_nothing(spark):
     from pagespring.llm.common import likely
 
