@@ -2,10 +2,12 @@
 
 Each document enters, online, the fill level whose choice leaves the smallest sum of
 squared counts of partially filled windows; the counts live in an array indexed by
-level.  Documents above the window length first give off full windows.  At the end of
-a task, and after every ``EPOCH`` documents, the windows still open are dissolved:
-their tokens are laid end to end and cut at the window length, and the last rest is
-cut into powers of two.  So the state of a task is bounded and next to nothing is
+level.  Documents above the window length first give off full windows.  A task holds at
+most ``OPEN_MOST`` open windows: where the rule would open one more, a document that fits
+an open one enters the best of those, and any other is cut at the end of the window that
+the same rule picks, its rest being an item of its own.  Only at the end of a task are the
+windows still open (OPEN_MOST at most) laid end to end and cut at the window length, and
+the last rest into powers of two.  So the state of a task is bounded and nothing is
 padding.  Tasks pack on their own: there is no shuffle, and sequence ids carry the
 task's partition, so a task run again after a lost executor gives the same rows.
 
@@ -16,38 +18,52 @@ columns are ignored.
 
 from __future__ import annotations
 
-import gc
+import json
 import re
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import table
+from .shingles import _powers, flat, mix64
 
 WINDOW = 4096
 END_ID = 2
-EPOCH = 50_000
-WORDS_KEPT = 1_000_000
-CHUNKS_KEPT = 400_000
+OPEN_MOST = 64
+WORDS_KEPT = 1_500_000
+LONG = 64
+PART = 1 << 19  # bytes of text encoded together
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+# What the word tokenizer's file says of normalisation and words.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-def _latin(kind: str) -> str:
-    return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = LETTER  # U+00C0 to U+023F
+_CLASS[range(48, 58)] = DIGIT
+_CLASS[[0xC0, 0xC1, 0xC2, *range(0xC9, 0x100)]] = ODD
+_NOT_LETTERS = (0x97, 0xB7, 0x1B0)  # two signs among the letters, and one whose lower case is two characters
+_BYTE = np.random.default_rng(20250211).integers(0, 2**64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]  # the file lower-cases
+_LENGTH = np.uint64(0x9FB21C651E98DF25)
 
 
 class WordTokenizer:
     """The ids of a tokenizer file, each distinct word encoded once.
 
-    The file's normalisation and word pattern never cross a space, so a text's ids are
-    its chunks' ids laid end to end.  A chunk of Latin letters (below U+0250) is split
-    into words here; any other, or one with a special token's string, goes to the
-    tokenizer whole.
+    The file's words never cross ASCII white space, and neither does its normalisation, so
+    a text's ids are its words' ids laid end to end.  Words of ASCII and of Latin letters
+    up to U+023F are found here, for all bytes of some texts at once; a stretch between
+    white space with any other character is one word to us, and a text that holds a special
+    token's string is one as a whole.  The tokenizer itself encodes every distinct word.
+    A file with another normalisation or other words encodes whole texts.
     """
 
     _loaded: dict[str, WordTokenizer] = {}
@@ -62,105 +78,215 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
-        letters, numbers = _latin("L"), _latin("N")
-        self.word = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
-        # every special token of the file starts with "<|"
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.words) > WORDS_KEPT:
-            self.words = {}
-        odd = {c for c in chunks if not c.isascii() and max(c) > "\u024f" or "<|" in c and self.special.search(c)}
-        words, find = self.words, self.word.findall
-        chunks = list(chunks - odd)
-        split = [find(c) for c in map(str.lower, chunks)]
-        new = list(set().union(*split).difference(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            words[w] = array("I", e.ids).tobytes()
-        get, kept = words.__getitem__, self.chunks
-        for c, ws in zip(chunks, split, strict=True):
-            kept[c] = words[ws[0]] if len(ws) == 1 else b"".join(map(get, ws))
-        for c in odd:
-            self.chunks[c] = array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit values."""
-        gc.disable()  # its full passes over the caches cost more than the work
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            plain = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
-            if len(self.chunks) > CHUNKS_KEPT:
-                self.chunks = {"": b""}
-            missing = set().union(*plain).difference(self.chunks)
-            if missing:
-                self._learn(missing)
-            get = self.chunks.__getitem__
-            out += [b"".join(map(get, p)) for p in plain]
-        gc.enable()
-        return out
+        rules = json.loads(self.tokenizer.to_str())
+        splits = [r for r in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_word = (
+            (rules.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+            and len(splits) == 2
+            and splits[0].get("pattern") == {"Regex": WORDS}
+            and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True)
+            and (splits[1]["type"], splits[1]["add_prefix_space"], splits[1]["use_regex"]) == ("ByteLevel", False, False)
+        )
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(re.escape(x.encode()) for x in special)) if special else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # of known words, by hash
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def _learn(self, words: list[str]) -> int:
+        """Keeps the ids of words; the slot of the first, the others follow."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        total, first = int(sizes.sum()), self.known
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        while first + len(found) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.lengths[first : first + len(found)] = sizes
+        self.starts[first : first + len(found)] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.known = self.used + total, first + len(found)
+        return first
+
+    def _words(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of every word, and whether it is to be encoded without being kept."""
+        kind = _CLASS[raw]
+        odd = kind == ODD
+        lead = np.flatnonzero((raw[:-1] == 0xC3) | (raw[:-1] == 0xC4))
+        pair = raw[lead + 1] + np.where(raw[lead] == 0xC4, 0x100, 0)
+        odd[lead[np.isin(pair, _NOT_LETTERS)]] = True
+        inside = kind != SPACE
+        edge = np.zeros(len(raw) + 1, bool)  # a text begins here
+        edge[ends] = True
+        begins = inside & edge[:-1]
+        begins[1:] |= inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+        # an apostrophe alone before letters may begin a word that ends inside them
+        quote = np.flatnonzero((raw[:-1] == 0x27) & begins[:-1] & (kind[1:] == LETTER) & ~edge[1:-1])
+        begins[quote + 1] = False
+        at = np.flatnonzero(odd)
+        if len(at):
+            outer = np.ones(len(raw) + 1, bool)  # white space or a text's beginning
+            outer[:-1] = ~inside | edge[:-1]
+            outer = np.flatnonzero(outer)
+            before = outer[np.searchsorted(outer, at, "right") - 1]
+            lo = np.where(inside[before], before, before + 1)
+            hi = outer[np.searchsorted(outer, at, "right")]
+            self._join(begins, lo, hi)
+        direct = np.zeros(len(raw), bool)
+        if self.special and self.special.search(memoryview(raw)):
+            texts = [k for k in range(len(ends) - 1) if self.special.search(memoryview(raw[ends[k] : ends[k + 1]]))]
+            lo, hi = ends[:-1][texts], ends[1:][texts]
+            self._join(begins, lo, hi)
+            for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+                inside[a:b] = True
+            direct[lo] = True
+        stops = inside & edge[1:]
+        stops[:-1] |= inside[:-1] & (~inside[1:] | begins[1:])
+        s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        return s, e, direct[s] | (e - s > LONG)
+
+    @staticmethod
+    def _join(begins: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Makes each stretch lo to hi one word."""
+        depth = np.zeros(len(begins) + 1, np.int32)
+        lo, at = np.unique(lo, return_index=True)
+        np.add.at(depth, lo, 1)
+        np.add.at(depth, hi[at], -1)
+        begins[np.cumsum(depth[:-1]) > 0] = False
+        begins[lo] = True
+
+    def encode_long(self, raw: np.ndarray) -> np.ndarray:
+        """The ids of one text, encoded in pieces of about PART bytes that end at white space."""
+        out, at = [], 0
+        while at < len(raw):
+            to = at + PART
+            while self.by_word and to < len(raw) and _CLASS[raw[to]] != SPACE:
+                to += 1
+            to = min(to, len(raw)) if self.by_word else len(raw)
+            out.append(self.encode(raw[at:to], np.array([0, to - at]))[0])
+            at = to
+        return np.concatenate(out)
+
+    def encode(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts given as UTF-8 bytes laid end to end, and the texts' limits in them."""
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+        if not self.by_word:
+            texts = [raw[a:b].tobytes().decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.uint32), np.cumsum([0, *map(len, found)])
+        import pyarrow as pa
+
+        if self.known > WORDS_KEPT:
+            self._forget()
+        s, e, direct = self._words(raw, ends)
+        up, down = _powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+        h = mix64((sums[e] - sums[s]) * down[s] ^ (e - s).astype(np.uint64) * _LENGTH)
+
+        def words(k: np.ndarray) -> list[str]:
+            data = raw.tobytes()
+            return [data[a:b].decode() for a, b in zip(s[k].tolist(), e[k].tolist(), strict=True)]
+
+        coded = pa.array(h).dictionary_encode()
+        index, values = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        by_hash = np.argsort(values)
+        at = np.searchsorted(self.hashes, values[by_hash])
+        near = np.minimum(at, max(len(self.hashes) - 1, 0))
+        slot = np.full(len(values), -1, np.int64)
+        if len(self.hashes):
+            slot[by_hash] = np.where(self.hashes[near] == values[by_hash], self.slots[near], -1)
+        once = np.zeros(len(values), np.int64)
+        once[index[::-1]] = np.arange(len(index))[::-1]  # a value's first word
+        fresh = (slot < 0) & ~direct[once]
+        new = np.flatnonzero(fresh)
+        if len(new):
+            slot[new] = self._learn(words(once[new])) + np.arange(len(new))
+            some = fresh[by_hash]
+            at, new = at[some], by_hash[some]
+            self.hashes, self.slots = np.insert(self.hashes, at, values[new]), np.insert(self.slots, at, slot[new].astype(np.int32))
+        slot = slot[index]
+        alone = np.flatnonzero(direct)
+        if len(alone):
+            slot[alone] = self._learn(words(alone)) + np.arange(len(alone))
+        n = self.lengths[slot].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.starts[slot] - upto[:-1], n)]
+        return ids, upto[np.searchsorted(s, ends)]
 
 
 class SumOfSquares:
-    """Online packing into windows of ``window`` tokens.
+    """Online packing into windows of ``window`` tokens, ``most`` of them open at most.
 
     ``add`` and ``flush`` return finished pieces: (document, start, ids, doc_tokens,
-    sequence, offset), with ids as bytes of four a token.
+    sequence, offset), with ids as an array.
     """
 
-    def __init__(self, window: int = WINDOW, first: int = 0) -> None:
-        self.window, self.next = window, first
+    def __init__(self, window: int = WINDOW, first: int = 0, most: int = OPEN_MOST) -> None:
+        self.window, self.next, self.most = window, first, most
         self.level = np.zeros(window + 1, np.int64)  # open windows by fill level
+        self.held = 0
         self.open: dict[int, list[list]] = {}  # the same windows: level -> lists of pieces
 
     def choose(self, size: int) -> int:
-        """The level to place ``size`` at, 0 for a new window; ties go to the fuller."""
-        n = self.level
+        """The level to place ``size`` at, 0 for a new window; ties go to the fuller.
+
+        With ``most`` windows open never 0, and above window - size where the item is cut.
+        """
+        n, none, full = self.level, np.iinfo(np.int64).max, self.held >= self.most
         here, there = n[1 : self.window - size + 1], n[1 + size : self.window + 1]
         cost = 2 * (there - here) + 2
         cost[-1:] -= 1  # a window that fills up leaves the array
-        cost[here == 0] = np.iinfo(np.int64).max
+        cost[here == 0] = none
         if len(cost):
             at = len(cost) - 1 - int(cost[::-1].argmin())
-            if cost[at] <= 2 * int(n[size]) + 1:
+            if cost[at] <= 2 * int(n[size]) + 1 or full and cost[at] < none:
                 return at + 1
-        return 0
-
-    def add(self, document, ids: bytes) -> Iterator[tuple]:
-        total, start = len(ids) // 4, 0
+        if not full:
+            return 0
+        here, rest = n[self.window - size + 1 : self.window], n[1:size]
+        cost = np.where(here > 0, 2 * (rest - here), none)
+        return self.window - 1 - int(cost[::-1].argmin())
+
+    def add(self, document, ids: np.ndarray) -> Iterator[tuple]:
+        total, start = len(ids), 0
         while total - start >= self.window:
-            yield document, start, ids[4 * start : 4 * (start + self.window)], total, self._sequence(), 0
+            yield document, start, ids[start : start + self.window], total, self._sequence(), 0
             start += self.window
-        size = total - start
-        if not size:
-            return
-        level = self.choose(size)
-        pieces = []
-        if level:
-            self.level[level] -= 1
-            pieces = self.open[level].pop()
-        pieces.append((document, start, ids[4 * start :], total))
-        level += size
-        if level == self.window:
-            yield from self._emit(pieces)
-        else:
-            self.level[level] += 1
-            self.open.setdefault(level, []).append(pieces)
+        while start < total:
+            size = total - start
+            level, pieces = self.choose(size), []
+            if level:
+                self.level[level] -= 1
+                self.held -= 1
+                pieces = self.open[level].pop()
+            take = min(size, self.window - level)
+            pieces.append((document, start, ids[start : start + take], total))
+            level, start = level + take, start + take
+            if level == self.window:
+                yield from self._emit(pieces)
+            else:
+                self.level[level] += 1
+                self.held += 1
+                self.open.setdefault(level, []).append(pieces)
 
     def flush(self) -> Iterator[tuple]:
         """Dissolves the open windows: full ones first, the rest in powers of two."""
         rest = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        self.open, self.level = {}, np.zeros(self.window + 1, np.int64)
-        left = sum(len(p[2]) // 4 for p in rest)
+        self.open, self.level, self.held = {}, np.zeros(self.window + 1, np.int64), 0
+        left = sum(len(p[2]) for p in rest)
         room, pieces = 0, []
         for document, start, ids, total in rest:
-            while ids:
+            while len(ids):
                 if not room:
                     room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                take = min(room, len(ids) // 4)
-                pieces.append((document, start, ids[: 4 * take], total))
-                ids, start, room, left = ids[4 * take :], start + take, room - take, left - take
+                take = min(room, len(ids))
+                pieces.append((document, start, ids[:take], total))
+                ids, start, room, left = ids[take:], start + take, room - take, left - take
                 if not room:
                     yield from self._emit(pieces)
                     pieces = []
@@ -173,7 +299,7 @@ class SumOfSquares:
         sequence, offset = self._sequence(), 0
         for document, start, ids, total in pieces:
             yield document, start, ids, total, sequence, offset
-            offset += len(ids) // 4
+            offset += len(ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -185,7 +311,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
         tokenizer = WordTokenizer.get(tokenizer_path)
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 36)
-        end, since = array("I", [end_id]).tobytes(), 0
         rows: list[tuple] = []
 
         def made():
@@ -193,29 +318,36 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             arrays = [
                 pa.array(cols[0], pa.int64()),
                 pa.array(cols[1], pa.int64()),
-                pa.array([len(x) // 4 for x in cols[2]], pa.int64()),
+                pa.array([len(x) for x in cols[2]], pa.int64()),
                 pa.array([zlib.crc32(x) for x in cols[2]], pa.int64()),
                 *(pa.array(c, pa.int64()) for c in cols[3:6]),
             ]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[2]], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *(len(x) for x in cols[2])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[2]).astype(np.int32))))
                 names.append("ids")
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ids = part.column(0).to_pylist()
-                for doc, x in zip(ids, tokenizer.encode(part.column(1).to_pylist()), strict=True):
-                    rows.extend(packer.add(doc, x + end))
-                    since += 1
-                    if since == EPOCH:
-                        rows.extend(packer.flush())
-                        since = 0
+            raw, ends = flat(batch.column(1))
+            ids = batch.column(0).to_pylist()
+            at = 0
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + PART, "right")) - 1)
+                some = raw[ends[at] : ends[to]]
+                if len(some) > PART:
+                    tokens = tokenizer.encode_long(some)
+                    limits = np.array([0, len(tokens)])
+                else:
+                    tokens, limits = tokenizer.encode(some, ends[at : to + 1] - ends[at])
+                for k, doc in enumerate(ids[at:to]):
+                    own = np.append(tokens[limits[k] : limits[k + 1]], np.uint32(end_id))
+                    rows.extend(packer.add(doc, own))
                 if rows:
                     yield made()
+                at = to
         rows.extend(packer.flush())
         if rows:
             yield made()
