@@ -1,20 +1,32 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products.
 
-Vectors that are equal (same label) count as one with a weight.  Spherical k-means,
-fitted on a bounded sample (SAMPLE vectors), assigns every vector to the cell of the
-centroid with the largest dot product.  A pair at cosine >= t is at most
-``r = sqrt(2 - 2t)`` apart on the unit sphere, so a vector can only have partners in
-another cell j if its distance to the bisecting plane, ``x.(c_i - c_j) / |c_i - c_j|``,
-is at most r; to such cells it goes as a visitor (only to j above its own, so that a
-pair meets once).  No pair is lost for any centroids.  Cells are laid in blocks of at
-most about BLOCK rows, and each pair of blocks is one double-precision matrix product;
-it gives each vector's number of links and a spanning set of links, never all pairs.
+Vectors that are equal (same label) are one class with a weight, told apart by their
+content alone.  Spherical k-means, fitted for each vector length on a bounded sample
+(SAMPLE vectors, or 8 a cell), assigns every class to the cell of the centroid with the
+largest dot product; the number of cells follows the largest label (one for CELL classes,
+two at least), and above FLAT cells they are two levels deep, so that a vector meets the
+square root of their number.  A pair at cosine >= t is at most ``r = sqrt(2 - 2t)`` apart
+on the unit sphere, so a vector can only have partners in another cell j if its distance
+to the bisecting plane, ``x.(c_i - c_j) / |c_i - c_j|``, is at most r; to such cells it
+goes as a guest (only to j above its own, so that a pair meets once).  No pair is lost for
+any centroids.
+
+A cell's own rows are blocks of about BLOCK rows.  A task holds one block, compares it
+with itself and with the guests that stream past it: those of other cells, and the rows of
+half of the cell's other blocks.  So a row is copied once for each cell it visits and every
+second block of its own, never for each pair; a block with more than STREAM guests has
+several tasks.  The products are in double precision; they give each vector's number of
+links and a spanning set of links, never all pairs.
+
+The centroids' broadcast holds CENTROID_BYTES at most: with more cells than that they grow,
+and where there are too many vector lengths those of the fewest rows have one cell.  Both
+cost time, not links.
 
 Defined results: null, empty or zero vectors, vectors with null or non-finite
 components and rows with a null label link with nothing; vectors of different lengths
 never link; a null vec_id links with nothing and is kept; rows that share a vec_id
-and vector count as other vectors to each other; an empty table gives no rows; further
-columns are ignored.
+and vector count as other vectors to each other, and rows that share a vec_id only are
+vectors of their own; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +40,13 @@ from .graph import components
 
 THRESHOLD = 0.98
 SAMPLE = 20_000
-CELL = 1024
-CELLS_MOST = 1024
-BLOCK = 512
+CELL = 2048
+FLAT = 64
+BLOCK = 4096
+BLOCK_NUMBERS = 1 << 19  # of a block's vectors, where they are long
+GUESTS = 1024
+STREAM = 1 << 17
+CENTROID_BYTES = 64 << 20
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -59,99 +75,200 @@ def with_validity(rows: DataFrame) -> DataFrame:
     return r.withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
-def fitted(distinct: DataFrame, dims: int) -> np.ndarray:
-    """Centroids for vectors of ``dims`` components; their number follows the rows."""
-    some = distinct.where(F.size("e") == dims)
-    largest = some.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    k = int(min(CELLS_MOST, -(-largest // CELL)))
-    if k < 2:
-        return np.zeros((0, dims))
-    # the same rows at any partitioning: those of the least hashes
-    sample = some.orderBy(F.xxhash64("id")).limit(SAMPLE).select("e").toPandas()["e"]
-    x = np.array([np.asarray(v) for v in sample])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    return spherical_kmeans(x, min(k, len(x)))
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, without overflow."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def two_level(x: np.ndarray, k: int) -> list[np.ndarray]:
+    """About k centroids for unit rows, as an array for each top cell; one top cell if k is small."""
+    k = max(1, min(k, len(x)))
+    if k <= FLAT:
+        return [spherical_kmeans(x, k)]
+    top = spherical_kmeans(x, int(np.ceil(np.sqrt(k))))
+    home = (x @ top.T).argmax(1)
+    out = []
+    for j in range(len(top)):
+        own = x[home == j]
+        n = max(1, min(len(own), round(k * len(own) / len(x))))
+        out.append(spherical_kmeans(own, n) if len(own) else top[j : j + 1])
+    return [top, *out]
+
+
+def fitted(distinct: DataFrame) -> dict[int, list[np.ndarray]]:
+    """The centroids for each vector length, as many lengths as the broadcast may hold."""
+    sizes = distinct.groupBy(F.size("e").alias("dims"), "label").count().groupBy("dims").agg(F.max("count").alias("largest"), F.sum("count").alias("rows"))
+    cells = F.greatest(F.lit(2), F.least(F.ceil(F.col("largest") / CELL), F.floor(F.lit(CENTROID_BYTES) / (F.col("dims") * 8))))
+    sizes = sizes.withColumn("cells", cells).withColumn("sample", F.greatest(F.lit(SAMPLE), F.col("cells") * 8))
+    spread = 1 << 30
+    chosen = distinct.select("e", F.size("e").alias("dims"), F.pmod(F.xxhash64("e"), F.lit(spread)).alias("at"))
+    chosen = chosen.join(sizes, "dims").where(F.col("at") < F.ceil(F.col("sample") / F.col("rows") * spread))
+
+    def fit(key, rows):
+        import pandas as pd
+
+        x = units(np.array(rows.sort_values("at", kind="stable")["e"].tolist(), np.float64))
+        levels = two_level(x, int(rows["cells"].iloc[0]))
+        flat = [(key[0], level, k, c.tolist()) for level, cs in enumerate(levels) for k, c in enumerate(cs)]
+        return pd.DataFrame(flat, columns=["dims", "level", "k", "c"])
+
+    # a sample of a bounded size for each length
+    made = saved(chosen.groupBy("dims").applyInPandas(fit, "dims int, level int, k int, c array<double>"))
+    most = made.groupBy("dims").agg((F.count("*") * F.first("dims") * 8).alias("bytes")).join(sizes.select("dims", "rows"), "dims")
+    held, left = [], CENTROID_BYTES
+    for r in most.orderBy(F.desc("rows"), "dims").limit(CENTROID_BYTES // 16).toLocalIterator():
+        if r["bytes"] > left:
+            break
+        held, left = [*held, r["dims"]], left - r["bytes"]
+    out: dict[int, dict[int, list]] = {}
+    for r in made.where(F.col("dims").isin(held)).orderBy("dims", "level", "k").toLocalIterator():
+        out.setdefault(r["dims"], {}).setdefault(r["level"], []).append(r["c"])
+    return {d: [np.array(levels[k]) for k in sorted(levels)] for d, levels in out.items()}
+
+
+def reached(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row, and whether a row within ``reach`` of it can have each
+    centroid as its nearest."""
+    dots = x @ c.T
+    home = dots.argmax(1)
+    apart = np.sqrt(np.maximum(2 - 2 * np.clip(c @ c.T, -1, 1), 0)) + 1e-9
+    return home, dots[np.arange(len(x)), home][:, None] - dots <= reach * apart[home]
+
+
+def cells_of(x: np.ndarray, levels: list[np.ndarray], reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cell of each unit row, and (row, cell) of all cells where it can have partners."""
+    if len(levels) == 1:
+        home, near = reached(x, levels[0], reach)
+        return home, *np.nonzero(near)
+    top, under = levels[0], levels[1:]
+    first = np.cumsum([0, *(len(u) for u in under)])
+    above, near = reached(x, top, reach)
+    home, rows, cells = np.zeros(len(x), np.int64), [], []
+    for j, c in enumerate(under):
+        at = np.flatnonzero(near[:, j])
+        if len(at):
+            inner, hit = reached(x[at], c, reach)
+            mine = above[at] == j
+            home[at[mine]] = first[j] + inner[mine]
+            r, k = np.nonzero(hit)
+            rows.append(at[r])
+            cells.append(first[j] + k)
+    return home, np.concatenate(rows), np.concatenate(cells)
 
 
 def placed(distinct: DataFrame, threshold: float) -> DataFrame:
-    """The distinct vectors with cell (their own or one they visit) and visitor."""
-    centroids = {}
-    for (dims,) in distinct.select(F.size("e")).distinct().limit(64).collect():
-        centroids[dims] = fitted(distinct, dims)
-    held = distinct.sparkSession.sparkContext.broadcast(centroids)  # at most CELLS_MOST rows a length
+    """The classes with cell (their own or one they visit) and guest."""
+    held = distinct.sparkSession.sparkContext.broadcast(fitted(distinct))  # at most CENTROID_BYTES
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lengths = np.diff(batch.column(3).offsets.to_numpy())
-            flat = batch.column(3).flatten().to_numpy()
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            row, cell, visit = [], [], []
-            for dims in np.unique(lengths):
-                at = np.flatnonzero(lengths == dims)
-                c = held.value.get(int(dims), np.zeros((0, dims)))
-                home = np.zeros(len(at), np.int64)
-                if len(c):
-                    x = flat[starts[at][:, None] + np.arange(dims)]
-                    x = x / np.linalg.norm(x / np.abs(x).max(1)[:, None], axis=1)[:, None] / np.abs(x).max(1)[:, None]
-                    dots = x @ c.T
-                    home = dots.argmax(1)
-                    apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
-                    near = dots[np.arange(len(at)), home][:, None] - dots <= reach * apart[home]
-                    near &= np.arange(len(c))[None, :] > home[:, None]
-                    r, j = np.nonzero(near)
-                    row.append(at[r])
-                    cell.append(j)
-                    visit.append(np.ones(len(r), bool))
-                row.append(at)
-                cell.append(home)
-                visit.append(np.zeros(len(at), bool))
-            row = pa.array(np.concatenate(row))
-            out = [batch.column(k).take(row) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(cell)), pa.array(np.concatenate(visit))], ["label", "id", "weight", "e", "cell", "visitor"])
+            for start in range(0, batch.num_rows, GUESTS):
+                part = batch.slice(start, GUESTS)
+                e = part.column(3)
+                lengths = np.diff(e.offsets.to_numpy())
+                flat = e.flatten().to_numpy()
+                starts = np.cumsum(lengths) - lengths
+                row, cell, guest = [], [], []
+                for dims in np.unique(lengths):
+                    at = np.flatnonzero(lengths == dims)
+                    home = np.zeros(len(at), np.int64)
+                    if levels := held.value.get(int(dims)):
+                        x = units(flat[starts[at][:, None] + np.arange(dims)])
+                        home, r, j = cells_of(x, levels, reach)
+                        above = j > home[r]
+                        row.append(at[r[above]])
+                        cell.append(j[above])
+                        guest.append(np.ones(int(above.sum()), bool))
+                    row.append(at)
+                    cell.append(home)
+                    guest.append(np.zeros(len(at), bool))
+                row = pa.array(np.concatenate(row))
+                out = [part.column(k).take(row) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(cell)), pa.array(np.concatenate(guest))], ["label", "id", "weight", "e", "cell", "guest"])
 
     label = dict(distinct.dtypes)["label"]
-    return distinct.select("label", "id", "weight", "e").mapInArrow(run, f"label {label}, id long, weight long, e array<double>, cell long, visitor boolean")
-
-
-def block_links(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, links, root) of every pair of blocks; root is an id linked to, or id itself."""
-
-    def compare(ids, weights, es, visits, blocks):
-        n = len(ids)
-        x = np.array(es, np.float64)
-        x /= np.abs(x).max(1)[:, None]
-        norm = np.sqrt((x * x).sum(1))
-        ids, weights, visits, blocks = np.array(ids), np.array(weights), np.array(visits), np.array(blocks)
-        lo, hi = blocks.min(), blocks.max()
-        a, b = np.flatnonzero(blocks == lo), np.flatnonzero(blocks == hi)
-        cos = (x[a] @ x[b].T) / (norm[a][:, None] * norm[b][None, :])
-        hit = (cos >= threshold) & ~(visits[a][:, None] & visits[b][None, :])
-        links = np.zeros(n, np.int64)
-        if lo == hi:
-            np.fill_diagonal(hit, False)
-            links[a] = hit @ weights[b]
-        else:
-            links[a] = hit @ weights[b]
-            links[b] = weights[a] @ hit
-        root = np.arange(n)
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in np.flatnonzero(hit.any(1)):
-            for j in np.flatnonzero(hit[i]):
-                p, q = find(a[i]), find(b[j])
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-        return [(int(ids[i]), int(links[i]), int(ids[find(i)])) for i in np.flatnonzero(links)]
+    return distinct.select("label", "id", "weight", "e").mapInArrow(run, f"label {label}, id long, weight long, e array<double>, cell long, guest boolean")
+
+
+class Block:
+    """A block's rows (ids, weights, vectors), their links so far and who hangs together."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray, threshold: float, inner: bool) -> None:
+        self.ids, self.weights, self.threshold = ids, weights, threshold
+        self.x, self.norm = self._scaled(x)
+        self.links, self.root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for at in range(0, len(ids) if inner else 0, GUESTS):
+            part = slice(at, at + GUESTS)
+            hit = self._near(self.x[part], self.norm[part])
+            hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
+            self.links[part] += hit @ weights
+            for k in np.flatnonzero(hit.any(1)):
+                self._join(np.append(np.flatnonzero(hit[k]), at + k))
+
+    @staticmethod
+    def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = x / np.abs(x).max(1)[:, None]
+        return x, np.sqrt((x * x).sum(1))
+
+    def _near(self, x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        return (x @ self.x.T) / (norm[:, None] * self.norm[None, :]) >= self.threshold
+
+    def _join(self, rows: np.ndarray) -> int:
+        """Puts rows under one root; pointers are flat between calls."""
+        tops = self.root[rows]
+        if (tops != tops[0]).any():
+            tops = np.unique(tops)
+            self.root[np.isin(self.root, tops[1:])] = tops[0]
+        return int(tops[0])
+
+    def meet(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray) -> list[tuple[int, int, int]]:
+        """(id, links, an id linked to) of guests that have links here; the block keeps its own."""
+        hit = self._near(*self._scaled(x))
+        self.links += weights @ hit
+        out = []
+        for k in np.flatnonzero(hit.any(1)):
+            top = self._join(np.flatnonzero(hit[k]))
+            out.append((int(ids[k]), int(hit[k] @ self.weights), int(self.ids[top])))
+        return out
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        """(id, links, root's id) of the block's rows that have links."""
+        some = np.flatnonzero(self.links)
+        return list(zip(self.ids[some].tolist(), self.links[some].tolist(), self.ids[self.root[some]].tolist(), strict=True))
+
+
+def block_tasks(rows: DataFrame) -> DataFrame:
+    """(task, kind, id, weight, e) for placed rows.  kind: 0 the block's own rows, to be compared
+    with each other, 1 the same in a further task of the block, 2 its guests."""
+    keys = ["label", "dims", "cell"]
+    rows = rows.withColumn("dims", F.size("e"))
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dims"))))
+    own = F.sum(F.when(~F.col("guest"), 1).otherwise(0))
+    sizes = rows.groupBy(*keys).agg(own.alias("own"), F.count("*").alias("all")).where("own > 0")
+    sizes = saved(sizes.select(*keys, F.ceil(F.col("own") / most).alias("blocks"), F.ceil(F.col("all") / F.lit(STREAM)).alias("parts")))
+    rows = rows.join(sizes, keys)  # a cell without rows of its own has no task
+    mine, part, every = F.pmod(F.xxhash64("id"), "blocks"), F.pmod(F.xxhash64("id", F.lit(1)), "parts"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    rows = rows.withColumn("mine", mine).withColumn("part", part)
+
+    def at(block, p, kind):
+        return F.struct(block.alias("block"), p.alias("part"), kind.alias("kind"))
+
+    def hosts(t):  # of two blocks the one below where their sum is even, else the one above
+        even = (t + F.col("mine")) % 2 == 0
+        return ((t < F.col("mine")) & even) | ((t > F.col("mine")) & ~even)
+
+    home = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: at(F.col("mine"), p, F.when(p == 0, 0).otherwise(1)))
+    away = F.transform(F.filter(every, lambda t: F.col("guest") | hosts(t)), lambda t: at(t, F.col("part"), F.lit(2)))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("guest"), away).otherwise(F.concat(home, away))))
+    return rows.select(F.concat_ws("/", *keys, "to.block", "to.part").alias("task"), "to.kind", "id", "weight", "e")
+
+
+def block_links(tasks: DataFrame, threshold: float) -> DataFrame:
+    """(id, links, root) from each task; root is an id linked to, or id itself."""
 
     def run(batches):
         import pyarrow as pa
@@ -159,49 +276,55 @@ def block_links(rows: DataFrame, threshold: float) -> DataFrame:
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["id", "links", "root"])
 
-        current, held = None, ([], [], [], [], [])
+        current, block, own, inner = None, None, [], False
+
+        def opened():
+            return block or (Block(*map(np.concatenate, zip(*own, strict=True)), threshold, inner) if own else None)
+
         for batch in batches:
-            found = []
-            es = batch.column(3)
-            flat, off = es.flatten().to_numpy(), es.offsets.to_numpy() - es.offsets[0].as_py()
-            tasks, ids, weights, visits, blocks = (batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5))
-            for r, task in enumerate(tasks):
-                if task != current:
-                    if current is not None:
-                        found += compare(*held)
-                    current, held = task, ([], [], [], [], [])
-                for k, v in zip(held, (ids[r], weights[r], flat[off[r] : off[r + 1]], visits[r], blocks[r]), strict=True):
-                    k.append(v)
-            if found:
-                yield batch_of(found)
-        if current is not None and (found := compare(*held)):
+            for start in range(0, batch.num_rows, GUESTS):
+                rows, found = batch.slice(start, GUESTS), []
+                names, kinds = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+                ids, weights = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+                e = rows.column(4)
+                flat, off = e.flatten().to_numpy(), e.offsets.to_numpy() - e.offsets[0].as_py()
+                cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1] or kinds[k] != kinds[k - 1]), len(names)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    piece = (ids[a:b], weights[a:b], flat[off[a] : off[b]].reshape(b - a, -1))
+                    if names[a] != current:
+                        found += block.rows() if (block := opened()) else []
+                        current, block, own, inner = names[a], None, [], kinds[a] == 0
+                    if kinds[a] < 2:
+                        own.append(piece)
+                    elif block := opened():  # none where the hash left the block empty
+                        found += block.meet(*piece)
+                if found:
+                    yield batch_of(found)
+        if (block := opened()) and (found := block.rows()):
             yield batch_of(found)
 
-    keys = ["label", "dims", "cell"]
-    rows = rows.withColumn("dims", F.size("e"))
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    rows = rows.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    # a row goes to each pair of blocks that has its own
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    task = F.concat_ws("/", *keys, F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(task.alias("task"), "id", "weight", "e", "visitor", "block")
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "id long, links long, root long")
+    rows = tasks.repartition("task").sortWithinPartitions("task", "kind")
+    return rows.select("task", "kind", "id", "weight", "e").mapInArrow(run, "id long, links long, root long")
 
 
 def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     rows = with_validity(vectors)
     good = rows.where("ok")
-    distinct = saved(good.groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
-    found = saved(block_links(placed(distinct, threshold), threshold))
+    # a class's id is its row's number, fixed by being written: vec_ids may be shared
+    distinct = good.groupBy("label", "e").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+    distinct = saved(distinct.withColumn("id", F.monotonically_increasing_id()))
+    found = saved(block_links(block_tasks(saved(placed(distinct, threshold))), threshold))
     comps = components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    per = distinct.join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    per = per.select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
-    members = good.join(per, ["label", "e"]).select("vec_id", "n", "component")
-    bad = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
+    per = distinct.join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    per = saved(per.select("label", "e", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), "component"))
+    least = saved(per.groupBy("component").agg(F.min("least_id").alias("of")))
+    per = saved(per.join(least, "component").select("label", "e", "n", "of"))
+    members = good.join(per, ["label", "e"]).select("vec_id", "n", "of")
+    bad = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("of"))
     out = members.union(bad)
-    return out.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("of").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("of"), F.lit(True)).alias("kept"))
 
 
 def op4_embeddings(spark, sf_dir: str) -> DataFrame:
