@@ -1,29 +1,40 @@
 """Exact BM25 top-k search: block-max WAND pruning per shard, merged exactly.
 
 Words are runs of ASCII letters and digits and of any bytes above 0x7f, with A-Z
-lower-cased.  A query is a text, its terms are its distinct words.  Queries go in
-blocks of about BLOCK_TERMS terms, whose global statistics (documents, mean length,
-document frequency of each term, counted over all rows) are broadcast with them: their
-size is set by the block, not by the corpus.  Every task is a shard: it builds the
-inverted index of its rows for the block's terms; for frequent terms the largest impact
-in each range of RANGE documents (laid out by length) is kept.
-
-For a query, the postings of its rare terms and the largest impacts of its frequent ones
-in a document's range bound the document's score.  Pivoting on these bounds, documents
-are scored from the highest down in growing steps; all whose bound does not reach the
-k-th best score so far are skipped, frequent terms' impacts unread.
-The shards' top k are merged by score and doc_id.  Nothing is approximated: scores are
-rounded to nine places before they are compared, ties go to the smaller doc_id, and a
-document is only skipped if its bound is clearly lower.  Terms are told apart by 54 bits.
+lower-cased.  A query is a text, its terms are its distinct words.
+
+The inverted index is built once, in one pass over the texts, and written: a row for each
+shard (SHARD_ROWS documents or SHARD_BYTES of text at most) with its terms' postings in
+order of documents, which are laid out by length.  Global statistics (documents, mean
+length, document frequency of each term) are sums over the shards.  Queries go in blocks of
+about BLOCK_TERMS terms, broadcast with their statistics: their size is set by the block,
+not by the corpus, and each block is answered from the index.
+
+A list's blocks are its postings in ranges of RANGE documents, each with its first posting
+and its largest impact; in a list with less than FREQUENT of the documents a block is one
+posting.  A query's cursors first move shallowly: the largest impacts of the blocks that
+cover a document bound its score.  A few documents of the largest bounds set the threshold.
+Then the pivots, the documents whose bounds reach the k-th best score so far, are taken in
+document order; only the blocks that hold a pivot are entered (the deep move), all others
+are skipped, and the threshold rises on the way.  The shards' top k are merged by score and
+doc_id, in groups of shards first.  The square root of the shards' number of them answer
+before the others, and the k-th best score that they have between them is where the others'
+thresholds start: these skip more, and give about k times that root of hits a query in all
+instead of k each.  Nothing is approximated: scores are rounded to nine
+places before they are compared, ties go to the smaller doc_id, and a document is only
+skipped if its bound is clearly lower.  Terms are told apart by 54 bits.
 
 Defined results: a null or empty query gives no rows; null and empty texts match no
 query but count as documents of length 0; documents that share no term are not
 returned; repeated rows are ranked as documents of their own, but query rows that share
-a query_id are one query of all their terms; a null doc_id is no query and sorts last; an empty table gives no rows; further columns are ignored.
+a query_id are one query of all their terms; a null doc_id is no query and sorts last; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +43,12 @@ from .common import saved, table
 from .shingles import flat, word_hashes
 
 K, K1, B = 10, 1.2, 0.75
-RANGE = 4
-SLICE = 1024
+RANGE = 2
+SLICE = 512
 BLOCK_TERMS = 1_000_000
-SHARD_ROWS = 20_000
-FREQUENT = 0.02
-DENSE_MOST = 512
+SHARD_ROWS = 10_000
+SHARD_BYTES = 32 << 20
+FREQUENT = 0.08
 _LAST = np.iinfo(np.int64).max
 _PARTS = np.ones(256, bool)
 _PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -59,6 +70,55 @@ def term_counts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return (key >> np.uint64(54)).astype(np.int64), key & np.uint64((1 << 54) - 1), np.diff(np.append(first, len(words))), n
 
 
+#: A shard of the index: its documents' ids and lengths by length, and its terms with their
+#: document frequencies and postings (document, count), as little-endian arrays.
+INDEX = "shard long, docs int, words long, ids binary, lengths binary, terms binary, df binary, doc binary, count binary"
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """The inverted index of (doc_id, text): a row a shard, see INDEX."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number = (TaskContext.get().partitionId() << 32) - 1
+
+        def shard(rows):
+            nonlocal number
+            number += 1
+            ids, length = (np.concatenate([r[k] for r in rows]) for k in (0, 4))
+            base = np.cumsum([0, *(len(r[0]) for r in rows)])
+            doc = np.concatenate([r[1] + b for r, b in zip(rows, base, strict=False)])
+            term, count = (np.concatenate([r[k] for r in rows]) for k in (2, 3))
+            by_length = np.argsort(length, kind="stable")
+            turn = np.empty(len(ids), np.int64)
+            turn[by_length] = np.arange(len(ids))
+            doc = turn[doc]
+            order = np.lexsort((doc, term))
+            term = term[order]
+            first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+            df = np.diff(np.append(first, len(term)))
+            columns = (ids[by_length], length[by_length].astype(np.int64), term[first], df.astype(np.int32), doc[order].astype(np.uint16), count[order].astype(np.int32))
+            arrays = [pa.array([number], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([int(length.sum())], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)]
+            return pa.RecordBatch.from_arrays(arrays, ["shard", "docs", "words", "ids", "lengths", "terms", "df", "doc", "count"])
+
+        rows, n, size = [], 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                doc, terms, count, length = term_counts(part.column(1))
+                rows.append((part.column(0).fill_null(int(_LAST)).to_numpy(), doc.astype(np.int32), terms, count.astype(np.int32), length))
+                n, size = n + len(length), size + part.column(1).nbytes
+                if n + SLICE > SHARD_ROWS or size >= SHARD_BYTES:
+                    yield shard(rows)
+                    rows, n, size = [], 0, 0
+        if rows:
+            yield shard(rows)
+
+    return docs.select("doc_id", "text").mapInArrow(run, INDEX)
+
+
 class Queries:
     """A block of queries: ids, and their terms as places in the sorted vocabulary."""
 
@@ -68,6 +128,7 @@ class Queries:
         every = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
         self.vocabulary, self.terms = np.unique(every, return_inverse=True)
         self.idf, self.mean = np.zeros(len(self.vocabulary)), 1.0
+        self.floors = np.zeros(len(ids))  # scores that k documents are known to reach
 
     def places(self, terms: np.ndarray) -> np.ndarray:
         """Place of each term in the vocabulary, -1 where it has none."""
@@ -78,121 +139,148 @@ class Queries:
 
 
 class Shard:
-    """Inverted index of some documents for the terms of a block of queries.
-
-    Impacts of frequent terms (in FREQUENT of the documents or more, DENSE_MOST terms at
-    most) are laid out by document, with the largest of each range of RANGE documents;
-    the others are postings.
-    """
-
-    def __init__(self, ids: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray, length: np.ndarray, q: Queries, k1: float, b: float) -> None:
-        # by length, so that a range's documents are alike and its bounds tight
-        by_length = np.argsort(length, kind="stable")
-        self.ids, length = ids[by_length], length[by_length]
-        turn = np.empty(len(ids), np.int64)
-        turn[by_length] = np.arange(len(ids))
-        doc = turn[doc]
-        order = np.lexsort((doc, place))
-        place, self.doc, count = place[order], doc[order], count[order]
-        norm = k1 * (1 - b + b * length[self.doc] / q.mean)
-        self.impact = q.idf[place] * count * (k1 + 1) / (count + norm)
-        self.of = np.searchsorted(place, np.arange(len(q.vocabulary) + 1))
-        df = np.diff(self.of)
-        dense = np.flatnonzero(df >= max(1, FREQUENT * len(ids)))
-        dense = dense[np.argsort(-df[dense], kind="stable")[:DENSE_MOST]]
-        self.row = np.full(len(q.vocabulary), -1)
-        self.row[dense] = np.arange(len(dense))
-        at = self.row[place]
-        self.dense = np.zeros((len(dense), len(ids)))
-        self.dense[at[at >= 0], self.doc[at >= 0]] = self.impact[at >= 0]
-        cuts = np.arange(0, len(ids), RANGE)
-        self.largest = np.maximum.reduceat(self.dense, cuts, axis=1) if len(dense) and len(ids) else np.zeros((len(dense), len(cuts)))
-        self.part = np.arange(len(ids)) // RANGE
-
-    def top(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, score) of the best k, best first."""
+    """A shard's lists for the terms of a block of queries, in blocks with their largest impacts."""
+
+    def __init__(self, ids, lengths, terms, df, doc, count, q: Queries, k1: float, b: float) -> None:
+        self.ids, n = ids, len(ids)
+        place = q.places(terms)
+        own = place >= 0
+        starts = (np.cumsum(df) - df)[own]
+        df, place = df[own], place[own]
+        order = np.argsort(place)
+        starts, df, place = starts[order], df[order], place[order]
+        sizes = np.zeros(len(q.vocabulary), np.int64)
+        sizes[place] = df
+        self.of = np.concatenate([[0], np.cumsum(sizes)])
+        post = np.arange(self.of[-1]) - np.repeat(np.cumsum(df) - df, df) + np.repeat(starts, df)
+        self.doc, count = doc[post].astype(np.int64), count[post]
+        norm = k1 * (1 - b + b * lengths[self.doc] / q.mean)
+        self.impact = np.repeat(q.idf[place], df) * count * (k1 + 1) / (count + norm)
+        # frequent lists have a row of blocks: a block for each range of documents
+        frequent = np.flatnonzero(sizes >= max(2, FREQUENT * n))
+        self.ranges = -(-n // RANGE)
+        self.row = np.full(len(sizes), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.largest = np.zeros((len(frequent), self.ranges), np.float32)
+        self.first = np.zeros((len(frequent), self.ranges + 1), np.int32)
+        edges = np.arange(self.ranges + 1) * RANGE
+        for r, t in enumerate(frequent):
+            lo, hi = self.of[t], self.of[t + 1]
+            at = self.first[r] = lo + np.searchsorted(self.doc[lo:hi], edges)
+            held = np.flatnonzero(at[:-1] < at[1:])
+            self.largest[r, held] = np.nextafter(np.maximum.reduceat(self.impact[lo:hi], at[held] - lo).astype(np.float32), np.float32(np.inf))
+        self.blocks_met = self.blocks_entered = 0
+
+    def top(self, terms: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, score) of the best k that reach the floor, best first."""
         rows = self.row[terms]
         rare, rows = terms[rows < 0], rows[rows >= 0]
         lo, n = self.of[rare], self.of[rare + 1] - self.of[rare]
         post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        # shallow: blocks of one posting, and the largest impacts of the ranges
         sure = np.bincount(self.doc[post], self.impact[post], len(self.ids))
-        bound = sure + self.largest[rows].sum(0)[self.part]
-        docs, scores, step = np.zeros(0, np.int64), np.zeros(0), 4 * k
-        left = np.flatnonzero(bound > 0)
-        while len(left):
-            if len(docs) == k:  # the pivot: only bounds that reach the k-th score go on
-                left = left[bound[left] >= scores[-1] - 1e-7]
-            if len(left) > step:
-                best = np.argpartition(-bound[left], step)
-                now, left = left[best[:step]], left[best[step:]]
-            else:
-                now, left = left, left[:0]
-            total = np.round(sure[now] + self.dense[rows[:, None], now[None, :]].sum(0), 9)
-            docs, scores = np.concatenate([docs, now[total > 0]]), np.concatenate([scores, total[total > 0]])
+        above = self.largest[rows].sum(0, dtype=np.float64)
+        bound = sure + np.repeat(above, RANGE)[: len(self.ids)]
+        self.blocks_met += len(rows) * self.ranges
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
+        pivots = np.flatnonzero((bound > 0) & (bound >= floor - 1e-7))
+        seen, total = np.zeros(self.ranges, bool), sure
+
+        def entered(some: np.ndarray) -> None:
+            """The deep move: reads the blocks of these documents' ranges that were not read."""
+            nonlocal total
+            new = np.unique(some // RANGE)
+            new = new[~seen[new]]
+            seen[new] = True
+            a, z = self.first[rows[:, None], new].ravel(), self.first[rows[:, None], new + 1].ravel()
+            size = z - a
+            self.blocks_entered += len(a)
+            post = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+            total = total + np.bincount(self.doc[post], self.impact[post], len(self.ids))
+
+        if len(pivots) > 6 * k:
+            now = np.sort(pivots[np.argpartition(-bound[pivots], 6 * k)[: 6 * k]])
+            first = np.zeros(len(bound), bool)
+            first[now] = True
+            rest = pivots[~first[pivots]]
+        else:
+            now, rest = pivots, pivots[:0]
+        step = 4 * k
+        while len(now):
+            entered(now)
+            score = np.round(total[now], 9)
+            docs, scores = np.concatenate([docs, now[score > 0]]), np.concatenate([scores, score[score > 0]])
             best = np.lexsort((self.ids[docs], -scores))[:k]
             docs, scores = docs[best], scores[best]
+            if len(docs) == k:
+                rest = rest[bound[rest] >= scores[-1] - 1e-7]
+            now, rest = rest[:step], rest[step:]  # the next pivots, in document order
             step *= 2
-        return docs, scores
+        return docs[scores >= floor], scores[scores >= floor]
 
 
-def frequencies(docs: DataFrame, held) -> DataFrame:
-    """(place, df): documents that hold each term of the block; -1: all documents; -2: words."""
+def frequencies(made: DataFrame, held) -> DataFrame:
+    """(place, df): documents that hold each term of the block."""
 
     def run(batches):
         import pyarrow as pa
 
         q = held.value
-        df, rows, words = np.zeros(len(q.vocabulary), np.int64), 0, 0
+        df = np.zeros(len(q.vocabulary), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                column = batch.column(0).slice(at, SLICE)
-                _, terms, _, n = term_counts(column)
+            for k in range(batch.num_rows):
+                terms, own = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((0, np.uint64), (1, np.int32)))
                 place = q.places(terms)
-                df += np.bincount(place[place >= 0], minlength=len(df))
-                rows, words = rows + len(column), words + int(n.sum())
+                df[place[place >= 0]] += own[place >= 0]
         some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([df[some], [rows, words]]))], ["place", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["place", "df"])
 
-    return docs.select("text").mapInArrow(run, "place long, df long").groupBy("place").agg(F.sum("df").alias("df"))
+    return made.select("terms", "df").mapInArrow(run, "place long, df long").groupBy("place").agg(F.sum("df").alias("df"))
 
 
-def shard_tops(docs: DataFrame, held, k: int, k1: float, b: float) -> DataFrame:
-    """(query_id, doc_id, score): each shard's best k for every query of the block."""
+def shard_tops(made: DataFrame, held, k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, shard, doc_id, score): each shard's best k for every query of the block."""
 
     def run(batches):
         import pyarrow as pa
 
         q = held.value
-
-        def answers(held_rows):
-            ids = np.concatenate([h[0] for h in held_rows])
-            base = np.cumsum([0, *(len(h[0]) for h in held_rows)])
-            doc = np.concatenate([h[1] + s for h, s in zip(held_rows, base, strict=False)])
-            place, count, length = (np.concatenate([h[k] for h in held_rows]) for k in (2, 3, 4))
-            shard = Shard(ids, doc, place, count, length, q, k1, b)
-            out = []
-            for n, query in enumerate(q.ids):
-                d, s = shard.top(q.terms[q.limits[n] : q.limits[n + 1]], k)
-                out.append((np.full(len(d), query), shard.ids[d], s))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["query_id", "doc_id", "score"])
-
-        rows, n = [], 0
+        kinds = (np.int64, np.int64, np.uint64, np.int32, np.uint16, np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                doc, terms, count, length = term_counts(part.column(1))
-                place = q.places(terms)
-                known = place >= 0
-                ids = part.column(0).fill_null(int(_LAST)).to_numpy()
-                rows.append((ids, doc[known], place[known], count[known], length))
-                n += len(ids)
-            if n >= SHARD_ROWS:
-                yield answers(rows)
-                rows, n = [], 0
-        if rows and len(q.ids):
-            yield answers(rows)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "query_id long, doc_id long, score double")
+            for row in range(batch.num_rows):
+                shard = Shard(*(np.frombuffer(batch.column(c + 1)[row].as_buffer(), t) for c, t in enumerate(kinds)), q, k1, b)
+                number = batch.column(0)[row].as_py()
+                for at in range(0, len(q.ids), SLICE):
+                    out = [(query, *shard.top(q.terms[q.limits[n] : q.limits[n + 1]], k, q.floors[n])) for n, query in enumerate(q.ids[at : at + SLICE], at)]
+                    ids = np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)
+                    doc, score = (np.concatenate([o[c] for o in out]) for c in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), number)), pa.array(shard.ids[doc]), pa.array(score)], ["query_id", "shard", "doc_id", "score"])
+
+    return made.select("shard", "ids", "lengths", "terms", "df", "doc", "count").mapInArrow(run, "query_id long, shard long, doc_id long, score double")
+
+
+def best(hits: DataFrame, k: int, *by: str) -> DataFrame:
+    """The best k hits of each query (and group), with their rank."""
+    order = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), F.asc("doc_id"))
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def block_tops(made: DataFrame, shards: int, part: Queries, k: int, k1: float, b: float) -> DataFrame:
+    """Hits of a block of queries that hold its best k: those of some shards, then of the others
+    those that reach what the first have between them."""
+    sc = made.sparkSession.sparkContext
+    root = max(1, math.isqrt(shards))
+    first = [r["shard"] for r in made.select("shard").orderBy(F.xxhash64("shard")).limit(root).collect()]
+    found = []
+    for some in (F.col("shard").isin(first), ~F.col("shard").isin(first)):
+        held = sc.broadcast(part)
+        hits = shard_tops(made.where(some), held, k, k1, b).withColumn("group", F.pmod(F.xxhash64("shard", F.lit(1)), F.lit(root)))
+        found.append(saved(best(hits, k, "group").select("query_id", "doc_id", "score")))
+        held.destroy()
+        if not part.floors.any():
+            kth = best(found[0], k).where(F.col("rank") == k).select("query_id", "score").toPandas()  # a row a query of the block
+            part.floors[np.searchsorted(part.ids, kth["query_id"])] = kth["score"]
+    return found[0].union(found[1])
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -214,7 +302,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, rank (from 1), doc_id, score, for queries (query_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = saved(index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    n, words, shards = made.agg(F.sum("docs"), F.sum("words"), F.count("*")).first()
     q = query_terms(queries.where("query_id is not null"))
     q = saved(q.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms")))
     terms = q.agg(F.sum(F.size("terms"))).first()[0] or 0
@@ -224,17 +313,15 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: fl
     for block in range(blocks):
         rows = q.where(F.col("block") == block).select("query_id", "terms").orderBy("query_id").toPandas()  # about BLOCK_TERMS terms
         part = Queries(rows["query_id"].to_numpy(np.int64), [np.asarray(t, np.int64).view(np.uint64) for t in rows["terms"]])
-        counts = frequencies(docs, spark.sparkContext.broadcast(part)).toPandas()  # the block's terms at most
+        held = spark.sparkContext.broadcast(part)
+        counts = frequencies(made, held).toPandas()  # the block's terms at most
+        held.destroy()
         df = np.zeros(len(part.vocabulary))
-        inner = counts["place"] >= 0
-        df[counts["place"][inner]] = counts["df"][inner]
-        n, words = (int(counts.loc[counts["place"] == p, "df"].sum()) for p in (-1, -2))
-        part.idf, part.mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), max(words / max(n, 1), 1e-9)
-        tops = shard_tops(docs, spark.sparkContext.broadcast(part), k, k1, b)
-        tops = saved(tops) if blocks > 1 else tops
+        df[counts["place"]] = counts["df"]
+        part.idf, part.mean = np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5)), max((words or 0) / max(n or 0, 1), 1e-9)
+        tops = block_tops(made, shards, part, k, k1, b)
         found = tops if found is None else found.union(tops)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = best(found, k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("doc_id") < int(_LAST), F.col("doc_id")).alias("doc_id"), F.round("score", 6).alias("score"))
 
 
