@@ -3,13 +3,15 @@
 Indivisible groups, sorted by falling size, each enter the bin with the tightest
 remaining capacity that holds them, found through a balanced tree.
 
-At scale only a bounded list is packed: a group of at least ``1/GRAIN`` of a bin
-is an item of its own (their sizes add up to the whole, so there are at most
-``GRAIN * bins``), and the smaller groups are hashed into ``GRAIN * bins`` bundles,
-each an item.  Neither count depends on the number of rows.  Groups stay whole: one
+Groups of one size are interchangeable, so what is packed in order is the list of sizes with
+their counts: groups of a size go on into one bin while it holds them, for it stays the
+tightest.  Different sizes add up to no more than the whole, so that list has at most
+sqrt(2 * bytes) rows; it is sorted and streamed through one task that keeps the bins alone,
+and gives a run of ranks for each size and bin.  A group's rank among those of its size is
+counted in parts, and a join on the size finds its run.  Groups stay whole: one
 above the equal share gets a bin to itself, and the other bins share the rest equally.
-Rows find their shard by a broadcast list of that bounded size and are numbered in
-slices of a shard, so a shard that one group swells is still numbered by many tasks.
+Rows are numbered in parts of a shard, so a shard that one group swells is still numbered
+by many tasks.
 
 Defined results: a null text has no bytes (size 16) and crc 0 and all null texts
 are one group, apart from empty texts only by their hash; repeated rows are rows of
@@ -19,6 +21,7 @@ their own; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +29,8 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 OVERHEAD = 16
-GRAIN = 512
-SLOT_BUCKETS = 256
-ROWS_A_SLICE = 1_000_000
+PARTS = 256
+ROWS_A_PART = 1_000_000
 
 
 class BinTree:
@@ -104,8 +106,9 @@ class BinTree:
         return n[0] if n else None
 
 
-def best_fit_decreasing(sizes: Iterable[tuple[int, object]], capacity: int, bins: int | None = None) -> Iterator[tuple[object, int]]:
-    """(item, bin) for (size, item) pairs, ties by item.
+def best_fit_runs(classes: Iterable[tuple[int, int]], capacity: int, bins: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """(size, bin, from, to): which items of each size, by rank, enter a bin; for (size, count)
+    pairs by falling size.
 
     Without ``bins`` a bin is opened when none has room (an item above the capacity
     gets a bin of its own).  With ``bins`` exactly that many are open from the start
@@ -114,22 +117,36 @@ def best_fit_decreasing(sizes: Iterable[tuple[int, object]], capacity: int, bins
     tree, opened = BinTree(), 0
     for b in range(bins or 0):
         tree.add((capacity, b))
-    for size, item in sorted(sizes, key=lambda x: (-x[0], x[1])):
-        found = tree.least_from(size)
-        if found is None and bins:
-            found = tree.most()
-        if found is None:
-            found, opened = (max(capacity, size), opened), opened + 1
-        else:
-            tree.remove(found)
-        tree.add((found[0] - size, found[1]))
-        yield item, found[1]
-
-
-def fair_capacity(sizes: Iterable[int], bins: int) -> int:
-    """The equal share of the bins, once items above their share have a bin of their own."""
+    for size, count in classes:
+        at = 0
+        while at < count:
+            found = tree.least_from(size)
+            if found is None and bins:
+                found = tree.most()
+            if found is None:
+                found, opened = (max(capacity, size), opened), opened + 1
+            else:
+                tree.remove(found)
+            # it stays the tightest that holds another one
+            n = min(count - at, max(1, found[0] // size))
+            tree.add((found[0] - n * size, found[1]))
+            yield size, found[1], at, at + n
+            at += n
+
+
+def best_fit_decreasing(sizes: Iterable[tuple[int, object]], capacity: int, bins: int | None = None) -> Iterator[tuple[object, int]]:
+    """(item, bin) for (size, item) pairs in memory, ties by item; bins as in ``best_fit_runs``."""
+    ranked = {size: [x[1] for x in own] for size, own in groupby(sorted(sizes, key=lambda x: (-x[0], x[1])), lambda x: x[0])}
+    for size, b, lo, hi in best_fit_runs(((size, len(own)) for size, own in ranked.items()), capacity, bins):
+        for item in ranked[size][lo:hi]:
+            yield item, b
+
+
+def fair_capacity(sizes: Iterable[int], bins: int, total: int | None = None) -> int:
+    """The equal share of the bins, once items above their share have a bin of their own.
+    Where ``total``, the sum of all, is given, the ``bins`` largest sizes will do."""
     rest, left = sorted(sizes, reverse=True), bins
-    total = sum(rest)
+    total = sum(rest) if total is None else total
     for size in rest:
         if left < 2 or size * left <= total:
             break
@@ -137,9 +154,33 @@ def fair_capacity(sizes: Iterable[int], bins: int) -> int:
     return max(1, -(-total // left))
 
 
+def poured(classes: DataFrame, capacity: int, bins: int) -> DataFrame:
+    """(bytes, shard, from, to) for rows (bytes, count), in one task that streams them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        sizes = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        runs = best_fit_runs(sizes, capacity, bins)
+        while some := list(islice(runs, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["bytes", "shard", "from", "to"])
+
+    # at most sqrt(2 * total bytes) rows
+    return classes.select("bytes", "count").repartition(1).sortWithinPartitions(F.desc("bytes")).mapInArrow(run, "bytes long, shard int, from long, to long")
+
+
+def ranked(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """rows with their number (from 0) among those of their key.  rows have a part: a key's
+    parts are numbered by tasks of their own, each after the parts before it."""
+    counts = rows.groupBy(key, "part").count()
+    before = counts.select(key, "part", (F.sum("count").over(Window.partitionBy(key).orderBy("part")) - F.col("count")).alias("before"))
+    within = Window.partitionBy(key, "part").orderBy(*order)
+    numbered = rows.withColumn("n", F.row_number().over(within) - 1).join(before, [key, "part"])
+    return numbered.withColumn(name, (F.col("before") + F.col("n")).cast("long")).drop("n", "before")
+
+
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
-    spark = docs.sparkSession
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
@@ -148,39 +189,26 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     )
     rows = saved(rows)
     group = ["h", "size", "text_crc32"]
-    counted = rows.groupBy(*group).count()
-    total = counted.agg(F.sum(F.col("size") * F.col("count"))).first()[0] or 0
-    capacity = max(1, -(-total // shards))
-    grain = max(1, capacity // GRAIN)
-    # at most shards * GRAIN groups: their sizes add up to no more than the total
-    large = saved(counted.where(F.col("size") * F.col("count") >= grain).select(*group, F.lit(True).alias("large")))
-    parts = max(SLOT_BUCKETS, rows.count() // ROWS_A_SLICE)
-    keyed = rows.join(large, group, "left").select(
-        "doc_id",
-        *group,
-        F.when(F.col("large"), F.concat_ws("/", F.lit("g"), *group)).otherwise(F.concat_ws("/", F.lit("b"), F.pmod(F.xxhash64("h", F.lit(7)), F.lit(shards * GRAIN)))).alias("item"),
-        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)).cast("int").alias("part"),
-    )
-    sizes = keyed.groupBy("item").agg(F.sum("size").alias("size")).collect()  # bounded: see above
-    placed = [(item, b) for item, b in best_fit_decreasing([(r["size"], r["item"]) for r in sizes], fair_capacity((r["size"] for r in sizes), shards), shards)]
-    bins = spark.createDataFrame(placed, "item string, shard int")
-    placed_rows = keyed.join(F.broadcast(bins), "item")  # at most 2 * shards * GRAIN rows
-    # slots: a number within (shard, part), after the parts before it
-    counts = placed_rows.groupBy("shard", "part").count()
-    before = counts.select(
-        "shard",
-        "part",
-        (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"),
-    )
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size", "h")
-    numbered = placed_rows.withColumn("n", F.row_number().over(within) - 1).join(before, ["shard", "part"])
-    return numbered.select(
+    counted = saved(rows.groupBy(*group).agg((F.count("*") * F.col("size")).alias("bytes")))
+    classes = saved(counted.groupBy("bytes").count())
+    total, groups = classes.agg(F.sum(F.col("bytes") * F.col("count")), F.sum("count")).first()
+    largest = [r["bytes"] for r in classes.orderBy(F.desc("bytes")).limit(shards).collect() for _ in range(min(r["count"], shards))]
+    runs = saved(poured(classes, fair_capacity(largest, shards, total or 0), shards))
+
+    def part(n: int | None, *by):
+        return F.pmod(F.xxhash64(*by), F.lit(max(PARTS, (n or 0) // ROWS_A_PART))).cast("int")
+
+    numbered = ranked(counted.withColumn("part", part(groups, F.col("h"), F.lit(7))), "bytes", group, "rank")
+    placed = numbered.join(runs, "bytes").where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))).select(*group, "shard")
+    # written, so that Spark can split a hot group of rows
+    keyed = rows.join(saved(placed), group).withColumn("part", part(rows.count(), F.col("doc_id"), F.lit(3)))
+    return ranked(keyed, "shard", ["doc_id", "text_crc32", "size", "h"], "slot").select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("before") + F.col("n")).cast("long").alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
