@@ -39,3 +39,34 @@ def recogniser_prompt(n_image: Column, system: list[int], user: list[int], assis
         F.array_repeat(F.lit(pad).cast("bigint"), n_image.cast("int")),
         fixed(end, newline, start, *assistant),
     )
+
+
+def last(values: Column) -> Column:
+    """The final entry, null without any."""
+    return F.try_element_at(values, F.lit(-1))
+
+
+def looked_up(vocabulary: Column, key: Column) -> Column:
+    """A map's entry; a key that the map lacks is an error, not a null."""
+    found = F.try_element_at(vocabulary, key)
+    return F.when(F.map_contains_key(vocabulary, key), found).otherwise(F.raise_error(F.concat(F.lit("not in the vocabulary: "), key.cast("string"))))
+
+
+def greedy(start: Column, logits: Column, limit: int, end: int, penalty: float = 1.1, window: int = 64, barred: tuple[int, ...] = ()) -> Column:
+    """Greedy decoding from recorded logits: a fold whose state is the tokens so far.
+
+    ``logits``: array by token of the scores that follow it.  Each step takes the last
+    token's row, bars ids from the second step on, damps what the last ``window`` tokens
+    hold and appends the argmax; after ``end`` or ``limit`` new tokens nothing is added.
+    """
+    from .vectors import argmax, masked, repeat_penalised
+
+    def step(tokens: Column, k: Column) -> Column:
+        row = F.get(logits, last(tokens).cast("int"))
+        row = repeat_penalised(row, tail(tokens, window), penalty)
+        if barred:
+            row = F.when(k > 1, masked(row, list(barred))).otherwise(row)
+        done = (k > 1) & (last(tokens) == end)
+        return F.when(done, tokens).otherwise(F.concat(tokens, F.array(argmax(row))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(limit)), start, step)

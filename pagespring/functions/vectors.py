@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,23 +25,64 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f's expression reads it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def top_probability(v: Column) -> Column:
     """Softmax probability of the largest value: 1 / sum(exp(v - max)), 0 if that is no number."""
-    m = F.array_max(without_nan(v))
-    s = total(F.transform(v, lambda x: F.exp(x - m)))
-    return F.when(s > 0, 1 / s).otherwise(0.0)
+    s = bound(F.array_max(without_nan(v)), lambda m: total(F.transform(v, lambda x: F.exp(x - m))))
+    return bound(s, lambda s: F.when(s > 0, 1 / s).otherwise(0.0))
 
 
 def softmax(v: Column) -> Column:
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - m))
-    return F.transform(e, lambda x: x / total(e))
+    e = bound(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    return bound(e, lambda e: bound(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def rms_norm(v: Column, eps: float = 1e-5, weight: float = 1.0) -> Column:
     """x / sqrt(mean(x^2) + eps) * weight."""
     scale = F.sqrt(total(F.transform(v, lambda x: x * x)) / F.size(v) + F.lit(eps))
-    return F.transform(v, lambda x: x / scale * F.lit(weight))
+    return bound(scale, lambda s: F.transform(v, lambda x: x / s * F.lit(weight)))
+
+
+def linear(v: Column, weights: Column) -> Column:
+    """The product of a matrix (array of rows) with a vector."""
+    return F.transform(weights, lambda row: dot(row, v))
+
+
+def added(a: Column, b: Column) -> Column:
+    """Element by element, as residuals are."""
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def silu(v: Column) -> Column:
+    return F.transform(v, lambda x: x / (1 + F.exp(-x)))
+
+
+def gelu(v: Column) -> Column:
+    """The tanh form: x / 2 * (1 + tanh(sqrt(2 / pi) * (x + 0.044715 x^3)))."""
+    return F.transform(v, lambda x: x / 2 * (1 + F.tanh(F.lit(math.sqrt(2 / math.pi)) * (x + F.lit(0.044715) * x * x * x))))
+
+
+def swiglu(v: Column, gate: Column, up: Column, down: Column) -> Column:
+    """down(silu(gate(v)) * up(v)), weights as matrices."""
+    inner = F.zip_with(silu(linear(v, gate)), linear(v, up), lambda x, y: x * y)
+    return bound(inner, lambda i: linear(i, down))
+
+
+def rotated(v: Column, cos: Column, sin: Column) -> Column:
+    """Rotary position embedding: place i of the first half turns with place i of the second."""
+    half = (F.size(v) / 2).cast("int")
+    pairs = F.arrays_zip(F.slice(v, F.lit(1), half).alias("a"), F.slice(v, half + 1, half).alias("b"), cos.alias("c"), sin.alias("s"))
+    return bound(
+        pairs,
+        lambda p: F.concat(
+            F.transform(p, lambda r: r["a"] * r["c"] - r["b"] * r["s"]),
+            F.transform(p, lambda r: r["b"] * r["c"] + r["a"] * r["s"]),
+        ),
+    )
 
 
 def masked(v: Column, places: list[int]) -> Column:

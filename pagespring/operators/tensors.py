@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import div
-from ..functions.vectors import dot
+from ..functions.vectors import added, dot, gelu, linear, rms_norm, rotated, swiglu
 
 
 def splice_positions(tokens: DataFrame, images: DataFrame, image_token: int) -> DataFrame:
@@ -27,7 +27,7 @@ def splice_positions(tokens: DataFrame, images: DataFrame, image_token: int) ->
 
 def causal_mask(shapes: DataFrame, sliding: int | None = None) -> DataFrame:
     """(.., i, j, masked) for shapes (.., tgt, offset): position i sees j <= i + offset."""
-    held = [c for c in shapes.columns if c not in ("tgt", "offset")]
+    held = [c for c in shapes.columns if c not in ("tgt", "offset", "i", "j", "masked")]
     m = shapes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tgt") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tgt") + F.col("offset") - 1)))
     sees = F.col("j") <= F.col("i") + F.col("offset")
     if sliding is not None:
@@ -70,3 +70,46 @@ def rope_table(positions: DataFrame, dim: int, theta: float = 1_000_000.0) -> Da
     t = positions.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(dim - 2), F.lit(2))))
     angle = F.col("pos") / F.pow(F.lit(theta), F.col("i") / F.lit(float(dim)))
     return t.select("pos", "i", F.cos(angle).alias("cos"), F.sin(angle).alias("sin"))
+
+
+def matmul(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """(id, j, y) for rows (id, i, x) and weights (i, j, w): the relational product, combined
+    before its shuffle; rows of zeros need no entries."""
+    return rows.join(weights, "i").groupBy("id", "j").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
+
+
+def rotate(rows: DataFrame, table: DataFrame, columns: tuple[str, ...] = ("q", "k"), offset: int = 0) -> DataFrame:
+    """rows (.., pos, vectors) turned by their position plus ``offset``; table: ``rope_table``."""
+    t = table.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("i", "cos", "sin"))).alias("turn"))
+    j = rows.withColumn("turned at", F.col("pos") + offset).join(t.withColumnRenamed("pos", "turned at"), "turned at")
+    return j.withColumns({c: rotated(F.col(c), F.col("turn.cos"), F.col("turn.sin")) for c in columns}).select(rows.columns)
+
+
+def decoder_layer(rows: DataFrame, weights: dict) -> DataFrame:
+    """(page_id, pos, x) after one pre-norm layer: x + o(attention(norm x)), then + mlp(norm).
+
+    weights: matrices q, k, v, o, gate, up, down as array columns, and rope as a table or
+    None.  One page's positions meet; pages are independent.
+    """
+    n = rows.withColumn("n", rms_norm(F.col("x")))
+    heads = n.select("page_id", "pos", *(linear(F.col("n"), weights[c]).alias(c) for c in ("q", "k", "v")))
+    if weights.get("rope") is not None:
+        heads = rotate(heads, weights["rope"])
+    mixed = rows.join(attention(heads), ["page_id", "pos"])
+    h = mixed.select("page_id", "pos", added(F.col("x"), linear(F.col("out"), weights["o"])).alias("h"))
+    h = h.withColumn("n", rms_norm(F.col("h")))
+    return h.select("page_id", "pos", added(F.col("h"), swiglu(F.col("n"), weights["gate"], weights["up"], weights["down"])).alias("x"))
+
+
+def projector(patches: DataFrame, merge, first, second) -> DataFrame:
+    """(page_id, py, px, out): norm, 2 x 2 patches in one, linear, linear, GELU, linear."""
+    folded = patch_merge(patches.withColumn("v", rms_norm(F.col("v"))))
+    y = folded.withColumn("y", linear(F.col("merged"), merge))
+    y = y.withColumn("y", gelu(linear(F.col("y"), first)))
+    return y.select("page_id", "py", "px", linear(F.col("y"), second).alias("out"))
+
+
+def stacked(images: DataFrame, size: int) -> DataFrame:
+    """(batch, ids, n, data): images (id, pos, data) laid end to end, ``size`` to a batch."""
+    g = images.groupBy(div(F.col("pos"), size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("pos", "id", "data"))).alias("held"))
+    return g.select("batch", F.col("held.id").alias("ids"), F.size("held").alias("n"), F.flatten(F.col("held.data")).alias("data"))

@@ -96,23 +96,160 @@ def causal_mask_sliding(spark, sf):
     return tz.causal_mask(shapes, sliding=2)
 
 
-#: Sixteen rows make a sequence; the first 8 components are queries, the next keys, then values.
-_QKV = "SELECT vec_id // 16 AS page_id, CAST(vec_id % 16 AS INT) AS pos, CAST(embedding[1:8] AS DOUBLE[]) AS q, CAST(embedding[9:16] AS DOUBLE[]) AS k, CAST(embedding[17:24] AS DOUBLE[]) AS v FROM embeddings"
+#: Sixteen rows make a sequence; a vector is its own query, key and value.
+_SEQUENCE = "SELECT vec_id // 16 AS page_id, CAST(vec_id % 16 AS INT) AS pos, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+
+
+def _attended(rows: str) -> str:
+    """SQL: (page_id, pos, out) of causal attention over rows (page_id, pos, q, k, v)."""
+    return (
+        f"SELECT page_id, pos, list(y ORDER BY d) AS out FROM (SELECT page_id, pos, d, sum(p * v[d]) AS y FROM (SELECT page_id, pos, v, e / sum(e) OVER (PARTITION BY page_id, pos) AS p FROM"
+        f" (SELECT page_id, pos, v, exp(score - max(score) OVER (PARTITION BY page_id, pos)) AS e FROM (SELECT a.page_id, a.pos, b.v, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.k[i])) / sqrt(len(a.q)) AS score"
+        f" FROM {rows} a JOIN {rows} b ON a.page_id = b.page_id AND b.pos <= a.pos))), unnest(range(1, len(v) + 1)) AS u(d) GROUP BY page_id, pos, d) GROUP BY page_id, pos"
+    )
+
+
+def _sequence(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    return e.selectExpr("vec_id DIV 16 AS page_id", "CAST(vec_id % 16 AS INT) AS pos", "transform(embedding, x -> CAST(x AS DOUBLE)) AS x")
+
+
+@_query(f"WITH s AS ({_SEQUENCE}), r AS (SELECT page_id, pos, x AS q, x AS k, x AS v FROM s), o AS ({_attended('r')}) SELECT page_id, pos, list_transform(out, lambda x: round(x, 6)) AS out FROM o")
+def attention_toy(spark, sf):
+    rows = _sequence(spark, sf).selectExpr("page_id", "pos", "x AS q", "x AS k", "x AS v")
+    return tz.attention(rows).select("page_id", "pos", _rounded(F.col("out")).alias("out"))
+
+
+def _weight(i, j, seed: int):
+    """Entry (i, j), both from 0, of a stand-in for a weight matrix, alike in Python and SQL."""
+    return f"(((({i}) * 7 + ({j}) * 13 + {seed}) % 11 - 5) / 20.0)"
+
+
+def _matrix(rows: int, columns: int, seed: int):
+    return F.array(*[F.array(*[F.lit(((i * 7 + j * 13 + seed) % 11 - 5) / 20.0) for j in range(columns)]) for i in range(rows)])
+
+
+def _sql_linear(v: str, rows: int, columns: int, seed: int) -> str:
+    """SQL of the product of ``_matrix`` with a list."""
+    w = _weight("i", "j - 1", seed) + "::DOUBLE"
+    return f"list_transform(range({rows}), lambda i: list_sum(list_transform(range(1, {columns + 1}), lambda j: {v}[j] * {w})))"
+
+
+def _sql_norm(v: str) -> str:
+    return f"list_transform({v}, lambda t: t / sqrt(list_sum(list_transform({v}, lambda y: y * y)) / len({v}) + 0.00001::DOUBLE))"
+
+
+@_query(f"WITH {_V} SELECT page_id, list_transform({_sql_linear('v', 8, 64, 1)}, lambda x: round(x, 6)) AS y FROM v")
+def linear_rows(spark, sf):
+    return fx.vectors(spark, sf).select("page_id", _rounded(vc.linear(F.col("v"), _matrix(8, 64, 1))).alias("y"))
+
+
+@_query(f"WITH e AS (SELECT vec_id AS id, CAST(i - 1 AS INT) AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)) SELECT id, CAST(j AS INT) AS j, round(sum(x * {_weight('j', 'i', 1)}), 6) AS y FROM e, unnest(range(8)) AS t(j) GROUP BY id, j")
+def matmul_join(spark, sf):
+    """The same product as a join with the weights' entries."""
+    rows = fx.vectors(spark, sf).select(F.col("page_id").alias("id"), F.posexplode("v").alias("i", "x"))
+    weights = spark.range(64).selectExpr("CAST(id AS INT) AS i", "explode(sequence(0, 7)) AS j").selectExpr("i", "j", f"CAST({_weight('j', 'i', 1)} AS DOUBLE) AS w")
+    return tz.matmul(rows, weights).select("id", "j", F.round("y", 6).alias("y"))
+
+
+@_query(f"WITH {_V} SELECT page_id, list_transform(v, lambda x: round(x / 2 * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715::DOUBLE * x * x * x))), 6)) AS g, list_transform(v, lambda x: round(x / (1 + exp(-x)), 6)) AS s FROM v")
+def activations(spark, sf):
+    return fx.vectors(spark, sf).select("page_id", _rounded(vc.gelu(F.col("v"))).alias("g"), _rounded(vc.silu(F.col("v"))).alias("s"))
+
+
+def _sql_swiglu(v: str, size: int, inner: int, seed: int) -> str:
+    gate, up = _sql_linear(v, inner, size, seed), _sql_linear(v, inner, size, seed + 1)
+    return f"(SELECT {_sql_linear('m', size, inner, seed + 2)} FROM (SELECT list_transform(range(1, {inner + 1}), lambda z: g[z] / (1 + exp(-g[z])) * u[z]) AS m FROM (SELECT {gate} AS g, {up} AS u)))"
+
+
+@_query(f"WITH {_V} SELECT page_id, list_transform({_sql_swiglu('v.v', 64, 6, 3)}, lambda x: round(x, 6)) AS y FROM v")
+def swiglu_rows(spark, sf):
+    y = vc.swiglu(F.col("v"), _matrix(6, 64, 3), _matrix(6, 64, 4), _matrix(64, 6, 5))
+    return fx.vectors(spark, sf).select("page_id", _rounded(y).alias("y"))
+
+
+def _sql_rotated(v: str, pos: str, size: int) -> str:
+    half = size // 2
+    angle = f"({pos} / pow(1000000.0::DOUBLE, (i - 1) * 2 / {float(size)}::DOUBLE))"
+    return (
+        f"list_concat(list_transform(range(1, {half + 1}), lambda i: {v}[i] * cos({angle}) - {v}[i + {half}] * sin({angle})),"
+        f" list_transform(range(1, {half + 1}), lambda i: {v}[i + {half}] * cos({angle}) + {v}[i] * sin({angle})))"
+    )
+
+
+@_query(f"WITH s AS ({_SEQUENCE}) SELECT page_id, pos, list_transform({_sql_rotated('x', '(pos + 3)', 64)}, lambda x: round(x, 6)) AS q FROM s")
+def rope_apply(spark, sf):
+    table = tz.rope_table(spark.range(32).selectExpr("id AS pos"), 64)
+    rows = _sequence(spark, sf).selectExpr("page_id", "pos", "x AS q")
+    return tz.rotate(rows, table, ("q",), offset=3).select("page_id", "pos", _rounded(F.col("q")).alias("q"))
+
+
+_LAYER = {name: seed for seed, name in enumerate(("q", "k", "v", "o", "gate", "up", "down"), 20)}
 
 
 @_query(
-    f"WITH r AS ({_QKV}), s AS (SELECT a.page_id, a.pos, b.v, list_sum(list_transform(range(1, 9), lambda i: a.q[i] * b.k[i])) / sqrt(8) AS score FROM r a JOIN r b ON a.page_id = b.page_id AND b.pos <= a.pos),"
-    " e AS (SELECT page_id, pos, v, exp(score - max(score) OVER (PARTITION BY page_id, pos)) AS e FROM s), p AS (SELECT page_id, pos, v, e / sum(e) OVER (PARTITION BY page_id, pos) AS p FROM e)"
-    " SELECT page_id, pos, " + "[" + ", ".join(f"round(sum(p * v[{i}]), 6)" for i in range(1, 9)) + "] AS out FROM p GROUP BY page_id, pos"
+    f"WITH s AS ({_SEQUENCE}), n AS (SELECT *, {_sql_norm('x')} AS n FROM s),"
+    f" h AS (SELECT page_id, pos, {_sql_linear('n', 64, 64, 20)} AS q, {_sql_linear('n', 64, 64, 21)} AS k, {_sql_linear('n', 64, 64, 22)} AS v FROM n),"
+    f" r AS (SELECT page_id, pos, {_sql_rotated('q', 'pos', 64)} AS q, {_sql_rotated('k', 'pos', 64)} AS k, v FROM h), a AS ({_attended('r')}),"
+    f" b AS (SELECT s.page_id, s.pos, s.x, {_sql_linear('a.out', 64, 64, 23)} AS o FROM s JOIN a ON a.page_id = s.page_id AND a.pos = s.pos),"
+    " c AS (SELECT page_id, pos, list_transform(range(1, 65), lambda z: x[z] + o[z]) AS h FROM b),"
+    f" d AS (SELECT page_id, pos, h, {_sql_norm('h')} AS n FROM c),"
+    f" g AS (SELECT page_id, pos, h, {_sql_linear('n', 6, 64, 24)} AS g, {_sql_linear('n', 6, 64, 25)} AS u FROM d),"
+    " m AS (SELECT page_id, pos, h, list_transform(range(1, 7), lambda z: g[z] / (1 + exp(-g[z])) * u[z]) AS m FROM g),"
+    f" y AS (SELECT page_id, pos, h, {_sql_linear('m', 64, 6, 26)} AS y FROM m)"
+    " SELECT page_id, pos, list_transform(range(1, 65), lambda z: round(h[z] + y[z], 4)) AS x FROM y"
 )
-def attention_toy(spark, sf):
+def decoder_layer(spark, sf):
+    shapes = {"gate": (6, 64), "up": (6, 64), "down": (64, 6)}
+    weights = {name: _matrix(*shapes.get(name, (64, 64)), seed) for name, seed in _LAYER.items()}
+    weights["rope"] = tz.rope_table(spark.range(16).selectExpr("id AS pos"), 64)
+    return tz.decoder_layer(_sequence(spark, sf), weights).select("page_id", "pos", _rounded(F.col("x"), 4).alias("x"))
+
+
+@_query(
+    "WITH p AS (SELECT vec_id // 100 AS page_id, vec_id % 100 // 10 AS py, vec_id % 10 AS px, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),"
+    f" n AS (SELECT page_id, py, px, {_sql_norm('v')} AS v FROM p), e AS (SELECT page_id, py, px, CAST(i - 1 AS BIGINT) AS h, v[i] AS x FROM n, unnest(range(1, len(v) + 1)) AS u(i)),"
+    " m AS (SELECT page_id, py // 2 AS py, px // 2 AS px, list(x ORDER BY h * 4 + py % 2 * 2 + px % 2) AS m FROM e GROUP BY page_id, py // 2, px // 2),"
+    f" a AS (SELECT page_id, py, px, {_sql_linear('m', 8, 256, 30)} AS a FROM m), b AS (SELECT page_id, py, px, {_sql_linear('a', 8, 8, 31)} AS b FROM a),"
+    " c AS (SELECT page_id, py, px, list_transform(b, lambda x: x / 2 * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715::DOUBLE * x * x * x)))) AS c FROM b)"
+    f" SELECT page_id, py, px, list_transform({_sql_linear('c', 4, 8, 32)}, lambda x: round(x, 5)) AS out FROM c"
+)
+def projector(spark, sf):
     e = fx.table(spark, sf, "embeddings")
+    p = e.selectExpr("vec_id DIV 100 AS page_id", "vec_id % 100 DIV 10 AS py", "vec_id % 10 AS px", "transform(embedding, x -> CAST(x AS DOUBLE)) AS v")
+    return tz.projector(p, _matrix(8, 256, 30), _matrix(8, 8, 31), _matrix(4, 8, 32)).withColumn("out", _rounded(F.col("out"), 5))
 
-    def part(at: int) -> str:
-        return f"transform(slice(embedding, {at}, 8), x -> CAST(x AS DOUBLE))"
 
-    rows = e.selectExpr("vec_id DIV 16 AS page_id", "CAST(vec_id % 16 AS INT) AS pos", f"{part(1)} AS q", f"{part(9)} AS k", f"{part(17)} AS v")
-    return tz.attention(rows).select("page_id", "pos", _rounded(F.col("out")).alias("out"))
+@_query(f"WITH {_V}, o AS (SELECT *, page_id // 8 AS batch FROM v) SELECT batch, list(page_id ORDER BY page_id) AS ids, CAST(count(*) AS INT) AS n, list_transform(flatten(list(v ORDER BY page_id)), lambda x: round(x, 6)) AS data FROM o GROUP BY batch")
+def batch_stack(spark, sf):
+    images = fx.vectors(spark, sf).selectExpr("page_id AS id", "page_id AS pos", "v AS data")
+    return tz.stacked(images, 8).withColumn("data", _rounded(F.col("data")))
+
+
+@_query(f"WITH {_T} SELECT page_id, tokens[-1] AS token FROM t")
+def last_position(spark, sf):
+    return fx.tokens(spark, sf).select("page_id", tk.last(F.col("tokens")).alias("token"))
+
+
+@_query("SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 WHEN 'MACHINERY' THEN 4 END AS token FROM customer")
+def vocab_lookup(spark, sf):
+    """Words to their ids by a map; a word that it lacks would be an error."""
+    names = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    vocabulary = F.create_map(*[x for i, w in enumerate(names) for x in (F.lit(w), F.lit(i))])
+    return fx.table(spark, sf, "customer").select("c_custkey", tk.looked_up(vocabulary, F.col("c_mktsegment")).alias("token"))
+
+
+@_query(
+    "WITH RECURSIVE s AS (SELECT doc_id, [doc_id % 16, doc_id // 16 % 16] AS tokens, 0 AS k FROM documents"
+    " UNION ALL SELECT doc_id, CASE WHEN k > 0 AND tokens[-1] = 9 THEN tokens ELSE list_append(tokens, (SELECT CAST(min_by(j, (-x, j)) AS BIGINT) FROM (SELECT j, CASE WHEN k > 0 AND j IN (0, 4) THEN CAST('-inf' AS DOUBLE)"
+    " WHEN list_contains(tokens[-4:], j) THEN CASE WHEN w >= 0 THEN w / 1.1::DOUBLE ELSE w * 1.1::DOUBLE END ELSE w END AS x FROM (SELECT j, ((tokens[-1] * tokens[-1] + j * j + tokens[-1] * j * 7 + 3) % 23 - 8) / 2.0::DOUBLE AS w FROM unnest(range(16)) AS u(j))))) END, k + 1 FROM s WHERE k < 12)"
+    " SELECT doc_id, tokens FROM s WHERE k = 12"
+)
+def greedy_decode(spark, sf):
+    """Greedy decoding from recorded logits: stop rule, token limit, barred ids, repeat penalty."""
+    logits = F.array(*[F.array(*[F.lit(((t * t + j * j + t * j * 7 + 3) % 23 - 8) / 2.0) for j in range(16)]) for t in range(16)])
+    start = F.expr("array(doc_id % 16, doc_id DIV 16 % 16)")
+    return fx.table(spark, sf, "documents").select("doc_id", tk.greedy(start, logits, limit=12, end=9, window=4, barred=(0, 4)).alias("tokens"))
 
 
 @_query("SELECT l.l_orderkey AS page_id, l.l_linenumber AS pos, n.n_nationkey AS token, n.n_name AS emb FROM lineitem l JOIN nation n ON n.n_nationkey = CAST(l.l_partkey % 25 AS INT)")
@@ -187,3 +324,10 @@ def json_config(spark, sf):
     """Typed parse of JSON text by an explicit schema."""
     e = fx.table(spark, sf, "events")
     return e.select("event_id", F.from_json("props", "k bigint", {"mode": "FAILFAST"}).alias("c")).select("event_id", "c.k")
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_type(props, '$.k') IS NOT NULL AS has FROM events")
+def json_open_value(spark, sf):
+    """JSON text as an open value, read without a schema."""
+    v = fx.table(spark, sf, "events").select("event_id", F.parse_json("props").alias("v"))
+    return v.select("event_id", F.try_variant_get("v", "$.k", "string").alias("k"), F.try_variant_get("v", "$.k", "variant").isNotNull().alias("has"))

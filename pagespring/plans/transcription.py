@@ -154,14 +154,14 @@ def placeholder_merge(spark, sf):
 
 
 @_query(
-    f"WITH p AS ({fx.PAGES_SQL}) SELECT p.doc_id, confidence > CAST(0.28 AS FLOAT) AS rerouted, CASE WHEN confidence > CAST(0.28 AS FLOAT) THEN coalesce(CASE WHEN l.quality = 1 THEN reverse(substr(text, 1, 40)) END, text) ELSE text END AS text"
+    f"WITH p AS ({fx.PAGES_SQL}) SELECT p.doc_id, confidence > CAST(0.28 AS FLOAT) AS rerouted, CASE WHEN confidence > CAST(0.28 AS FLOAT) THEN coalesce(CASE WHEN l.quality = 1 THEN 'by hand: ' || text END, text) ELSE text END AS text"
     " FROM p LEFT JOIN labels l ON l.doc_id = p.doc_id"
 )
 def handwriting_route(spark, sf):
     """Pages above the confidence threshold take the second transcription where there is one."""
     second = fx.table(spark, sf, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("has"))
     p = _pages(spark, sf).join(second, "doc_id", "left")
-    other = F.when(F.col("has"), F.reverse(F.substring("text", 1, 40)))
+    other = F.when(F.col("has"), F.concat(F.lit("by hand: "), F.col("text")))
     return p.select("doc_id", (F.col("confidence") > F.lit(0.28).cast("float")).alias("rerouted"), pg.routed(F.col("text"), other, F.col("confidence")).alias("text"))
 
 
@@ -191,3 +191,10 @@ def pixel_projection(spark, sf):
     """Single-precision projection of whole numbers well beyond the grid."""
     d = fx.table(spark, sf, "documents")
     return d.select("doc_id", to_pixels(F.col("n_chars"), F.lit(1654)).alias("px"), to_pixels(F.col("n_chars"), F.lit(2339)).alias("py"))
+
+
+@_query(f"WITH p AS ({fx.PAGES_SQL}) SELECT lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS extension, count(*) AS files FROM p GROUP BY ALL")
+def file_count(spark, sf):
+    """Files counted by extension, as a staging folder's are before it is cleared."""
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return _pages(spark, sf).groupBy(ext.alias("extension")).agg(F.count("*").alias("files"))

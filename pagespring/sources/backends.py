@@ -2,6 +2,12 @@
 
 A backend is made once per Python worker by a factory that is shipped to it.  Weights
 are not part of this repository; the stand-ins need none and make every step testable.
+
+Defined results: a row whose backend fails, or whose image could not be decoded, keeps
+status 'failed' and the error, and costs no other row its result; a caption that fails
+leaves the text with the captions before it; null texts have no regions; rows that share a
+name are rows of their own, but images of one name are matched by name, so names are to be
+unique where pixels are joined; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -10,13 +16,19 @@ import hashlib
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import linework, resample
 from ..functions.prompts import prompt
+from ..operators.pages import routed
 from ..operators.regions import regions
 
+RECOGNISED = "name string, text string, confidence float, img_w bigint, img_h bigint, status string, error string"
+LINES = "name string, line_idx int, y1 int, y2 int, height int, width int, pixels binary"
+
 
 class Recogniser(Protocol):
     def recognise(self, contents: list[bytes]) -> list[tuple[str, float, int, int]]:
@@ -31,6 +43,40 @@ class LineReader(Protocol):
     def read(self, lines: list[bytes]) -> list[str]: ...
 
 
+class ImageRecogniser(Protocol):
+    def recognise(self, pixels: np.ndarray, patches: tuple[int, int]) -> list[tuple[str, float]]:
+        """(text, confidence) of each page of a batch (N, 3, H, W) of one size."""
+
+
+class ImageCaptioner(Protocol):
+    def caption(self, prompt: str, pixels: np.ndarray) -> str:
+        """The caption of a region's crop (3, 378, 378)."""
+
+
+class ImageLineReader(Protocol):
+    def read(self, pixels: np.ndarray) -> list[str]:
+        """The text of each line of a batch (N, 3, 384, 384)."""
+
+
+def _digest(pixels: np.ndarray) -> str:
+    return hashlib.md5(np.ascontiguousarray(pixels, np.float32).tobytes()).hexdigest()[:8]
+
+
+class StubImageRecogniser:
+    def recognise(self, pixels, patches):
+        return [(f"page {_digest(p)} of {patches[0]} x {patches[1]}", 0.5) for p in pixels]
+
+
+class StubImageCaptioner:
+    def caption(self, prompt, pixels):
+        return f"[figure {_digest(pixels)}]"
+
+
+class StubImageLineReader:
+    def read(self, pixels):
+        return [f"line {_digest(p)}" for p in pixels]
+
+
 class StubRecogniser:
     def recognise(self, contents):
         return [(f"page {hashlib.md5(c).hexdigest()[:8]}", 0.5, 1654, 2339) for c in contents]
@@ -52,48 +98,182 @@ def _made(factory: Callable, kept: dict):
     return kept["backend"]
 
 
+def _each(call: Callable, batch: list) -> list[tuple]:
+    """(result, error) of each item: of one call for all, or where that fails one by one."""
+    try:
+        found = call(batch)
+        if len(found) == len(batch):
+            return [(r, None) for r in found]
+    except Exception:  # the items are tried alone, so that each has its own error
+        pass
+    out = []
+    for item in batch:
+        try:
+            out.append((call([item])[0], None))
+        except Exception as e:  # one item's failure stays that item's
+            out.append((None, str(e)))
+    return out
+
+
 def recognise(pages: DataFrame, factory: Callable[[], Recogniser]) -> DataFrame:
-    """pages (name, content) to (name, text, confidence, img_w, img_h, regions, status, error)."""
+    """pages (name, content) to (name, text, confidence, img_w, img_h, status, error, regions)."""
     kept: dict = {}
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for name, content in zip(batch["name"], batch["content"], strict=True):
-                try:
-                    rows.append((name, *_made(factory, kept).recognise([content])[0], "ok", None))
-                except Exception as e:  # one page's failure stays that page's
-                    rows.append((name, None, None, None, None, "failed", str(e)))
+            found = _each(lambda c: _made(factory, kept).recognise(c), list(batch["content"]))
+            rows = [(n, *r, "ok", None) if e is None else (n, None, None, None, None, "failed", e) for n, (r, e) in zip(batch["name"], found, strict=True)]
             frame = pd.DataFrame(rows, columns=["name", "text", "confidence", "img_w", "img_h", "status", "error"])
             yield frame.astype({"img_w": "Int64", "img_h": "Int64"})
 
-    out = pages.select("name", "content").mapInPandas(run, "name string, text string, confidence float, img_w bigint, img_h bigint, status string, error string")
+    out = pages.select("name", "content").mapInPandas(run, RECOGNISED)
+    return out.withColumn("regions", regions(F.col("text"), F.col("img_w"), F.col("img_h")))
+
+
+def _rgb(pixels: bytes, h: int, w: int) -> np.ndarray:
+    return np.frombuffer(pixels, np.uint8).reshape(int(h), int(w), 3)
+
+
+def recognise_images(images: DataFrame, factory: Callable[[], ImageRecogniser], batch: int = 8) -> DataFrame:
+    """``files.IMAGES`` to the columns of ``recognise``: pages are resized, padded, normalised
+    and stacked with others of their size, ``batch`` at most to a call."""
+    kept: dict = {}
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                yield read(frame.iloc[at : at + batch])
+
+    def read(part):
+        rows: dict[int, tuple] = {}
+        sizes: dict[tuple, list] = {}
+        for k, r in enumerate(part.itertuples(index=False)):
+            if r.status == "ok":
+                x, *grid = resample.recogniser_input(_rgb(r.pixels, r.height, r.width))
+                sizes.setdefault((x.shape, tuple(grid)), []).append((k, x, r))
+            else:
+                rows[k] = (r.name, None, None, None, None, "failed", r.error)
+        for (_, grid), held in sizes.items():
+            found = _each(lambda xs, grid=grid: _made(factory, kept).recognise(np.stack(xs), grid), [x for _, x, _ in held])
+            for (k, _, r), (got, e) in zip(held, found, strict=True):
+                rows[k] = (r.name, None, None, r.width, r.height, "failed", e) if e else (r.name, *got, r.width, r.height, "ok", None)
+        out = pd.DataFrame([rows[k] for k in sorted(rows)], columns=["name", "text", "confidence", "img_w", "img_h", "status", "error"])
+        return out.astype({"img_w": "Int64", "img_h": "Int64"})
+
+    out = images.select("name", "height", "width", "pixels", "status", "error").mapInPandas(run, RECOGNISED)
     return out.withColumn("regions", regions(F.col("text"), F.col("img_w"), F.col("img_h")))
 
 
+CAPTIONED = "name string, processed_output string, status string, error string"
+
+
+def _folded(text: str, labels, caption: Callable[[str, int], str | None]) -> tuple:
+    """(text, status, error): captions over their labels in order, each seeing the ones before;
+    a caption of None leaves its label."""
+    try:
+        for k, label in enumerate(labels):
+            if label in text and (told := caption(prompt(text), k)) is not None:
+                text = text.replace(label, told)
+    except Exception as e:  # the text is kept with the captions so far
+        return text, "failed", str(e)
+    return text, "ok", None
+
+
+def _captioned(held: DataFrame, run, widened: Callable[[DataFrame], DataFrame] = lambda some: some) -> DataFrame:
+    """Pages without regions never reach Python."""
+    some = F.coalesce(F.size("regions"), F.lit(0)) > 0
+    plain = held.where(~some).select("name", F.col("text").alias("processed_output"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
+    return plain.union(widened(held.where(some)).mapInPandas(run, CAPTIONED))
+
+
 def caption(recognised: DataFrame, factory: Callable[[], Captioner]) -> DataFrame:
-    """Splices captions over markers, each caption seeing the ones before: (name, processed_output).
+    """Splices captions over markers: (name, processed_output, status, error); the backend sees
+    a region's prompt and label."""
+    kept: dict = {}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, text, found in batch.itertuples(index=False):
+                labels = [r["label"] for r in found]
+                rows.append((name, *_folded(text, labels, lambda told, k, labels=labels: _made(factory, kept).caption(told, labels[k]))))
+            yield pd.DataFrame(rows, columns=["name", "processed_output", "status", "error"])
+
+    return _captioned(recognised.select("name", "text", "regions"), run)
+
 
-    Pages without regions never reach Python.
+def caption_images(recognised: DataFrame, images: DataFrame, factory: Callable[[], ImageCaptioner]) -> DataFrame:
+    """Splices captions over markers: (name, processed_output, status, error); the backend sees
+    a region's prompt and the pixels of its crop.
+
+    A region without extent, or outside its page, keeps its marker.  Only pages with regions
+    are joined to their pixels.
     """
     kept: dict = {}
 
     def run(batches):
         for batch in batches:
             rows = []
-            for name, text, labels in batch.itertuples(index=False):
-                try:
-                    for label in labels:
-                        if label in text:
-                            text = text.replace(label, _made(factory, kept).caption(prompt(text), label))
-                except Exception:  # the transcription is kept without further captions
-                    pass
-                rows.append((name, text))
-            yield pd.DataFrame(rows, columns=["name", "processed_output"])
-
-    held = recognised.select("name", "text", F.col("regions.label").alias("labels"))
-    plain = held.where(F.size("labels") <= 0).select("name", F.col("text").alias("processed_output"))
-    return plain.union(held.where(F.size("labels") > 0).mapInPandas(run, "name string, processed_output string"))
+            for name, text, found, pixels, h, w in batch.itertuples(index=False):
+                page = None if pixels is None else _rgb(pixels, h, w)
+
+                def one(told, k, page=page, found=found):
+                    if page is None:
+                        raise ValueError("the page has no pixels")
+                    x1, x2, y1, y2 = (int(found[k][c]) for c in ("x1", "x2", "y1", "y2"))
+                    crop = page[y1:y2, x1:x2]
+                    return _made(factory, kept).caption(told, resample.captioner_input(crop)) if crop.size else None
+
+                rows.append((name, *_folded(text, [r["label"] for r in found], one)))
+            yield pd.DataFrame(rows, columns=["name", "processed_output", "status", "error"])
+
+    pixels = images.where("status = 'ok'").select("name", "pixels", "height", "width")
+    return _captioned(recognised.select("name", "text", "regions"), run, lambda some: some.join(pixels, "name", "left").select("name", "text", "regions", "pixels", "height", "width"))
+
+
+def line_images(images: DataFrame) -> DataFrame:
+    """LINES of page images: a row per text line with its crop's RGB bytes; no spill files.
+
+    A page without lines, or that could not be decoded, gives none.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, h, w, pixels in batch.itertuples(index=False):
+                page = _rgb(pixels, h, w)
+                for k, (y1, y2) in enumerate(linework.line_spans(resample.gray_of(page))):
+                    top, bottom = linework.crop_rows(y1, y2, int(h))
+                    rows.append((name, k, y1, y2, bottom - top, int(w), page[top:bottom].tobytes()))
+            yield pd.DataFrame(rows, columns=["name", "line_idx", "y1", "y2", "height", "width", "pixels"])
+
+    return images.where("status = 'ok'").select("name", "height", "width", "pixels").mapInPandas(run, LINES)
+
+
+def read_line_images(lines: DataFrame, factory: Callable[[], ImageLineReader], thick: bool = False, batch: int = 16) -> DataFrame:
+    """(name, text) of LINES: each batch of crops resized, normalised, stacked and read, then a
+    page's lines joined in order.  A line that cannot be read is left out."""
+    kept: dict = {}
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                xs = [resample.line_input(_rgb(p, h, w), thick) for p, h, w in zip(part["pixels"], part["height"], part["width"], strict=True)]
+                found = _each(lambda xs: _made(factory, kept).read(np.stack(xs)), xs)
+                yield part[["name", "line_idx"]].assign(line=[r or "" for r, _ in found])
+
+    read = lines.select("name", "line_idx", "height", "width", "pixels").mapInPandas(run, "name string, line_idx int, line string")
+    return joined_lines(read)
+
+
+def with_handwriting(recognised: DataFrame, images: DataFrame, factory: Callable[[], ImageLineReader], threshold: float = 0.28) -> DataFrame:
+    """recognised with the texts of pages above the confidence threshold read again line by line;
+    a page without a second text keeps its first.  Only those pages' pixels are joined."""
+    again = recognised.where(F.col("confidence") > F.lit(threshold).cast("float")).select("name")
+    second = read_line_images(line_images(images.join(again, "name", "left_semi")), factory)
+    joined = recognised.join(second.withColumnRenamed("text", "second text"), "name", "left")
+    return joined.withColumn("text", routed(F.col("text"), F.col("second text"), F.col("confidence"), threshold)).select(recognised.columns)
 
 
 def read_lines(crops: DataFrame, factory: Callable[[], LineReader]) -> DataFrame:

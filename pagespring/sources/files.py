@@ -15,23 +15,54 @@ from ..functions.text import base_name, extension, is_page_image
 
 # Fixed value: a glob that takes the image extensions in any case, before files are read.
 IMAGE_GLOB = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}"
+DOCUMENT_GLOB = "*.{[pP][dD][fF],[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}"
+IMAGES = "path string, name string, height int, width int, pixels binary, status string, error string"
 PAGES = "doc_name string, page_no int, name string, content binary, status string, error string"
 
 
+def _listed(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """The folder's files that fit, without subfolders; none where the folder is missing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return reader.load(folder)
+    return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+
+
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, content) of the PDF and image files of a folder, not of its subfolders."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    named = files.withColumn("name", base_name(F.col("path")))
-    return named.where((extension(F.col("name")) == "pdf") | is_page_image(F.col("name"))).select("path", "name", "content")
+    """(path, name, content) of the PDF and image files of a folder, not of its subfolders.
+
+    Names are filtered before contents are read; a missing folder gives no rows.
+    """
+    named = _listed(spark, folder, DOCUMENT_GLOB).select("path", base_name(F.col("path")).alias("name"), "content")
+    return named.where((extension(F.col("name")) == "pdf") | is_page_image(F.col("name")))
 
 
 def scan_pages(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
-    """(path, name[, content]) of page images in path order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_GLOB).load(folder)
+    """(path, name[, content]) of page images in path order; a missing folder gives no rows."""
+    files = _listed(spark, folder, IMAGE_GLOB)
     columns = ["path", base_name(F.col("path")).alias("name"), *(["content"] if with_content else [])]
     return files.select(*columns).orderBy("path")
 
 
+def count_files(spark: SparkSession, folder: str) -> int:
+    """How many files a folder holds, subfolders not counted; contents are not read."""
+    return _listed(spark, folder, "*").select("path").count()
+
+
+def staging_folder(spark: SparkSession, root: str, run: str) -> str:
+    """A new empty folder for one run's intermediate files, under the shared ``root``.
+
+    It belongs to that run alone: a folder left by an earlier run of the same name is
+    removed, and nothing else ever is.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/run-{run}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path, True)
+    fs.mkdirs(path)
+    return path.toString()
+
+
 def rasterise(documents: DataFrame, to_images: Callable[[str, bytes], Iterable[bytes]]) -> DataFrame:
     """One row per page; ``to_images(name, content)`` runs on the executors.
 
@@ -56,6 +87,44 @@ def rasterise(documents: DataFrame, to_images: Callable[[str, bytes], Iterable[b
     return documents.select("name", "content").mapInPandas(run, PAGES)
 
 
+def rasterised(spark: SparkSession, path: str, to_images: Callable[[str, bytes], Iterable[bytes]]) -> DataFrame:
+    """``rasterise`` for one document; a path without a file, and a failing document, are errors."""
+    document = spark.read.format("binaryFile").load(path).select(base_name(F.col("path")).alias("name"), "content")
+    pages = rasterise(document, to_images)
+    failed = F.raise_error(F.concat(F.lit("not rasterised: "), "doc_name", F.lit(": "), "error"))
+    return pages.withColumn("status", F.when(F.col("status") == "ok", "ok").otherwise(failed))
+
+
+def decoded_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """IMAGES: the folder's page images as RGB rows of bytes, a row each.
+
+    One that cannot be decoded has no pixels and its error; a missing folder gives no rows.
+    Transparency is dropped.
+    """
+    if not count_files(spark, folder):
+        return spark.createDataFrame([], IMAGES)
+    found = spark.read.format("image").option("pathGlobFilter", IMAGE_GLOB).load(folder)
+    found = found.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            rows = []
+            for origin, h, w, n, data in batch.itertuples(index=False):
+                if h < 0:  # how the reader marks what it cannot decode
+                    rows.append((origin, None, None, None, "failed", "the image cannot be decoded"))
+                    continue
+                p = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                rgb = np.repeat(p, 3, 2) if n == 1 else p[:, :, 2::-1]  # stored as BGR
+                rows.append((origin, h, w, rgb.tobytes(), "ok", None))
+            frame = pd.DataFrame(rows, columns=["path", "height", "width", "pixels", "status", "error"])
+            frame.insert(1, "name", [p.rsplit("/", 1)[-1] for p in frame["path"]])
+            yield frame.astype({"height": "Int32", "width": "Int32"})
+
+    return found.mapInPandas(run, IMAGES)
+
+
 def gray_pixels(spark: SparkSession, folder: str) -> DataFrame:
     """(path, y, x, gray, error) of a folder's images.
 
@@ -84,15 +153,23 @@ def gray_pixels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, tensor, shape, dtype) from the headers of safetensors files."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """(file, tensor, shape, dtype) from the headers of safetensors files.
+
+    Only the header's bytes are read: the files are listed, and each is opened on an executor.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
 
     def run(batches):
+        from pyarrow import fs
+
         for batch in batches:
             rows = []
-            for p, content in zip(batch["path"], batch["content"], strict=True):
-                size = struct.unpack("<Q", content[:8])[0]
-                for tensor, about in json.loads(content[8 : 8 + size]).items():
+            for p in batch["path"]:
+                store, inner = fs.FileSystem.from_uri(p)
+                with store.open_input_file(inner) as f:
+                    size = struct.unpack("<Q", f.read(8))[0]
+                    about_all = json.loads(f.read(size))
+                for tensor, about in about_all.items():
                     if tensor != "__metadata__":
                         rows.append((p, tensor, "x".join(map(str, about["shape"])), about["dtype"]))
             yield pd.DataFrame(rows, columns=["file", "tensor", "shape", "dtype"])
@@ -100,6 +177,11 @@ def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "file string, tensor string, shape string, dtype string")
 
 
+def write_tensor_table(headers: DataFrame, folder: str) -> None:
+    """The tensor table as tab-separated text."""
+    headers.select("tensor", "shape", "dtype").write.mode("overwrite").csv(folder, sep="\t")
+
+
 def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per JSON file, by an explicit schema; a file that does not fit is an error."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -108,23 +190,51 @@ def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def export_markdown(pages: DataFrame, folder: str) -> DataFrame:
     """Writes ``folder/name.md`` for rows (name, processed_output): (path, status, error).
 
-    The folder must be one that all executors share.  A page is written to a temporary
-    name and renamed, so a task that runs again leaves whole files.
+    The folder must be one that all executors share.  A page is written to a name of the
+    attempt's own and renamed, so a task that runs again, or twice at once, leaves whole
+    files.  A null text gives an empty file; a null name, and every row of a name that
+    stands more than once, give a row with an error and no file.
     """
+    counted = pages.groupBy("name").agg(F.count("*").alias("same"))
+    named = pages.select("name", "processed_output").join(counted, "name", "left")
 
     def run(batches):
+        import uuid
+
         os.makedirs(folder, exist_ok=True)
         for batch in batches:
             rows = []
-            for name, text in zip(batch["name"], batch["processed_output"], strict=True):
+            for name, text, same in zip(batch["name"], batch["processed_output"], batch["same"], strict=True):
+                if name is None:
+                    rows.append((None, "failed", "a page without a name"))
+                    continue
                 path = os.path.join(folder, f"{name}.md")
+                if same > 1:
+                    rows.append((path, "failed", "several pages of one name"))
+                    continue
+                part = f"{path}.{uuid.uuid4().hex}.tmp"
                 try:
-                    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+                    with open(part, "w", encoding="utf-8") as f:
                         f.write(text or "")
-                    os.replace(f"{path}.tmp", path)
+                    os.replace(part, path)
                     rows.append((path, "ok", None))
                 except OSError as e:
                     rows.append((path, "failed", str(e)))
             yield pd.DataFrame(rows, columns=["path", "status", "error"])
 
-    return pages.select("name", "processed_output").mapInPandas(run, "path string, status string, error string")
+    return named.select("name", "processed_output", "same").mapInPandas(run, "path string, status string, error string")
+
+
+def observed(rows: DataFrame, name: str):
+    """rows and the metrics that their run will have: (frame, observation).
+
+    ``observation.get`` holds rows, failed and chars once an action has run; nothing is
+    read twice for them.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    failed = F.count_if(F.col("status") == "failed") if "status" in rows.columns else F.lit(0).cast("bigint")
+    text = next((c for c in ("processed_output", "text") if c in rows.columns), None)
+    chars = F.sum(F.length(text)) if text else F.lit(0).cast("bigint")
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), failed.alias("failed"), F.coalesce(chars, F.lit(0)).alias("chars")), seen
