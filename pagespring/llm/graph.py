@@ -12,7 +12,7 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component): the smallest node reachable, for the nodes that have links.
 
     Alternates large-star and small-star contraction until nothing changes: a number of
-    rounds that grows with the logarithm of a component's diameter.  A round is one
+    rounds that grows with the logarithm of a component's diameter.  A half round is one
     aggregate (combined before its shuffle) and one join that Spark may split when a
     hub is hot.  Rounds are written to the shared folder; links never reach the driver.
     Links with a null end, and loops, are left out.
@@ -21,13 +21,16 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     edges, mark = saved(edges), None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that Spark can split a hub's links in the join
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
+        large = saved(large)
+        nearest = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(nearest.select("u", F.col("m").alias("v")))
         new = saved(small.distinct())
         found = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(edges)
+        for done in (edges, least, large, nearest):
+            dropped(done)
         edges = new
         if found == mark:
             break

@@ -2,24 +2,23 @@
 
 1. Every text gives its set of shingles and, by two permutations of which one is
    circularly shifted, a signature whose bands name buckets.
-2. Texts with equal sets are one class; its smallest doc_id stands for it, so copies
-   are never compared.
-3. In every bucket each class is compared with the bucket's smallest (linear in the
+2. Texts with equal sets (128 bits of a digest) are one class, told apart by the set alone,
+   so copies are never compared; a row of its smallest doc_id lends it its text.
+3. In every bucket each class is compared with the bucket's first (linear in the
    bucket, dealt out by chunks), and the links found are contracted to components.
-4. Buckets that hang together form a group (above GROUP members they stay apart).  In
-   groups that still hold several components the members are laid in blocks by their
+4. In buckets that still hold several components the members are laid in blocks by their
    component, and each pair of blocks that are not of one component is compared as a
    whole.  Only links that join something new are written.
-So every two classes that share a bucket end up in one component or compared, no task
-holds more than two blocks, and no list of pairs is made.
+So at every size every two classes that share a bucket end up in one component or
+compared, no task holds more than two blocks, and no list of pairs is made.
 
 With 24 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability
-(1 - 0.8**4)**24 = 3e-6, and less above; groups join buckets, which finds more.
+(1 - 0.8**4)**24 = 3e-6, and less above.
 
 Defined results: a null, empty or wordless text has n_shingles 0, links with nothing
 and is kept; a row with a null doc_id links with nothing, has a null component and is
-kept; rows that share a doc_id count as one document; an empty table gives no rows;
-further columns are ignored.
+kept; rows that share a doc_id are compared by their texts, each as a document; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +27,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, saved, table
+from .common import dropped, likely, saved, table
 from .graph import components
 from .minhash import band_keys, signatures
 from .shingles import flat, shingle_sets
 
 BANDS, ROWS = 24, 4
 BLOCK = 1024
-GROUP = 8192
 SLICE = 8192
 
 
 def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set), keys (a bucket for each band)."""
+    """doc_id, t, n_shingles, d1, d2 (digest of the set), keys (a bucket for each band)."""
 
     def run(batches):
         import pyarrow as pa
@@ -49,9 +47,9 @@ def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) ->
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, 512)
-                at += 512
-                h, limits = shingle_sets(*flat(part.column(1)), width)
+                part = batch.slice(at, 256)
+                at += 256
+                h, limits = shingle_sets(*flat(part.column(2)), width)
                 n = np.diff(limits)
                 full = np.flatnonzero(n)
                 keys = np.zeros((0, bands), np.int64)
@@ -61,11 +59,11 @@ def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) ->
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 ends = np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n.astype(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
-                    ["doc_id", "n_shingles", "d1", "d2", "keys"],
+                    [part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
+                    ["doc_id", "t", "n_shingles", "d1", "d2", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+    return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -93,18 +91,18 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compared(tasks: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) found in tasks: rows (task, side, id, component).
+def compared(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between components, found in tasks: rows (task, side, id, component).
 
     Side 0 is compared with side 1, or with itself where there is no side 1.  Pairs of
     one component are skipped; of the rest, links that join nothing new are left out.
     """
 
-    def links(ids, sides, comps, texts):
+    def links(sides, comps, texts):
         import pyarrow as pa
 
         h, limits = shingle_sets(*flat(pa.array(texts, pa.large_string())), width)
-        sets = [h[limits[i] : limits[i + 1]] for i in range(len(ids))]
+        sets = [h[limits[i] : limits[i + 1]] for i in range(len(texts))]
         a = [i for i, s in enumerate(sides) if s == 0]
         b = [i for i, s in enumerate(sides) if s == 1] or a
         if not a:
@@ -125,20 +123,20 @@ def compared(tasks: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             x, y = find(ca[i]), find(cb[j])
             if x != y:
                 root[max(x, y)] = min(x, y)
-                found.append((ids[a[i]], ids[b[j]]))
+                found.append((int(ca[i]), int(cb[j])))
         return found
 
     def run(batches):
         import pyarrow as pa
 
-        current, rows = None, ([], [], [], [])
+        current, rows = None, ([], [], [])
         for batch in batches:
             out = []
-            for task, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for task, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if task != current:
                     if current is not None:
                         out += links(*rows)
-                    current, rows = task, ([], [], [], [])
+                    current, rows = task, ([], [], [])
                 for held, x in zip(rows, row, strict=True):
                     held.append(x)
             if out:
@@ -146,63 +144,60 @@ def compared(tasks: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         if current is not None and (out := links(*rows)):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    t = tasks.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("task", "id", "side", "component", "text")
+    t = tasks.join(texts, "id").select("task", "side", "component", "text")
     return t.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
 def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, n_shingles, component_id, kept.
+
+    Aggregates are written before they are joined to what they count, so that Spark can
+    split a hot key of the larger side.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     rows = saved(signed(docs, width))
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.any_value("keys").alias("keys"))
-    classes = saved(classes)
-    members = classes.select("id", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    members = saved(members.join(buckets.select("key", "leader"), "key"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.any_value("keys").alias("keys"))
+    # a class's id is its row's number, fixed by being written: doc_ids may be shared
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()))
+    every = classes.select("id", F.explode("keys").alias("key"))
+    buckets = saved(every.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader"))
+    members = saved(every.join(buckets, "key"))
     # buckets with the same members (a count and the sums of two hashes tell them) are one
     marks = members.groupBy("key", "leader").agg(
         F.count("*").alias("n"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s1"),
         F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s2"),
     )
-    members = saved(members.join(marks.groupBy("n", "leader", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key"))
-    # any row of those that share a doc_id
-    needed = saved(members.select(F.col("id").alias("doc_id")).distinct())
-    texts = likely(docs, "doc_id", needed).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    single = saved(marks.groupBy("n", "leader", "s1", "s2").agg(F.min("key").alias("key")).select("key"))
+    members = saved(members.join(single, "key"))
+    needed = saved(classes.select("id", "rep.doc_id", "rep.t").join(members.select("id").distinct(), "id"))
+    # any of the rows that are equal in both
+    texts = likely(docs, "t", needed.select("t")).join(needed, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"])
     texts = saved(texts)
     # each member against its bucket's first
-    pairs = members.where("id <> leader").select("leader", "id").distinct()
-    pairs = pairs.join(pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("chunks")), "leader")
-    pairs = pairs.withColumn("task", F.concat_ws("/", "leader", F.pmod(F.xxhash64("id"), "chunks")))
+    pairs = saved(members.where("id <> leader").select("leader", "id").distinct())
+    chunks = saved(pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("chunks")))
+    pairs = pairs.join(chunks, "leader").withColumn("task", F.concat_ws("/", "leader", F.pmod(F.xxhash64("id"), "chunks")))
     first = pairs.select("task", "id", F.lit(1).alias("side"), F.col("id").alias("component"))
     lead = pairs.select("task", F.col("leader").alias("id")).distinct().select("task", "id", F.lit(0).alias("side"), F.col("id").alias("component"))
-    links = saved(compared(first.union(lead), texts, width, percent))
-    comps = components(links)
-    # what is left: groups of several components, by blocks
-    m = saved(groups(members, components(pairs.select(F.col("leader").alias("u"), F.col("id").alias("v"))), comps))
-    open_groups = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    tasks = block_tasks(m.join(open_groups.select("key", "n"), "key"))
-    more = compared(tasks, texts, width, percent)
-    comps = components(saved(links.union(more)))
-    by_class = classes.join(comps, classes.id == comps.node, "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(by_class, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def groups(members: DataFrame, loose: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, id, component): who is compared with whom, beyond a component's own.
-
-    Buckets that hang together are compared as one group, so that members of many
-    common buckets meet once.  Where such a group has more than GROUP members its
-    buckets stay apart.
-    """
-    near = members.select("id", "key", "leader").join(loose.select(F.col("node").alias("id"), F.col("component").alias("loose")), "id")
-    sizes = near.select("id", "loose").distinct().groupBy("loose").agg(F.count("*").alias("size"))
-    near = near.join(sizes, "loose")
-    key = F.when(F.col("size") > GROUP, F.concat_ws("/", F.lit("b"), "key")).otherwise(F.concat_ws("/", F.lit("g"), "loose"))
-    near = near.select(key.alias("key"), "id").distinct()
-    return near.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    comps = saved(components(saved(compared(first.union(lead), texts, width, percent))))
+    # what is left: buckets of several components, by blocks
+    m = members.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    m = saved(m.select("key", "id", F.coalesce("component", "id").alias("component")))
+    several = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    m = saved(m.join(saved(several.select("key", "n")), "key"))
+    joined = components(saved(compared(block_tasks(m), texts, width, percent)))
+    by_class = classes.select("d1", "d2", "id", "rep.doc_id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    by_class = by_class.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+    by_class = saved(by_class.select("d1", "d2", "doc_id", F.coalesce("whole", "component").alias("component")))
+    least = saved(by_class.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    by_class = saved(by_class.join(least, "component").select("d1", "d2", "component_id"))
+    for done in (buckets, single, members, needed, texts, pairs, chunks, m):
+        dropped(done)
+    linking = F.expr("n_shingles > 0 and doc_id is not null")
+    found = rows.where(linking).join(by_class, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
+    alone = rows.where(~F.coalesce(linking, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def block_tasks(m: DataFrame) -> DataFrame:
@@ -214,18 +209,19 @@ def block_tasks(m: DataFrame) -> DataFrame:
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK // 2)))
     # within one component the members go on by their own hash
-    per = m.groupBy("key", "component").agg(F.count("*").alias("c"))
+    per = saved(m.groupBy("key", "component").agg(F.count("*").alias("c")))
     m = m.join(per, ["key", "component"])
     whole = F.col("c") >= BLOCK
     slot = F.when(whole, F.concat_ws("/", F.lit("c"), "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / F.lit(BLOCK // 2))))).otherwise(
         F.concat_ws("/", F.lit("m"), F.pmod(F.xxhash64("component"), parts))
     )
-    m = m.select("key", "id", "component", slot.alias("block"), F.when(whole, F.col("component")).alias("pure"))
+    m = saved(m.select("key", "id", "component", slot.alias("block"), F.when(whole, F.col("component")).alias("pure")))
     blocks = m.select("key", "block", "pure").distinct()
     pairs = blocks.alias("a").join(
         blocks.select("key", F.col("block").alias("other"), F.col("pure").alias("other_pure")).alias("b"),
         "key",
     ).where("block <= other and not coalesce(pure = other_pure, false)")
+    pairs = saved(pairs)
     task = F.concat_ws("|", "key", "block", "other")
     left = pairs.join(m.select("key", "block", "id", "component"), ["key", "block"]).select(task.alias("task"), "id", F.lit(0).alias("side"), "component")
     right = pairs.where("block < other").join(m.select("key", F.col("block").alias("other"), "id", "component"), ["key", "other"]).select(task.alias("task"), "id", F.lit(1).alias("side"), "component")
@@ -234,3 +230,20 @@ def block_tasks(m: DataFrame) -> DataFrame:
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1 : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.a = d.doc_id
+"""
