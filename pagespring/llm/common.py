@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,45 +16,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders that ``saved`` has written and nothing has removed yet.
-SCRATCH: list[str] = []
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """The list of the folders that ``saved`` writes inside the block, in this thread."""
+    paths: list[str] = []
+    before = _noted.set(paths)
+    try:
+        yield paths
+    finally:
+        _noted.reset(before)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees (``spark.checkpoint.dir``).
 
-    Only where the session has none (tests on one machine) a temporary one is set.
+    Only a session on one machine may leave it out, as tests do; it gets a temporary one.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagespring-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        found = kept
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagespring-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's intermediates go; ``clear(spark, [scratch_dir(spark)])`` removes all."""
+    return f"{shared_dir(spark)}/pagespring/{spark.sparkContext.applicationId}"
+
+
+def saved(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
     later plans see the true size.  The schema is kept as given.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagespring/{uuid.uuid4().hex}"
-    SCRATCH.append(path)
-    writer = df.write.mode("overwrite")
-    if rows_per_file:
-        writer = writer.option("maxRecordsPerFile", rows_per_file)
-    writer.parquet(path)
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a frame that ``saved`` returned."""
-    names = {name.rsplit("/", 1)[0].rsplit("/", 1)[-1] for name in df.inputFiles()}
-    clear(df.sparkSession, [p for p in SCRATCH if p.rsplit("/", 1)[-1] in names])
+    top = scratch_dir(df.sparkSession)
+    clear(df.sparkSession, sorted({f"{top}/{name.rsplit('/', 2)[-2]}" for name in df.inputFiles()}))
 
 
 def clear(spark: SparkSession, paths: list[str]) -> None:
@@ -60,8 +75,6 @@ def clear(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = sc._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        if p in SCRATCH:
-            SCRATCH.remove(p)
 
 
 def unit_hash(*parts: Column | str) -> Column:
