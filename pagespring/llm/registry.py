@@ -21,6 +21,8 @@ SQL = {
     "op1_bm25": search.OP1_SQL,
     "op3_licenses": licenses.OP3_SQL,
     "op4_embeddings": embeddings.OP4_SQL,
+    "op5_repeats": repeats.OP5_SQL,
+    "op7_minhash": neardup.OP7_SQL,
     "op8_mix": mixing.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
 }
