@@ -71,6 +71,27 @@ def line_crops(runs: DataFrame, height) -> DataFrame:
     return runs.withColumn("top", top).withColumn("bottom", F.greatest(F.least(F.col("y2"), h), F.col("top") + 1))
 
 
+def line_pixels(crops: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(page_id, line_idx, y, x, gray): the crops' pixels, y from the crop's top; no files."""
+    inside = (F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom"))
+    j = crops.select("page_id", "line_idx", "top", "bottom").join(pixels, "page_id").where(inside)
+    return j.select("page_id", "line_idx", (F.col("y") - F.col("top")).alias("y"), "x", "gray")
+
+
+def luma(r, g, b):
+    """(2126 r + 7152 g + 722 b) / 10000 in whole numbers."""
+    return div(2126 * r + 7152 * g + 722 * b, 10000)
+
+
+def planar(pixels: DataFrame, mean: tuple, std: tuple) -> DataFrame:
+    """(page_id, at, value) of RGB rows (page_id, y, x, r, g, b): (p / 255 - mean) / std by
+    channel, at its place in the channel-first layout."""
+    sizes = pixels.groupBy("page_id").agg((F.max("y") + 1).cast("bigint").alias("h"), (F.max("x") + 1).cast("bigint").alias("w"))
+    each = [F.struct(F.lit(c).alias("c"), ((F.col(n) / 255.0 - mean[c]) / std[c]).alias("value")) for c, n in enumerate("rgb")]
+    e = pixels.select("page_id", "y", "x", F.explode(F.array(*each)).alias("e")).join(sizes, "page_id")
+    return e.select("page_id", (F.col("e.c") * F.col("h") * F.col("w") + F.col("y") * F.col("w") + F.col("x")).alias("at"), "e.value")
+
+
 def segment_lines(pixels: DataFrame, share: float = 0.008) -> DataFrame:
     """Pixels to text lines: threshold, dilate, histogram, smooth, runs."""
     binary = dilate(adaptive_threshold(pixels))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.resample import MEAN, STD
 from ..operators import raster as rs
 from ..operators import sizes as sz
+from ..sources.backends import joined_lines
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -86,6 +88,52 @@ def line_crop_bounds(spark, sf):
     return rs.line_crops(rs.line_runs(_smoothed(spark, sf), F.lit(_ABOVE), least=3), F.lit(40)).drop("line_idx")
 
 
+_CROPS = (
+    f"{_R}, c AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y1) - 1 AS INT) AS line_idx, least(y1, 49) AS top, greatest(least(y2, 50), least(y1, 49) + 1) AS bottom FROM r),"
+    " x AS (SELECT c.page_id, c.line_idx, CAST(p.y - c.top AS INT) AS y, p.x, p.gray FROM c JOIN p ON p.page_id = c.page_id AND p.y >= c.top AND p.y < c.bottom)"
+)
+
+
+def _crops(spark, sf):
+    runs = rs.line_runs(_smoothed(spark, sf), F.lit(_ABOVE), least=3)
+    return rs.line_pixels(rs.line_crops(runs, F.lit(50)), fx.pixels(spark, sf))
+
+
+@_query(f"WITH {_CROPS} SELECT * FROM x")
+def line_crop_pixels(spark, sf):
+    return _crops(spark, sf)
+
+
+@_query(f"WITH {_CROPS}, e AS (SELECT page_id, line_idx, 'line ' || CAST(sum(gray * (x + 1)) AS VARCHAR) || ' ' AS line FROM x GROUP BY page_id, line_idx) SELECT page_id, string_agg(trim(line), chr(10) ORDER BY line_idx) AS text FROM e GROUP BY page_id")
+def page_transcription(spark, sf):
+    """Pages to lines to text, with a stand-in for the reader that depends on every pixel."""
+    read = _crops(spark, sf).groupBy(F.col("page_id").alias("name"), "line_idx").agg(F.sum(F.col("gray") * (F.col("x") + 1)).alias("s"))
+    lines = read.select("name", "line_idx", F.concat(F.lit("line "), F.col("s").cast("string"), F.lit(" ")).alias("line"))
+    return joined_lines(lines).withColumnRenamed("name", "page_id")
+
+
+_RGB = f"{_P}, c AS (SELECT page_id, y, x, gray AS r, gray * 3 % 256 AS g, gray * 7 % 256 AS b FROM p)"
+
+
+def _rgb(spark, sf):
+    return fx.pixels(spark, sf).selectExpr("page_id", "y", "x", "gray AS r", "gray * 3 % 256 AS g", "gray * 7 % 256 AS b")
+
+
+@_query(f"WITH {_RGB} SELECT page_id, y, x, CAST((2126 * r + 7152 * g + 722 * b) // 10000 AS BIGINT) AS gray FROM c")
+def gray_luma(spark, sf):
+    return _rgb(spark, sf).select("page_id", "y", "x", rs.luma(F.col("r"), F.col("g"), F.col("b")).alias("gray"))
+
+
+@_query(
+    f"WITH {_RGB}, s AS (SELECT page_id, max(y) + 1 AS h, max(x) + 1 AS w FROM c GROUP BY page_id),"
+    " e AS (SELECT page_id, y, x, 0 AS c, r AS v FROM c UNION ALL SELECT page_id, y, x, 1, g FROM c UNION ALL SELECT page_id, y, x, 2, b FROM c)"
+    f" SELECT e.page_id, CAST(c * h * w + y * w + x AS BIGINT) AS at, round((v / 255.0::DOUBLE - CASE c WHEN 0 THEN {MEAN[0]}::DOUBLE WHEN 1 THEN {MEAN[1]}::DOUBLE ELSE {MEAN[2]}::DOUBLE END)"
+    f" / CASE c WHEN 0 THEN {STD[0]}::DOUBLE WHEN 1 THEN {STD[1]}::DOUBLE ELSE {STD[2]}::DOUBLE END, 6) AS value FROM e JOIN s ON s.page_id = e.page_id"
+)
+def planar_pixels(spark, sf):
+    return rs.planar(_rgb(spark, sf), MEAN, STD).withColumn("value", F.round("value", 6))
+
+
 _LINES = (
     f"{_S}, w AS (SELECT page_id, CAST(trunc(CAST(max(x) + 1 AS FLOAT) * CAST(0.008 AS FLOAT)) AS BIGINT) AS thr FROM p GROUP BY page_id),"
     " l1 AS (SELECT s.page_id, y, y - row_number() OVER (PARTITION BY s.page_id ORDER BY y) AS island FROM s JOIN w ON w.page_id = s.page_id WHERE n > thr),"
