@@ -2,11 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet
 and read again before the next stage is called; all but the last return the columns of
-``documents``.  A stage may therefore remove the working files of the stage before it.
+``documents``.  A stage may therefore remove the working files of the stage before it in
+the same run: that of the application, the thread and the tables' folder.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +18,21 @@ from pagespring.llm import common, mixing, neardup, packing, repeats, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 WORDS = 5
-_previous: list[str] = []
+#: The working files of each run's last stage.
+_runs: dict[tuple, list[str]] = {}
 
 
 def _stage(f: Callable) -> Callable:
-    """Removes the working files of the stage before and notes this one's."""
+    """Removes the working files of the run's stage before and notes this one's."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.clear(spark, _previous)
-        had = set(common.SCRATCH)
-        try:
-            return f(spark, docs, sf_dir)
-        finally:
-            _previous[:] = [p for p in common.SCRATCH if p not in had]
+        key = (spark.sparkContext.applicationId, threading.get_ident(), sf_dir)
+        common.clear(spark, _runs.pop(key, []))
+        with common.noting() as paths:
+            try:
+                return f(spark, docs, sf_dir)
+            finally:
+                _runs[key] = paths
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     return run
@@ -75,8 +79,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
-    return packing.pack(docs, packing.default_tokenizer())
+    """Packs the documents' tokens into sequences; ``ids`` has each piece's tokens."""
+    return packing.pack(docs, packing.default_tokenizer(), with_ids=True)
 
 
 STAGES = [
@@ -89,9 +93,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = common.saved(stage(spark, docs, sf_dir))
+        if before:
+            common.dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
