@@ -143,6 +143,7 @@ def probe_turns(spark) -> DataFrame:
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
+    """All conversations and the probe; turns that the table has as conversation -1 join it."""
     from .common import table
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -15,8 +15,7 @@ verified: the exact share of their shingles that the window contains.
 
 A statement under five words has no shingle and is no template (it is refused as one).
 Given as a notice its whole word sequence is its one shingle, looked for in the texts'
-windows of that many words.  NOTICES are not part of op3_licenses, whose SQL knows the
-templates only.
+windows of that many words.
 
 Defined results: null or empty texts match nothing, and texts under five words match
 notices only; of several windows the best counts, of equal
@@ -35,6 +34,7 @@ SHINGLE = 5
 BANDS = 32
 CONTAINED = 0.8
 TEMPLATES_MOST = 4096
+SHINGLES_MOST = 4_000_000  # of all templates: 32 MB
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 # License statements as they are commonly written.
@@ -45,6 +45,14 @@ TEMPLATES = {
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "mit": "Released under the MIT License.",
+    "mit-text": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
@@ -95,55 +103,66 @@ def template_frame(spark, templates: dict[str, str]) -> DataFrame:
     return t.select("license", "c", "t", minima(F.col("t")).alias("bands"))
 
 
-def noticed(docs: DataFrame, notices: dict[str, str]) -> DataFrame:
-    """scan's columns for statements under five words; first_shingle is the first word's place."""
+def notice_words(spark, notices: dict[str, str]) -> list[tuple[str, list[str]]]:
+    """(name, words) of the notices, in order of their names; at most TEMPLATES_MOST."""
     if len(notices) > TEMPLATES_MOST:
         raise ValueError("too many notices")
-    spark = docs.sparkSession
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in sorted(notices.items())]))
     listed = spark.range(1).select(rows.alias("r")).select("r.license", word_array(F.col("r.text")).alias("w")).collect()  # bounded by TEMPLATES_MOST
     if any(not 0 < len(r["w"]) < SHINGLE for r in listed):
         raise ValueError("a notice has no word or five and more")
-    d = _once(docs.select("doc_id", "text"), "w", word_array(F.col("text"))).drop("text")
+    return sorted((r["license"], list(r["w"])) for r in listed)
+
 
-    def first(words: list[str]) -> Column:
-        def starts(w: Column, i: Column) -> Column:
-            hit = w == words[0]
-            for k, x in enumerate(words[1:], 1):
-                hit = hit & F.coalesce(F.get("w", i + k) == x, F.lit(False))
-            return F.when(hit, i)
+def first_place(words: list[str]) -> Column:
+    """The first place of a sequence of words in the array w, null without one."""
 
-        return F.array_min(F.transform("w", starts))
+    def starts(w: Column, i: Column) -> Column:
+        hit = w == words[0]
+        for k, x in enumerate(words[1:], 1):
+            hit = hit & F.coalesce(F.get("w", i + k) == x, F.lit(False))
+        return F.when(hit, i)
 
-    places = [F.struct(F.lit(r["license"]).alias("license"), first(r["w"]).alias("at")) for r in listed]
-    d = d.select("doc_id", F.explode(F.array(*places)).alias("v")).select("doc_id", "v.*").where("at is not null")
-    return d.groupBy("doc_id", "license").agg(F.lit(1.0).alias("containment"), F.min("at").cast("long").alias("first_shingle"))
+    return F.array_min(F.transform("w", starts))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, containment, first_shingle (of the best window)."""
-    if notices:
-        if set(notices) & set(templates or TEMPLATES):
-            raise ValueError("a notice has a template's name")
-        return scan(docs, templates, contained).union(noticed(docs, notices))
+    if set(notices or ()) & set(templates or TEMPLATES):
+        raise ValueError("a notice has a template's name")
     spark = docs.sparkSession
     known = template_frame(spark, templates or TEMPLATES)
     listed = known.collect()  # bounded by TEMPLATES_MOST
     if any(not r["t"] for r in listed):
         raise ValueError("a template has fewer than five words")
+    if sum(len(r["t"]) for r in listed) > SHINGLES_MOST:
+        raise ValueError("the templates are too long")
     classes = sorted({r["c"] for r in listed})
-    keys = known.select("license", "c", "t", F.explode("bands").alias("b")).select("license", "c", "t", "b.band", "b.least")
+    keys = known.select("license", "c", F.explode("bands").alias("b")).select("license", "c", "b.band", "b.least")
     # the shingles that give a template its minimum in some band
     signs = sorted({r[0] for r in known.select(F.explode(F.flatten(F.transform("bands", lambda b: F.filter("t", lambda x: F.xxhash64(x, b["band"]) == b["least"]))))).distinct().collect()})
+    # a notice is a class of its own (below 0), its hit a window with one shingle: the class
+    short = notice_words(spark, notices) if notices else []
     d = docs.select("doc_id", F.explode(F.array(word_array(F.col("text")))).alias("w"))
-    d = _once(d, "h", shingle_array(F.col("w"))).drop("w")
+    d = _once(d, "h", shingle_array(F.col("w")))
     places = F.filter(F.transform("h", lambda x, i: F.when(x.isin(signs), i)), lambda i: i.isNotNull())
     d = _once(d, "places", places)
     windows = [windows_around(F.col("places"), c) for c in classes]
+    if short:
+        hits = [F.struct(F.lit(-n).alias("c"), first_place(words).alias("at"), F.lit(0).alias("size")) for n, (_, words) in enumerate(short, 1)]
+        windows.append(F.filter(F.array(*hits), lambda x: x["at"].isNotNull()))
+        own = [F.struct(F.lit(name).alias("license"), F.lit(-n).alias("c"), F.array(F.lit(-n).cast("long")).alias("t")) for n, (name, _) in enumerate(short, 1)]
+        mine = spark.range(1).select(F.explode(F.array(*own)).alias("r")).select("r.*")
+        keys = keys.union(mine.select("license", "c", F.lit(-1).alias("band"), F.col("c").cast("long").alias("least")))
+        known = known.select("license", "c", "t").union(mine)
     d = d.select("doc_id", "h", F.explode(F.concat(*windows)).alias("v"))
-    d = d.select("doc_id", F.explode(F.array(F.struct("v.c", "v.at", F.slice("h", F.col("v.at") + 1, F.col("v.size")).alias("s")))).alias("v")).select("doc_id", "v.*")
-    d = d.select("doc_id", "c", "at", "s", F.explode(minima(F.col("s"))).alias("b")).select("doc_id", "c", "at", "s", "b.*")
+    s = F.when(F.col("v.c") < 0, F.array(F.col("v.c").cast("long"))).otherwise(F.slice("h", F.col("v.at") + 1, F.col("v.size")))
+    d = d.select("doc_id", F.explode(F.array(F.struct("v.c", "v.at", s.alias("s")))).alias("v")).select("doc_id", "v.*")
+    sign = F.when(F.col("c") < 0, F.array(F.struct(F.lit(-1).alias("band"), F.col("c").cast("long").alias("least")))).otherwise(minima(F.col("s")))
+    d = d.select("doc_id", "c", "at", "s", F.explode(sign).alias("b")).select("doc_id", "c", "at", "s", "b.*")
     found = d.join(F.broadcast(keys), ["c", "band", "least"])  # BANDS rows a template, TEMPLATES_MOST checked
+    found = found.select("doc_id", "license", "at", "s").distinct()  # a window that meets its template in several bands
+    found = found.join(F.broadcast(known.select("license", "t")), "license")  # SHINGLES_MOST checked
     share = F.size(F.array_intersect("s", "t")) / F.size("t")
     found = found.select("doc_id", "license", "at", share.alias("containment")).where(F.col("containment") >= contained)
     best = found.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("at")).alias("before"))).alias("x"))
@@ -151,13 +170,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), notices=NOTICES)
+
+
+def _listed(statements: dict[str, str]) -> str:
+    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(statements.items()))
 
 
-_NAMES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
 OP3_SQL = f"""
 WITH tw AS (
-  SELECT license, list_filter(regexp_split_to_array(lower(text), '{NOT_WORD}'), lambda x: x <> '') AS w FROM (VALUES {_NAMES}) AS v(license, text)
+  SELECT license, list_filter(regexp_split_to_array(lower(text), '{NOT_WORD}'), lambda x: x <> '') AS w FROM (VALUES {_listed(TEMPLATES)}) AS v(license, text)
 ), t AS (
   SELECT license, list_distinct(list_transform(range(len(w) - 4), lambda i: list_slice(w, i + 1, i + 5))) AS t,
     CAST(pow(2, ceil(log2(len(w) - 4))) AS BIGINT) AS c FROM tw
@@ -171,10 +193,15 @@ WITH tw AS (
   SELECT d.doc_id, t.license, t.t, j * greatest(1, t.c // 2) AS pos,
     list_slice(d.h, j * greatest(1, t.c // 2) + 1, j * greatest(1, t.c // 2) + greatest(1, t.c + t.c // 2)) AS s
   FROM hit JOIN d ON d.doc_id = hit.doc_id JOIN t ON t.license = hit.license, unnest(range(CAST(len(d.h) // greatest(1, t.c // 2) + 1 AS BIGINT))) AS u(j)
+), nw AS (
+  SELECT license, list_filter(regexp_split_to_array(lower(text), '{NOT_WORD}'), lambda x: x <> '') AS w FROM (VALUES {_listed(NOTICES)}) AS v(license, text)
+), nr AS (
+  SELECT doc_id, license, list_min(list_filter(range(len(dw.w) - len(nw.w) + 1), lambda i: list_slice(dw.w, i + 1, i + len(nw.w)) = nw.w)) AS pos FROM dw, nw
 ), r AS (
   SELECT doc_id, license, pos, CAST(len(list_intersect(list_distinct(s), t)) AS DOUBLE) / len(t) AS containment FROM v
 )
 SELECT doc_id, license, containment, CAST(min(pos) AS BIGINT) AS first_shingle FROM (
   SELECT *, max(containment) OVER (PARTITION BY doc_id, license) AS best FROM r
 ) WHERE containment = best AND containment >= {CONTAINED} GROUP BY doc_id, license, containment
+UNION ALL SELECT doc_id, license, 1.0::DOUBLE, CAST(min(pos) AS BIGINT) FROM nr WHERE pos IS NOT NULL GROUP BY doc_id, license
 """

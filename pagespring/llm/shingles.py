@@ -53,6 +53,17 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
+def slices(column, rows: int, size: int) -> list[tuple[int, int]]:
+    """(from, to) of the texts to take together: ``rows`` and ``size`` bytes at most, one at least."""
+    ends = flat(column)[1]
+    out, at = [], 0
+    while at < len(column):
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1))
+        out.append((at, to))
+        at = to
+    return out
+
+
 def word_hashes(raw: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word, and the texts' limits among the words; ``space`` marks
     the bytes that part words."""
