@@ -24,5 +24,6 @@ SQL = {
     "op5_repeats": repeats.OP5_SQL,
     "op7_minhash": neardup.OP7_SQL,
     "op8_mix": mixing.OP8_SQL,
+    "op9_shard": sharding.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
 }

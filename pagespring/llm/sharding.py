@@ -31,6 +31,7 @@ from .common import saved, table
 OVERHEAD = 16
 PARTS = 256
 ROWS_A_PART = 1_000_000
+SHARDS = 40
 
 
 class BinTree:
@@ -179,15 +180,20 @@ def ranked(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     return numbered.withColumn(name, (F.col("before") + F.col("n")).cast("long")).drop("n", "before")
 
 
-def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
+def md5_long(c):
+    """60 bits of a text's md5, as other engines give them too."""
+    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64("text", F.col("text").isNull()).alias("h"),
+        F.coalesce(md5_long(F.col("text")), F.lit(-1)).alias("h"),
     )
-    rows = saved(rows)
+    rows = saved(rows, spread=True)
     group = ["h", "size", "text_crc32"]
     counted = saved(rows.groupBy(*group).agg((F.count("*") * F.col("size")).alias("bytes")))
     classes = saved(counted.groupBy("bytes").count())
@@ -195,13 +201,13 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     largest = [r["bytes"] for r in classes.orderBy(F.desc("bytes")).limit(shards).collect() for _ in range(min(r["count"], shards))]
     runs = saved(poured(classes, fair_capacity(largest, shards, total or 0), shards))
 
-    def part(n: int | None, *by):
-        return F.pmod(F.xxhash64(*by), F.lit(max(PARTS, (n or 0) // ROWS_A_PART))).cast("int")
+    def part(n: int | None, by):
+        return F.pmod(by, F.lit(max(PARTS, (n or 0) // ROWS_A_PART))).cast("int")
 
-    numbered = ranked(counted.withColumn("part", part(groups, F.col("h"), F.lit(7))), "bytes", group, "rank")
+    numbered = ranked(counted.withColumn("part", part(groups, F.col("h"))), "bytes", group, "rank")
     placed = numbered.join(runs, "bytes").where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))).select(*group, "shard")
     # written, so that Spark can split a hot group of rows
-    keyed = rows.join(saved(placed), group).withColumn("part", part(rows.count(), F.col("doc_id"), F.lit(3)))
+    keyed = rows.join(saved(placed), group).withColumn("part", part(rows.count(), F.coalesce(md5_long(F.col("doc_id").cast("string")), F.col("h"))))
     return ranked(keyed, "shard", ["doc_id", "text_crc32", "size", "h"], "slot").select(
         "doc_id",
         "size",
@@ -215,3 +221,38 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 def op9_shard(spark, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: For tables of fewer than ROWS_A_PART * PARTS rows.  The polynomial of CRC-32 is a fixed value.
+OP9_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n) ORDER BY n) AS t FROM range(256) AS u(n)
+), b AS (
+  SELECT doc_id, text, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents
+), d AS (
+  SELECT doc_id, n + {OVERHEAD} AS size, CASE WHEN text IS NULL THEN -1 ELSE CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) END AS h,
+    CAST(xor(list_reduce(list_transform(range(n), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda a, y: xor(a // 256, t.t[1 + xor(a % 256, y)]), 4294967295), 4294967295) AS BIGINT) AS text_crc32
+  FROM b, t
+), g AS (
+  SELECT h, size, text_crc32, CAST(count(*) * size AS BIGINT) AS bytes FROM d GROUP BY h, size, text_crc32
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY bytes DESC, (h + {PARTS}) % {PARTS}, h, size, text_crc32) AS step FROM g
+), f AS (  -- the largest groups, until one is no more than an equal share of what is left
+  SELECT bytes, greatest(1, {SHARDS} + 1 - step) AS bins, (SELECT sum(bytes) FROM g) - coalesce(sum(bytes) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, step
+  FROM (SELECT bytes, step FROM o UNION ALL SELECT 0, (SELECT count(*) + 1 FROM o))
+), cap AS (
+  SELECT greatest(1, CAST((rest + bins - 1) // bins AS BIGINT)) AS cap FROM f WHERE bins < 2 OR bytes * bins <= rest ORDER BY step LIMIT 1
+), p(step, room, bin) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(cap) FROM cap, range({SHARDS})), CAST(0 AS BIGINT)
+  UNION ALL SELECT step, list_transform(range(1, {SHARDS} + 1), lambda i: CASE WHEN i = pick THEN room[i] - bytes ELSE room[i] END), pick
+  FROM (
+    SELECT o.step, o.bytes, p.room, CAST(CASE WHEN list_max(p.room) >= o.bytes THEN list_position(p.room, list_min(list_filter(p.room, lambda r: r >= o.bytes)))
+      ELSE {SHARDS} + 1 - list_position(list_reverse(p.room), list_max(p.room)) END AS BIGINT) AS pick
+    FROM p JOIN o ON o.step = p.step + 1
+  )
+), r AS (
+  SELECT d.*, CAST(p.bin - 1 AS INTEGER) AS shard, CASE WHEN d.doc_id IS NULL THEN (d.h + {PARTS}) % {PARTS} ELSE CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {PARTS} END AS part
+  FROM d JOIN o ON o.h = d.h AND o.size = d.size AND o.text_crc32 = d.text_crc32 JOIN p ON p.step = o.step
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, text_crc32, size, h) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM r
+"""
