@@ -146,3 +146,21 @@ def test_chat(spark):
     assert got[None]["loss_sha256"] == hashlib.sha256(b"z").hexdigest()
     assert got[3]["loss_sha256"] == hashlib.sha256(b"").hexdigest()
     assert chat.digest(df.limit(0)).count() == 0
+
+
+def test_texts_of_megabytes(spark):
+    long = " ".join(f"w{i % 50021}x{i % 31}" for i in range(350_000))
+    assert len(long) > 3_000_000
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, "short", "en", "b")], "doc_id long, text string, lang string, source string")
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.linked(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    assert toxicity.rated(df, labels).count() == 3
+    q = df.where("doc_id = 1").select(F.col("doc_id").alias("query_id"), "text")
+    assert [r["doc_id"] for r in search.top_k(df, q).orderBy("rank").collect()] == [1, 2]
+    assert sum(r["size"] for r in sharding.shard(df, 2).collect()) == 2 * len(long) + 4 + 5 + 48
+    pieces = packing.pack(df, packing.default_tokenizer()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    assert all(r["n"] == r["d"] for r in pieces)
+    assert licenses.scan(df).count() == 0
+    turns = df.select(F.lit(7).alias("conv_id"), F.col("doc_id").alias("turn"), F.when(F.col("doc_id") == 2, "assistant").otherwise("user").alias("role"), "text")
+    r = chat.digest(turns).first()
+    assert r["loss_chars"] == len(long) + 4 and r["loss_sha256"] == hashlib.sha256((long + " end").encode()).hexdigest()

@@ -45,6 +45,54 @@ def test_best_fit_matches_a_plain_scan():
         assert max(bins) <= 100
 
 
+def plain_best_fit(sizes, capacity, bins):
+    """Counts of each size in each of a fixed number of bins, one item at a time."""
+    room, held = [capacity] * bins, Counter()
+    for size in sorted(sizes, reverse=True):
+        fits = [(r, b) for b, r in enumerate(room) if r >= size]
+        b = min(fits)[1] if fits else max((r, b) for b, r in enumerate(room))[1]
+        room[b] -= size
+        held[b, size] += 1
+    return held
+
+
+def test_runs_match_one_item_at_a_time():
+    rng = random.Random(6)
+    for _ in range(40):
+        sizes = [rng.choice([1, 2, 3, 5, 5, 5, rng.randint(1, 90)]) for _ in range(rng.randint(1, 200))]
+        bins = rng.randint(1, 9)
+        capacity = sharding.fair_capacity(sorted(sizes, reverse=True)[:bins], bins, sum(sizes))
+        got, upto = Counter(), Counter()
+        for size, b, lo, hi in sharding.best_fit_runs(sorted(Counter(sizes).items(), reverse=True), capacity, bins):
+            assert lo == upto[size] and hi > lo
+            upto[size] = hi
+            got[b, size] += hi - lo
+        assert upto == Counter(sizes)
+        assert got == plain_best_fit(sizes, capacity, bins)
+
+
+def test_no_run_is_lost(spark):
+    classes = spark.range(1, 25_001).select(F.col("id").alias("bytes"), (F.col("id") % 3 + 1).alias("count"))
+    got = sharding.poured(classes, 20_000_000, 40).groupBy("bytes").agg(F.sum(F.col("to") - F.col("from")).alias("n"))
+    assert got.join(classes, "bytes").where("n = count").count() == 25_000
+
+
+def test_shards_are_best_fit_decreasing(spark, data):
+    texts = [r["text"] for r in documents(spark, data).collect()] + ["same"] * 30 + ["a", "b", "c", "d", None, None, "", "", "x" * 90_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard(df, 7).collect()
+    groups = Counter()
+    for t in texts:
+        groups[t] += len((t or "").encode()) + 16
+    sizes = list(groups.values())
+    capacity = sharding.fair_capacity(sizes, 7)
+    want = plain_best_fit(sizes, capacity, 7)
+    of = {}
+    for r in rows:
+        assert of.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
+    assert Counter((b, groups[t]) for t, b in of.items()) == want
+
+
 def test_shards_are_near_equal_and_keep_copies(spark, data):
     rows = registry.QUERIES["op9_shard"](spark, data).toPandas()
     docs = documents(spark, data).toPandas().set_index("doc_id")
@@ -105,14 +153,69 @@ def test_large_rates_are_not_cut(spark):
     assert abs(k.mean() - 300) < 4 * math.sqrt(300 / 5000) and abs(k.var() / 300 - 1) < 0.1
 
 
+def test_sql_holds_above_the_rate_limit(spark, tmp_path, same_as_sql):
+    rows = [(i, "" if i else "x", "en", "small", 1) for i in range(40)] + [(100 + i, "y" * 400_000, "en", "large", 400_000) for i in range(30)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    assert rates["small"] > 2 * mixing.RATE_LIMIT
+    same_as_sql(registry.QUERIES["op8_mix"](spark, folder), registry.SQL["op8_mix"], folder)
+
+
+def test_mixed_rows_are_in_order(spark, data):
+    keys = [r["mix_key"] for r in mixing.mix(documents(spark, data)).select("mix_key").collect()]
+    assert keys == sorted(keys) and len(keys) > 100
+
+
+def test_rows_without_an_id_are_spread(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "a") for i in range(2000)], "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    assert len({r["mix_key"] for r in rows}) == len(rows) and abs(len(rows) - 2000) < 200
+
+
 # packing
 
 
+def encoded(tokenizer, texts):
+    ids, limits = tokenizer.encode(*shingles.flat(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in itertools.pairwise(limits)]
+
+
+ODD_TEXTS = ["", "It's İstanbul ﬁ Σας <|endoftext|> x\x1cy ²½ª a\xa0b\t", " lead <|startoftext|>", "I'LL we've 'S ''s a's1b2 _x_ --.9 -'s 'store", "漢字 é", "a×b÷c ×", "e\u0301 x", "\t\r\n\v\f", "’s “q” …", "É ȿ ɐ ǅ ſ", "x" * 500, "1234 5６7"]
+
+
 def test_ids_are_the_tokenizers_own(spark, data):
     t = packing.WordTokenizer.get(packing.default_tokenizer())
-    texts = [r["text"] for r in documents(spark, data).collect()] + ["", "It's İstanbul ﬁ Σας <|endoftext|> x\x1cy ²½ª a\xa0b\t", "I'LL we've 'S ''s a's1b2 _x_ --.9", "漢字 é"]
-    for text, ids in zip(texts, t.encode(texts), strict=True):
-        assert list(array("I", ids)) == t.tokenizer.encode(text, add_special_tokens=False).ids
+    assert t.by_word
+    rng = random.Random(11)
+    signs = ["a", "B", "é", "É", " ", "\t", "\n", "'", "s", "t", "re", "1", "-", "<|", "<|endoftext|>", "×", "\u0301", "\xa0", "漢", "İ", "\x1c", "µ", "\u200b", "😀"]
+    texts = [r["text"] for r in documents(spark, data).collect()] + ODD_TEXTS + ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(3000)]
+    for text, ids in zip(texts, encoded(t, texts), strict=True):
+        assert ids == t.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    t = packing.WordTokenizer.get(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "PART", 50)
+    for text in [*ODD_TEXTS[1:], "It's a long text, with é and 漢字 in it. " * 40]:
+        got = t.encode_long(np.frombuffer(text.encode(), np.uint8))
+        assert got.tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_another_tokenizer_file_encodes_whole_texts():
+    import public_tokenizers
+
+    t = packing.WordTokenizer.get(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not t.by_word
+    for text, ids in zip(ODD_TEXTS, encoded(t, ODD_TEXTS), strict=True):
+        assert ids == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    t = packing.WordTokenizer(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "WORDS_KEPT", 5)
+    for text in ["one two three four five six seven", "one two nine", "seven ten"]:
+        assert encoded(t, [text]) == [t.tokenizer.encode(text, add_special_tokens=False).ids]
 
 
 def test_packing_round_trip(spark, data):
@@ -136,6 +239,17 @@ def test_packing_round_trip(spark, data):
         assert total <= 4096 and total & (total - 1) == 0  # full, or a power of two: no padding
 
 
+def test_sequences_of_merged_partitions_differ(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text")).repartition(7)
+    rows = packing.pack(df, packing.default_tokenizer()).coalesce(2).collect()
+    places = Counter((r["sequence_id"], r["offset"]) for r in rows)
+    assert set(places.values()) == {1} and {r["doc_id"] for r in rows} == set(range(400))
+    totals = Counter()
+    for r in rows:
+        totals[r["sequence_id"]] += r["length"]
+    assert max(totals.values()) <= packing.WINDOW
+
+
 def test_sum_of_squares_choice():
     rng = np.random.default_rng(2)
     for _ in range(300):
@@ -156,6 +270,69 @@ def test_sum_of_squares_choice():
         assert after(got) == min(map(after, able))
 
 
+def plainly_packed(sizes, window, most):
+    """The same rule, by trying every level: sequences as lists of (item, start, length)."""
+    done, held = [], []
+    for item, total in enumerate(sizes):
+        start = 0
+        while total - start >= window:
+            done.append([(item, start, window)])
+            start += window
+        while start < total:
+            size = total - start
+            levels = sorted({sum(p[2] for p in w) for w in held}, reverse=True)
+
+            def after(h, size=size):
+                counts = Counter(sum(p[2] for p in w) for w in held)
+                counts[h] -= 1
+                counts[(h + size) % window] += 1
+                return sum(n * n for level, n in counts.items() if level)
+
+            fits = [h for h in levels if h + size <= window]
+            able = [*fits, 0] if len(held) < most else fits or levels
+            best = min(able, key=lambda h: (after(h), -h))
+            into = next((w for w in reversed(held) if sum(p[2] for p in w) == best), None) if best else None
+            if into is None:
+                into = []
+            else:
+                held.remove(into)
+            take = min(size, window - best)
+            into = [*into, (item, start, take)]
+            start += take
+            (done if best + take == window else held).append(into)
+    return done, held
+
+
+def test_packing_matches_a_plain_packer():
+    rng = random.Random(4)
+    for most in (3, 8, 100):
+        for _ in range(20):
+            sizes = [rng.randint(1, 40) for _ in range(120)]
+            p = packing.SumOfSquares(16, most=most)
+            got = defaultdict(list)
+            for item, n in enumerate(sizes):
+                for i, start, ids, total, sequence, _ in p.add(item, np.zeros(n, np.uint32)):
+                    assert total == sizes[i]
+                    got[sequence].append((i, start, len(ids)))
+            done, held = plainly_packed(sizes, 16, most)
+            assert list(got.values()) == done
+            assert p.held == len(held) <= most
+            for i, start, ids, _, sequence, _ in p.flush():
+                got[sequence].append((i, start, len(ids)))
+            assert sum(x[2] for w in got.values() for x in w) == sum(sizes)
+
+
+def test_few_tokens_are_left_to_the_end():
+    rng = np.random.default_rng(8)
+    sizes = (rng.pareto(1.3, 6000) * 300 + 5).astype(int) % 20_000 + 1
+    p = packing.SumOfSquares()
+    for n in sizes:
+        for _ in p.add(0, np.zeros(n, np.uint32)):
+            pass
+    left = sum(len(x[2]) for x in p.flush())
+    assert left < packing.OPEN_MOST * packing.WINDOW and left < 0.05 * sizes.sum()
+
+
 # shingles and MinHash
 
 
@@ -209,9 +386,8 @@ def brute_components(texts, width, percent):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates_match_brute_force(spark, data, monkeypatch, small):
-    if small:  # small blocks and groups take the other ways
+    if small:  # many blocks and chunks
         monkeypatch.setattr(neardup, "BLOCK", 4)
-        monkeypatch.setattr(neardup, "GROUP", 6)
     rng = random.Random(8)
     base = [f"w{k}" for k in range(60)]
     texts = [(r["doc_id"], r["text"]) for r in documents(spark, data).collect()]
@@ -226,6 +402,14 @@ def test_near_duplicates_match_brute_force(spark, data, monkeypatch, small):
     assert got == want
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    for order in (1, -1):
+        rows = [(5, a), (5, b), (1, a + " a60 a61"), (2, b + " b60"), (7, a), (7, a)][::order]
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == [(1, 1, True), (2, 2, True), (5, 1, False), (5, 2, False), (7, 1, False), (7, 1, False)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2000 + k) for k in range(1, 90)]
@@ -246,12 +430,87 @@ def test_components(spark):
 # embeddings
 
 
-def test_cells_lose_no_link(spark, data, monkeypatch, same_as_sql):
-    monkeypatch.setattr(embeddings, "CELL", 20)
-    monkeypatch.setattr(embeddings, "BLOCK", 8)
+@pytest.mark.parametrize(("cell", "flat", "block", "stream"), [(2048, 64, 4096, 1 << 17), (20, 64, 8, 30), (5, 4, 7, 1 << 17), (1, 2, 3, 9)])
+def test_cells_lose_no_link(spark, data, monkeypatch, same_as_sql, cell, flat, block, stream):
+    for name, value in (("CELL", cell), ("FLAT", flat), ("BLOCK", block), ("STREAM", stream)):
+        monkeypatch.setattr(embeddings, name, value)
     same_as_sql(registry.QUERIES["op4_embeddings"](spark, data), registry.SQL["op4_embeddings"], data)
 
 
+def near_vectors(n, groups, dims, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims))
+    x = centres[rng.integers(0, groups, n)] + rng.normal(size=(n, dims)) * rng.choice([0.0, 0.05, 0.15], n)[:, None]
+    return x * rng.uniform(0.1, 10, n)[:, None]
+
+
+def test_two_levels_of_cells_lose_no_pair():
+    x = embeddings.units(near_vectors(900, 80, 6, 7))
+    levels = embeddings.two_level(x, 100)
+    assert len(levels) == 11 and sum(map(len, levels[1:])) > 80
+    reach = math.sqrt(2 - 2 * 0.98) + 1e-9
+    home, rows, cells = embeddings.cells_of(x, levels, reach)
+    seen = set(zip(rows.tolist(), cells.tolist(), strict=True))
+    for i, j in zip(*np.nonzero(x @ x.T >= 0.98), strict=True):
+        assert (i, home[j]) in seen and (j, home[i]) in seen
+    assert len(seen) < 0.3 * len(x) * sum(map(len, levels[1:]))
+
+
+def test_every_size_has_cells(spark):
+    x = near_vectors(300, 40, 8, 1)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000 + i, v.tolist(), 1) for i, v in enumerate(near_vectors(3, 3, 5, 2))]
+    distinct = spark.createDataFrame([(v, label) for _, v, label in rows], "e array<double>, label int")
+    found = embeddings.fitted(distinct)
+    assert {d: sum(map(len, levels)) for d, levels in found.items()} == {8: 2, 5: 2}
+
+
+def test_links_match_brute_force(spark, monkeypatch):
+    x = near_vectors(700, 60, 8, 3)
+    cos = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    hit = cos >= 0.98
+    np.fill_diagonal(hit, False)
+    parent = list(range(len(x)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    want = {i: (int(hit[i].sum()), find(i)) for i in range(len(x))}
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for cell, flat, block, stream in ((2048, 64, 4096, 1 << 17), (10, 16, 6, 50), (3, 4, 5, 100)):
+        for name, value in (("CELL", cell), ("FLAT", flat), ("BLOCK", block), ("STREAM", stream)):
+            monkeypatch.setattr(embeddings, name, value)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_dedup(df).collect()}
+        assert got == want
+
+
+def test_vectors_of_one_id_are_told_apart(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, x, 0), (1, y, 0), (2, [1.0, 0.05, 0.0], 0), (3, [0.05, 1.0, 0.0], 0), (0, [0.05, 1.0, 0.01], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_dedup(df).collect())
+    assert got == [(0, 2, 0), (1, 1, 1), (1, 2, 0), (2, 1, 1), (3, 2, 0)]
+
+
+def test_lengths_beyond_the_broadcast_are_one_cell(spark, monkeypatch):
+    rows = [(i, [1.0 + (i % 3), *[0.5] * (i % 7 + 1)], 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted(map(tuple, embeddings.near_dedup(df).collect()))
+    monkeypatch.setattr(embeddings, "CENTROID_BYTES", 150)
+    assert sorted(map(tuple, embeddings.near_dedup(df).collect())) == want
+
+
+def test_copies_of_a_row_are_few(spark):
+    x = near_vectors(5000, 5000, 64, 5)
+    df = spark.createDataFrame([(i, 1, v.tolist(), 0) for i, v in enumerate(x)], "id long, weight long, e array<double>, label int")
+    tasks = embeddings.block_tasks(embeddings.placed(df, 0.98))
+    assert tasks.count() <= 3 * len(x)
+
+
 def test_spherical_kmeans_has_unit_centroids():
     x = np.random.default_rng(0).normal(size=(300, 5))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -307,6 +566,56 @@ def test_repeats_match_brute_force(spark, data, monkeypatch, hot):
             assert r["kept_text"] == texts[r["doc_id"]]
 
 
+def window_digests(data, least):
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(data[i : i + least]) for i in range(len(data) - least + 1)], np.uint64)
+
+
+def test_repeats_across_pieces_of_long_texts(spark):
+    """Texts of several MB: strings that lie across the borders of pieces, in one text and in two."""
+    import hashlib
+
+    rng = random.Random(21)
+
+    def words(n):
+        return "".join(f"{rng.randrange(1 << 40):x} é " for _ in range(n))[:n]
+
+    a, b = words(4_400_000), words(700_000)
+    shared = words(1_000)
+    size = repeats.PIECE
+    cuts = [size - 300, 3 * size - 150, 9 * size + 40]
+    raw = bytearray(a.encode())
+    for k, at in enumerate(cuts):
+        raw[at : at + 900 + k] = shared.encode()[: 900 + k]
+    a = raw.decode(errors="ignore")
+    b = b[: size // 2] + shared + b[size // 2 :] + shared[:199]
+    texts = [a, b, "short"]
+    data = [t.encode() for t in texts]
+    every = [window_digests(d, 200) for d in data]
+    values, counts = np.unique(np.concatenate(every), return_counts=True)
+    twice = values[counts > 1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in repeats.remove_repeats(df).collect()}
+    total = 0
+    for i, (d, w) in enumerate(zip(data, every, strict=True)):
+        depth = np.zeros(len(d) + 1, np.int64)
+        at = np.flatnonzero(np.isin(w, twice))
+        np.add.at(depth, at, 1)
+        np.add.at(depth, at + 200, -1)
+        gone = np.cumsum(depth[:-1]) > 0
+        left = np.frombuffer(d, np.uint8)[~gone].tobytes()
+        assert (found[i]["n_bytes"], found[i]["n_removed"], found[i]["kept_sha256"]) == (len(d), int(gone.sum()), hashlib.sha256(left).hexdigest())
+        total += int(gone.sum())
+    assert total > 3_500
+
+
+def test_least_is_bounded(spark, data):
+    for least in (31, 288):
+        with pytest.raises(ValueError):
+            repeats.remove_repeats(documents(spark, data), least)
+
+
 # toxicity
 
 
@@ -325,6 +634,70 @@ def test_marginals_match_enumeration():
         at += n
 
 
+def test_pieces_change_nothing():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 2, 3, 700, 4, 129, 128, 127, 5, 1000])
+    u, trans = rng.normal(scale=4, size=sizes.sum()), rng.normal(scale=2, size=(2, 2))
+    want = np.concatenate([toxicity.chain_marginals(part, [len(part)], trans, 0.7, piece=10_000) for part in np.split(u, np.cumsum(sizes)[:-1])])
+    for piece in (1, 2, 7, 128):
+        assert np.allclose(toxicity.chain_marginals(u, sizes, trans, 0.7, piece=piece), want, atol=1e-9)
+    assert len(toxicity.chain_marginals(np.zeros(0), [], trans, 0.7)) == 0
+    long = rng.normal(scale=3, size=400_000)
+    p = toxicity.chain_marginals(long, [len(long)], trans, 0.0)
+    assert np.isfinite(p).all() and 0 <= p.min() and p.max() <= 1
+
+
+def chain_log_likelihood(u, labels, trans, start):
+    """log P(labels) of one chain by enumeration of all labellings."""
+
+    def score(ys):
+        total = start * ys[0] + sum(x for x, y in zip(u, ys, strict=True) if y)
+        return total + sum(trans[a, b] for a, b in itertools.pairwise(ys))
+
+    every = [score(ys) for ys in itertools.product((0, 1), repeat=len(u))]
+    return score(labels) - math.log(sum(map(math.exp, every)))
+
+
+def test_the_chains_gradient(monkeypatch):
+    """One round of training moves every weight by the sign and size that finite differences give."""
+    features, words = [[0, 1], [1, 2], [3]], np.array([0, 1, 2, 0, 2, 1, 1])
+    labels, sizes = np.array([0, 1, 1, 0, 0, 1, 0], np.int8), np.array([4, 3])
+    monkeypatch.setattr(toxicity, "BITS", 2)
+    w, trans, start = toxicity.train_chain(features, words, labels, sizes, rounds=1, l2=0.0)
+
+    def likelihood(w, bias, trans, start):
+        u = np.array([sum(w[f] for f in fs) + bias for fs in features])[words]
+        ends = np.cumsum(sizes)
+        return sum(chain_log_likelihood(u[e - n : e], tuple(labels[e - n : e].tolist()), trans, start) for e, n in zip(ends, sizes, strict=True)) / len(sizes)
+
+    w0, b0, t0, s0, h = np.zeros(4), -2.0, np.array([[2.0, -2.0], [0.0, 0.0]]), -2.0, 1e-5
+
+    def slope(f):
+        return (f(h) - f(-h)) / (2 * h)
+
+    dw = np.array([slope(lambda d, i=i: likelihood(w0 + d * np.eye(4)[i], b0, t0, s0)) for i in range(4)])
+    assert np.allclose(w[:-1], 0.5 * dw / np.sqrt(1e-3 + dw**2), atol=1e-4)
+    db = slope(lambda d: likelihood(w0, b0 + d, t0, s0))
+    assert abs(w[-1] - (b0 + 0.1 * db / math.sqrt(1e-3 + db * db))) < 1e-4
+    for i, j in itertools.product((0, 1), repeat=2):
+        one = np.zeros((2, 2))
+        one[i, j] = 1
+        dt = slope(lambda d, one=one: likelihood(w0, b0, t0 + d * one, s0))
+        assert abs(trans[i, j] - (t0[i, j] + 0.1 * dt / math.sqrt(1e-3 + dt * dt))) < 1e-4
+    ds = slope(lambda d: likelihood(w0, b0, t0, s0 + d))
+    assert abs(start - (s0 + 0.1 * ds / math.sqrt(1e-3 + ds * ds))) < 1e-4
+
+
+def test_telling_beginnings():
+    toxic, clean = np.array([40, 50, 2]), np.array([0, 300, 0])
+    assert toxicity.telling(toxic, clean, 100, 400).tolist() == [True, False, False]
+    texts = ["vileness here", "so vilely said", "vile", "vilest of all"] + ["all is said here of old"] * 100
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    words = np.array([vocabulary.index(w) for t in texts for w in t.split()])
+    marked = toxicity.marked_words(vocabulary, words, np.array([len(t.split()) for t in texts]), np.array([1] * 4 + [0] * 100))
+    assert {w for w, m in zip(vocabulary, marked, strict=True) if m} == {"vile", "vilely", "vileness", "vilest"}
+
+
 def test_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     rows = registry.QUERIES["op2_toxicity"](spark, folder).toPandas()
@@ -343,11 +716,10 @@ def test_held_out_documents(spark):
 
 
 def test_pruning_changes_nothing(spark, data, monkeypatch):
-    monkeypatch.setattr(search, "RANGE", 2)
     monkeypatch.setattr(search, "BLOCK_TERMS", 500)
     docs = documents(spark, data)
     q = docs.where("doc_id % 40 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in search.top_k(docs.repartition(5), q).collect()}
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in search.top_k(docs.repartition(9), q).collect()}
     texts = {r["doc_id"]: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"])) for r in docs.collect()}
     df, mean = Counter(w for t in texts.values() for w in set(t)), sum(map(len, texts.values())) / len(texts)
     tf = {i: Counter(t) for i, t in texts.items()}
@@ -362,6 +734,66 @@ def test_pruning_changes_nothing(spark, data, monkeypatch):
         assert all(abs(got[query, k + 1][1] - scores[i]) < 2e-6 for k, i in enumerate(best))
 
 
+def small_shard(n, k1=1.2, b=0.75):
+    """A shard of n random documents, its queries and the documents' scores by plain sums."""
+    rng = random.Random(n)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(1, 60))) for _ in range(n)]
+    queries = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(m)) for m in (1, 2, 5, 20, 60)] + texts[:5]
+    q_text, q_terms, _, _ = search.term_counts(pa.array(queries))
+    q = search.Queries(np.arange(len(queries)), [q_terms[q_text == i] for i in range(len(queries))])
+    text, term, count, length = search.term_counts(pa.array(texts[:512]))
+    order = np.lexsort((text, term))
+    text, term, count = text[order], term[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    df = np.diff(np.append(first, len(term)))
+    place = q.places(term[first])
+    every = np.zeros(len(q.vocabulary))
+    every[place[place >= 0]] = df[place >= 0]
+    q.idf, q.mean = np.log(1 + (n - every + 0.5) / (every + 0.5)), length.mean()
+    shard = search.Shard(np.arange(n), length, term[first], df, text, count, q, k1, b)
+    held = [Counter(t.split()) for t in texts]
+    n_with = Counter(w for c in held for w in c)
+    want = []
+    for query in queries:
+        scores = {}
+        for i, c in enumerate(held):
+            s = sum(math.log(1 + (n - n_with[w] + 0.5) / (n_with[w] + 0.5)) * c[w] * (k1 + 1) / (c[w] + k1 * (1 - b + b * length[i] / q.mean)) for w in sorted(set(query.split())) if c[w])
+            if s:
+                scores[i] = round(s, 9)
+        want.append(sorted(scores, key=lambda i, s=scores: (-s[i], i)))
+    return shard, q, want
+
+
+@pytest.mark.parametrize("n", [1, 7, 64, 500])
+def test_a_shards_best_are_the_plain_ones(n):
+    shard, q, want = small_shard(n)
+    for k in (1, 3, 10):
+        for i in range(len(q.ids)):
+            docs, scores = shard.top(q.terms[q.limits[i] : q.limits[i + 1]], k)
+            assert docs.tolist() == want[i][:k]
+            for floor in scores[:1].tolist() + scores[-1:].tolist():
+                above, _ = shard.top(q.terms[q.limits[i] : q.limits[i + 1]], k, floor)
+                assert above.tolist() == docs[scores >= floor].tolist()
+
+
+def test_blocks_are_skipped():
+    shard, q, _ = small_shard(500)
+    for i in range(5):
+        shard.top(q.terms[q.limits[i] : q.limits[i + 1]], 1)
+    assert shard.blocks_met and 0 < shard.blocks_entered < 0.6 * shard.blocks_met
+
+
+def test_the_index_is_built_once(spark, data, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_TERMS", 500)
+    made, index = [], search.index
+    monkeypatch.setattr(search, "index", lambda docs: made.append(1) or index(docs))
+    docs = documents(spark, data)
+    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    assert search.query_terms(q).agg(F.sum(F.size("terms"))).first()[0] > 1000
+    search.top_k(docs, q)
+    assert made == [1]
+
+
 # toxicity's training
 
 
@@ -410,6 +842,25 @@ def test_notices_under_five_words(spark, data):
     assert found.where("license <> 'all-rights-reserved'").exceptAll(licenses.scan(docs)).isEmpty()
 
 
+def test_recall_of_edited_templates(spark):
+    """Copies of the longest template with words replaced, inside other words."""
+    rng = random.Random(12)
+    words = re.findall(r"\w+", licenses.TEMPLATES["mit-text"].lower())
+    rows, want = [], {}
+    own = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    for k in range(120):
+        copy = list(words)
+        for at in rng.sample(range(len(words)), rng.randint(0, 8)):
+            copy[at] = "changed"
+        text = [f"x{rng.randint(0, 999)}" for _ in range(rng.randint(0, 700))] + copy + [f"y{rng.randint(0, 999)}" for _ in range(rng.randint(0, 300))]
+        rows.append((k, " ".join(text)))
+        want[k] = len(own & {tuple(copy[i : i + 5]) for i in range(len(copy) - 4)}) / len(own)
+    got = {r["doc_id"]: r["containment"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("license = 'mit-text'").collect()}
+    held = {k: c for k, c in want.items() if c >= licenses.CONTAINED}
+    assert 40 < len(held) < 120
+    assert got == pytest.approx(held)
+
+
 def test_main_path_is_native(spark, data):
     for name in ("op3_licenses", "op10_chat"):
         plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().toString()

@@ -1,11 +1,15 @@
 """The stages on small rows of known fate."""
 
+import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
 import pytest
 
-from pagespring.llm import neardup
+from pagespring.llm import mixing, neardup, packing, toxicity
+from test_methods import brute_components
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +72,82 @@ def test_everything_is_packed(stages):
     assert {i for i, _ in whole} == {r["doc_id"] for r in before.collect()}
     totals = after.groupBy("sequence_id").sum("length").collect()
     assert all(re.fullmatch("10*", bin(r[1])[2:]) for r in totals)
+
+
+# each stage against a plain version of itself, over the rows that its predecessor kept
+
+
+def test_toxicity_keeps_what_scores_below(stages, spark, data):
+    _, before, after = stages[0]
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.rated(before, labels).collect()}
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, s in scores.items() if s < toxicity.REJECT)
+
+
+def test_near_duplicates_by_brute_force(stages):
+    _, before, after = stages[1]
+    groups = brute_components([(r["doc_id"], r["text"]) for r in before.collect()], cp.WORDS, 80)
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, (_, c) in groups.items() if c == i)
+
+
+def test_repeats_by_brute_force(stages):
+    _, before, after = stages[2]
+    rows = before.collect()
+    left = {r["doc_id"]: r for r in after.collect()}
+    data = [r["text"].encode() for r in rows]
+    counts = Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
+    cut = 0
+    for r, t in zip(rows, data, strict=True):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if counts[t[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        pieces = [t[m.start() : m.end()] for m in re.finditer(b"\0+", bytes(gone))]
+        got = left[r["doc_id"]]
+        assert got["text"] == "".join(p.decode(errors="ignore") for p in pieces)  # the rest of a cut character goes
+        assert (got["lang"], got["source"], got["n_chars"]) == (r["lang"], r["source"], len(got["text"]))
+        cut += sum(gone)
+    assert cut > 1000
+
+
+def test_mixing_by_brute_force(stages):
+    _, before, after = stages[3]
+    rows, sizes = before.collect(), Counter()
+    for r in rows:
+        sizes[r["source"]] += len(r["text"].encode())
+    weights = {k: n**mixing.ALPHA for k, n in sizes.items()}
+    want = Counter()
+    for r in rows:
+        rate = weights[r["source"]] / sum(weights.values()) * sum(sizes.values()) / sizes[r["source"]]
+        u = (int(hashlib.md5(f"{mixing.SEED}|{r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, p, upto = 0, math.exp(-rate), math.exp(-rate)
+        while u > upto:
+            k += 1
+            p *= rate / k
+            upto += p
+        if k:
+            want[r["doc_id"], r["text"]] = k
+    assert Counter((r["doc_id"], r["text"]) for r in after.collect()) == want
+
+
+def test_packing_by_brute_force(stages):
+    _, before, after = stages[4]
+    tokenizer = packing.WordTokenizer.get(packing.default_tokenizer()).tokenizer
+    want = Counter((r["doc_id"], (*tokenizer.encode(r["text"], add_special_tokens=False).ids, packing.END_ID)) for r in before.collect())
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for r in after.collect():
+        sequences[r["sequence_id"]].append(r)
+        assert len(r["ids"]) == r["length"]
+        pieces[r["doc_id"], r["start"], r["doc_tokens"]].append(tuple(r["ids"]))
+    for own in sequences.values():
+        upto = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == upto
+            upto += r["length"]
+        assert upto <= packing.WINDOW
+    # copies of a document may be cut at different places; every id stands as often as it should
+    got = Counter()
+    for (i, _, _), held in pieces.items():
+        for ids in held:
+            got.update((i, x) for x in ids)
+    assert got == Counter({(i, x): n for (i, x), n in sum((Counter({(i, x): c * k for x, c in Counter(ids).items()}) for (i, ids), k in want.items()), Counter()).items()})
