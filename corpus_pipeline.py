@@ -95,7 +95,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir))
+        docs = common.saved(stage(spark, docs, sf_dir), spread=True)
         if before:
             common.dropped(before)
         before = docs
