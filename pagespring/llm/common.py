@@ -12,7 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of the batches that go to Python: ten thousand long texts are too much to hold twice.
+BATCH_ROWS = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has the session send at most BATCH_ROWS rows to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,13 +62,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/pagespring/{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame) -> DataFrame:
+#: Shuffle partitions that one task of ``saved`` takes in turn, where the cores allow it.
+IN_TURN = 8
+#: Rows that a file holds where their number is known.
+ROWS_A_FILE = 200_000
+
+
+def saved(df: DataFrame, spread: bool = False, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
-    later plans see the true size.  The schema is kept as given.
+    later plans see the true size.  The schema is kept as given.  What comes out of a
+    shuffle goes to fewer files than it has partitions: a task takes some in turn, each in
+    memory on its own, and at least four tasks a core are left; with ``rows``, the most that there can
+    be, no more files than these fill.  ``spread``: a file for each task, for rows that come
+    straight from a table.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
+    if not spread:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        files = max(4 * spark.sparkContext.defaultParallelism, -(-partitions // IN_TURN))
+        df = df.coalesce(files if rows is None else max(1, min(files, -(-rows // ROWS_A_FILE))))
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     if (noted := _noted.get()) is not None:
         noted.append(path)

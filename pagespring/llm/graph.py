@@ -19,15 +19,16 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     edges, mark = saved(edges), None
+    n = 2 * edges.count()  # rows that a round can have
     while True:
         both = edges.union(edges.select("v", "u"))
         # written, so that Spark can split a hub's links in the join
-        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), rows=n)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = saved(large)
-        nearest = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = saved(large, rows=n)
+        nearest = saved(large.groupBy("u").agg(F.min("v").alias("m")), rows=n)
         small = large.join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(nearest.select("u", F.col("m").alias("v")))
-        new = saved(small.distinct())
+        new = saved(small.distinct(), rows=n)
         found = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         for done in (edges, least, large, nearest):
             dropped(done)

@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from .common import dropped, likely, saved, table
 from .graph import components
 from .minhash import band_keys, signatures
-from .shingles import flat, shingle_sets
+from .shingles import flat, shingle_sets, slices
 
 BANDS, ROWS = 24, 4
 BLOCK = 1024
-SLICE = 8192
+SLICE = 4096
 
 
 def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -45,10 +45,8 @@ def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) ->
         import xxhash
 
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, 256)
-                at += 256
+            for at, to in slices(batch.column(2), 256, 1 << 20):
+                part = batch.slice(at, to - at)
                 h, limits = shingle_sets(*flat(part.column(2)), width)
                 n = np.diff(limits)
                 full = np.flatnonzero(n)
@@ -155,38 +153,39 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     split a hot key of the larger side.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
-    rows = saved(signed(docs, width))
+    rows = saved(signed(docs, width), spread=True)
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.any_value("keys").alias("keys"))
     # a class's id is its row's number, fixed by being written: doc_ids may be shared
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()))
     every = classes.select("id", F.explode("keys").alias("key"))
     buckets = saved(every.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader"))
     members = saved(every.join(buckets, "key"))
+    n = members.count()
     # buckets with the same members (a count and the sums of two hashes tell them) are one
     marks = members.groupBy("key", "leader").agg(
         F.count("*").alias("n"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s1"),
         F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s2"),
     )
-    single = saved(marks.groupBy("n", "leader", "s1", "s2").agg(F.min("key").alias("key")).select("key"))
-    members = saved(members.join(single, "key"))
-    needed = saved(classes.select("id", "rep.doc_id", "rep.t").join(members.select("id").distinct(), "id"))
+    single = saved(marks.groupBy("n", "leader", "s1", "s2").agg(F.min("key").alias("key")).select("key"), rows=n)
+    members = saved(members.join(single, "key"), rows=n)
+    needed = saved(classes.select("id", "rep.doc_id", "rep.t").join(members.select("id").distinct(), "id"), rows=n)
     # any of the rows that are equal in both
     texts = likely(docs, "t", needed.select("t")).join(needed, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"])
     texts = saved(texts)
     # each member against its bucket's first
-    pairs = saved(members.where("id <> leader").select("leader", "id").distinct())
-    chunks = saved(pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("chunks")))
+    pairs = saved(members.where("id <> leader").select("leader", "id").distinct(), rows=n)
+    chunks = saved(pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("chunks")), rows=n)
     pairs = pairs.join(chunks, "leader").withColumn("task", F.concat_ws("/", "leader", F.pmod(F.xxhash64("id"), "chunks")))
     first = pairs.select("task", "id", F.lit(1).alias("side"), F.col("id").alias("component"))
     lead = pairs.select("task", F.col("leader").alias("id")).distinct().select("task", "id", F.lit(0).alias("side"), F.col("id").alias("component"))
-    comps = saved(components(saved(compared(first.union(lead), texts, width, percent))))
+    comps = saved(components(saved(compared(first.union(lead), texts, width, percent))), rows=n)
     # what is left: buckets of several components, by blocks
     m = members.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    m = saved(m.select("key", "id", F.coalesce("component", "id").alias("component")))
+    m = saved(m.select("key", "id", F.coalesce("component", "id").alias("component")), rows=n)
     several = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    m = saved(m.join(saved(several.select("key", "n")), "key"))
-    joined = components(saved(compared(block_tasks(m), texts, width, percent)))
+    m = saved(m.join(saved(several.select("key", "n"), rows=n), "key"), rows=n)
+    joined = components(saved(compared(block_tasks(m, n), texts, width, percent)))
     by_class = classes.select("d1", "d2", "id", "rep.doc_id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_class = by_class.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
     by_class = saved(by_class.select("d1", "d2", "doc_id", F.coalesce("whole", "component").alias("component")))
@@ -200,8 +199,8 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def block_tasks(m: DataFrame) -> DataFrame:
-    """(task, id, side, component) for rows (key, id, component, n): the pairs of blocks.
+def block_tasks(m: DataFrame, rows: int) -> DataFrame:
+    """(task, id, side, component) for ``rows`` rows (key, id, component, n): the pairs of blocks.
 
     A bucket's members are dealt to blocks by ranges of their component's hash, so that
     a large component fills blocks of its own; a pair of blocks that hold one and the
@@ -209,19 +208,19 @@ def block_tasks(m: DataFrame) -> DataFrame:
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK // 2)))
     # within one component the members go on by their own hash
-    per = saved(m.groupBy("key", "component").agg(F.count("*").alias("c")))
+    per = saved(m.groupBy("key", "component").agg(F.count("*").alias("c")), rows=rows)
     m = m.join(per, ["key", "component"])
     whole = F.col("c") >= BLOCK
     slot = F.when(whole, F.concat_ws("/", F.lit("c"), "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / F.lit(BLOCK // 2))))).otherwise(
         F.concat_ws("/", F.lit("m"), F.pmod(F.xxhash64("component"), parts))
     )
-    m = saved(m.select("key", "id", "component", slot.alias("block"), F.when(whole, F.col("component")).alias("pure")))
+    m = saved(m.select("key", "id", "component", slot.alias("block"), F.when(whole, F.col("component")).alias("pure")), rows=rows)
     blocks = m.select("key", "block", "pure").distinct()
     pairs = blocks.alias("a").join(
         blocks.select("key", F.col("block").alias("other"), F.col("pure").alias("other_pure")).alias("b"),
         "key",
     ).where("block <= other and not coalesce(pure = other_pure, false)")
-    pairs = saved(pairs)
+    pairs = saved(pairs, rows=rows)
     task = F.concat_ws("|", "key", "block", "other")
     left = pairs.join(m.select("key", "block", "id", "component"), ["key", "block"]).select(task.alias("task"), "id", F.lit(0).alias("side"), "component")
     right = pairs.where("block < other").join(m.select("key", F.col("block").alias("other"), "id", "component"), ["key", "other"]).select(task.alias("task"), "id", F.lit(1).alias("side"), "component")

@@ -26,14 +26,15 @@ from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 from .shingles import _powers, flat, mix64
 
 WINDOW = 4096
 END_ID = 2
 OPEN_MOST = 64
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 1_000_000
 LONG = 64
 PART = 1 << 19  # bytes of text encoded together
 
@@ -307,10 +308,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
-
         tokenizer = WordTokenizer.get(tokenizer_path)
-        packer = SumOfSquares(window, TaskContext.get().partitionId() << 36)
+        packer = SumOfSquares(window)
         rows: list[tuple] = []
 
         def made():
@@ -331,6 +330,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
+            if batch.num_rows:  # the rows' partition, whatever task takes it
+                packer.next = max(packer.next, batch.column(2)[0].as_py() << 36)
             raw, ends = flat(batch.column(1))
             ids = batch.column(0).to_pylist()
             at = 0
@@ -353,7 +354,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             yield made()
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().cast("long").alias("partition"))
+    return rows.mapInArrow(run, schema)
 
 
 def default_tokenizer() -> str:

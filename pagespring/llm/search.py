@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .shingles import flat, word_hashes
+from .shingles import flat, slices, word_hashes
 
 K, K1, B = 10, 1.2, 0.75
 RANGE = 2
@@ -80,9 +80,8 @@ def index(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        number = (TaskContext.get().partitionId() << 32) - 1
+        number = -1
 
         def shard(rows):
             nonlocal number
@@ -105,8 +104,10 @@ def index(docs: DataFrame) -> DataFrame:
 
         rows, n, size = [], 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            if batch.num_rows:  # the rows' partition, whatever task takes it
+                number = max(number, (batch.column(2)[0].as_py() << 32) - 1)
+            for at, to in slices(batch.column(1), SLICE, 4 << 20):
+                part = batch.slice(at, to - at)
                 doc, terms, count, length = term_counts(part.column(1))
                 rows.append((part.column(0).fill_null(int(_LAST)).to_numpy(), doc.astype(np.int32), terms, count.astype(np.int32), length))
                 n, size = n + len(length), size + part.column(1).nbytes
@@ -116,7 +117,7 @@ def index(docs: DataFrame) -> DataFrame:
         if rows:
             yield shard(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, INDEX)
+    return docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("partition")).mapInArrow(run, INDEX)
 
 
 class Queries:
@@ -290,8 +291,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at, to in slices(batch.column(1), SLICE, 4 << 20):
+                part = batch.slice(at, to - at)
                 text, terms, _, n = term_counts(part.column(1))
                 ends = np.searchsorted(text, np.arange(len(n) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(terms.view(np.int64)))], ["query_id", "terms"])
@@ -302,7 +303,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, rank (from 1), doc_id, score, for queries (query_id, text)."""
     spark = docs.sparkSession
-    made = saved(index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    made = saved(index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), spread=True)
     n, words, shards = made.agg(F.sum("docs"), F.sum("words"), F.count("*")).first()
     q = query_terms(queries.where("query_id is not null"))
     q = saved(q.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms")))

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 from .shingles import slices
 
 TOXIC_MOST, CLEAN_MOST = 2500, 6000
@@ -383,6 +383,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_most: int = TOXIC_MOST, clean_
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, score and spans (array of start, end in code points, p)."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     carried = docs.select(*carry)
 
