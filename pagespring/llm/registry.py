@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, licenses, mixing, neardup, packing, repeats, search, sharding, toxicity, whitening
+from . import chat, decontamination, embeddings, licenses, mixing, neardup, packing, repeats, search, sharding, toxicity, whitening
 
 QUERIES = {
     "op1_bm25": search.op1_bm25,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_shard": sharding.op9_shard,
     "op10_chat": chat.op10_chat,
+    "op12_decontaminate": decontamination.op12_decontaminate,
     "op13_whiten": whitening.op13_whiten,
 }
 
@@ -27,4 +28,5 @@ SQL = {
     "op8_mix": mixing.OP8_SQL,
     "op9_shard": sharding.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op12_decontaminate": decontamination.OP12_SQL,
 }
