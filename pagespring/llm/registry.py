@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embeddings, licenses, mixing, neardup, packing, repeats, search, sharding, toxicity, whitening
+from . import alignment, chat, decontamination, embeddings, licenses, mixing, neardup, packing, repeats, search, sharding, toxicity, whitening
 
 QUERIES = {
     "op1_bm25": search.op1_bm25,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_shard": sharding.op9_shard,
     "op10_chat": chat.op10_chat,
+    "op11_align": alignment.op11_align,
     "op12_decontaminate": decontamination.op12_decontaminate,
     "op13_whiten": whitening.op13_whiten,
 }
