@@ -2,14 +2,14 @@
 
 Each document enters, online, the fill level whose choice leaves the smallest sum of
 squared counts of partially filled windows; the counts live in an array indexed by
-level.  Documents above the window length first give off full windows.  A task holds at
-most ``OPEN_MOST`` open windows: where the rule would open one more, a document that fits
-an open one enters the best of those, and any other is cut at the end of the window that
-the same rule picks, its rest being an item of its own.  Only at the end of a task are the
-windows still open (OPEN_MOST at most) laid end to end and cut at the window length, and
-the last rest into powers of two.  So the state of a task is bounded and nothing is
-padding.  Tasks pack on their own: there is no shuffle, and sequence ids carry the
-task's partition, so a task run again after a lost executor gives the same rows.
+level.  Documents above the window length first give off full windows.  The rule alone
+places documents; none is cut to place it.  A run of the rule ends with its task, or when
+as many windows are open as there are levels (documents of which no two share a window
+would else pile up): then the open windows are laid end to end and cut at the window
+length, and what is left goes on as the next run's first window, or at the task's end into
+powers of two.  So a task holds at most window - 1 windows and nothing is padding.  Tasks
+pack on their own: there is no shuffle, and sequence ids carry the task's partition, so a
+task run again after a lost executor gives the same rows.
 
 Defined results: a null or empty text is only the end id; repeated rows are packed as
 rows of their own; a null doc_id stays null; an empty table gives no rows; further
@@ -33,7 +33,6 @@ from .shingles import _powers, flat, mix64
 
 WINDOW = 4096
 END_ID = 2
-OPEN_MOST = 64
 WORDS_KEPT = 1_000_000
 LONG = 64
 PART = 1 << 19  # bytes of text encoded together
@@ -221,62 +220,59 @@ class WordTokenizer:
 
 
 class SumOfSquares:
-    """Online packing into windows of ``window`` tokens, ``most`` of them open at most.
+    """Online packing into windows of ``window`` tokens.
 
     ``add`` and ``flush`` return finished pieces: (document, start, ids, doc_tokens,
     sequence, offset), with ids as an array.
     """
 
-    def __init__(self, window: int = WINDOW, first: int = 0, most: int = OPEN_MOST) -> None:
-        self.window, self.next, self.most = window, first, most
+    def __init__(self, window: int = WINDOW, first: int = 0) -> None:
+        self.window, self.next = window, first
         self.level = np.zeros(window + 1, np.int64)  # open windows by fill level
         self.held = 0
         self.open: dict[int, list[list]] = {}  # the same windows: level -> lists of pieces
 
     def choose(self, size: int) -> int:
-        """The level to place ``size`` at, 0 for a new window; ties go to the fuller.
-
-        With ``most`` windows open never 0, and above window - size where the item is cut.
-        """
-        n, none, full = self.level, np.iinfo(np.int64).max, self.held >= self.most
+        """The level to place ``size`` at, 0 for a new window; ties go to the fuller."""
+        n, none = self.level, np.iinfo(np.int64).max
         here, there = n[1 : self.window - size + 1], n[1 + size : self.window + 1]
         cost = 2 * (there - here) + 2
         cost[-1:] -= 1  # a window that fills up leaves the array
         cost[here == 0] = none
-        if len(cost):
-            at = len(cost) - 1 - int(cost[::-1].argmin())
-            if cost[at] <= 2 * int(n[size]) + 1 or full and cost[at] < none:
-                return at + 1
-        if not full:
+        if not len(cost):
             return 0
-        here, rest = n[self.window - size + 1 : self.window], n[1:size]
-        cost = np.where(here > 0, 2 * (rest - here), none)
-        return self.window - 1 - int(cost[::-1].argmin())
+        at = len(cost) - 1 - int(cost[::-1].argmin())
+        return at + 1 if cost[at] <= 2 * int(n[size]) + 1 else 0
 
     def add(self, document, ids: np.ndarray) -> Iterator[tuple]:
         total, start = len(ids), 0
         while total - start >= self.window:
             yield document, start, ids[start : start + self.window], total, self._sequence(), 0
             start += self.window
-        while start < total:
-            size = total - start
-            level, pieces = self.choose(size), []
-            if level:
-                self.level[level] -= 1
-                self.held -= 1
-                pieces = self.open[level].pop()
-            take = min(size, self.window - level)
-            pieces.append((document, start, ids[start : start + take], total))
-            level, start = level + take, start + take
-            if level == self.window:
-                yield from self._emit(pieces)
-            else:
-                self.level[level] += 1
-                self.held += 1
-                self.open.setdefault(level, []).append(pieces)
-
-    def flush(self) -> Iterator[tuple]:
-        """Dissolves the open windows: full ones first, the rest in powers of two."""
+        if start == total:
+            return
+        level, pieces = self.choose(total - start), []
+        if level:
+            self.level[level] -= 1
+            self.held -= 1
+            pieces = self.open[level].pop()
+        pieces.append((document, start, ids[start:], total))
+        level += total - start
+        if level == self.window:
+            yield from self._emit(pieces)
+        else:
+            self._hold(level, pieces)
+            if self.held >= self.window - 1:
+                yield from self.flush(last=False)
+
+    def _hold(self, level: int, pieces: list) -> None:
+        self.level[level] += 1
+        self.held += 1
+        self.open.setdefault(level, []).append(pieces)
+
+    def flush(self, last: bool = True) -> Iterator[tuple]:
+        """Dissolves the open windows: full ones first, the rest in powers of two, or where
+        this is not the ``last`` run as an open window."""
         rest = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
         self.open, self.level, self.held = {}, np.zeros(self.window + 1, np.int64), 0
         left = sum(len(p[2]) for p in rest)
@@ -284,13 +280,15 @@ class SumOfSquares:
         for document, start, ids, total in rest:
             while len(ids):
                 if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
+                    room = self.window if left >= self.window or not last else 1 << (left.bit_length() - 1)
                 take = min(room, len(ids))
                 pieces.append((document, start, ids[:take], total))
                 ids, start, room, left = ids[take:], start + take, room - take, left - take
                 if not room:
                     yield from self._emit(pieces)
                     pieces = []
+        if pieces:
+            self._hold(self.window - room, pieces)
 
     def _sequence(self) -> int:
         self.next += 1
