@@ -10,7 +10,9 @@
    component, and each pair of blocks that are not of one component is compared as a
    whole.  Only links that join something new are written.
 So at every size every two classes that share a bucket end up in one component or
-compared, no task holds more than two blocks, and no list of pairs is made.
+compared, no task holds more than two blocks, and no list of pairs is made.  Chunks and
+blocks are dealt by rows and by shingles, so that long texts make more of them; a task
+hashes its texts in slices as they come and keeps their sets only, 8 bytes a shingle.
 
 With 24 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability
 (1 - 0.8**4)**24 = 3e-6, and less above.
@@ -24,7 +26,7 @@ table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, likely, saved, table
@@ -34,7 +36,9 @@ from .shingles import flat, shingle_sets, slices
 
 BANDS, ROWS = 24, 4
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 21  # of a block, where its texts are long
 SLICE = 4096
+TEXT = 1 << 20  # bytes of text hashed together
 
 
 def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -45,7 +49,7 @@ def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) ->
         import xxhash
 
         for batch in batches:
-            for at, to in slices(batch.column(2), 256, 1 << 20):
+            for at, to in slices(batch.column(2), 256, TEXT):
                 part = batch.slice(at, to - at)
                 h, limits = shingle_sets(*flat(part.column(2)), width)
                 n = np.diff(limits)
@@ -89,6 +93,12 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def alike(both: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of these sizes share ``percent`` of their union, in whole numbers."""
+    both = both.astype(np.int64)  # whole numbers below 2**24
+    return (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (both > 0)
+
+
 def compared(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) between components, found in tasks: rows (task, side, id, component).
 
@@ -96,19 +106,15 @@ def compared(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     one component are skipped; of the rest, links that join nothing new are left out.
     """
 
-    def links(sides, comps, texts):
-        import pyarrow as pa
-
-        h, limits = shingle_sets(*flat(pa.array(texts, pa.large_string())), width)
-        sets = [h[limits[i] : limits[i + 1]] for i in range(len(texts))]
+    def links(sides, comps, sets):
         a = [i for i, s in enumerate(sides) if s == 0]
         b = [i for i, s in enumerate(sides) if s == 1] or a
         if not a:
             return []
+        na, nb = (np.array([len(sets[i]) for i in x], np.int64) for x in (a, b))
         both = intersections([sets[i] for i in a], [sets[i] for i in b])
-        na, nb = np.array([len(sets[i]) for i in a]), np.array([len(sets[i]) for i in b])
         ca, cb = np.array([comps[i] for i in a]), np.array([comps[i] for i in b])
-        hit = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ca[:, None] != cb[None, :]) & (both > 0)
+        hit = alike(both, na, nb, percent) & (ca[:, None] != cb[None, :])
         root: dict = {}
 
         def find(x):
@@ -130,13 +136,16 @@ def compared(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         current, rows = None, ([], [], [])
         for batch in batches:
             out = []
-            for task, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if task != current:
-                    if current is not None:
-                        out += links(*rows)
-                    current, rows = task, ([], [], [])
-                for held, x in zip(rows, row, strict=True):
-                    held.append(x)
+            for at, to in slices(batch.column(3), BLOCK, TEXT):
+                part = batch.slice(at, to - at)
+                h, limits = shingle_sets(*flat(part.column(3)), width)
+                for k, (task, *row) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
+                    if task != current:
+                        if current is not None:
+                            out += links(*rows)
+                        current, rows = task, ([], [], [])
+                    for held, x in zip(rows, (*row, h[limits[k] : limits[k + 1]].copy()), strict=True):
+                        held.append(x)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
         if current is not None and (out := links(*rows)):
@@ -154,10 +163,10 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     rows = saved(signed(docs, width), spread=True)
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.any_value("keys").alias("keys"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.any_value("keys").alias("keys"), F.any_value("n_shingles").alias("size"))
     # a class's id is its row's number, fixed by being written: doc_ids may be shared
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()))
-    every = classes.select("id", F.explode("keys").alias("key"))
+    every = classes.select("id", "size", F.explode("keys").alias("key"))
     buckets = saved(every.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader"))
     members = saved(every.join(buckets, "key"))
     n = members.count()
@@ -174,17 +183,17 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     texts = likely(docs, "t", needed.select("t")).join(needed, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"])
     texts = saved(texts)
     # each member against its bucket's first
-    pairs = saved(members.where("id <> leader").select("leader", "id").distinct(), rows=n)
-    chunks = saved(pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("chunks")), rows=n)
+    pairs = saved(members.where("id <> leader").select("leader", "id", "size").distinct(), rows=n)
+    chunks = saved(pairs.groupBy("leader").agg(blocks_of(F.count("*"), F.sum("size"), 1).alias("chunks")), rows=n)
     pairs = pairs.join(chunks, "leader").withColumn("task", F.concat_ws("/", "leader", F.pmod(F.xxhash64("id"), "chunks")))
     first = pairs.select("task", "id", F.lit(1).alias("side"), F.col("id").alias("component"))
     lead = pairs.select("task", F.col("leader").alias("id")).distinct().select("task", "id", F.lit(0).alias("side"), F.col("id").alias("component"))
     comps = saved(components(saved(compared(first.union(lead), texts, width, percent))), rows=n)
     # what is left: buckets of several components, by blocks
-    m = members.select("key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    m = saved(m.select("key", "id", F.coalesce("component", "id").alias("component")), rows=n)
-    several = m.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    m = saved(m.join(saved(several.select("key", "n"), rows=n), "key"), rows=n)
+    m = members.select("key", "id", "size").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    m = saved(m.select("key", "id", "size", F.coalesce("component", "id").alias("component")), rows=n)
+    several = m.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    m = saved(m.join(saved(several.select("key", "n", "shingles"), rows=n), "key"), rows=n)
     joined = components(saved(compared(block_tasks(m, n), texts, width, percent)))
     by_class = classes.select("d1", "d2", "id", "rep.doc_id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_class = by_class.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
@@ -199,19 +208,25 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def blocks_of(rows: Column, shingles: Column, parts: int) -> Column:
+    """How many blocks these rows fill, of BLOCK / parts rows and BLOCK_SHINGLES / parts shingles."""
+    return F.greatest(F.lit(1), F.ceil(rows * F.lit(parts) / F.lit(BLOCK)), F.ceil(shingles * F.lit(parts) / F.lit(BLOCK_SHINGLES)))
+
+
 def block_tasks(m: DataFrame, rows: int) -> DataFrame:
-    """(task, id, side, component) for ``rows`` rows (key, id, component, n): the pairs of blocks.
+    """(task, id, side, component) for ``rows`` rows (key, id, size, component, n, shingles): the
+    pairs of blocks.
 
     A bucket's members are dealt to blocks by ranges of their component's hash, so that
     a large component fills blocks of its own; a pair of blocks that hold one and the
     same component is left out.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK // 2)))
+    parts = blocks_of(F.col("n"), F.col("shingles"), 2)
     # within one component the members go on by their own hash
-    per = saved(m.groupBy("key", "component").agg(F.count("*").alias("c")), rows=rows)
+    per = saved(m.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("size").alias("s")), rows=rows)
     m = m.join(per, ["key", "component"])
-    whole = F.col("c") >= BLOCK
-    slot = F.when(whole, F.concat_ws("/", F.lit("c"), "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / F.lit(BLOCK // 2))))).otherwise(
+    whole = (F.col("c") >= BLOCK) | (F.col("s") >= BLOCK_SHINGLES)
+    slot = F.when(whole, F.concat_ws("/", F.lit("c"), "component", F.pmod(F.xxhash64("id"), blocks_of(F.col("c"), F.col("s"), 2)))).otherwise(
         F.concat_ws("/", F.lit("m"), F.pmod(F.xxhash64("component"), parts))
     )
     m = saved(m.select("key", "id", "component", slot.alias("block"), F.when(whole, F.col("component")).alias("pure")), rows=rows)
