@@ -2,7 +2,7 @@
 
 Vectors that are equal (same label) are one class with a weight, told apart by their
 content alone.  Spherical k-means, fitted for each vector length on a bounded sample
-(SAMPLE vectors, or 8 a cell), assigns every class to the cell of the centroid with the
+(about SAMPLE vectors, or 8 a cell, and SAMPLE_BYTES at most), assigns every class to the cell of the centroid with the
 largest dot product; the number of cells follows the largest label (one for CELL classes,
 two at least), and above FLAT cells they are two levels deep, so that a vector meets the
 square root of their number.  A pair at cosine >= t is at most ``r = sqrt(2 - 2t)`` apart
@@ -47,6 +47,16 @@ BLOCK_NUMBERS = 1 << 19  # of a block's vectors, where they are long
 GUESTS = 1024
 STREAM = 1 << 17
 CENTROID_BYTES = 64 << 20
+SAMPLE_BYTES = 128 << 20
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's centroid of the largest dot product, and that product; GUESTS rows at a time."""
+    cell, best = np.empty(len(x), np.int64), np.empty(len(x))
+    for at in range(0, len(x), GUESTS):
+        dots = x[at : at + GUESTS] @ c.T
+        cell[at : at + GUESTS], best[at : at + GUESTS] = dots.argmax(1), dots.max(1)
+    return cell, best
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -54,12 +64,11 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     rng = np.random.default_rng(seed)
     c = x[np.sort(rng.choice(len(x), k, replace=False))]
     for _ in range(rounds):
-        dots = x @ c.T
-        cell = dots.argmax(1)
+        cell, best = nearest(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, cell, x)
         norms = np.linalg.norm(sums, axis=1)
-        worst = np.argsort(dots.max(1))
+        worst = np.argsort(best)
         for n, j in enumerate(np.flatnonzero(norms < 1e-12)):
             sums[j], norms[j] = x[worst[n]], 1.0
         c = sums / norms[:, None]
@@ -87,7 +96,7 @@ def two_level(x: np.ndarray, k: int) -> list[np.ndarray]:
     if k <= FLAT:
         return [spherical_kmeans(x, k)]
     top = spherical_kmeans(x, int(np.ceil(np.sqrt(k))))
-    home = (x @ top.T).argmax(1)
+    home = nearest(x, top)[0]
     out = []
     for j in range(len(top)):
         own = x[home == j]
@@ -100,21 +109,26 @@ def fitted(distinct: DataFrame) -> dict[int, list[np.ndarray]]:
     """The centroids for each vector length, as many lengths as the broadcast may hold."""
     sizes = distinct.groupBy(F.size("e").alias("dims"), "label").count().groupBy("dims").agg(F.max("count").alias("largest"), F.sum("count").alias("rows"))
     cells = F.greatest(F.lit(2), F.least(F.ceil(F.col("largest") / CELL), F.floor(F.lit(CENTROID_BYTES) / (F.col("dims") * 8))))
-    sizes = sizes.withColumn("cells", cells).withColumn("sample", F.greatest(F.lit(SAMPLE), F.col("cells") * 8))
+    wanted = F.least(F.greatest(F.lit(SAMPLE), F.col("cells") * 8), F.greatest(F.lit(2), F.floor(F.lit(SAMPLE_BYTES) / (F.col("dims") * 8))))
+    sizes = sizes.withColumn("cells", cells).withColumn("sample", wanted)
     spread = 1 << 30
     chosen = distinct.select("e", F.size("e").alias("dims"), F.pmod(F.xxhash64("e"), F.lit(spread)).alias("at"))
     chosen = chosen.join(sizes, "dims").where(F.col("at") < F.ceil(F.col("sample") / F.col("rows") * spread))
 
     def fit(key, rows):
-        import pandas as pd
+        import pyarrow as pa
 
-        x = units(np.array(rows.sort_values("at", kind="stable")["e"].tolist(), np.float64))
-        levels = two_level(x, int(rows["cells"].iloc[0]))
-        flat = [(key[0], level, k, c.tolist()) for level, cs in enumerate(levels) for k, c in enumerate(cs)]
-        return pd.DataFrame(flat, columns=["dims", "level", "k", "c"])
+        dims, cells = key[0].as_py(), rows["cells"][0].as_py()
+        order = np.argsort(rows["at"].to_numpy(), kind="stable")
+        e = np.concatenate([c.flatten().to_numpy() for c in rows["e"].chunks]).reshape(-1, dims)
+        levels = two_level(units(e[order]), cells)
+        flat = [(dims, level, k, c) for level, cs in enumerate(levels) for k, c in enumerate(cs)]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+        return pa.Table.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*flat, strict=True), kinds, strict=True)], ["dims", "level", "k", "c"])
 
     # a sample of a bounded size for each length
-    made = saved(chosen.groupBy("dims").applyInPandas(fit, "dims int, level int, k int, c array<double>"))
+    chosen = chosen.select("dims", "e", "at", "cells")
+    made = saved(chosen.groupBy("dims").applyInArrow(fit, "dims int, level int, k int, c array<double>"))
     most = made.groupBy("dims").agg((F.count("*") * F.first("dims") * 8).alias("bytes")).join(sizes.select("dims", "rows"), "dims")
     held, left = [], CENTROID_BYTES
     for r in most.orderBy(F.desc("rows"), "dims").limit(CENTROID_BYTES // 16).toLocalIterator():
