@@ -270,67 +270,78 @@ def test_sum_of_squares_choice():
         assert after(got) == min(map(after, able))
 
 
-def plainly_packed(sizes, window, most):
+def plainly_packed(sizes, window):
     """The same rule, by trying every level: sequences as lists of (item, start, length)."""
     done, held = [], []
     for item, total in enumerate(sizes):
-        start = 0
-        while total - start >= window:
-            done.append([(item, start, window)])
-            start += window
-        while start < total:
-            size = total - start
-            levels = sorted({sum(p[2] for p in w) for w in held}, reverse=True)
-
-            def after(h, size=size):
-                counts = Counter(sum(p[2] for p in w) for w in held)
-                counts[h] -= 1
-                counts[(h + size) % window] += 1
-                return sum(n * n for level, n in counts.items() if level)
-
-            fits = [h for h in levels if h + size <= window]
-            able = [*fits, 0] if len(held) < most else fits or levels
-            best = min(able, key=lambda h: (after(h), -h))
-            into = next((w for w in reversed(held) if sum(p[2] for p in w) == best), None) if best else None
-            if into is None:
-                into = []
-            else:
-                held.remove(into)
-            take = min(size, window - best)
-            into = [*into, (item, start, take)]
-            start += take
-            (done if best + take == window else held).append(into)
+        start = total // window * window
+        done += [[(item, at, window)] for at in range(0, start, window)]
+        if start == total:
+            continue
+        size = total - start
+        levels = sorted({sum(p[2] for p in w) for w in held}, reverse=True)
+
+        def after(h, size=size):
+            counts = Counter(sum(p[2] for p in w) for w in held)
+            counts[h] -= 1
+            counts[(h + size) % window] += 1
+            return sum(n * n for level, n in counts.items() if level)
+
+        best = min([*(h for h in levels if h + size <= window), 0], key=lambda h: (after(h), -h))
+        into = next((w for w in reversed(held) if sum(p[2] for p in w) == best), None) if best else None
+        if into is None:
+            into = []
+        else:
+            held.remove(into)
+        into = [*into, (item, start, size)]
+        (done if best + size == window else held).append(into)
+        if len(held) == window - 1:  # the run ends: fuller windows first, end to end
+            row = [(i, at + k) for w in sorted(held, key=lambda w: -sum(p[2] for p in w)) for i, at, n in w for k in range(n)]
+            held = []
+            for cut in range(0, len(row), window):
+                part, pieces = row[cut : cut + window], []
+                for i, at in part:
+                    if pieces and pieces[-1][0] == i and pieces[-1][1] + pieces[-1][2] == at:
+                        pieces[-1] = (i, pieces[-1][1], pieces[-1][2] + 1)
+                    else:
+                        pieces.append((i, at, 1))
+                (done if len(part) == window else held).append(pieces)
     return done, held
 
 
 def test_packing_matches_a_plain_packer():
     rng = random.Random(4)
-    for most in (3, 8, 100):
-        for _ in range(20):
-            sizes = [rng.randint(1, 40) for _ in range(120)]
-            p = packing.SumOfSquares(16, most=most)
+    for window, kind in ((16, "any"), (16, "alone"), (8, "alone"), (40, "any")):
+        for _ in range(15):
+            # of "alone" no two share a window, so that runs end early
+            sizes = [rng.randint(window // 2 + 1, window - 1) if kind == "alone" else rng.randint(1, 3 * window) for _ in range(120)]
+            p = packing.SumOfSquares(window)
             got = defaultdict(list)
             for item, n in enumerate(sizes):
                 for i, start, ids, total, sequence, _ in p.add(item, np.zeros(n, np.uint32)):
                     assert total == sizes[i]
                     got[sequence].append((i, start, len(ids)))
-            done, held = plainly_packed(sizes, 16, most)
-            assert list(got.values()) == done
-            assert p.held == len(held) <= most
+            done, held = plainly_packed(sizes, window)
+            assert sorted(map(sorted, got.values())) == sorted(map(sorted, done))
+            assert p.held == len(held) < window
             for i, start, ids, _, sequence, _ in p.flush():
                 got[sequence].append((i, start, len(ids)))
-            assert sum(x[2] for w in got.values() for x in w) == sum(sizes)
+            lengths = [sum(x[2] for x in w) for w in got.values()]
+            assert sum(lengths) == sum(sizes)
+            assert all(n == window or n & (n - 1) == 0 for n in lengths)
 
 
 def test_few_tokens_are_left_to_the_end():
     rng = np.random.default_rng(8)
     sizes = (rng.pareto(1.3, 6000) * 300 + 5).astype(int) % 20_000 + 1
     p = packing.SumOfSquares()
+    most = 0
     for n in sizes:
         for _ in p.add(0, np.zeros(n, np.uint32)):
             pass
+        most = max(most, p.held)
     left = sum(len(x[2]) for x in p.flush())
-    assert left < packing.OPEN_MOST * packing.WINDOW and left < 0.05 * sizes.sum()
+    assert left < 0.05 * sizes.sum() and most < 500
 
 
 # shingles and MinHash
@@ -384,10 +395,30 @@ def brute_components(texts, width, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_the_threshold_is_exact_for_long_texts():
+    for n in (10, 700_001, 8_000_000):  # 8 of 10 parts of the union are shared, or one less
+        for less in (0, 1):
+            both = np.array([[8 * n - less]], np.float32).astype(np.float32)
+            if int(both[0, 0]) == 8 * n - less:
+                assert neardup.alike(both, np.array([9 * n]), np.array([9 * n - less]), 80)[0, 0] == (less == 0)
+
+
+def test_long_texts_fill_more_blocks(spark):
+    rows = [(1, k, 1 << 20, k, 64, 64 << 20) for k in range(64)]
+    m = spark.createDataFrame(rows, "key long, id long, size long, component long, n long, shingles long")
+    tasks = neardup.block_tasks(m, 64).groupBy("task").agg(F.sum(F.lit(1 << 20)).alias("s")).collect()
+    assert len(tasks) > 64 and max(r["s"] for r in tasks) <= 24 << 20
+    held = neardup.block_tasks(m, 64).groupBy("task").agg(F.collect_set("component").alias("c")).collect()
+    met = {frozenset((a, b)) for r in held for a in r["c"] for b in r["c"]}
+    assert all(frozenset((a, b)) in met for a in range(64) for b in range(64))
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates_match_brute_force(spark, data, monkeypatch, small):
     if small:  # many blocks and chunks
         monkeypatch.setattr(neardup, "BLOCK", 4)
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
+        monkeypatch.setattr(neardup, "TEXT", 300)
     rng = random.Random(8)
     base = [f"w{k}" for k in range(60)]
     texts = [(r["doc_id"], r["text"]) for r in documents(spark, data).collect()]
@@ -464,6 +495,16 @@ def test_every_size_has_cells(spark):
     assert {d: sum(map(len, levels)) for d, levels in found.items()} == {8: 2, 5: 2}
 
 
+def test_the_sample_of_a_fit_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SAMPLE_BYTES", 100 * 8 * 8)
+    monkeypatch.setattr(embeddings, "CELL", 4)
+    x = near_vectors(2000, 900, 8, 4)
+    distinct = spark.createDataFrame([(v.tolist(), 0) for v in x], "e array<double>, label int")
+    found = embeddings.fitted(distinct)
+    assert sum(map(len, found[8])) < 200
+    assert np.allclose([np.linalg.norm(c) for level in found[8] for c in level], 1)
+
+
 def test_links_match_brute_force(spark, monkeypatch):
     x = near_vectors(700, 60, 8, 3)
     cos = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
