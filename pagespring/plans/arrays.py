@@ -26,7 +26,14 @@ def _query(sql: str):
 
 
 def _rounded(v, n: int = 6):
-    return F.transform(v, lambda x: F.round(x, n))
+    """Each entry rounded; one that rounds to zero keeps its sign, as in IEEE 754 arithmetic
+    (``round`` alone goes by decimals, which have no negative zero)."""
+
+    def one(x):
+        r = F.round(x, n)
+        return F.when(r == 0, x * 0.0).otherwise(r)
+
+    return F.transform(v, one)
 
 
 @_query(f"WITH {_T}, e AS (SELECT page_id, tokens[i] AS token, confidences[i] AS c FROM t, unnest(range(1, len(tokens) + 1)) AS u(i)) SELECT page_id, round(coalesce(avg(c) FILTER (WHERE token <> {END}), 0), 4) AS confidence FROM e GROUP BY page_id")
