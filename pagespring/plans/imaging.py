@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.resample import MEAN, STD
 from ..operators import raster as rs
 from ..operators import sizes as sz
-from ..sources.backends import joined_lines
+from ..sources.backends import joined_lines, size_classes
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -179,3 +179,13 @@ def pad_patch_grid(spark, sf):
 def pixel_normalize(spark, sf):
     e = fx.table(spark, sf, "embeddings").selectExpr("vec_id", "transform(embedding, x -> " + fx.GRAY.format(v="x") + ") AS g")
     return e.select("vec_id", F.transform(sz.normalised(F.col("g")), lambda x: F.round(x, 6)).alias("px"))
+
+
+@_query(
+    f"WITH {_SCALED}, q AS (SELECT doc_id, (rw + 27) // 28 * 28 AS pw, (rh + 27) // 28 * 28 AS ph FROM r), c AS (SELECT pw, ph, count(*) AS pages FROM q GROUP BY pw, ph),"
+    f" g AS (SELECT *, CAST(ceil(pages * pw * ph * 12 / CAST({1 << 29} AS DOUBLE)) AS BIGINT) AS ranges FROM c) SELECT pw, ph, pages, ranges, CAST(sum(ranges) OVER (ORDER BY pw, ph) - ranges AS BIGINT) AS first FROM g"
+)
+def page_size_classes(spark, sf):
+    """Pages by the size they are padded to, and the ranges of bounded bytes that each size is dealt to."""
+    pages = _sizes(spark, sf).selectExpr("w AS width", "h AS height", "'ok' AS status")
+    return size_classes(pages, 1 << 29)

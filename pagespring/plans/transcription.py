@@ -9,7 +9,7 @@ from ..functions.prompts import AFTER, BARE, BEFORE, CONTEXT_CHARS
 from ..functions.text import base_name, extension, is_page_image
 from ..operators import pages as pg
 from ..operators import regions as rg
-from ..sources.backends import joined_lines
+from ..sources.backends import StubCaptioner, caption, joined_lines
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -127,6 +127,13 @@ def caption_prompt_blank(spark, sf):
     return p.groupBy("blank").agg(F.countDistinct("prompt").alias("prompts"), F.count("*").alias("pages"))
 
 
+@_query(f"WITH p AS ({fx.PAGES_SQL}), q AS (SELECT *, {_LABELS} AS labels FROM p) SELECT regexp_extract(path, '[^/]*$', 0) AS name, {_SPLICED} AS processed_output, 'ok' AS status FROM q")
+def caption_batches(spark, sf):
+    """The same pages by a captioner that is asked for full batches, across pages and out of order."""
+    p = _pages(spark, sf).select(base_name(F.col("path")).alias("name"), "text", rg.regions(F.col("text"), F.col("img_w"), F.col("img_h")).alias("regions"))
+    return caption(p, StubCaptioner).select("name", "processed_output", "status")
+
+
 @_query(f"WITH p AS ({fx.PAGES_SQL}), q AS (SELECT *, {_LABELS} AS labels FROM p) SELECT doc_id, {_SPLICED} AS text FROM q WHERE len(labels) > 0")
 def splice_fold(spark, sf):
     p = _pages(spark, sf).withColumn("labels", rg.labels(F.col("text"))).where(F.size("labels") > 0)

@@ -18,14 +18,17 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linework, resample
-from ..functions.prompts import prompt
+from ..functions.captions import Failed, Fold, pooled
 from ..operators.pages import routed
 from ..operators.regions import regions
+from ..operators.sizes import padded, resized
 
+#: Pages of unfilled batches that a task holds.
+PAGES_HELD = 64
 RECOGNISED = "name string, text string, confidence float, img_w bigint, img_h bigint, status string, error string"
 LINES = "name string, line_idx int, y1 int, y2 int, height int, width int, pixels binary"
 
@@ -36,6 +39,8 @@ class Recogniser(Protocol):
 
 
 class Captioner(Protocol):
+    """May also have ``captions(prompts, labels)``, which tells those of a batch at once."""
+
     def caption(self, prompt: str, label: str) -> str: ...
 
 
@@ -49,6 +54,8 @@ class ImageRecogniser(Protocol):
 
 
 class ImageCaptioner(Protocol):
+    """May also have ``captions(prompts, pixels)`` for a batch (N, 3, 378, 378)."""
+
     def caption(self, prompt: str, pixels: np.ndarray) -> str:
         """The caption of a region's crop (3, 378, 378)."""
 
@@ -71,6 +78,9 @@ class StubImageCaptioner:
     def caption(self, prompt, pixels):
         return f"[figure {_digest(pixels)}]"
 
+    def captions(self, prompts, pixels):
+        return [self.caption(t, p) for t, p in zip(prompts, pixels, strict=True)]
+
 
 class StubImageLineReader:
     def read(self, pixels):
@@ -86,6 +96,9 @@ class StubCaptioner:
     def caption(self, prompt, label):
         return f"[figure {hashlib.md5((prompt + label).encode()).hexdigest()[:8]}]"
 
+    def captions(self, prompts, labels):
+        return [self.caption(t, x) for t, x in zip(prompts, labels, strict=True)]
+
 
 class StubLineReader:
     def read(self, lines):
@@ -134,49 +147,120 @@ def _rgb(pixels: bytes, h: int, w: int) -> np.ndarray:
     return np.frombuffer(pixels, np.uint8).reshape(int(h), int(w), 3)
 
 
-def recognise_images(images: DataFrame, factory: Callable[[], ImageRecogniser], batch: int = 8) -> DataFrame:
+#: Bytes of prepared pages that one range of a size class should hold.
+RANGE_BYTES = 512 << 20
+
+
+def size_classes(images: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """pw, ph (padded width and height), pages, ranges, first (of the ranges of all classes).
+
+    The longer edge is the same for all pages, so there are few classes, whatever the pages.
+    """
+    width, height = resized(F.col("width"), F.col("height"))
+    classes = images.where("status = 'ok'").select(padded(width).alias("pw"), padded(height).alias("ph")).groupBy("pw", "ph").agg(F.count("*").alias("pages"))
+    bytes_ = F.col("pages") * F.col("pw") * F.col("ph") * 12  # three planes of single-precision numbers
+    ranges = F.ceil(bytes_ / F.lit(range_bytes))
+    upto = Window.partitionBy(F.lit(0)).orderBy("pw", "ph").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.withColumn("ranges", ranges)
+    return classes.withColumn("first", F.coalesce(F.sum("ranges").over(upto), F.lit(0)))
+
+
+def dealt_by_size(images: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """images in partitions that hold a range of one size class each, with pw and ph; a class of
+    many pages has many ranges.  Pages that were not decoded are spread over all.  Sizes are
+    counted in a pass of their own, so images that are costly to make are better written first."""
+    classes = size_classes(images, range_bytes).collect()  # a row for each class
+    total = max(1, sum(r["ranges"] for r in classes))
+    width, height = resized(F.col("width"), F.col("height"))
+    rows = images.withColumn("pw", F.when(F.col("status") == "ok", padded(width))).withColumn("ph", F.when(F.col("status") == "ok", padded(height)))
+    at = F.pmod(F.xxhash64("path", "name"), F.lit(total))
+    for r in classes:
+        own = (F.col("pw") == r["pw"]) & (F.col("ph") == r["ph"])
+        at = F.when(own, F.lit(r["first"]) + F.pmod(F.xxhash64("path", "name"), F.lit(r["ranges"]))).otherwise(at)
+    return rows.repartitionById(total, at.cast("int"))
+
+
+def recognise_images(images: DataFrame, factory: Callable[[], ImageRecogniser], batch: int = 8, deal: bool = True) -> DataFrame:
     """``files.IMAGES`` to the columns of ``recognise``: pages are resized, padded, normalised
-    and stacked with others of their size, ``batch`` at most to a call."""
+    and stacked with others of their size, ``batch`` to a call.
+
+    With ``deal``, pages are dealt to tasks by their size first, so that of each range of a class
+    only the last call can have fewer; without, a task stacks what it reads.  A task holds
+    one unfilled batch of a size; of several sizes, PAGES_HELD pages at most.
+    """
     kept: dict = {}
 
     def run(frames):
+        waiting: dict[tuple, list] = {}
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                yield read(frame.iloc[at : at + batch])
-
-    def read(part):
-        rows: dict[int, tuple] = {}
-        sizes: dict[tuple, list] = {}
-        for k, r in enumerate(part.itertuples(index=False)):
-            if r.status == "ok":
+            done: list[tuple] = []
+            for r in frame.itertuples(index=False):
+                if r.status != "ok":
+                    done.append((r.name, None, None, None, None, "failed", r.error))
+                    continue
                 x, *grid = resample.recogniser_input(_rgb(r.pixels, r.height, r.width))
-                sizes.setdefault((x.shape, tuple(grid)), []).append((k, x, r))
-            else:
-                rows[k] = (r.name, None, None, None, None, "failed", r.error)
-        for (_, grid), held in sizes.items():
-            found = _each(lambda xs, grid=grid: _made(factory, kept).recognise(np.stack(xs), grid), [x for _, x, _ in held])
-            for (k, _, r), (got, e) in zip(held, found, strict=True):
-                rows[k] = (r.name, None, None, r.width, r.height, "failed", e) if e else (r.name, *got, r.width, r.height, "ok", None)
-        out = pd.DataFrame([rows[k] for k in sorted(rows)], columns=["name", "text", "confidence", "img_w", "img_h", "status", "error"])
+                own = waiting.setdefault((x.shape, tuple(grid)), [])
+                own.append((r.name, r.width, r.height, x))
+                if len(own) == batch:
+                    done += read(waiting.pop((x.shape, tuple(grid))), grid)
+                elif sum(map(len, waiting.values())) > PAGES_HELD:
+                    most = max(waiting, key=lambda k: len(waiting[k]))
+                    done += read(waiting.pop(most), most[1])
+            if done:
+                yield made(done)
+        if waiting:
+            yield made([row for (_, grid), own in waiting.items() for row in read(own, grid)])
+
+    def read(held, grid):
+        found = _each(lambda xs: _made(factory, kept).recognise(np.stack(xs), tuple(grid)), [x for *_, x in held])
+        return [(n, None, None, w, h, "failed", e) if e else (n, *got, w, h, "ok", None) for (n, w, h, _), (got, e) in zip(held, found, strict=True)]
+
+    def made(rows):
+        out = pd.DataFrame(rows, columns=["name", "text", "confidence", "img_w", "img_h", "status", "error"])
         return out.astype({"img_w": "Int64", "img_h": "Int64"})
 
-    out = images.select("name", "height", "width", "pixels", "status", "error").mapInPandas(run, RECOGNISED)
+    rows = dealt_by_size(images) if deal else images
+    out = rows.select("name", "height", "width", "pixels", "status", "error").mapInPandas(run, RECOGNISED)
     return out.withColumn("regions", regions(F.col("text"), F.col("img_w"), F.col("img_h")))
 
 
 CAPTIONED = "name string, processed_output string, status string, error string"
 
 
-def _folded(text: str, labels, caption: Callable[[str, int], str | None]) -> tuple:
-    """(text, status, error): captions over their labels in order, each seeing the ones before;
-    a caption of None leaves its label."""
-    try:
-        for k, label in enumerate(labels):
-            if label in text and (told := caption(prompt(text), k)) is not None:
-                text = text.replace(label, told)
-    except Exception as e:  # the text is kept with the captions so far
-        return text, "failed", str(e)
-    return text, "ok", None
+def _captioner(factory: Callable, kept: dict) -> Callable[[list[tuple]], list[tuple]]:
+    """(caption, error) of each (prompt, label or pixels): of one call, if the backend has it."""
+
+    def call(items: list[tuple]) -> list[tuple]:
+        try:
+            backend = _made(factory, kept)
+        except Exception as e:  # no backend: each page keeps its text and the error
+            return [(None, str(e))] * len(items)
+        if hasattr(backend, "captions"):
+
+            def told(some):
+                given = [x for _, x in some]
+                return backend.captions([t for t, _ in some], np.stack(given) if isinstance(given[0], np.ndarray) else given)
+
+            return _each(told, items)
+        return [_each(lambda some: [backend.caption(*some[0])], [x])[0] for x in items]
+
+    return call
+
+
+def _folded(pages, call: Callable, batch: int):
+    """CAPTIONED frames of pages (name, fold, given), as they get done."""
+    rows: list[tuple] = []
+
+    def made():
+        return pd.DataFrame(rows, columns=["name", "processed_output", "status", "error"])
+
+    for name, fold in pooled(pages, call, batch):
+        rows.append((name, fold.text, "failed" if fold.error is not None else "ok", fold.error))
+        if len(rows) >= 1024:
+            yield made()
+            rows = []
+    if rows:
+        yield made()
 
 
 def _captioned(held: DataFrame, run, widened: Callable[[DataFrame], DataFrame] = lambda some: some) -> DataFrame:
@@ -186,46 +270,50 @@ def _captioned(held: DataFrame, run, widened: Callable[[DataFrame], DataFrame] =
     return plain.union(widened(held.where(some)).mapInPandas(run, CAPTIONED))
 
 
-def caption(recognised: DataFrame, factory: Callable[[], Captioner]) -> DataFrame:
+def caption(recognised: DataFrame, factory: Callable[[], Captioner], batch: int = 16) -> DataFrame:
     """Splices captions over markers: (name, processed_output, status, error); the backend sees
-    a region's prompt and label."""
+    a region's prompt and label, ``batch`` regions of any pages and levels at a time."""
     kept: dict = {}
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for name, text, found in batch.itertuples(index=False):
-                labels = [r["label"] for r in found]
-                rows.append((name, *_folded(text, labels, lambda told, k, labels=labels: _made(factory, kept).caption(told, labels[k]))))
-            yield pd.DataFrame(rows, columns=["name", "processed_output", "status", "error"])
+        def pages():
+            for frame in batches:
+                for name, text, found in frame.itertuples(index=False):
+                    labels = [r["label"] for r in found]
+                    yield name, Fold(text, labels), labels
+
+        yield from _folded(pages(), _captioner(factory, kept), batch)
 
     return _captioned(recognised.select("name", "text", "regions"), run)
 
 
-def caption_images(recognised: DataFrame, images: DataFrame, factory: Callable[[], ImageCaptioner]) -> DataFrame:
+def caption_images(recognised: DataFrame, images: DataFrame, factory: Callable[[], ImageCaptioner], batch: int = 16) -> DataFrame:
     """Splices captions over markers: (name, processed_output, status, error); the backend sees
-    a region's prompt and the pixels of its crop.
+    a region's prompt and the pixels of its crop, ``batch`` regions of any pages and levels at
+    a time.
 
     A region without extent, or outside its page, keeps its marker.  Only pages with regions
-    are joined to their pixels.
+    are joined to their pixels; an open page holds its crops, not its image.
     """
     kept: dict = {}
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for name, text, found, pixels, h, w in batch.itertuples(index=False):
-                page = None if pixels is None else _rgb(pixels, h, w)
-
-                def one(told, k, page=page, found=found):
-                    if page is None:
-                        raise ValueError("the page has no pixels")
-                    x1, x2, y1, y2 = (int(found[k][c]) for c in ("x1", "x2", "y1", "y2"))
-                    crop = page[y1:y2, x1:x2]
-                    return _made(factory, kept).caption(told, resample.captioner_input(crop)) if crop.size else None
-
-                rows.append((name, *_folded(text, [r["label"] for r in found], one)))
-            yield pd.DataFrame(rows, columns=["name", "processed_output", "status", "error"])
+        def pages():
+            for frame in batches:
+                for name, text, found, pixels, h, w in frame.itertuples(index=False):
+                    labels = [r["label"] for r in found]
+                    if pixels is None:
+                        fold = Fold(text, labels)
+                        if not fold.done:
+                            fold.tell(fold.at, Failed("the page has no pixels"))
+                        yield name, fold, labels
+                        continue
+                    image = _rgb(pixels, h, w)
+                    crops = [image[int(r["y1"]) : int(r["y2"]), int(r["x1"]) : int(r["x2"])] for r in found]
+                    crops = [resample.captioner_input(c) if c.size else None for c in crops]
+                    yield name, Fold(text, labels, [k for k, c in enumerate(crops) if c is None]), crops
+
+        yield from _folded(pages(), _captioner(factory, kept), batch)
 
     pixels = images.where("status = 'ok'").select("name", "pixels", "height", "width")
     return _captioned(recognised.select("name", "text", "regions"), run, lambda some: some.join(pixels, "name", "left").select("name", "text", "regions", "pixels", "height", "width"))
@@ -251,20 +339,31 @@ def line_images(images: DataFrame) -> DataFrame:
 
 
 def read_line_images(lines: DataFrame, factory: Callable[[], ImageLineReader], thick: bool = False, batch: int = 16) -> DataFrame:
-    """(name, text) of LINES: each batch of crops resized, normalised, stacked and read, then a
-    page's lines joined in order.  A line that cannot be read is left out."""
+    """(name, text, errors) of LINES: crops resized, normalised, stacked and read, ``batch`` of a
+    task's lines to a call, then a page's lines joined in order.  A line that cannot be read is
+    left out of the text and named in ``errors`` (line_idx, error)."""
     kept: dict = {}
 
     def run(frames):
+        held: list[tuple] = []
+
+        def read():
+            found = _each(lambda xs: _made(factory, kept).read(np.stack(xs)), [x for *_, x in held])
+            rows = [(n, k, line or "", e) for (n, k, _), (line, e) in zip(held, found, strict=True)]
+            held.clear()
+            return pd.DataFrame(rows, columns=["name", "line_idx", "line", "error"])
+
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                xs = [resample.line_input(_rgb(p, h, w), thick) for p, h, w in zip(part["pixels"], part["height"], part["width"], strict=True)]
-                found = _each(lambda xs: _made(factory, kept).read(np.stack(xs)), xs)
-                yield part[["name", "line_idx"]].assign(line=[r or "" for r, _ in found])
+            for r in frame.itertuples(index=False):
+                held.append((r.name, r.line_idx, resample.line_input(_rgb(r.pixels, r.height, r.width), thick)))
+                if len(held) == batch:
+                    yield read()
+        if held:
+            yield read()
 
-    read = lines.select("name", "line_idx", "height", "width", "pixels").mapInPandas(run, "name string, line_idx int, line string")
-    return joined_lines(read)
+    read = lines.select("name", "line_idx", "height", "width", "pixels").mapInPandas(run, "name string, line_idx int, line string, error string")
+    failed = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("line_idx", "error"))))
+    return joined_lines(read, failed.alias("errors"))
 
 
 def with_handwriting(recognised: DataFrame, images: DataFrame, factory: Callable[[], ImageLineReader], threshold: float = 0.28) -> DataFrame:
@@ -272,7 +371,7 @@ def with_handwriting(recognised: DataFrame, images: DataFrame, factory: Callable
     a page without a second text keeps its first.  Only those pages' pixels are joined."""
     again = recognised.where(F.col("confidence") > F.lit(threshold).cast("float")).select("name")
     second = read_line_images(line_images(images.join(again, "name", "left_semi")), factory)
-    joined = recognised.join(second.withColumnRenamed("text", "second text"), "name", "left")
+    joined = recognised.join(second.select("name", F.col("text").alias("second text")), "name", "left")
     return joined.withColumn("text", routed(F.col("text"), F.col("second text"), F.col("confidence"), threshold)).select(recognised.columns)
 
 
@@ -288,10 +387,11 @@ def read_lines(crops: DataFrame, factory: Callable[[], LineReader]) -> DataFrame
     return joined_lines(lines)
 
 
-def joined_lines(lines: DataFrame) -> DataFrame:
-    """(name, text) of rows (name, line_idx, line): trimmed, empty ones left out, in order."""
+def joined_lines(lines: DataFrame, *more: Column) -> DataFrame:
+    """(name, text) of rows (name, line_idx, line): trimmed, empty ones left out, in order; ``more``
+    are further aggregates of a page's lines."""
     from ..functions.text import unicode_trim
 
     t = lines.withColumn("line", unicode_trim(F.col("line")))
     ordered = F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("line_idx", "line"))))
-    return t.groupBy("name").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("text"))
+    return t.groupBy("name").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("text"), *more)
