@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import tokens as tk
 from ..functions import vectors as vc
 from ..operators import tensors as tz
+from ..sources import tensors as tn
+from ..sources.store import new_folder
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -338,3 +340,13 @@ def json_open_value(spark, sf):
     """JSON text as an open value, read without a schema."""
     v = fx.table(spark, sf, "events").select("event_id", F.parse_json("props").alias("v"))
     return v.select("event_id", F.try_variant_get("v", "$.k", "string").alias("k"), F.try_variant_get("v", "$.k", "variant").isNotNull().alias("has"))
+
+
+@_query("SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL")
+def tensor_round_trip(spark, sf):
+    """Vectors written as tensors, one file a partition, and read back by ranges of their bytes."""
+    rows = fx.vectors(spark, sf).where("page_id is not null and v is not null").select(F.col("page_id").alias("id"), "v")
+    folder = new_folder(spark)
+    tn.write_vectors(rows, folder).agg(F.sum("rows")).collect()
+    ids = tn.vectors(spark, folder, "ids").select("file", "row", F.col("v")[0].cast("bigint").alias("id"))
+    return tn.vectors(spark, folder, "v").join(ids, ["file", "row"]).select("id", "v")

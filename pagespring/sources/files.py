@@ -1,10 +1,11 @@
-"""Files in and out: documents, page images, tensor headers, Markdown pages."""
+"""Files in: documents, page images, configurations; what a run is told of.
+
+Markdown pages are written by ``markdown``, tensors read by ``tensors``, and any folder's files
+by ``folders``.
+"""
 
 from __future__ import annotations
 
-import json
-import os
-import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, extension, is_page_image
+from .folders import folder as listing
+from .markdown import export_markdown as export_markdown
+from .tensors import headers
 
 # Fixed value: a glob that takes the image extensions in any case, before files are read.
 IMAGE_GLOB = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}"
@@ -39,10 +43,17 @@ def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_pages(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
-    """(path, name[, content]) of page images in path order; a missing folder gives no rows."""
-    files = _listed(spark, folder, IMAGE_GLOB)
-    columns = ["path", base_name(F.col("path")).alias("name"), *(["content"] if with_content else [])]
-    return files.select(*columns).orderBy("path")
+    """(path, name[, content]) of page images in path order; a missing folder gives no rows.
+
+    The listing is sorted before contents are read, and files whose names start with ``_`` or
+    ``.`` are pages too.  A page that cannot be read is an error here; ``folders.folder`` has
+    a row for it.
+    """
+    found = listing(spark, folder, "*.png,*.jpg,*.jpeg", content=with_content)
+    if not with_content:
+        return found.select("path", "name")
+    unread = F.raise_error(F.concat(F.lit("not read: "), "path", F.lit(": "), "error"))
+    return found.select("path", "name", F.when(F.col("status") == "ok", F.col("content")).otherwise(unread.cast("binary")).alias("content"))
 
 
 def count_files(spark: SparkSession, folder: str) -> int:
@@ -153,28 +164,8 @@ def gray_pixels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, tensor, shape, dtype) from the headers of safetensors files.
-
-    Only the header's bytes are read: the files are listed, and each is opened on an executor.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path")
-
-    def run(batches):
-        from pyarrow import fs
-
-        for batch in batches:
-            rows = []
-            for p in batch["path"]:
-                store, inner = fs.FileSystem.from_uri(p)
-                with store.open_input_file(inner) as f:
-                    size = struct.unpack("<Q", f.read(8))[0]
-                    about_all = json.loads(f.read(size))
-                for tensor, about in about_all.items():
-                    if tensor != "__metadata__":
-                        rows.append((p, tensor, "x".join(map(str, about["shape"])), about["dtype"]))
-            yield pd.DataFrame(rows, columns=["file", "tensor", "shape", "dtype"])
-
-    return files.mapInPandas(run, "file string, tensor string, shape string, dtype string")
+    """(file, tensor, shape, dtype) from the headers of safetensors files; no data are read."""
+    return headers(spark, path).select("file", "tensor", F.array_join("shape", "x").alias("shape"), "dtype")
 
 
 def write_tensor_table(headers: DataFrame, folder: str) -> None:
@@ -187,44 +178,6 @@ def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def export_markdown(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes ``folder/name.md`` for rows (name, processed_output): (path, status, error).
-
-    The folder must be one that all executors share.  A page is written to a name of the
-    attempt's own and renamed, so a task that runs again, or twice at once, leaves whole
-    files.  A null text gives an empty file; a null name, and every row of a name that
-    stands more than once, give a row with an error and no file.
-    """
-    counted = pages.groupBy("name").agg(F.count("*").alias("same"))
-    named = pages.select("name", "processed_output").join(counted, "name", "left")
-
-    def run(batches):
-        import uuid
-
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            rows = []
-            for name, text, same in zip(batch["name"], batch["processed_output"], batch["same"], strict=True):
-                if name is None:
-                    rows.append((None, "failed", "a page without a name"))
-                    continue
-                path = os.path.join(folder, f"{name}.md")
-                if same > 1:
-                    rows.append((path, "failed", "several pages of one name"))
-                    continue
-                part = f"{path}.{uuid.uuid4().hex}.tmp"
-                try:
-                    with open(part, "w", encoding="utf-8") as f:
-                        f.write(text or "")
-                    os.replace(part, path)
-                    rows.append((path, "ok", None))
-                except OSError as e:
-                    rows.append((path, "failed", str(e)))
-            yield pd.DataFrame(rows, columns=["path", "status", "error"])
-
-    return named.select("name", "processed_output", "same").mapInPandas(run, "path string, status string, error string")
-
-
 def observed(rows: DataFrame, name: str):
     """rows and the metrics that their run will have: (frame, observation).
 
