@@ -39,11 +39,12 @@ def weights(size: int, new: int, kernel: str) -> np.ndarray:
 
 
 def resize(image: np.ndarray, w: int, h: int, kernel: str = "lanczos3") -> np.ndarray:
-    """uint8 (h, w, c) to the exact size, each axis on its own, rounded and clamped."""
+    """uint8 (h, w, c) to the exact size, each axis on its own, rounded half up (a millionth
+    below counts as half, whatever the order of sums) and clamped."""
     x = weights(image.shape[0], h, kernel) @ image.astype(np.float64).reshape(image.shape[0], -1)
     x = x.reshape(h, image.shape[1], -1)
     x = np.einsum("nw,hwc->hnc", weights(image.shape[1], w, kernel), x)
-    return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(np.round(x, 6) + 0.5), 0, 255).astype(np.uint8)
 
 
 def resize_to_fill(image: np.ndarray, side: int, kernel: str = "triangle") -> np.ndarray:

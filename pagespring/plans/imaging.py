@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.resample import MEAN, STD
 from ..operators import raster as rs
+from ..operators import resampling as rz
 from ..operators import sizes as sz
 from ..sources.backends import joined_lines, size_classes
 from . import fixtures as fx
@@ -189,3 +190,47 @@ def page_size_classes(spark, sf):
     """Pages by the size they are padded to, and the ranges of bounded bytes that each size is dealt to."""
     pages = _sizes(spark, sf).selectExpr("w AS width", "h AS height", "'ok' AS status")
     return size_classes(pages, 1 << 29)
+
+
+def _sql_axis(rows: str, axis: str, size: str, new: str, kernel: str, by: str) -> str:
+    """SQL: rows (by, axis, v) resampled along an axis."""
+    ratio = f"(CAST({size} AS DOUBLE) / {new})"
+    wide = f"greatest({ratio}, 1.0::DOUBLE)"
+    reach = f"{wide} * {rz.SUPPORT[kernel]}::DOUBLE"
+    x = f"(({axis} + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {ratio}) / {wide})"
+    sinc = "CASE WHEN {t} = 0 THEN 1.0::DOUBLE ELSE sin(pi() * {t}) / (pi() * {t}) END"
+    w = "greatest(1.0::DOUBLE - abs(t), 0.0::DOUBLE)" if kernel == "triangle" else f"CASE WHEN abs(t) < 3 THEN ({sinc.format(t='t')}) * ({sinc.format(t='(t / 3.0::DOUBLE)')}) ELSE 0.0::DOUBLE END"
+    lo = f"greatest(CAST(ceil(({axis} + 0.5::DOUBLE - {reach}) / {ratio} - 0.5::DOUBLE) AS BIGINT), 0)"
+    hi = f"least(CAST(floor(({axis} + 0.5::DOUBLE + {reach}) / {ratio} - 0.5::DOUBLE) AS BIGINT), {new} - 1)"
+    return (
+        f"SELECT {by}, CAST(o AS INT) AS {axis}, sum(w * v) / sum(w) AS v FROM (SELECT *, {w} AS w FROM (SELECT {by}, v, o, {x} AS t FROM {rows}, unnest(range({lo}, {hi} + 1)) AS u(o))) GROUP BY {by}, o"
+    )
+
+
+def _sql_resampled(w: int, h: int, nw: int, nh: int, kernel: str) -> str:
+    down = _sql_axis("(SELECT page_id, y, x, CAST(gray AS DOUBLE) AS v FROM p)", "y", str(h), str(nh), kernel, "page_id, x")
+    across = _sql_axis("a", "x", str(w), str(nw), kernel, "page_id, y")
+    return f"{_P}, a AS ({down}), b AS ({across}), r AS (SELECT page_id, y, x, CAST(least(greatest(floor(round(v, 6) + 0.5::DOUBLE), 0), 255) AS INT) AS gray FROM b)"
+
+
+def _sized(spark, sf):
+    return fx.pixels(spark, sf).selectExpr("page_id", "y", "x", "gray", "50 AS h", "64 AS w")
+
+
+@_query(f"WITH {_sql_resampled(64, 50, 100, 78, 'lanczos3')} SELECT * FROM r")
+def resample_longest(spark, sf):
+    """Images scaled up so that the longer edge is 100, by the recogniser's kernel."""
+    nw, nh = sz.resized(F.col("w"), F.col("h"), 100)
+    return rz.resampled(_sized(spark, sf).withColumn("nw", nw.cast("int")).withColumn("nh", nh.cast("int")))
+
+
+@_query(f"WITH {_sql_resampled(64, 50, 31, 24, 'triangle')} SELECT page_id, y, x - 3 AS x, gray FROM r WHERE x BETWEEN 3 AND 26")
+def resample_fill(spark, sf):
+    """Images scaled down to cover a square of 24, cut evenly, by the captioner's kernel."""
+    return rz.filled(_sized(spark, sf), 24)
+
+
+@_query(f"WITH {_sql_resampled(64, 50, 40, 40, 'triangle')} SELECT * FROM r")
+def resample_square(spark, sf):
+    """Images as exact squares, aspect not kept, as the line reader takes them."""
+    return rz.resampled(_sized(spark, sf).selectExpr("*", "40 AS nh", "40 AS nw"), "triangle")

@@ -46,3 +46,24 @@ def test_prompts():
     assert prompt(" \n") == BARE
     assert prompt("x" * 400) == BEFORE + "x" * 300 + AFTER
     assert BARE.startswith("\n\nQuestion:") and AFTER.endswith("\n\nAnswer:")
+
+
+def test_relations_are_the_images(spark):
+    rng = np.random.default_rng(12)
+    from pagespring.operators import resampling as rz
+
+    for h, w, nh, nw, kernel in ((13, 20, 7, 9, "lanczos3"), (13, 20, 26, 41, "lanczos3"), (16, 12, 8, 6, "triangle"), (5, 9, 11, 3, "triangle"), (1, 1, 3, 2, "lanczos3")):
+        image = rng.integers(0, 256, (h, w, 1)).astype(np.uint8)
+        rows = [(7, y, x, int(v), h, w, nh, nw) for (y, x, _), v in np.ndenumerate(image)]
+        df = spark.createDataFrame(rows, "page_id long, y int, x int, gray int, h int, w int, nh int, nw int")
+        got = np.zeros((nh, nw, 1), np.uint8)
+        found = rz.resampled(df, kernel).collect()
+        for r in found:
+            got[r["y"], r["x"], 0] = r["gray"]
+        assert len(found) == nh * nw and np.array_equal(got, rs.resize(image, nw, nh, kernel))
+    image = rng.integers(0, 256, (21, 34, 1)).astype(np.uint8)
+    df = spark.createDataFrame([(y % 1, y, x, int(v), 21, 34) for (y, x, _), v in np.ndenumerate(image)], "page_id int, y int, x int, gray int, h int, w int")
+    got = {(r["y"], r["x"]): r["gray"] for r in rz.filled(df, 12).collect()}
+    want = rs.resize_to_fill(image, 12)
+    assert got == {(y, x): int(v) for (y, x, _), v in np.ndenumerate(want)}
+    assert rz.resampled(df.selectExpr("*", "0 AS nh", "3 AS nw")).count() == 0 and rz.filled(df.limit(0), 12).count() == 0
