@@ -9,6 +9,7 @@ from ..functions.prompts import AFTER, BARE, BEFORE, CONTEXT_CHARS
 from ..functions.text import base_name, extension, is_page_image
 from ..operators import pages as pg
 from ..operators import regions as rg
+from ..operators.pieces import pieces
 from ..sources.backends import StubCaptioner, caption, joined_lines
 from . import fixtures as fx
 
@@ -205,3 +206,17 @@ def file_count(spark, sf):
     """Files counted by extension, as a staging folder's are before it is cleared."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return _pages(spark, sf).groupBy(ext.alias("extension")).agg(F.count("*").alias("files"))
+
+
+@_query(
+    "WITH c AS (SELECT doc_id, i, c, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> '')),"
+    " d AS (SELECT doc_id, CAST((upto - 1) // 3 AS BIGINT) AS k, string_agg(c, '' ORDER BY i) AS piece FROM c GROUP BY ALL),"
+    " t AS (SELECT doc_id, unnest(range(CAST(ceil(strlen(text) / 3.0) AS BIGINT))) AS k FROM documents WHERE text <> '')"
+    " SELECT t.doc_id, count(*) AS tokens, count(*) FILTER (WHERE piece IS NULL) AS waiting, md5(string_agg(coalesce(piece, ''), '|' ORDER BY t.k)) AS pieces FROM t LEFT JOIN d ON d.doc_id = t.doc_id AND d.k = t.k GROUP BY t.doc_id"
+)
+def streamed_pieces(spark, sf):
+    """Texts as tokens of three bytes each, that end inside characters; what each token shows."""
+    d = fx.table(spark, sf, "documents").where("text <> ''").select("doc_id", F.encode("text", "utf-8").alias("raw"))
+    t = d.select("doc_id", "raw", F.explode(F.expr("sequence(0, (octet_length(raw) - 1) DIV 3)")).alias("pos")).select("doc_id", "pos", F.expr("substring(raw, CAST(pos * 3 + 1 AS INT), 3)").alias("bytes"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda r: r["piece"]), "|")
+    return pieces(t, "doc_id").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(F.col("piece") == "").alias("waiting"), F.md5(shown).alias("pieces"))

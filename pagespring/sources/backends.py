@@ -180,13 +180,15 @@ def dealt_by_size(images: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
     return rows.repartitionById(total, at.cast("int"))
 
 
-def recognise_images(images: DataFrame, factory: Callable[[], ImageRecogniser], batch: int = 8, deal: bool = True) -> DataFrame:
+def recognise_images(images: DataFrame, factory: Callable[[], ImageRecogniser], batch: int = 8, deal: bool = True, profile=None) -> DataFrame:
     """``files.IMAGES`` to the columns of ``recognise``: pages are resized, padded, normalised
     and stacked with others of their size, ``batch`` to a call.
 
     With ``deal``, pages are dealt to tasks by their size first, so that of each range of a class
     only the last call can have fewer; without, a task stacks what it reads.  A task holds
-    one unfilled batch of a size; of several sizes, PAGES_HELD pages at most.
+    one unfilled batch of a size; of several sizes, PAGES_HELD pages at most.  ``profile`` is
+    what the stage's executors and tasks are to have (``decoding.model_profile``), where the
+    cluster can schedule by stages.
     """
     kept: dict = {}
 
@@ -220,7 +222,7 @@ def recognise_images(images: DataFrame, factory: Callable[[], ImageRecogniser],
         return out.astype({"img_w": "Int64", "img_h": "Int64"})
 
     rows = dealt_by_size(images) if deal else images
-    out = rows.select("name", "height", "width", "pixels", "status", "error").mapInPandas(run, RECOGNISED)
+    out = rows.select("name", "height", "width", "pixels", "status", "error").mapInPandas(run, RECOGNISED, profile=profile)
     return out.withColumn("regions", regions(F.col("text"), F.col("img_w"), F.col("img_h")))
 
 
@@ -263,14 +265,14 @@ def _folded(pages, call: Callable, batch: int):
         yield made()
 
 
-def _captioned(held: DataFrame, run, widened: Callable[[DataFrame], DataFrame] = lambda some: some) -> DataFrame:
+def _captioned(held: DataFrame, run, widened: Callable[[DataFrame], DataFrame] = lambda some: some, profile=None) -> DataFrame:
     """Pages without regions never reach Python."""
     some = F.coalesce(F.size("regions"), F.lit(0)) > 0
     plain = held.where(~some).select("name", F.col("text").alias("processed_output"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
-    return plain.union(widened(held.where(some)).mapInPandas(run, CAPTIONED))
+    return plain.union(widened(held.where(some)).mapInPandas(run, CAPTIONED, profile=profile))
 
 
-def caption(recognised: DataFrame, factory: Callable[[], Captioner], batch: int = 16) -> DataFrame:
+def caption(recognised: DataFrame, factory: Callable[[], Captioner], batch: int = 16, profile=None) -> DataFrame:
     """Splices captions over markers: (name, processed_output, status, error); the backend sees
     a region's prompt and label, ``batch`` regions of any pages and levels at a time."""
     kept: dict = {}
@@ -284,10 +286,10 @@ def caption(recognised: DataFrame, factory: Callable[[], Captioner], batch: int
 
         yield from _folded(pages(), _captioner(factory, kept), batch)
 
-    return _captioned(recognised.select("name", "text", "regions"), run)
+    return _captioned(recognised.select("name", "text", "regions"), run, profile=profile)
 
 
-def caption_images(recognised: DataFrame, images: DataFrame, factory: Callable[[], ImageCaptioner], batch: int = 16) -> DataFrame:
+def caption_images(recognised: DataFrame, images: DataFrame, factory: Callable[[], ImageCaptioner], batch: int = 16, profile=None) -> DataFrame:
     """Splices captions over markers: (name, processed_output, status, error); the backend sees
     a region's prompt and the pixels of its crop, ``batch`` regions of any pages and levels at
     a time.
@@ -316,7 +318,7 @@ def caption_images(recognised: DataFrame, images: DataFrame, factory: Callable[[
         yield from _folded(pages(), _captioner(factory, kept), batch)
 
     pixels = images.where("status = 'ok'").select("name", "pixels", "height", "width")
-    return _captioned(recognised.select("name", "text", "regions"), run, lambda some: some.join(pixels, "name", "left").select("name", "text", "regions", "pixels", "height", "width"))
+    return _captioned(recognised.select("name", "text", "regions"), run, lambda some: some.join(pixels, "name", "left").select("name", "text", "regions", "pixels", "height", "width"), profile)
 
 
 def line_images(images: DataFrame) -> DataFrame:

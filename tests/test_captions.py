@@ -170,3 +170,16 @@ def test_line_errors_are_kept(spark):
     lines = spark.createDataFrame(rows, bk.LINES)
     r = bk.read_line_images(lines, Touchy, batch=3).first()
     assert r["text"] == "ink\nink" and [(e["line_idx"], e["error"]) for e in r["errors"]] == [(1, "blank line")]
+
+
+def test_the_stage_gets_its_profile(spark):
+    from pagespring.sources import decoding as dc
+
+    rows = spark.createDataFrame([("a", "see " + label(1, 1, 2, 3, 4))], "name string, text string")
+    rows = rows.withColumn("regions", bk.regions(F.col("text"), F.lit(10), F.lit(10)))
+    profile = dc.model_profile(1, 2)
+    plan = bk.caption(rows, bk.StubCaptioner, profile=profile)._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas" in plan
+    images = spark.createDataFrame([("d/p", "p", 6, 9, bytes(162), "ok", None)], "path string, name string, height int, width int, pixels binary, status string, error string")
+    plan = bk.recognise_images(images, bk.StubImageRecogniser, profile=profile)._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas" in plan
