@@ -5,9 +5,9 @@
 2. The job's commit names the attempts that count in one file, ``_committed.json``: a task that ran
    twice counts once.  A job that fails removes all it staged.
 3. Publishing is a job over the manifests alone: names are counted, each page whose name stands
-   once is moved to ``<folder>/<name>.md``, and what became of every page is kept in
-   ``<folder>/_exported/<job>``.  It can be run again from the commit file; texts are never
-   shuffled and the pages are computed once.
+   once is moved to ``<folder>/<name>.md``, and what became of every page is written to the
+   session's shared folder.  It can be run again from the commit file; texts are never
+   shuffled, the pages are computed once, and at the end the folder holds Markdown alone.
 
 Defined results: a null text gives an empty file; a null name, a name with a separator in it, and
 every row of a name that stands more than once give a row with an error and no file; an older
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from .store import store_of
+from .store import new_folder, store_of
 
 FORMAT = "pagespring_markdown"
 MANIFEST = "name string, file string, error string"
@@ -123,7 +123,7 @@ def publish(spark: SparkSession, folder: str, job: str) -> DataFrame:
     fs, inner = store_of(f"{staging}/_committed.json")
     with fs.open_input_stream(inner) as f:
         tasks = json.loads(f.read())
-    result = f"{top}/_exported/{job}"
+    result = new_folder(spark)
     if tasks:
         pages = spark.read.schema(MANIFEST).json([f"{staging}/{t}/manifest.json" for t in tasks])
         counts = pages.where("error is null").groupBy("name").agg(F.count("*").alias("same"))
@@ -141,9 +141,9 @@ def publish(spark: SparkSession, folder: str, job: str) -> DataFrame:
                         rows.append((f"{top}/{name}.md", *_moved(file, f"{top}/{name}.md")))
                 yield pd.DataFrame(rows, columns=["path", "status", "error"])
 
-        pages.select("name", "file", "error", "same").mapInPandas(run, EXPORTED).write.mode("overwrite").parquet(result)
+        pages.select("name", "file", "error", "same").mapInPandas(run, EXPORTED).write.parquet(result)
     else:
-        spark.createDataFrame([], EXPORTED).write.mode("overwrite").parquet(result)
+        spark.createDataFrame([], EXPORTED).write.parquet(result)
     _removed(staging)
     return spark.read.schema(EXPORTED).parquet(result)
 
