@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def test_long_items_only(spark):
 
 
 @pytest.mark.parametrize("shard,part", [(64, 100), (1 << 20, 64)])
-def test_small_shards_and_pieces(spark, monkeypatch, shard, part):
+def test_small_shards_and_pieces(monkeypatch, shard, part):
     monkeypatch.setattr(dc, "SHARD", shard)
     monkeypatch.setattr(dc, "PART", part)
     rng = random.Random(3)
@@ -96,17 +97,17 @@ def test_small_shards_and_pieces(spark, monkeypatch, shard, part):
     giant = "z" * 500
     docs += [(2000, f"{giant} " + " ".join(t for _, t in docs[:5]) + f" {giant.upper()}"), (2001, giant), (2002, "z" * 499)]
     items = [*items, (500, giant)]
+
+    def hashes(text):
+        return np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _ in dc.hashed_words(*dc.flat(pa.array([text], pa.large_string()))))])
+
+    block = dc.block_of([(i, hashes(t), 0, True) for i, t in items], 10)
+    waiting: list = []
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(docs)), pa.array([i for i, _ in docs]), pa.array([t for _, t in docs], pa.string())], ["row", "doc_id", "text"])
+    for layout, _ in dc.shards([batch], block, waiting):
+        for number, *hits in layout.found(block):
+            waiting[number][3].append(hits)
     found = []
-    for batch_docs in (docs,):
-        raw, ends = dc.flat(__import__("pyarrow").array([t for _, t in batch_docs], __import__("pyarrow").large_string()))
-        import pyarrow as pa
-
-        block = dc.block_of([(i, np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _ in dc.hashed_words(*dc.flat(pa.array([t], pa.large_string()))))]), 0, True) for i, t in items], 10)
-        waiting: list = []
-        batch = pa.RecordBatch.from_arrays([pa.array([0] * len(docs)), pa.array([i for i, _ in docs]), pa.array([t for _, t in docs], pa.string())], ["row", "doc_id", "text"])
-        for layout, _ in dc.shards([batch], block, waiting):
-            for number, *hits in layout.found(block):
-                waiting[number][3].append(hits)
     for _, doc, n, hits in waiting:
         s, e = (np.concatenate([h[k] for h in hits]) if hits else np.zeros(0, np.int64) for k in (0, 1))
         by = np.argsort(s, kind="stable")
