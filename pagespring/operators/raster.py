@@ -1,46 +1,121 @@
-"""Pixel relations (page_id, y, x, gray) and row histograms, by window functions.
-
-Boxes are separable: one window along rows, one along columns.  Windows are partitioned
-by page and row or column, so no partition is larger than an image's longer side.
+"""Pixel relations (page_id, y, x, gray) and row histograms.
+
+Boxes over pixels go by tiles: a page is cut into squares, each pixel is sent to the squares
+whose border of the box's radius it stands in, and a summed-area table per square gives the
+boxes.  So a filter shuffles pixels once, a page may be larger than a task, and a task holds
+(TILE + 2 radius) ** 2 pixels.  Neighbours are those by coordinate; places without a row
+count for nothing, rows that share a place count each.  A pixel without a value counts as a
+place, adds nothing to a sum and is neither ink nor foreground; one without y or x is left
+out.  No pixels give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.linework import boxes
 from ..functions.numbers import div
 
+TILE = 512
+
+
+def tiles_around(axis: str, radius: int, tile: int) -> Column:
+    """The tile numbers along an axis whose squares a pixel's box reaches into."""
+    first, last = (F.floor((F.col(axis) + d) / tile).cast("int") for d in (-radius, radius))
+    return F.sequence(first, last)
+
+
+class Square:
+    """The pixels that one tile sees, as a grid over the places from the least to the largest."""
+
+    def __init__(self, table: pa.Table, key: tuple, c: str, tile: int):
+        ty, tx = (int(k.as_py()) for k in key[-2:])
+        y, x = (table[n].to_numpy().astype(np.int64) for n in ("y", "x"))
+        self.at = (y - y.min(), x - x.min())
+        self.shape = (int(self.at[0].max()) + 1, int(self.at[1].max()) + 1)
+        self.own = (y // tile == ty) & (x // tile == tx)
+        self.known = table[c].is_valid().to_numpy()
+        self.values = table[c].fill_null(0).to_numpy().astype(np.int64)
+
+    def grid(self, each: np.ndarray) -> np.ndarray:
+        g = np.zeros(self.shape, np.int64)
+        np.add.at(g, self.at, each.astype(np.int64))
+        return g
+
+    def box(self, each: np.ndarray, radius: int) -> np.ndarray:
+        """For each pixel the sum over its box."""
+        return boxes(self.grid(each), radius)[0][self.at]
+
+    def foreground(self, radius: int, bias: int) -> np.ndarray:
+        """Which pixels are below the integer mean of their box less the bias."""
+        mean = self.box(self.values, radius) // self.box(np.ones(len(self.values)), radius)
+        return self.known & (self.values < mean - bias)
+
+
+def by_tiles(pixels: DataFrame, c: str, radius: int, out: str, f: Callable[[Square, pa.Table], pa.Table], tile: int = TILE) -> DataFrame:
+    """f for every tile that holds a pixel, with the pixels around it; out: f's columns."""
+    d = pixels.select("page_id", "y", "x", c).select("*", F.explode(tiles_around("y", radius, tile)).alias("ty")).select("*", F.explode(tiles_around("x", radius, tile)).alias("tx"))
 
-def _along(r: int):
-    return Window.partitionBy("page_id", "y").orderBy("x").rowsBetween(-r, r)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return f(Square(table, key, c, tile), table)
 
+    return d.groupBy("page_id", "ty", "tx").applyInArrow(run, f"page_id {pixels.schema['page_id'].dataType.simpleString()}, {out}")
 
-def _down(r: int):
-    return Window.partitionBy("page_id", "x").orderBy("y").rowsBetween(-r, r)
 
+def _pixels(table: pa.Table, own: np.ndarray, name: str, values: np.ndarray, missing: np.ndarray | None = None) -> pa.Table:
+    """The own rows of a tile with a new column of whole numbers."""
+    t = table.select(["page_id", "y", "x"]).append_column(name, pa.array(values.astype(np.int32), mask=missing))
+    return t.filter(pa.array(own))
 
-def adaptive_threshold(pixels: DataFrame, window: int = 41, bias: int = 5) -> DataFrame:
+
+def adaptive_threshold(pixels: DataFrame, window: int = 41, bias: int = 5, tile: int = TILE) -> DataFrame:
     """(page_id, y, x, value): 255 where gray < integer mean of the clipped box - bias."""
     r = window // 2
-    along, down = _along(r), _down(r)
-    p = pixels.withColumns({"s": F.sum("gray").over(along), "n": F.count("*").over(along)})
-    p = p.withColumns({"s2": F.sum("s").over(down), "n2": F.sum("n").over(down)})
-    return p.select("page_id", "y", "x", F.when(F.col("gray") < div(F.col("s2"), F.col("n2")) - bias, 255).otherwise(0).alias("value"))
+
+    def f(s: Square, t: pa.Table) -> pa.Table:
+        return _pixels(t, s.own, "value", s.foreground(r, bias) * 255)
+
+    return by_tiles(pixels, "gray", r, "y int, x int, value int", f, tile)
 
 
-def dilate(binary: DataFrame, radius: int = 1) -> DataFrame:
+def dilate(binary: DataFrame, radius: int = 1, tile: int = TILE) -> DataFrame:
     """255 where any pixel of the clipped box is above 0."""
-    p = binary.withColumn("m", F.max("value").over(_along(radius)))
-    p = p.withColumn("m", F.max("m").over(_down(radius)))
-    return p.select("page_id", "y", "x", F.when(F.col("m") > 0, 255).otherwise(0).alias("value"))
 
+    def f(s: Square, t: pa.Table) -> pa.Table:
+        return _pixels(t, s.own, "value", (s.box(s.values > 0, radius) > 0) * 255)
 
-def thicken(pixels: DataFrame, radius: int = 1, ink: int = 170) -> DataFrame:
+    return by_tiles(binary, "value", radius, "y int, x int, value int", f, tile)
+
+
+def thicken(pixels: DataFrame, radius: int = 1, ink: int = 170, tile: int = TILE) -> DataFrame:
     """Gray 0 where any pixel of the clipped box is ink, else as it was."""
-    p = pixels.withColumn("m", F.min("gray").over(_along(radius)))
-    p = p.withColumn("m", F.min("m").over(_down(radius)))
-    return p.select("page_id", "y", "x", F.when(F.col("m") < ink, 0).otherwise(F.col("gray")).alias("gray"))
+
+    def f(s: Square, t: pa.Table) -> pa.Table:
+        near = s.box(s.known & (s.values < ink), radius) > 0
+        return _pixels(t, s.own, "gray", np.where(near, 0, s.values), ~s.known & ~near)
+
+    return by_tiles(pixels, "gray", radius, "y int, x int, gray int", f, tile)
+
+
+def foreground_rows(pixels: DataFrame, window: int = 41, bias: int = 5, radius: int = 1, tile: int = TILE) -> DataFrame:
+    """(page_id, y, n): the row histogram of the dilated threshold, with one shuffle of pixels
+    and one of the tiles' rows: a tile's border is wide enough for both boxes."""
+    r = window // 2
+
+    def f(s: Square, t: pa.Table) -> pa.Table:
+        marked = s.box(s.foreground(r, bias), radius) > 0
+        y = t["y"].to_numpy()[s.own]
+        rows, place = np.unique(y, return_inverse=True)
+        n = np.bincount(place, weights=marked[s.own], minlength=len(rows)).astype(np.int64)
+        return pa.table({"page_id": t["page_id"].combine_chunks().take(pa.array(np.zeros(len(rows), np.int64))), "y": pa.array(rows.astype(np.int32)), "n": pa.array(n)})
+
+    parts = by_tiles(pixels, "gray", r + radius, "y int, n long", f, tile)
+    return parts.groupBy("page_id", "y").agg(F.sum("n").alias("n"))
 
 
 def row_histogram(binary: DataFrame) -> DataFrame:
@@ -94,8 +169,7 @@ def planar(pixels: DataFrame, mean: tuple, std: tuple) -> DataFrame:
 
 def segment_lines(pixels: DataFrame, share: float = 0.008) -> DataFrame:
     """Pixels to text lines: threshold, dilate, histogram, smooth, runs."""
-    binary = dilate(adaptive_threshold(pixels))
-    rows = smooth_histogram(row_histogram(binary))
+    rows = smooth_histogram(foreground_rows(pixels))
     widths = pixels.groupBy("page_id").agg((F.max("x") + 1).alias("width"))
     least = (F.col("width").cast("float") * F.lit(share).cast("float")).cast("float").cast("bigint")
     return line_runs(rows.join(widths.select("page_id", least.alias("threshold")), "page_id"), F.col("threshold"))

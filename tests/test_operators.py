@@ -1,5 +1,7 @@
 """Hand cases; expected values come from the operators' definitions."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +161,40 @@ def test_boxes_match_brute_force(spark):
     assert counts == {y: int((fat[y] > 0).sum()) for y in range(h)}
 
 
+@pytest.mark.parametrize("tile", [3, 8, 16, 64])
+def test_tiles_do_not_show(spark, tile):
+    g = np.random.default_rng(5).integers(0, 256, (37, 45))
+    p = image(spark, g)
+    for f in (rs.adaptive_threshold, rs.thicken):
+        assert f(p, 9, tile=tile).exceptAll(f(p, 9)).isEmpty() and f(p, 9, tile=tile).count() == g.size
+    t = rs.adaptive_threshold(p, window=9)
+    assert rs.dilate(t, 4, tile=tile).exceptAll(rs.dilate(t, 4)).isEmpty()
+    rows = {r["y"]: r["n"] for r in rs.foreground_rows(p, window=9, radius=2, tile=tile).collect()}
+    assert rows == {r["y"]: r["n"] for r in rs.row_histogram(rs.dilate(t, 2)).collect()}
+
+
+def test_boxes_over_gaps_repeats_and_missing_values(spark):
+    rng = np.random.default_rng(6)
+    rows = [(page, int(y), int(x), None if v < 20 else int(v)) for page in (1, None) for y, x, v in zip(rng.integers(-40, 40, 400), rng.integers(-40, 40, 400), rng.integers(0, 256, 400), strict=True)]
+    p = spark.createDataFrame(rows + [(1, None, 3, 7)], "page_id long, y int, x int, gray int").withColumn("ty", F.lit("clashing name"))
+    for tile in (7, 512):
+        thresholds, thick = Counter(), Counter()
+        for page, y, x, v in rows:
+            box = [r[3] for r in rows if r[0] == page and abs(r[1] - y) <= 3 and abs(r[2] - x) <= 3]
+            mean = sum(b or 0 for b in box) // len(box)
+            thresholds[page, y, x, 255 if v is not None and v < mean - 5 else 0] += 1
+            thick[page, y, x, 0 if any(b is not None and b < 60 for b in box) else v] += 1
+        assert Counter(map(tuple, rs.adaptive_threshold(p, window=7, tile=tile).collect())) == thresholds
+        assert Counter(map(tuple, rs.thicken(p, 3, ink=60, tile=tile).collect())) == thick
+    none = p.where("page_id = 5")
+    assert rs.adaptive_threshold(none).isEmpty() and rs.foreground_rows(none).isEmpty()
+
+
+def test_a_page_larger_than_a_tile_is_shuffled_once(spark):
+    plan = rs.adaptive_threshold(image(spark, np.zeros((4, 4), int)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
 @pytest.mark.parametrize(("v", "want"), [([1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6]), ([7, 0, 0, 0, 0, 0, 0], [7, 0, 0, 1, 0, 0, 0])])
 def test_smoothing(spark, v, want):
     df = spark.createDataFrame([(1, y, n) for y, n in enumerate(v)], "page_id long, y int, n long")
