@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import math
 
 from pyspark.sql import Column
@@ -47,9 +49,15 @@ def rms_norm(v: Column, eps: float = 1e-5, weight: float = 1.0) -> Column:
     return bound(scale, lambda s: F.transform(v, lambda x: x / s * F.lit(weight)))
 
 
+def matrix(rows: list[list[float]]) -> Column:
+    """A matrix as one constant of the plan: its JSON text is read once, while the plan is
+    optimized, instead of an expression for each entry."""
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
+
+
 def linear(v: Column, weights: Column) -> Column:
-    """The product of a matrix (array of rows) with a vector."""
-    return F.transform(weights, lambda row: dot(row, v))
+    """The product of a matrix (array of rows) with a vector, which is worked out once."""
+    return bound(v, lambda v: F.transform(weights, lambda row: dot(row, v)))
 
 
 def added(a: Column, b: Column) -> Column:

@@ -135,7 +135,7 @@ def _weight(i, j, seed: int):
 
 
 def _matrix(rows: int, columns: int, seed: int):
-    return F.array(*[F.array(*[F.lit(((i * 7 + j * 13 + seed) % 11 - 5) / 20.0) for j in range(columns)]) for i in range(rows)])
+    return vc.matrix([[((i * 7 + j * 13 + seed) % 11 - 5) / 20.0 for j in range(columns)] for i in range(rows)])
 
 
 def _sql_linear(v: str, rows: int, columns: int, seed: int) -> str:
@@ -256,7 +256,7 @@ def vocab_lookup(spark, sf):
 )
 def greedy_decode(spark, sf):
     """Greedy decoding from recorded logits: stop rule, token limit, barred ids, repeat penalty."""
-    logits = F.array(*[F.array(*[F.lit(((t * t + j * j + t * j * 7 + 3) % 23 - 8) / 2.0) for j in range(16)]) for t in range(16)])
+    logits = vc.matrix([[((t * t + j * j + t * j * 7 + 3) % 23 - 8) / 2.0 for j in range(16)] for t in range(16)])
     start = F.expr("array(doc_id % 16, doc_id DIV 16 % 16)")
     return fx.table(spark, sf, "documents").select("doc_id", tk.greedy(start, logits, limit=12, end=9, window=4, barred=(0, 4)).alias("tokens"))
 
