@@ -13,9 +13,9 @@ template its minimum there.  So signatures are computed just for the windows tha
 one of those shingles; this changes no collision.  Templates retrieved by a band are
 verified: the exact share of their shingles that the window contains.
 
-A statement under five words has no shingle and is no template (it is refused as one).
-Given as a notice its whole word sequence is its one shingle, looked for in the texts'
-windows of that many words.
+A statement under five words has no shingle of five and is no template (it is refused as
+one).  Given as a notice its whole word sequence is its one shingle: it goes through the same
+bands with shingles of as many words, in a class for each number of words.
 
 Defined results: null or empty texts match nothing, and texts under five words match
 notices only; of several windows the best counts, of equal
@@ -65,10 +65,10 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
-def shingle_array(words: Column) -> Column:
-    """64-bit hashes of the shingles in order; empty below five words."""
-    n = F.size(words) - (SHINGLE - 1)
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+def shingle_array(words: Column, width: int = SHINGLE) -> Column:
+    """64-bit hashes of the shingles in order; empty below ``width`` words."""
+    n = F.size(words) - (width - 1)
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
     return F.when(n > 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -86,81 +86,64 @@ def minima(shingles: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), least(k).alias("least")) for k in range(BANDS)])
 
 
-def windows_around(places: Column, c: int) -> Column:
-    """The class's windows (c, at, size) that hold one of the places."""
+def places_of(shingles: Column, signs: list[int]) -> Column:
+    """Where one of the signs stands."""
+    return F.filter(F.transform(shingles, lambda x, i: F.when(x.isin(signs), i)), lambda i: i.isNotNull())
+
+
+def windows_around(places: Column, c: int, width: int = SHINGLE) -> Column:
+    """The class's windows (width, c, at, size) that hold one of the places."""
     step, size = max(1, c // 2), max(1, c + c // 2)
     first = F.transform(places, lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - size + 1) / step)).cast("int"), F.floor(p / step).cast("int")))
-    return F.transform(F.array_distinct(F.flatten(first)), lambda j: F.struct(F.lit(c).alias("c"), (j * step).alias("at"), F.lit(size).alias("size")))
+    return F.transform(F.array_distinct(F.flatten(first)), lambda j: F.struct(F.lit(width).alias("width"), F.lit(c).alias("c"), (j * step).alias("at"), F.lit(size).alias("size")))
 
 
-def template_frame(spark, templates: dict[str, str]) -> DataFrame:
-    """license, c, t (distinct shingles), bands; at most TEMPLATES_MOST rows."""
-    if len(templates) > TEMPLATES_MOST:
+def template_frame(spark, templates: dict[str, str], notices: dict[str, str] | None = None) -> DataFrame:
+    """license, width (words of a shingle), c, t (distinct shingles), bands; at most
+    TEMPLATES_MOST rows.  A notice's shingles are as wide as it is long."""
+    statements = [(k, v, False) for k, v in sorted(templates.items())] + [(k, v, True) for k, v in sorted((notices or {}).items())]
+    if len(statements) > TEMPLATES_MOST:
         raise ValueError("too many templates")
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in sorted(templates.items())]))
-    t = spark.range(1).select(rows.alias("r")).select("r.*").withColumn("s", shingle_array(word_array(F.col("text"))))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text"), F.lit(n).alias("notice")) for k, v, n in statements]))
+    t = spark.range(1).select(rows.alias("r")).select("r.*").withColumn("w", word_array(F.col("text")))
+    t = t.withColumn("width", F.when(F.col("notice"), F.size("w")).otherwise(SHINGLE))
+    s = F.when(F.col("width") == SHINGLE, shingle_array(F.col("w")))
+    for width in range(1, SHINGLE):
+        s = s.when(F.col("width") == width, shingle_array(F.col("w"), width))
+    t = t.withColumn("s", F.when(F.col("notice") & ~F.col("width").between(1, SHINGLE - 1), F.array().cast("array<bigint>")).otherwise(s))
     t = t.withColumn("c", F.pow(2, F.ceil(F.log2(F.size("s")))).cast("int")).withColumn("t", F.array_distinct("s"))
-    return t.select("license", "c", "t", minima(F.col("t")).alias("bands"))
-
-
-def notice_words(spark, notices: dict[str, str]) -> list[tuple[str, list[str]]]:
-    """(name, words) of the notices, in order of their names; at most TEMPLATES_MOST."""
-    if len(notices) > TEMPLATES_MOST:
-        raise ValueError("too many notices")
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in sorted(notices.items())]))
-    listed = spark.range(1).select(rows.alias("r")).select("r.license", word_array(F.col("r.text")).alias("w")).collect()  # bounded by TEMPLATES_MOST
-    if any(not 0 < len(r["w"]) < SHINGLE for r in listed):
-        raise ValueError("a notice has no word or five and more")
-    return sorted((r["license"], list(r["w"])) for r in listed)
-
-
-def first_place(words: list[str]) -> Column:
-    """The first place of a sequence of words in the array w, null without one."""
-
-    def starts(w: Column, i: Column) -> Column:
-        hit = w == words[0]
-        for k, x in enumerate(words[1:], 1):
-            hit = hit & F.coalesce(F.get("w", i + k) == x, F.lit(False))
-        return F.when(hit, i)
-
-    return F.array_min(F.transform("w", starts))
+    return t.select("license", "notice", "width", "c", "t", minima(F.col("t")).alias("bands"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, containment, first_shingle (of the best window)."""
     if set(notices or ()) & set(templates or TEMPLATES):
         raise ValueError("a notice has a template's name")
-    spark = docs.sparkSession
-    known = template_frame(spark, templates or TEMPLATES)
-    listed = known.collect()  # bounded by TEMPLATES_MOST
-    if any(not r["t"] for r in listed):
+    known = template_frame(docs.sparkSession, templates or TEMPLATES, notices)
+    listed = known.select("notice", "width", "c", "t").collect()  # bounded by TEMPLATES_MOST
+    if any(not r["t"] and not r["notice"] for r in listed):
         raise ValueError("a template has fewer than five words")
+    if any(not r["t"] for r in listed):
+        raise ValueError("a notice has no word or five and more")
     if sum(len(r["t"]) for r in listed) > SHINGLES_MOST:
         raise ValueError("the templates are too long")
-    classes = sorted({r["c"] for r in listed})
-    keys = known.select("license", "c", F.explode("bands").alias("b")).select("license", "c", "b.band", "b.least")
+    classes = sorted({(r["width"], r["c"]) for r in listed})
+    keys = known.select("license", "width", "c", F.explode("bands").alias("b")).select("license", "width", "c", "b.band", "b.least")
     # the shingles that give a template its minimum in some band
-    signs = sorted({r[0] for r in known.select(F.explode(F.flatten(F.transform("bands", lambda b: F.filter("t", lambda x: F.xxhash64(x, b["band"]) == b["least"]))))).distinct().collect()})
-    # a notice is a class of its own (below 0), its hit a window with one shingle: the class
-    short = notice_words(spark, notices) if notices else []
+    least = F.explode(F.flatten(F.transform("bands", lambda b: F.filter("t", lambda x: F.xxhash64(x, b["band"]) == b["least"]))))
+    signs: dict[int, list[int]] = {}
+    for width, sign in sorted({tuple(r) for r in known.select("width", least).distinct().collect()}):  # BANDS a template
+        signs.setdefault(width, []).append(sign)
     d = docs.select("doc_id", F.explode(F.array(word_array(F.col("text")))).alias("w"))
-    d = _once(d, "h", shingle_array(F.col("w")))
-    places = F.filter(F.transform("h", lambda x, i: F.when(x.isin(signs), i)), lambda i: i.isNotNull())
-    d = _once(d, "places", places)
-    windows = [windows_around(F.col("places"), c) for c in classes]
-    if short:
-        hits = [F.struct(F.lit(-n).alias("c"), first_place(words).alias("at"), F.lit(0).alias("size")) for n, (_, words) in enumerate(short, 1)]
-        windows.append(F.filter(F.array(*hits), lambda x: x["at"].isNotNull()))
-        own = [F.struct(F.lit(name).alias("license"), F.lit(-n).alias("c"), F.array(F.lit(-n).cast("long")).alias("t")) for n, (name, _) in enumerate(short, 1)]
-        mine = spark.range(1).select(F.explode(F.array(*own)).alias("r")).select("r.*")
-        keys = keys.union(mine.select("license", "c", F.lit(-1).alias("band"), F.col("c").cast("long").alias("least")))
-        known = known.select("license", "c", "t").union(mine)
-    d = d.select("doc_id", "h", F.explode(F.concat(*windows)).alias("v"))
-    s = F.when(F.col("v.c") < 0, F.array(F.col("v.c").cast("long"))).otherwise(F.slice("h", F.col("v.at") + 1, F.col("v.size")))
-    d = d.select("doc_id", F.explode(F.array(F.struct("v.c", "v.at", s.alias("s")))).alias("v")).select("doc_id", "v.*")
-    sign = F.when(F.col("c") < 0, F.array(F.struct(F.lit(-1).alias("band"), F.col("c").cast("long").alias("least")))).otherwise(minima(F.col("s")))
-    d = d.select("doc_id", "c", "at", "s", F.explode(sign).alias("b")).select("doc_id", "c", "at", "s", "b.*")
-    found = d.join(F.broadcast(keys), ["c", "band", "least"])  # BANDS rows a template, TEMPLATES_MOST checked
+    for width, own in signs.items():
+        d = _once(d, f"h{width}", shingle_array(F.col("w"), width))
+        d = _once(d, f"places{width}", places_of(F.col(f"h{width}"), own))
+    windows = F.concat(*[windows_around(F.col(f"places{width}"), c, width) for width, c in classes])
+    d = d.select("doc_id", *(f"h{width}" for width in signs), F.explode(windows).alias("v"))
+    s = F.coalesce(*[F.when(F.col("v.width") == width, F.slice(f"h{width}", F.col("v.at") + 1, F.col("v.size"))) for width in signs])
+    d = d.select("doc_id", F.explode(F.array(F.struct("v.width", "v.c", "v.at", s.alias("s")))).alias("v")).select("doc_id", "v.*")
+    d = d.select("doc_id", "width", "c", "at", "s", F.explode(minima(F.col("s"))).alias("b")).select("doc_id", "width", "c", "at", "s", "b.*")
+    found = d.join(F.broadcast(keys), ["width", "c", "band", "least"])  # BANDS rows a template, TEMPLATES_MOST checked
     found = found.select("doc_id", "license", "at", "s").distinct()  # a window that meets its template in several bands
     found = found.join(F.broadcast(known.select("license", "t")), "license")  # SHINGLES_MOST checked
     share = F.size(F.array_intersect("s", "t")) / F.size("t")
