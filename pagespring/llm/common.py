@@ -68,8 +68,16 @@ IN_TURN = 8
 ROWS_A_FILE = 200_000
 
 
-def saved(df: DataFrame, spread: bool = False, rows: int | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own for intermediates, noted as those of ``saved`` are."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
+    return path
+
+
+def saved(df: DataFrame, spread: bool = False, rows: int | None = None, at: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder (``at``: this place in it) and read back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
     later plans see the true size.  The schema is kept as given.  What comes out of a
@@ -84,9 +92,7 @@ def saved(df: DataFrame, spread: bool = False, rows: int | None = None) -> DataF
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         files = max(4 * spark.sparkContext.defaultParallelism, -(-partitions // IN_TURN))
         df = df.coalesce(files if rows is None else max(1, min(files, -(-rows // ROWS_A_FILE))))
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    if (noted := _noted.get()) is not None:
-        noted.append(path)
+    path = at or scratch(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,13 +10,17 @@ length, document frequency of each term) are sums over the shards.  Queries go i
 about BLOCK_TERMS terms, broadcast with their statistics: their size is set by the block,
 not by the corpus, and each block is answered from the index.
 
-A list's blocks are its postings in ranges of RANGE documents, each with its first posting
-and its largest impact; in a list with less than FREQUENT of the documents a block is one
-posting.  A query's cursors first move shallowly: the largest impacts of the blocks that
-cover a document bound its score.  A few documents of the largest bounds set the threshold.
-Then the pivots, the documents whose bounds reach the k-th best score so far, are taken in
-document order; only the blocks that hold a pivot are entered (the deep move), all others
-are skipped, and the threshold rises on the way.  The shards' top k are merged by score and
+A list's blocks are its postings in ranges of BLOCK documents, each with its largest impact;
+inside a block a skip pointer leads to every STRIDE documents.  Lists with less than FREQUENT
+of a shard's documents, whose terms weigh most, are read in full: only a document that they
+or the blocks' bounds lift to the threshold can be a hit.  The shallow move adds the bounds of
+the other lists' blocks, one for BLOCK documents.  Without a threshold, a few documents of the
+largest sums over the rare lists set one.  The pivots, the documents whose bounds reach it, are
+taken in document order, RUN and then twice as many at a time.  The lists' cursors go from
+pivot to pivot by the skip pointers, lists of the largest maximum first: what is read takes the
+place of the block's bound, documents that fall below the threshold are no pivots for the lists
+that follow, and what lies between pivots is never read.  Documents left at the end are scored
+and raise the threshold.  The shards' top k are merged by score and
 doc_id, in groups of shards first.  The square root of the shards' number of them answer
 before the others, and the k-th best score that they have between them is where the others'
 thresholds start: these skip more, and give about k times that root of hits a query in all
@@ -39,11 +43,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, scratch, table
 from .shingles import flat, slices, word_hashes
 
 K, K1, B = 10, 1.2, 0.75
-RANGE = 2
+BLOCK, STRIDE = 64, 2
+RUN = 4096
 SLICE = 512
 BLOCK_TERMS = 1_000_000
 SHARD_ROWS = 10_000
@@ -157,66 +162,77 @@ class Shard:
         self.doc, count = doc[post].astype(np.int64), count[post]
         norm = k1 * (1 - b + b * lengths[self.doc] / q.mean)
         self.impact = np.repeat(q.idf[place], df) * count * (k1 + 1) / (count + norm)
-        # frequent lists have a row of blocks: a block for each range of documents
+        # frequent lists have a row of blocks: a bound for each, and where their strides begin
         frequent = np.flatnonzero(sizes >= max(2, FREQUENT * n))
-        self.ranges = -(-n // RANGE)
+        self.strides, self.blocks = -(-n // STRIDE), -(-n // BLOCK)
         self.row = np.full(len(sizes), -1)
         self.row[frequent] = np.arange(len(frequent))
-        self.largest = np.zeros((len(frequent), self.ranges), np.float32)
-        self.first = np.zeros((len(frequent), self.ranges + 1), np.int32)
-        edges = np.arange(self.ranges + 1) * RANGE
+        self.largest = np.zeros((len(frequent), self.blocks), np.float32)
+        self.first = np.zeros((len(frequent), self.strides + 1), np.int32)
+        edges = np.arange(self.strides + 1) * STRIDE
         for r, t in enumerate(frequent):
             lo, hi = self.of[t], self.of[t + 1]
             at = self.first[r] = lo + np.searchsorted(self.doc[lo:hi], edges)
+            at = np.append(at[: -1 : BLOCK // STRIDE], hi)
             held = np.flatnonzero(at[:-1] < at[1:])
             self.largest[r, held] = np.nextafter(np.maximum.reduceat(self.impact[lo:hi], at[held] - lo).astype(np.float32), np.float32(np.inf))
-        self.blocks_met = self.blocks_entered = 0
+        self.lead = self.largest.max(1, initial=0)
+        # what the queries read: bounds of blocks, strides (of those that their lists have), postings
+        self.bounds_read = self.blocks_met = self.blocks_entered = self.postings_read = 0
+
+    def summed(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The impacts of these stretches of postings, by document."""
+        self.postings_read += int(sizes.sum())
+        post = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        return np.bincount(self.doc[post], self.impact[post], len(self.ids))
+
+    def entered(self, rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        """The deep move: what these lists add to each pivot, read by the strides that hold one."""
+        stride = pivots // STRIDE
+        stride = stride[np.flatnonzero(np.diff(stride, prepend=-1))]
+        starts = self.first[rows[:, None], stride].ravel().astype(np.int64)
+        sizes = self.first[rows[:, None], stride + 1].ravel() - starts
+        held = np.flatnonzero(sizes)
+        self.blocks_entered += len(held)
+        return self.summed(starts[held], sizes[held])[pivots]
 
     def top(self, terms: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(doc, score) of the best k that reach the floor, best first."""
         rows = self.row[terms]
         rare, rows = terms[rows < 0], rows[rows >= 0]
-        lo, n = self.of[rare], self.of[rare + 1] - self.of[rare]
-        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        # shallow: blocks of one posting, and the largest impacts of the ranges
-        sure = np.bincount(self.doc[post], self.impact[post], len(self.ids))
-        above = self.largest[rows].sum(0, dtype=np.float64)
-        bound = sure + np.repeat(above, RANGE)[: len(self.ids)]
-        self.blocks_met += len(rows) * self.ranges
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        pivots = np.flatnonzero((bound > 0) & (bound >= floor - 1e-7))
-        seen, total = np.zeros(self.ranges, bool), sure
-
-        def entered(some: np.ndarray) -> None:
-            """The deep move: reads the blocks of these documents' ranges that were not read."""
-            nonlocal total
-            new = np.unique(some // RANGE)
-            new = new[~seen[new]]
-            seen[new] = True
-            a, z = self.first[rows[:, None], new].ravel(), self.first[rows[:, None], new + 1].ravel()
-            size = z - a
-            self.blocks_entered += len(a)
-            post = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
-            total = total + np.bincount(self.doc[post], self.impact[post], len(self.ids))
-
-        if len(pivots) > 6 * k:
-            now = np.sort(pivots[np.argpartition(-bound[pivots], 6 * k)[: 6 * k]])
-            first = np.zeros(len(bound), bool)
-            first[now] = True
-            rest = pivots[~first[pivots]]
-        else:
-            now, rest = pivots, pivots[:0]
-        step = 4 * k
-        while len(now):
-            entered(now)
-            score = np.round(total[now], 9)
-            docs, scores = np.concatenate([docs, now[score > 0]]), np.concatenate([scores, score[score > 0]])
+        sure = self.summed(self.of[rare], self.of[rare + 1] - self.of[rare])
+        bound = sure + np.repeat(self.largest[rows].sum(0, dtype=np.float64), BLOCK)[: len(self.ids)]
+        self.bounds_read += len(rows) * self.blocks
+        self.blocks_met += len(rows) * self.strides
+        heavy = rows[np.argsort(-self.lead[rows], kind="stable")]
+        docs, scores, least = np.zeros(0, np.int64), np.zeros(0), floor
+        rest = np.flatnonzero((bound > 0) & (bound >= floor - 1e-7))
+
+        def scored(pivots: np.ndarray) -> None:
+            nonlocal docs, scores, least
+            score = np.round(sure[pivots] + self.entered(rows, pivots), 9)
+            docs, scores = np.concatenate([docs, pivots[score > 0]]), np.concatenate([scores, score[score > 0]])
             best = np.lexsort((self.ids[docs], -scores))[:k]
             docs, scores = docs[best], scores[best]
             if len(docs) == k:
-                rest = rest[bound[rest] >= scores[-1] - 1e-7]
-            now, rest = rest[:step], rest[step:]  # the next pivots, in document order
-            step *= 2
+                least = max(floor, scores[-1])
+
+        if not floor and len(rest) > 6 * k:
+            now = np.sort(rest[np.argpartition(-sure[rest], 6 * k)[: 6 * k]])
+            scored(now)
+            rest = np.setdiff1d(rest, now, assume_unique=True)
+        run = RUN
+        while len(rest := rest[bound[rest] >= least - 1e-7]):
+            now, rest = rest[:run], rest[run:]  # the next pivots, in document order
+            reach, at, some = bound[now], 0, 4
+            while at < len(heavy) and len(now) > 4 * k:
+                part = heavy[at : at + some]
+                reach = reach + (self.entered(part, now) - self.largest[part].sum(0, dtype=np.float64)[now // BLOCK])
+                still = reach >= least - 1e-7
+                now, reach = now[still], reach[still]
+                at, some = at + some, some * 2
+            scored(now)
+            run *= 2
         return docs[scores >= floor], scores[scores >= floor]
 
 
@@ -266,22 +282,20 @@ def best(hits: DataFrame, k: int, *by: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def block_tops(made: DataFrame, shards: int, part: Queries, k: int, k1: float, b: float) -> DataFrame:
-    """Hits of a block of queries that hold its best k: those of some shards, then of the others
-    those that reach what the first have between them."""
+def block_tops(made: DataFrame, shards: int, part: Queries, k: int, k1: float, b: float, at: str) -> None:
+    """Writes hits of a block of queries that hold its best k to the folder: those of some
+    shards, then of the others those that reach what the first have between them."""
     sc = made.sparkSession.sparkContext
     root = max(1, math.isqrt(shards))
     first = [r["shard"] for r in made.select("shard").orderBy(F.xxhash64("shard")).limit(root).collect()]
-    found = []
-    for some in (F.col("shard").isin(first), ~F.col("shard").isin(first)):
+    for turn, some in enumerate((F.col("shard").isin(first), ~F.col("shard").isin(first))):
         held = sc.broadcast(part)
         hits = shard_tops(made.where(some), held, k, k1, b).withColumn("group", F.pmod(F.xxhash64("shard", F.lit(1)), F.lit(root)))
-        found.append(saved(best(hits, k, "group").select("query_id", "doc_id", "score")))
+        found = saved(best(hits, k, "group").select("query_id", "doc_id", "score"), at=f"{at}/turn={turn}")
         held.destroy()
-        if not part.floors.any():
-            kth = best(found[0], k).where(F.col("rank") == k).select("query_id", "score").toPandas()  # a row a query of the block
+        if not turn:
+            kth = best(found, k).where(F.col("rank") == k).select("query_id", "score").toPandas()  # a row a query of the block
             part.floors[np.searchsorted(part.ids, kth["query_id"])] = kth["score"]
-    return found[0].union(found[1])
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -310,7 +324,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: fl
     terms = q.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-terms // BLOCK_TERMS))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = None
+    hits = scratch(spark)
     for block in range(blocks):
         rows = q.where(F.col("block") == block).select("query_id", "terms").orderBy("query_id").toPandas()  # about BLOCK_TERMS terms
         part = Queries(rows["query_id"].to_numpy(np.int64), [np.asarray(t, np.int64).view(np.uint64) for t in rows["terms"]])
@@ -320,9 +334,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: fl
         df = np.zeros(len(part.vocabulary))
         df[counts["place"]] = counts["df"]
         part.idf, part.mean = np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5)), max((words or 0) / max(n or 0, 1), 1e-9)
-        tops = block_tops(made, shards, part, k, k1, b)
-        found = tops if found is None else found.union(tops)
-    ranked = best(found, k)
+        block_tops(made, shards, part, k, k1, b, f"{hits}/block={block}")
+    ranked = best(spark.read.schema("query_id long, doc_id long, score double").parquet(hits), k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("doc_id") < int(_LAST), F.col("doc_id")).alias("doc_id"), F.round("score", 6).alias("score"))
 
 
