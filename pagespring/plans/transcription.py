@@ -10,6 +10,7 @@ from ..functions.text import base_name, extension, is_page_image
 from ..operators import pages as pg
 from ..operators import regions as rg
 from ..operators.pieces import pieces
+from ..operators.tokenizing import tokenized
 from ..sources.backends import StubCaptioner, caption, joined_lines
 from . import fixtures as fx
 
@@ -220,3 +221,17 @@ def streamed_pieces(spark, sf):
     t = d.select("doc_id", "raw", F.explode(F.expr("sequence(0, (octet_length(raw) - 1) DIV 3)")).alias("pos")).select("doc_id", "pos", F.expr("substring(raw, CAST(pos * 3 + 1 AS INT), 3)").alias("bytes"))
     shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda r: r["piece"]), "|")
     return pieces(t, "doc_id").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(F.col("piece") == "").alias("waiting"), F.md5(shown).alias("pieces"))
+
+
+def native_token_ids(spark, sf, path: str | None = None):
+    """Byte-level BPE ids of whole texts; SQL has no merge loop, tests hold it against the tokenizer."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = tokenized(fx.table(spark, sf, "documents"), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return ids.select("doc_id", F.size("ids").alias("n_ids"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"))
+
+
+QUERIES["native_token_ids"] = native_token_ids
