@@ -126,16 +126,17 @@ def _by_tokenizer(piece: Column, path: str) -> Column:
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) of every row, by a byte-level BPE tokenizer file."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = written(rows.select("row", "key", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("pieces")))
-    placed = rows.select("row", F.posexplode("pieces").alias("pos", "piece"))
-    words = written(placed.groupBy("piece").agg(F.count("*").alias("n")))
+    rows = written(rows)
+    pieces = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
+    words = written(rows.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("n")))
     long = F.octet_length("piece") > LONGEST
     ids = words.where(~long).withColumn("ids", piece_ids(F.col("piece"), path))
     ids = written(ids.union(words.where(long).withColumn("ids", _by_tokenizer(F.col("piece"), path))))
-    common = ids.where(F.octet_length("piece") <= SHORT).orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece", "ids")
-    met = placed.join(F.broadcast(common), "piece", "left")
-    rare = met.where("ids is null").drop("ids").join(ids.select("piece", "ids"), "piece")
-    met = met.where("ids is not null").select("row", "pos", "ids").union(rare.select("row", "pos", "ids"))
-    held = met.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    empty = F.array().cast("array<int>")
-    return rows.select("row", "key").join(held, "row", "left").select(F.col("key").alias(key), F.coalesce("ids", empty).alias("ids"))
+    common = F.broadcast(ids.where(F.octet_length("piece") <= SHORT).orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece", "ids"))
+    # texts go by row once, so what is met by broadcast is gathered without a shuffle
+    met = rows.repartition("row").select("row", "key", F.posexplode_outer(pieces).alias("pos", "piece")).join(common, "piece", "left")
+    met = met.groupBy("row", "key").agg(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("met"))
+    rare = rows.select("row", F.posexplode(pieces).alias("pos", "piece")).join(common, "piece", "left_anti").join(ids.select("piece", "ids"), "piece")
+    rare = rare.groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("rare"))
+    both = F.array_sort(F.concat("met", F.coalesce("rare", F.array().cast("array<struct<pos:int,ids:array<int>>>"))))
+    return met.join(rare, "row", "left").select(F.col("key").alias(key), F.flatten(F.transform(both, lambda x: x["ids"])).alias("ids"))
