@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.numbers import parsed_f32, to_pixels
+from ..functions.numbers import U32, parsed_f32, to_pixels
 from ..functions.prompts import AFTER, BARE, BEFORE, CONTEXT_CHARS
 from ..functions.text import is_blank, unicode_trim
 
@@ -21,17 +21,17 @@ def labels(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_UNICODE), F.lit(0))
 
 
-def regions(text: Column, img_w: Column, img_h: Column) -> Column:
-    """Array of (label, x1, x2, y1, y2) in pixels."""
+def regions(text: Column, img_w: Column, img_h: Column, most: int = U32) -> Column:
+    """Array of (label, x1, x2, y1, y2) in pixels; those above 32 bits become ``most``."""
 
     def one(label: Column) -> Column:
         x1, y1, x2, y2 = (parsed_f32(F.regexp_extract(label, _UNICODE, g)) for g in (2, 3, 4, 5))
         return F.struct(
             label.alias("label"),
-            to_pixels(x1, img_w).alias("x1"),
-            to_pixels(x2, img_w).alias("x2"),
-            to_pixels(y1, img_h).alias("y1"),
-            to_pixels(y2, img_h).alias("y2"),
+            to_pixels(x1, img_w, most=most).alias("x1"),
+            to_pixels(x2, img_w, most=most).alias("x2"),
+            to_pixels(y1, img_h, most=most).alias("y1"),
+            to_pixels(y2, img_h, most=most).alias("y2"),
         )
 
     return F.transform(labels(text), one)
