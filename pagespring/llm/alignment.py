@@ -63,6 +63,12 @@ class Ragged:
         self.flat, self.used = np.zeros(1 << 12, kind), 0
         self.starts, self.sizes, self.rows = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0
 
+    def clear(self) -> None:
+        """Drops the rows; the memory is kept for the next ones, but for that of very long rows."""
+        if self.flat.nbytes > BYTES_KEPT:
+            self.flat = np.zeros(1 << 12, self.flat.dtype)
+        self.used = self.rows = 0
+
     def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(values) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -115,15 +121,20 @@ class Groups:
 class Aligner:
     """Units to tokens, groups and links; each distinct unit is done once."""
 
-    _loaded: dict[tuple[str, str], Aligner] = {}
+    _loaded: dict[tuple[str, str, bool], Aligner] = {}
+
+    @classmethod
+    def get(cls, a: str, b: str, full: bool = True) -> Aligner:
+        if (a, b, full) not in cls._loaded:
+            cls._loaded[a, b, full] = cls(a, b, full)
+        return cls._loaded[a, b, full]
 
     @classmethod
-    def get(cls, a: str, b: str) -> Aligner:
-        if (a, b) not in cls._loaded:
-            cls._loaded[a, b] = cls(a, b)
-        return cls._loaded[a, b]
+    def leave(cls) -> None:
+        """Frees what this process keeps, for stages that follow in it."""
+        cls._loaded.clear()
 
-    def __init__(self, a: str, b: str) -> None:
+    def __init__(self, a: str, b: str, full: bool = True) -> None:
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -137,6 +148,10 @@ class Aligner:
         self.in_b = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         # may a text be taken apart before a space?
         self.by_unit = not any("▁" in p.lstrip("▁") for p in pieces) and self._parts_words()
+        self.full = full  # are cuts and overlaps kept?
+        self.ids_a, self.ids_b, self.cut_a, self.cut_b, self.over_a, self.over_b = (Ragged(np.int32) for _ in range(6))
+        self.link = Ragged(np.int64)
+        self.text = Ragged(np.uint8)  # a unit's groups, written out, with a semicolon behind
         self._forget()
 
     def _parts_words(self) -> bool:
@@ -148,9 +163,8 @@ class Aligner:
 
     def _forget(self) -> None:
         self.slot: dict[int, int] = {}
-        self.ids_a, self.ids_b, self.cut_a, self.cut_b, self.over_a, self.over_b = (Ragged(np.int32) for _ in range(6))
-        self.link = Ragged(np.int64)
-        self.text: list[bytes] = []  # a unit's groups, written out
+        for held in (self.ids_a, self.ids_b, self.cut_a, self.cut_b, self.over_a, self.over_b, self.link, self.text):
+            held.clear()
         self.good = np.zeros(1 << 10, bool)
 
     def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,12 +206,13 @@ class Aligner:
         a, b = a[in_a], b[in_b]
         at_a, at_b = limits_of(np.diff(at_a) * good), limits_of(np.diff(at_b) * good)
         g = Groups(a, b, self.in_a.size[a], self.in_b.size[b])
-        for held, values, ends in ((self.cut_a, g.cut_a, at_a), (self.cut_b, g.cut_b, at_b), (self.over_a, g.over_a, at_a), (self.over_b, g.over_b, at_b)):
+        for held, values, ends in ((self.cut_a, g.cut_a, at_a), (self.cut_b, g.cut_b, at_b), (self.over_a, g.over_a, at_a), (self.over_b, g.over_b, at_b)) if self.full else ():
             where = np.searchsorted(values, ends)
             held.extend(values - np.repeat(ends[:-1], np.diff(where)), np.diff(where))
         cuts = np.searchsorted(g.cut_a, at_a)
         self.link.extend((a[g.cut_a].astype(np.int64) << 32) | b[g.cut_b], np.diff(cuts))
-        self.text += written(a, b, g.cut_a, g.cut_b, cuts)
+        groups = written(a, b, g.cut_a, g.cut_b, cuts)
+        self.text.extend(np.frombuffer(b"".join(chain.from_iterable(zip(groups, repeat(b";")))), np.uint8), np.fromiter((len(x) + 1 for x in groups), np.int64, len(groups)))
         while first + len(units) > len(self.good):
             self.good = np.concatenate([self.good, np.zeros_like(self.good)])
         self.good[first : first + len(units)] = good
@@ -243,7 +258,7 @@ class Aligner:
 
     def rest(self) -> None:
         """Between texts: drops what is kept once it is too much."""
-        if self.ids_a.rows > UNITS_KEPT or 8 * (self.link.used + self.ids_a.used + self.ids_b.used) > BYTES_KEPT:
+        if self.ids_a.rows > UNITS_KEPT or 8 * (self.link.used + self.ids_a.used + self.ids_b.used) + self.text.used > BYTES_KEPT:
             self._forget()
 
 
@@ -294,7 +309,9 @@ def texts(aligner: Aligner, raw: np.ndarray, ends: np.ndarray, full: bool) -> li
     odd = np.diff(limits_of(~aligner.good[slots])[at]) > 0
     fine = (np.diff(at) > 0) & ~odd
     links, link_ends = aligner.link.gather(slots)
-    held = {"n_a": limits_of(aligner.ids_a.sizes[slots]), "n_b": limits_of(aligner.ids_b.sizes[slots]), "n_groups": limits_of(aligner.cut_a.sizes[slots])}
+    groups, group_ends = aligner.text.gather(slots)
+    groups = memoryview(groups)
+    held = {"n_a": limits_of(aligner.ids_a.sizes[slots]), "n_b": limits_of(aligner.ids_b.sizes[slots]), "n_groups": limits_of(aligner.link.sizes[slots])}  # a link each
     arrays = {}
     if full:
         for k, ragged in zip(FULL, (aligner.ids_a, aligner.ids_b, aligner.cut_a, aligner.cut_b, aligner.over_a, aligner.over_b), strict=True):
@@ -307,7 +324,7 @@ def texts(aligner: Aligner, raw: np.ndarray, ends: np.ndarray, full: bool) -> li
     for k in range(len(at) - 1):
         i, j = at[k], at[k + 1]
         if fine[k]:
-            digest = hashlib.sha256(b";".join([aligner.text[x] for x in slots[i:j].tolist()])).hexdigest()
+            digest = hashlib.sha256(groups[group_ends[i] : group_ends[j] - 1]).hexdigest()
             row = {n: int(v[j] - v[i]) for n, v in held.items()} | {"digest": digest, "links": links[link_ends[i] : link_ends[j]]}
             out.append(row | {n: v[limits[k] : limits[k + 1]] for n, (v, limits) in arrays.items()})
         else:
@@ -337,7 +354,7 @@ def aligned(docs: DataFrame, a: str, b: str, full: bool = False) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        aligner = Aligner.get(a, b)
+        aligner = Aligner.get(a, b, full)
         lists = ("links", *(FULL if full else ()))
 
         def rows_of(ids: list, done: list[dict]):
@@ -390,6 +407,7 @@ def counted(rows: DataFrame) -> DataFrame:
         def run(batches, held=held):
             import pyarrow as pa
 
+            Aligner.leave()
             pair, n, best = held.value
             for batch in batches:
                 column = batch.column(len(KEPT))

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,20 @@ def test_full_output(spark, paths, plain):
     assert got == groups and (len(r["a_ids"]), len(r["b_ids"])) == (n_a, n_b)
     assert list(zip(r["over_a"], r["over_b"], strict=True)) == over
     assert rows[2]["a_ids"] == [] and rows[2]["groups_sha256"] == ""
+
+
+def test_what_is_kept_stays_within_bounds(paths, monkeypatch):
+    """Units are forgotten and learnt again in the same memory; cuts and overlaps only if asked for."""
+    monkeypatch.setattr(al, "UNITS_KEPT", 300)
+    slim, whole, rng = al.Aligner(*paths, full=False), al.Aligner(*paths), random.Random(12)
+    held, sizes = ("ids_a", "ids_b", "link", "text"), set()
+    for _ in range(40):
+        raws = [" ".join(f"w{rng.randrange(10**6)}é" for _ in range(rng.randint(0, 60))).encode() for _ in range(8)]
+        raw, ends = np.frombuffer(b"".join(raws), np.uint8), al.limits_of(np.array([len(r) for r in raws]))
+        got, want = al.texts(slim, raw, ends, False), al.texts(whole, raw, ends, True)
+        for x, y in zip(got, want, strict=True):
+            assert all(np.array_equal(x[k], y[k]) for k in ("n_a", "n_b", "n_groups", "digest", "links"))
+        assert not slim.cut_a.used and not slim.over_a.used
+        slim.rest()
+        sizes.add(tuple(id(getattr(slim, k)) for k in held))
+    assert len(sizes) == 1 and slim.ids_a.rows <= 300 and len(slim.ids_a.starts) <= 1 << 10
