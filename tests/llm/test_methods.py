@@ -607,6 +607,43 @@ def test_repeats_match_brute_force(spark, data, monkeypatch, hot):
             assert r["kept_text"] == texts[r["doc_id"]]
 
 
+def test_a_class_has_one_row_of_united_spans(spark):
+    rng = random.Random(4)
+    rows = {(k % 7, -k % 3, a, a + rng.randint(1, 9)) for k in range(120) for a in [rng.randint(0, 60)]}
+    got = repeats.united(spark.createDataFrame(sorted(rows), repeats.FOUND)).collect()
+    assert len(got) == len({r[:2] for r in rows})
+    for r in got:
+        covered = {i for c1, c2, lo, hi in rows if (c1, c2) == (r["c1"], r["c2"]) for i in range(lo, hi)}
+        assert [i for s in r["found"] for i in range(s["lo"], s["hi"])] == sorted(covered)
+        assert all(x["hi"] < y["lo"] for x, y in zip(r["found"], r["found"][1:], strict=False))
+
+
+def test_places_meet_one_row_of_a_class(spark, monkeypatch):
+    """A passage that many texts share, each with edits of its own: what joins the places of its
+    segments has a row for each class, however many stretches of it repeat."""
+    monkeypatch.setattr(repeats, "HOT", 2)
+    rng = random.Random(14)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    texts = []
+    for k in range(80):
+        part = list(passage[rng.randint(0, 200) : 700 - rng.randint(0, 200)])
+        part[rng.randrange(len(part))] = "XYZ"[k % 3]
+        texts.append("".join(part))
+    written, save = [], repeats.saved
+
+    def seen(df, *args, **more):
+        out = save(df, *args, **more)
+        if {"c1", "c2"} <= set(out.columns) and "q" not in out.columns:
+            written.append((out.count(), out.select("c1", "c2").distinct().count()))
+        return out
+
+    monkeypatch.setattr(repeats, "saved", seen)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(df).collect()}
+    assert got == {k: w[:3] for k, w in enumerate(brute_repeats([t.encode() for t in texts], 200))}
+    assert written and all(rows == classes for rows, classes in written)
+
+
 def window_digests(data, least):
     import xxhash
 
