@@ -11,20 +11,20 @@ about BLOCK_TERMS terms, broadcast with their statistics: their size is set by t
 not by the corpus, and each block is answered from the index.
 
 A list's blocks are its postings in ranges of BLOCK documents, each with its largest impact;
-inside a block a skip pointer leads to every STRIDE documents.  Lists with less than FREQUENT
-of a shard's documents, whose terms weigh most, are read in full: only a document that they
-or the blocks' bounds lift to the threshold can be a hit.  The shallow move adds the bounds of
-the other lists' blocks, one for BLOCK documents.  Without a threshold, a few documents of the
-largest sums over the rare lists set one.  The pivots, the documents whose bounds reach it, are
-taken in document order, RUN and then twice as many at a time.  The lists' cursors go from
-pivot to pivot by the skip pointers, lists of the largest maximum first: what is read takes the
-place of the block's bound, documents that fall below the threshold are no pivots for the lists
-that follow, and what lies between pivots is never read.  Documents left at the end are scored
-and raise the threshold.  The shards' top k are merged by score and
+lists of FREQUENT of a shard's documents or more hold their counts by document, so that a cursor
+goes to any document at once.  Lists with less, whose terms weigh most, are read in full: only a
+document that they or the blocks' bounds lift to the threshold can be a hit.  The shallow move
+adds the bounds of the other lists' blocks, one for BLOCK documents, for SLICE queries in one
+product of matrices.  Without a threshold, a few documents of the largest sums over the rare lists
+set one.  The pivots, the documents whose bounds reach it, are taken in document order, RUN and
+then twice as many at a time.  The lists' cursors go from pivot to pivot, lists of the largest
+maximum first: what is read takes the place of the block's bound, documents that fall below the
+threshold are no pivots for the lists that follow, and what lies between pivots is never read.
+Documents left at the end are scored in double precision and raise the threshold.  The shards' top k are merged by score and
 doc_id, in groups of shards first.  The square root of the shards' number of them answer
 before the others, and the k-th best score that they have between them is where the others'
 thresholds start: these skip more, and give about k times that root of hits a query in all
-instead of k each.  Nothing is approximated: scores are rounded to nine
+instead of k each.  A task's later shards start from what its earlier ones have found as well.  Nothing is approximated: scores are rounded to nine
 places before they are compared, ties go to the smaller doc_id, and a document is only
 skipped if its bound is clearly lower.  Terms are told apart by 54 bits.
 
@@ -47,8 +47,9 @@ from .common import saved, scratch, table
 from .shingles import flat, slices, word_hashes
 
 K, K1, B = 10, 1.2, 0.75
-BLOCK, STRIDE = 64, 2
+BLOCK, STRIDE = 20, 1
 RUN = 4096
+ENTERED = 8192  # pivots times lists that a deep move takes at once, if the pivots are few
 SLICE = 512
 BLOCK_TERMS = 1_000_000
 SHARD_ROWS = 10_000
@@ -159,82 +160,136 @@ class Shard:
         sizes[place] = df
         self.of = np.concatenate([[0], np.cumsum(sizes)])
         post = np.arange(self.of[-1]) - np.repeat(np.cumsum(df) - df, df) + np.repeat(starts, df)
-        self.doc, count = doc[post].astype(np.int64), count[post]
-        norm = k1 * (1 - b + b * lengths[self.doc] / q.mean)
-        self.impact = np.repeat(q.idf[place], df) * count * (k1 + 1) / (count + norm)
-        # frequent lists have a row of blocks: a bound for each, and where their strides begin
+        self.doc, self.count = doc[post], count[post]
+        self.idf, self.k1, self.norm = q.idf, k1, k1 * (1 - b + b * lengths / q.mean)
+        impact = self.impacts(slice(None), np.repeat(place, df))
+        self.rough = impact.astype(np.float32)  # for bounds: what is read again and again is small
+        # frequent lists have their counts by document, and a row of bounds for their blocks
         frequent = np.flatnonzero(sizes >= max(2, FREQUENT * n))
-        self.strides, self.blocks = -(-n // STRIDE), -(-n // BLOCK)
+        self.blocks, self.lists = -(-n // BLOCK), frequent
         self.row = np.full(len(sizes), -1)
         self.row[frequent] = np.arange(len(frequent))
-        self.largest = np.zeros((len(frequent), self.blocks), np.float32)
-        self.first = np.zeros((len(frequent), self.strides + 1), np.int32)
-        edges = np.arange(self.strides + 1) * STRIDE
+        self.held = np.zeros((len(frequent), n), np.uint16 if self.count.max(initial=0) < 1 << 16 else np.int32)
+        self.largest = np.zeros((len(frequent), self.blocks))
         for r, t in enumerate(frequent):
-            lo, hi = self.of[t], self.of[t + 1]
-            at = self.first[r] = lo + np.searchsorted(self.doc[lo:hi], edges)
-            at = np.append(at[: -1 : BLOCK // STRIDE], hi)
-            held = np.flatnonzero(at[:-1] < at[1:])
-            self.largest[r, held] = np.nextafter(np.maximum.reduceat(self.impact[lo:hi], at[held] - lo).astype(np.float32), np.float32(np.inf))
+            at = slice(self.of[t], self.of[t + 1])
+            self.held[r, self.doc[at]] = self.count[at]
+            full = np.zeros(self.blocks * BLOCK)
+            full[self.doc[at]] = impact[at]
+            self.largest[r] = full.reshape(-1, BLOCK).max(1)
         self.lead = self.largest.max(1, initial=0)
-        # what the queries read: bounds of blocks, strides (of those that their lists have), postings
+        # what the queries read: bounds of blocks, places of cursors (of those that their lists have), postings
         self.bounds_read = self.blocks_met = self.blocks_entered = self.postings_read = 0
 
+    def impacts(self, post, term: np.ndarray) -> np.ndarray:
+        """The impacts of these postings, of these terms."""
+        count = self.count[post]
+        return self.idf[term] * count * (self.k1 + 1) / (count + self.norm[self.doc[post]])
+
+    def places(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The places of these stretches of postings, one after the other."""
+        self.postings_read += int(sizes.sum())
+        post = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        post += np.arange(len(post))
+        return post
+
     def summed(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The impacts of these stretches of postings, by document."""
-        self.postings_read += int(sizes.sum())
-        post = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        return np.bincount(self.doc[post], self.impact[post], len(self.ids))
+        post = self.places(starts, sizes)
+        term = np.repeat(np.searchsorted(self.of, starts, "right") - 1, sizes)
+        return np.bincount(self.doc[post], self.impacts(post, term), len(self.ids))
+
+    def block_bounds(self, queries: list[np.ndarray]) -> np.ndarray:
+        """The shallow move of several queries at once: each one's sum of its frequent lists'
+        largest impacts in every block, as a product of two matrices."""
+        held = np.zeros((len(queries), len(self.largest)))
+        for n, terms in enumerate(queries):
+            rows = self.row[terms]
+            held[n, rows[rows >= 0]] = 1
+        lists = int(held.sum())
+        self.bounds_read += lists * self.blocks
+        self.blocks_met += lists * len(self.ids)
+        return held @ self.largest
 
     def entered(self, rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-        """The deep move: what these lists add to each pivot, read by the strides that hold one."""
-        stride = pivots // STRIDE
-        stride = stride[np.flatnonzero(np.diff(stride, prepend=-1))]
-        starts = self.first[rows[:, None], stride].ravel().astype(np.int64)
-        sizes = self.first[rows[:, None], stride + 1].ravel() - starts
-        held = np.flatnonzero(sizes)
-        self.blocks_entered += len(held)
-        return self.summed(starts[held], sizes[held])[pivots]
-
-    def top(self, terms: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, score) of the best k that reach the floor, best first."""
+        """The deep move: what these lists add to each pivot; their cursors go to it at once."""
+        count = self.held[rows[:, None], pivots]
+        self.blocks_entered += count.size
+        self.postings_read += int(np.count_nonzero(count))
+        part = count / (count + self.norm[pivots])
+        part *= (self.idf[self.lists[rows]] * (self.k1 + 1))[:, None]
+        return part.sum(0)  # list by list: equal documents get equal sums
+
+    def top(self, terms: np.ndarray, k: int, floor: float = 0.0, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, score) of the best k that reach the floor, best first; ``bounds``: the query's
+        row of ``block_bounds``."""
+        if bounds is None:
+            bounds = self.block_bounds([terms])[0]
         rows = self.row[terms]
         rare, rows = terms[rows < 0], rows[rows >= 0]
-        sure = self.summed(self.of[rare], self.of[rare + 1] - self.of[rare])
-        bound = sure + np.repeat(self.largest[rows].sum(0, dtype=np.float64), BLOCK)[: len(self.ids)]
-        self.bounds_read += len(rows) * self.blocks
-        self.blocks_met += len(rows) * self.strides
         heavy = rows[np.argsort(-self.lead[rows], kind="stable")]
+        sizes = self.of[rare + 1] - self.of[rare]
+        post = self.places(self.of[rare], sizes)
+        doc = self.doc.take(post)
+        sure = np.bincount(doc, self.rough.take(post), self.blocks * BLOCK)
         docs, scores, least = np.zeros(0, np.int64), np.zeros(0), floor
-        rest = np.flatnonzero((bound > 0) & (bound >= floor - 1e-7))
+        reach = sure.reshape(-1, BLOCK).max(1, initial=0) + bounds
+        slack = 1e-7 + 1e-6 * reach.max(initial=0)  # bounds are sums in single precision
 
         def scored(pivots: np.ndarray) -> None:
             nonlocal docs, scores, least
-            score = np.round(sure[pivots] + self.entered(rows, pivots), 9)
+            marked = np.zeros(len(self.ids), bool)
+            marked[pivots] = True
+            held = np.flatnonzero(marked[doc])
+            score = np.bincount(doc[held], self.impacts(post[held], np.repeat(rare, sizes)[held]), len(self.ids))[pivots]
+            score = np.round(score + self.entered(rows, pivots), 9)
             docs, scores = np.concatenate([docs, pivots[score > 0]]), np.concatenate([scores, score[score > 0]])
             best = np.lexsort((self.ids[docs], -scores))[:k]
             docs, scores = docs[best], scores[best]
             if len(docs) == k:
                 least = max(floor, scores[-1])
 
-        if not floor and len(rest) > 6 * k:
-            now = np.sort(rest[np.argpartition(-sure[rest], 6 * k)[: 6 * k]])
-            scored(now)
-            rest = np.setdiff1d(rest, now, assume_unique=True)
+        first = np.zeros(0, np.int64)
+        if not floor and len(self.ids) > 6 * k:
+            first = np.sort(np.argpartition(-sure[: len(self.ids)], 6 * k)[: 6 * k])
+            scored(first)
+        # blocks, then documents whose bounds reach the threshold
+        need = max(least - slack, 1e-12)
+        some = np.flatnonzero(reach >= need)
+        rest = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rest, bound = self.reaching(rest, sure[rest] + np.repeat(bounds[some], BLOCK), need)
+        if len(first):
+            new = ~np.isin(rest, first, assume_unique=True)
+            rest, bound = rest[new], bound[new]
         run = RUN
-        while len(rest := rest[bound[rest] >= least - 1e-7]):
-            now, rest = rest[:run], rest[run:]  # the next pivots, in document order
-            reach, at, some = bound[now], 0, 4
+        while len(rest):
+            rest, bound = self.reaching(rest, bound, least - slack)
+            now, reach, rest, bound = rest[:run], bound[:run], rest[run:], bound[run:]  # the next pivots, in document order
+            at = 0
             while at < len(heavy) and len(now) > 4 * k:
-                part = heavy[at : at + some]
-                reach = reach + (self.entered(part, now) - self.largest[part].sum(0, dtype=np.float64)[now // BLOCK])
-                still = reach >= least - 1e-7
-                now, reach = now[still], reach[still]
-                at, some = at + some, some * 2
-            scored(now)
+                part = heavy[at : at + max(4, at, ENTERED // len(now))]
+                reach = reach + (self.entered(part, now) - self.largest[part].sum(0)[now // BLOCK])
+                now, reach = self.reaching(now, reach, least - slack)
+                at += len(part)
+            if len(now):
+                scored(now)
             run *= 2
         return docs[scores >= floor], scores[scores >= floor]
 
+    def tops(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``top`` of each query; raises the floors to the k-th scores found."""
+        out = []
+        for n, (terms, bounds) in enumerate(zip(queries, self.block_bounds(queries), strict=True)):
+            out.append(self.top(terms, k, floors[n], bounds))
+            if len(out[-1][1]) == k:
+                floors[n] = max(floors[n], out[-1][1][-1])
+        return out
+
+    def reaching(self, docs: np.ndarray, bound: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The documents, with their bounds, whose bound is least or more."""
+        still = (bound >= least) & (docs < len(self.ids))
+        return docs[still], bound[still]
+
 
 def frequencies(made: DataFrame, held) -> DataFrame:
     """(place, df): documents that hold each term of the block."""
@@ -262,15 +317,16 @@ def shard_tops(made: DataFrame, held, k: int, k1: float, b: float) -> DataFrame:
         import pyarrow as pa
 
         q = held.value
+        floors = q.floors.copy()  # raised by what this task's shards have given
         kinds = (np.int64, np.int64, np.uint64, np.int32, np.uint16, np.int32)
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard(*(np.frombuffer(batch.column(c + 1)[row].as_buffer(), t) for c, t in enumerate(kinds)), q, k1, b)
                 number = batch.column(0)[row].as_py()
                 for at in range(0, len(q.ids), SLICE):
-                    out = [(query, *shard.top(q.terms[q.limits[n] : q.limits[n + 1]], k, q.floors[n])) for n, query in enumerate(q.ids[at : at + SLICE], at)]
-                    ids = np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)
-                    doc, score = (np.concatenate([o[c] for o in out]) for c in (1, 2))
+                    out = shard.tops([q.terms[q.limits[n] : q.limits[n + 1]] for n in range(at, min(at + SLICE, len(q.ids)))], k, floors[at : at + SLICE])
+                    ids = np.repeat(q.ids[at : at + SLICE], [len(o[1]) for o in out])
+                    doc, score = (np.concatenate([o[c] for o in out]) for c in (0, 1))
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), number)), pa.array(shard.ids[doc]), pa.array(score)], ["query_id", "shard", "doc_id", "score"])
 
     return made.select("shard", "ids", "lengths", "terms", "df", "doc", "count").mapInArrow(run, "query_id long, shard long, doc_id long, score double")

@@ -59,3 +59,20 @@ def test_a_cursor_reads_pivots_alone(searched):
     frequent = np.flatnonzero(shard.row >= 0)
     of = frequent[np.isin(shard.row[frequent], rows)]
     assert np.allclose(got, shard.summed(shard.of[of], shard.of[of + 1] - shard.of[of])[pivots])
+
+
+def test_a_slice_of_queries_has_its_bounds_in_one_product(searched):
+    """Bounds are those of each query alone, cursors are moved for few documents, and what is
+    found is the threshold of what follows."""
+    shard, queries = searched
+    bounds = shard.block_bounds(queries)
+    for terms, row in zip(queries, bounds, strict=True):
+        rows = shard.row[terms]
+        assert np.allclose(row, shard.largest[rows[rows >= 0]].sum(0))
+    floors = np.zeros(len(queries))
+    first = shard.tops(queries, search.K, floors)
+    assert floors.tolist() == [s[-1] if len(s) == search.K else 0.0 for _, s in first]
+    shard.blocks_met = shard.blocks_entered = 0
+    again = shard.tops(queries, search.K, floors)
+    assert all(a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() for a, b in zip(first, again, strict=True))
+    assert shard.blocks_entered < 0.15 * shard.blocks_met
