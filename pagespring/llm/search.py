@@ -221,8 +221,12 @@ class Shard:
         return part.sum(0)  # list by list: equal documents get equal sums
 
     def top(self, terms: np.ndarray, k: int, floor: float = 0.0, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, score) of the best k that reach the floor, best first; ``bounds``: the query's
-        row of ``block_bounds``."""
+        """(doc, score) of the best k that reach the floor, best first; see ``found``."""
+        return self.found(terms, k, floor, bounds)[:2]
+
+    def found(self, terms: np.ndarray, k: int, floor: float, bounds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, score, the score before it was rounded) of the best k that reach the floor, best
+        first; ``bounds``: the query's row of ``block_bounds``."""
         if bounds is None:
             bounds = self.block_bounds([terms])[0]
         rows = self.row[terms]
@@ -232,20 +236,22 @@ class Shard:
         post = self.places(self.of[rare], sizes)
         doc = self.doc.take(post)
         sure = np.bincount(doc, self.rough.take(post), self.blocks * BLOCK)
-        docs, scores, least = np.zeros(0, np.int64), np.zeros(0), floor
+        docs, scores, sums, least = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), floor
         reach = sure.reshape(-1, BLOCK).max(1, initial=0) + bounds
         slack = 1e-7 + 1e-6 * reach.max(initial=0)  # bounds are sums in single precision
 
         def scored(pivots: np.ndarray) -> None:
-            nonlocal docs, scores, least
+            nonlocal docs, scores, sums, least
             marked = np.zeros(len(self.ids), bool)
             marked[pivots] = True
             held = np.flatnonzero(marked[doc])
             score = np.bincount(doc[held], self.impacts(post[held], np.repeat(rare, sizes)[held]), len(self.ids))[pivots]
-            score = np.round(score + self.entered(rows, pivots), 9)
-            docs, scores = np.concatenate([docs, pivots[score > 0]]), np.concatenate([scores, score[score > 0]])
+            score = score + self.entered(rows, pivots)  # of no postings at all, bincount gives integers
+            hit = np.round(score, 9) > 0
+            docs, sums = np.concatenate([docs, pivots[hit]]), np.concatenate([sums, score[hit]])
+            scores = np.round(sums, 9)
             best = np.lexsort((self.ids[docs], -scores))[:k]
-            docs, scores = docs[best], scores[best]
+            docs, scores, sums = docs[best], scores[best], sums[best]
             if len(docs) == k:
                 least = max(floor, scores[-1])
 
@@ -274,13 +280,13 @@ class Shard:
             if len(now):
                 scored(now)
             run *= 2
-        return docs[scores >= floor], scores[scores >= floor]
+        return docs[scores >= floor], scores[scores >= floor], sums[scores >= floor]
 
-    def tops(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``top`` of each query; raises the floors to the k-th scores found."""
+    def tops(self, queries: list[np.ndarray], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``found`` of each query; raises the floors to the k-th scores found."""
         out = []
         for n, (terms, bounds) in enumerate(zip(queries, self.block_bounds(queries), strict=True)):
-            out.append(self.top(terms, k, floors[n], bounds))
+            out.append(self.found(terms, k, floors[n], bounds))
             if len(out[-1][1]) == k:
                 floors[n] = max(floors[n], out[-1][1][-1])
         return out
@@ -311,7 +317,7 @@ def frequencies(made: DataFrame, held) -> DataFrame:
 
 
 def shard_tops(made: DataFrame, held, k: int, k1: float, b: float) -> DataFrame:
-    """(query_id, shard, doc_id, score): each shard's best k for every query of the block."""
+    """(query_id, shard, doc_id, score, exact: before it was rounded): each shard's best k for every query of the block."""
 
     def run(batches):
         import pyarrow as pa
@@ -326,10 +332,10 @@ def shard_tops(made: DataFrame, held, k: int, k1: float, b: float) -> DataFrame:
                 for at in range(0, len(q.ids), SLICE):
                     out = shard.tops([q.terms[q.limits[n] : q.limits[n + 1]] for n in range(at, min(at + SLICE, len(q.ids)))], k, floors[at : at + SLICE])
                     ids = np.repeat(q.ids[at : at + SLICE], [len(o[1]) for o in out])
-                    doc, score = (np.concatenate([o[c] for o in out]) for c in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), number)), pa.array(shard.ids[doc]), pa.array(score)], ["query_id", "shard", "doc_id", "score"])
+                    doc, score, exact = (np.concatenate([o[c] for o in out]) for c in range(3))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), number)), pa.array(shard.ids[doc]), pa.array(score), pa.array(exact)], ["query_id", "shard", "doc_id", "score", "exact"])
 
-    return made.select("shard", "ids", "lengths", "terms", "df", "doc", "count").mapInArrow(run, "query_id long, shard long, doc_id long, score double")
+    return made.select("shard", "ids", "lengths", "terms", "df", "doc", "count").mapInArrow(run, "query_id long, shard long, doc_id long, score double, exact double")
 
 
 def best(hits: DataFrame, k: int, *by: str) -> DataFrame:
@@ -347,7 +353,7 @@ def block_tops(made: DataFrame, shards: int, part: Queries, k: int, k1: float, b
     for turn, some in enumerate((F.col("shard").isin(first), ~F.col("shard").isin(first))):
         held = sc.broadcast(part)
         hits = shard_tops(made.where(some), held, k, k1, b).withColumn("group", F.pmod(F.xxhash64("shard", F.lit(1)), F.lit(root)))
-        found = saved(best(hits, k, "group").select("query_id", "doc_id", "score"), at=f"{at}/turn={turn}")
+        found = saved(best(hits, k, "group").select("query_id", "doc_id", "score", "exact"), at=f"{at}/turn={turn}")
         held.destroy()
         if not turn:
             kth = best(found, k).where(F.col("rank") == k).select("query_id", "score").toPandas()  # a row a query of the block
@@ -391,8 +397,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, k1: float = K1, b: fl
         df[counts["place"]] = counts["df"]
         part.idf, part.mean = np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5)), max((words or 0) / max(n or 0, 1), 1e-9)
         block_tops(made, shards, part, k, k1, b, f"{hits}/block={block}")
-    ranked = best(spark.read.schema("query_id long, doc_id long, score double").parquet(hits), k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("doc_id") < int(_LAST), F.col("doc_id")).alias("doc_id"), F.round("score", 6).alias("score"))
+    ranked = best(spark.read.schema("query_id long, doc_id long, score double, exact double").parquet(hits), k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("doc_id") < int(_LAST), F.col("doc_id")).alias("doc_id"), F.round("exact", 6).alias("score"))
 
 
 def op1_bm25(spark, sf_dir: str) -> DataFrame:

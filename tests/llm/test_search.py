@@ -71,8 +71,14 @@ def test_a_slice_of_queries_has_its_bounds_in_one_product(searched):
         assert np.allclose(row, shard.largest[rows[rows >= 0]].sum(0))
     floors = np.zeros(len(queries))
     first = shard.tops(queries, search.K, floors)
-    assert floors.tolist() == [s[-1] if len(s) == search.K else 0.0 for _, s in first]
+    assert floors.tolist() == [s[-1] if len(s) == search.K else 0.0 for _, s, _ in first]
     shard.blocks_met = shard.blocks_entered = 0
     again = shard.tops(queries, search.K, floors)
     assert all(a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() for a, b in zip(first, again, strict=True))
     assert shard.blocks_entered < 0.15 * shard.blocks_met
+
+
+def test_scores_are_rounded_once(spark, same_as_sql):
+    """One of these thousand scores is just below a half at the seventh place, and at a half if
+    it is rounded to nine places first."""
+    same_as_sql(search.op1_bm25(spark, SF_DIR), search.OP1_SQL, SF_DIR)
