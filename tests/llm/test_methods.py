@@ -607,6 +607,44 @@ def test_repeats_match_brute_force(spark, data, monkeypatch, hot):
             assert r["kept_text"] == texts[r["doc_id"]]
 
 
+def same_as_brute_force(spark, texts):
+    """Holds remove_repeats on texts (bytes) against brute force."""
+    import hashlib
+
+    rows = [(k, bytearray(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(df).collect()}
+    want = brute_repeats(texts, 200)
+    assert got == {k: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for k, w in enumerate(want)}
+    return [w[1] for w in want]
+
+
+def test_repeats_tell_texts_with_one_quick_hash_apart(spark):
+    """Two texts made to agree in Spark's xxhash64 and the low half of crc32."""
+    rng = random.Random(8)
+    rest = "".join(rng.choice("abcdefgh ") for _ in range(200))
+    one, two = (start + rest for start in ("abcdefgh is a word, another is: ijklmnop", "zhsxjwyl is a word, another is: GZrR'\"XF"))
+    both = spark.createDataFrame([(one,), (two,)], "text string")
+    assert both.select(F.xxhash64("text"), F.crc32("text").bitwiseAND(F.lit(0xFFFF))).distinct().count() == 1
+    assert same_as_brute_force(spark, [t.encode() for t in (one, two, one + "?")]) == [240, 200, 240]
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_repeats_in_bytes_that_are_not_utf8(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(12)
+    p = "".join(rng.choice("abcdefgh é") for _ in range(500)).encode()
+    texts = [p[:301] + b"\xff\xfe\x80 x" * 9 + p[:250], b"\xc3" + p[3:340], b"\xff" * 450, b"\x80" * 220, b"\xed\xa0\x80" * 100]
+    texts += [p[:300], p[:120] + b"\xff" + p[121:400], (b"\xff" + p[:99]) * 7, b"\xff" * 200 + p[:99], b"\xfe clean"]
+    assert sum(same_as_brute_force(spark, texts)) > 2_000
+
+
+def test_no_window_goes_over_a_border_of_strings():
+    a, b = b"a" * 9, b"b" * 9
+    parts = [a, b, a[:5] + b"\xff" + b[:5]]
+    assert [m.any() for m in repeats.repeated_windows(parts, 9)] == [False] * 3
+
+
 def test_a_class_has_one_row_of_united_spans(spark):
     rng = random.Random(4)
     rows = {(k % 7, -k % 3, a, a + rng.randint(1, 9)) for k in range(120) for a in [rng.randint(0, 60)]}
