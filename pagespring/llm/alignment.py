@@ -29,11 +29,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved, table
+from .common import bounded_batches, one_thread, saved, table
 from .shingles import _powers, flat, mix64
 
-PART = 1 << 19  # bytes of text taken together
-UNITS_KEPT = 300_000
+PART = 1 << 17  # bytes of text taken together
+UNITS_KEPT = 200_000
 BYTES_KEPT = 64 << 20
 LONG = 64  # bytes of a unit that is not kept
 PAIRS = 1 << 22  # of 17 bytes each, broadcast together
@@ -138,6 +138,7 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        one_thread()
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)

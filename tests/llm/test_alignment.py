@@ -1,8 +1,13 @@
 """Alignment against a plain version that encodes whole texts and looks at every offset."""
 
 import hashlib
+import json
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -182,3 +187,34 @@ def test_what_is_kept_stays_within_bounds(paths, monkeypatch):
         slim.rest()
         sizes.add(tuple(id(getattr(slim, k)) for k in held))
     assert len(sizes) == 1 and slim.ids_a.rows <= 300 and len(slim.ids_a.starts) <= 1 << 10
+
+
+WORKER = """
+import json, random, re, sys
+import numpy as np
+from pagespring.llm import alignment as al
+
+def held(name):
+    return int(re.search(name + r":\\s+(\\d+)", open("/proc/self/status").read()).group(1))
+
+aligner, rng = al.Aligner(*sys.argv[1:], full=False), random.Random(5)
+before = held("RssAnon")
+for _ in range(6):
+    raws = [" ".join(f"w{rng.randrange(10**7)}" for _ in range(60)).encode() for _ in range(1000)]
+    ends = al.limits_of(np.array([len(r) for r in raws]))
+    raw, at = np.frombuffer(b"".join(raws), np.uint8), 0
+    while at < len(raws):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + al.PART, "right")) - 1)
+        al.texts(aligner, raw[ends[at] : ends[to]], ends[at : to + 1] - ends[at], False)
+        aligner.rest()
+        at = to
+print(json.dumps([held("Threads"), (held("RssAnon") - before) >> 10]))
+"""
+
+
+def test_a_worker_stays_small(paths):
+    """360,000 distinct units: one thread, as a task has one core, and bounded memory."""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"OMP_NUM_THREADS": "1", "PYTHONPATH": str(Path(al.__file__).parents[2])}
+    out = subprocess.run([sys.executable, "-c", WORKER, *paths], env=env, capture_output=True, text=True, check=True).stdout
+    threads, grown = json.loads(out)
+    assert threads == 1 and grown < 250, (threads, grown)
