@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, likely, saved, table
+from .common import dropped, leave, likely, saved, table
 from .graph import components
 from .minhash import band_keys, signatures
 from .shingles import flat, shingle_sets, slices
@@ -48,6 +48,7 @@ def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) ->
         import pyarrow as pa
         import xxhash
 
+        leave()
         for batch in batches:
             for at, to in slices(batch.column(2), 256, TEXT):
                 part = batch.slice(at, to - at)
@@ -133,6 +134,7 @@ def compared(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     def run(batches):
         import pyarrow as pa
 
+        leave()
         current, rows = None, ([], [], [])
         for batch in batches:
             out = []

@@ -28,14 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, keeping, leave, one_thread, table
 from .shingles import _powers, flat, mix64
 
 WINDOW = 4096
 END_ID = 2
 WORDS_KEPT = 1_000_000
 LONG = 64
-PART = 1 << 19  # bytes of text encoded together
+PART = 1 << 17  # bytes of text encoded together
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -66,17 +66,19 @@ class WordTokenizer:
     A file with another normalisation or other words encodes whole texts.
     """
 
-    _loaded: dict[str, WordTokenizer] = {}
+    _loaded: dict[str, WordTokenizer] = keeping()
 
     @classmethod
     def get(cls, path: str) -> WordTokenizer:
         if path not in cls._loaded:
+            leave()
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        one_thread()
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(self.tokenizer.to_str())
         splits = [r for r in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]

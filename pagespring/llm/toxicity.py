@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, leave, table
 from .shingles import slices
 
 TOXIC_MOST, CLEAN_MOST = 2500, 6000
@@ -369,6 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_most: int = TOXIC_MOST, clean_
     def train(batches):
         import pyarrow as pa
 
+        leave()
         texts, toxic = [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -390,6 +391,7 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
     def run(batches):
         import pyarrow as pa
 
+        leave()
         model = held.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:

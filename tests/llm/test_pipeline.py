@@ -151,3 +151,21 @@ def test_packing_by_brute_force(stages):
         for ids in held:
             got.update((i, x) for x in ids)
     assert got == Counter({(i, x): n for (i, x), n in sum((Counter({(i, x): c * k for x, c in Counter(ids).items()}) for (i, ids), k in want.items()), Counter()).items()})
+
+
+def test_stages_free_what_a_worker_kept():
+    """A worker that packed goes on to other stages, in the same memory."""
+    from pagespring.llm import neardup, packing, repeats
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):  # the function that a task runs
+            return f
+
+    path = packing.default_tokenizer()
+    for task in (neardup.signed(Docs(), 5), repeats.anchors(Docs(), 200)):
+        assert packing.WordTokenizer.get(path) is packing.WordTokenizer.get(path)
+        assert not list(task(iter([])))
+        assert not packing.WordTokenizer._loaded
